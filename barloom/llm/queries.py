@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from barloom.llm.bpe import op3_byte_bpe
 from barloom.llm.preferences import OP6_SQL, op6_preference_pairs
 from barloom.llm.quality_rules import OP8_SQL, op8_quality_rules
 from barloom.llm.repeats import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_preference_pairs": op6_preference_pairs,
     "op8_quality_rules": op8_quality_rules,
