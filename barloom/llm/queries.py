@@ -7,8 +7,10 @@ from barloom.llm.near import op10_near_dedup
 from barloom.llm.preferences import OP6_SQL, op6_preference_pairs
 from barloom.llm.quality_rules import OP8_SQL, op8_quality_rules
 from barloom.llm.repeats import OP4_SQL, op4_substring_dedup
+from barloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_preference_pairs": op6_preference_pairs,
