@@ -5,6 +5,7 @@ from __future__ import annotations
 from barloom.llm.bpe import op3_byte_bpe
 from barloom.llm.near import op10_near_dedup
 from barloom.llm.preferences import OP6_SQL, op6_preference_pairs
+from barloom.llm.quality_model import op9_quality
 from barloom.llm.quality_rules import OP8_SQL, op8_quality_rules
 from barloom.llm.repeats import OP4_SQL, op4_substring_dedup
 from barloom.llm.toxicity import op1_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_preference_pairs": op6_preference_pairs,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
 }
 
