@@ -7,6 +7,7 @@ an avalanche mix), so a task hashes every word of a few megabytes of text in a h
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -138,19 +139,21 @@ def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def packed(positions: np.ndarray) -> bytes:
-    """Ascending distinct positions as uint16 steps; 65535 means a step of 65535 that is no position itself."""
+    """Ascending distinct positions as 16-bit steps, low bytes and deflated high bytes apart; 65535 is a step that is no position itself."""
     steps = np.diff(positions.astype(np.int64), prepend=-1) - 1 if len(positions) else np.zeros(0, np.int64)
     skips = steps // 65535
-    if not skips.any():
-        return steps.astype("<u2").tobytes()
-    out = np.full(len(steps) + int(skips.sum()), 65535, np.uint16)
-    out[np.arange(len(steps)) + np.cumsum(skips)] = steps % 65535
-    return out.astype("<u2").tobytes()
+    out = steps
+    if skips.any():
+        out = np.full(len(steps) + int(skips.sum()), 65535)
+        out[np.arange(len(steps)) + np.cumsum(skips)] = steps % 65535
+    return (out & 255).astype(np.uint8).tobytes() + zlib.compress((out >> 8).astype(np.uint8).tobytes(), 1) + len(out).to_bytes(4, "little")
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """The positions that ``packed`` got."""
-    steps = np.frombuffer(data, "<u2").astype(np.int64)
+    n = int.from_bytes(data[-4:], "little")
+    high = np.frombuffer(zlib.decompress(data[n:-4]), np.uint8).astype(np.int64)
+    steps = np.frombuffer(data, np.uint8, n) | high << 8
     real = steps != 65535
     return np.cumsum(np.where(real, steps + 1, 65535))[real] - 1
 

@@ -4,7 +4,7 @@ Method. Documents are dealt into chunks by their id. Each chunk hashes its windo
 sketch (``ROWS`` rows, a number of cells in proportion to the corpus) and sends it in ranges of cells; each
 range's task adds up the sketches of all chunks and tells each chunk which of its cells other chunks use too.
 The estimate never falls below the true count, so a window whose cells are not all shared occurs in no other
-chunk. Only the rest goes to the second pass, which groups the windows exactly, by 128 bits of hash, one row
+chunk. Only the rest goes to the second pass, which groups the windows exactly, by 96 bits of hash and more, one entry
 for a distinct window and chunk, and tells each chunk which of its first occurrences start earlier elsewhere.
 Repeats inside a chunk never leave it. So a window in a third of all documents costs each chunk one entry: no
 task holds more than its share, nothing is broadcast or collected, and sketch and shuffle follow the input.
@@ -29,6 +29,8 @@ NO_ID = np.iinfo(np.int64).max
 
 ASKS = "chunk int, rng int, cells binary"
 CANDIDATES = "chunk int, rng int, h1 binary, h2 binary, at binary, doc binary, pos binary"
+#: Fields of a candidate window as they travel: columns of steps from one candidate to the next, which compress well, beside the hashes.
+KINDS = {"h1": np.dtype("<u8"), "h2": np.dtype("<u4"), "at": np.dtype("<u4"), "doc": np.dtype("<i8"), "pos": np.dtype("<i4")}
 LATER = "chunk int, later binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 
@@ -43,25 +45,41 @@ class _Chunk:
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         words, self.counts = C.hashed_words(self.texts)
         self.offsets = C.doc_offsets(self.counts)
+        self.words, self.width = words, width
         self.starts = C.window_starts(self.counts, width)
         self.h1 = C.window_hashes(words, self.starts, width, 0)
-        self.h2 = C.window_hashes(words, self.starts, width, 1)
-        order = np.lexsort((self.h2, self.h1))
+
+    def group(self) -> None:
+        """Finds the first of each distinct window, and the rest."""
+        self.h2 = C.window_hashes(self.words, self.starts, self.width, 1)
+        order = np.argsort(self.h1)
         a, b = self.h1[order], self.h2[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
-        self.first = order[new]  # lexsort is stable: the earliest of each distinct window
-        self.again = order[~new]
+        new = np.concatenate([[True], a[1:] != a[:-1]]) if len(order) else np.zeros(0, bool)
+        if not (new[1:] | (b[1:] == b[:-1])).all():  # windows that differ share a hash
+            order = np.lexsort((self.h2, self.h1))
+            a, b = self.h1[order], self.h2[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+        again = np.ones(len(order), bool)
+        again[self.first] = False
+        self.again = np.flatnonzero(again)
+
+
+def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cells of windows in a row of the sketch."""
+    return (C.mixed(hashes + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(width)).astype(np.int64)
+
 
-    def cells(self, row: int, width: int) -> np.ndarray:
-        """Of each distinct window, its cell in a row of the sketch."""
-        return C.mixed(self.h1[self.first] + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(width)
+def _sorted_unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _asks(width: int, cells: int, ranges: int):
     def run(key, table):
         chunk, span, out = _Chunk(table, width), -(-cells // ranges), []
         for row in range(ROWS):
-            own = np.unique(chunk.cells(row, cells)).astype(np.int64)
+            own = _sorted_unique(_cells(chunk.h1, row, cells))
             cut = np.searchsorted(own, np.arange(ranges + 1, dtype=np.int64) * span)
             out += [(row * ranges + r, C.packed(own[a:b] - r * span)) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         n = len(out)
@@ -90,18 +108,19 @@ def _candidates(width: int, cells: int, ranges: int):
         if not docs.num_rows:
             return _CANDIDATE_SCHEMA.empty_table()
         chunk, span = _Chunk(docs, width), -(-cells // ranges)
+        chunk.group()
         bits = dict(zip(answers.column("rng").to_pylist(), answers.column("cells").to_pylist(), strict=True))
         both = np.ones(len(chunk.first), bool)
         for row in range(ROWS):
-            cell = chunk.cells(row, cells).astype(np.int64)
-            own, back = np.unique(cell, return_inverse=True)
+            cell = _cells(chunk.h1[chunk.first], row, cells)
+            own = _sorted_unique(cell)
             cut = np.searchsorted(own, np.arange(ranges + 1, dtype=np.int64) * span)
             flags = np.zeros(len(own), bool)
             for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
                     flags[a:b] = np.unpackbits(np.frombuffer(bits[row * ranges + r], np.uint8), count=b - a)
-            both &= flags[back]
-        at = chunk.first[both]
+            both &= flags[np.searchsorted(own, cell)]
+        at = np.sort(chunk.first[both])
         h1, h2 = chunk.h1[at], chunk.h2[at]
         start = chunk.starts[at]
         doc = np.searchsorted(chunk.offsets, start, "right") - 1
@@ -114,7 +133,9 @@ def _candidates(width: int, cells: int, ranges: int):
         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if b > a:
                 i = order[a:b]
-                rows.append((key[0].as_py(), r, h1[i].tobytes(), h2[i].tobytes(), at[i].astype("<u4").tobytes(), ids[doc[i]].tobytes(), pos[i].astype("<u4").tobytes()))
+                steps = {"at": np.diff(at[i], prepend=0), "doc": np.diff(ids[doc[i]], prepend=0), "pos": np.diff(pos[i], prepend=0)}
+                whole = {"h1": h1[i], "h2": h2[i] >> np.uint64(32)} | steps
+                rows.append((key[0].as_py(), r, *(whole[n].astype(t).tobytes() for n, t in KINDS.items())))
         return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), _CANDIDATE_SCHEMA, strict=True)], names=names) if rows else _CANDIDATE_SCHEMA.empty_table()
 
     return run
@@ -125,7 +146,8 @@ _CANDIDATE_SCHEMA = pa.schema([("chunk", pa.int32()), ("rng", pa.int32()), *((n,
 
 def _later(key, table):
     """Groups the candidates of one range exactly; answers each chunk with those that start earlier in another chunk."""
-    got = {n: [np.frombuffer(b, t) for b in table.column(n).to_pylist()] for n, t in (("h1", np.uint64), ("h2", np.uint64), ("at", "<u4"), ("doc", np.int64), ("pos", "<u4"))}
+    whole = lambda n, x: x if n in ("h1", "h2") else np.cumsum(x, dtype=np.int64)
+    got = {n: [whole(n, np.frombuffer(b, t)) for b in table.column(n).to_pylist()] for n, t in KINDS.items()}
     sizes = [len(x) for x in got["h1"]]
     of = np.repeat(np.arange(len(sizes)), sizes)
     x = {n: np.concatenate(v) for n, v in got.items()}
@@ -134,7 +156,7 @@ def _later(key, table):
     same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
     hit = order[same]
     chunks = table.column("chunk").to_pylist()
-    rows = [(chunks[i], x["at"][hit[of[hit] == i]].tobytes()) for i in np.unique(of[hit])]
+    rows = [(chunks[i], x["at"][hit[of[hit] == i]].astype("<u4").tobytes()) for i in np.unique(of[hit])]
     return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int32()), "later": pa.array([b for _, b in rows], pa.binary())})
 
 
@@ -143,6 +165,7 @@ def _kept(width: int):
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
         chunk = _Chunk(docs, width)
+        chunk.group()
         later = [np.frombuffer(b, "<u4") for b in answers.column("later").to_pylist()]
         at = chunk.starts[np.concatenate([chunk.again, *later]).astype(np.int64)]
         n = int(chunk.offsets[-1])
@@ -172,7 +195,6 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     text has no words; rows that share a doc_id are ordered by text, a null doc_id comes last; repeated rows each
     give a row; an empty table gives none.
     """
-    spark = docs.sparkSession
     docs = C.only(docs, "doc_id", "text")
     chars = C.total_chars(docs)
     windows = max(1, chars // 5)  # more than there are: a word and its gap take more characters on average
@@ -181,7 +203,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     asks = dealt.groupBy("chunk").applyInArrow(_asks(width, cells, ranges), ASKS)
     answers = asks.groupBy("rng").applyInArrow(_shared(-(-cells // ranges)), ASKS)
     some = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_candidates(width, cells, ranges), CANDIDATES)
-    later = C.written(some.groupBy("rng").applyInArrow(_later, LATER))
+    later = some.groupBy("rng").applyInArrow(_later, LATER)
     return dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_kept(width), OUT)
 
 
