@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from barloom.llm.bpe import op3_byte_bpe
+from barloom.llm.decontaminate import op5_decontaminate
 from barloom.llm.near import op10_near_dedup
 from barloom.llm.preferences import OP6_SQL, op6_preference_pairs
 from barloom.llm.quality_model import op9_quality
 from barloom.llm.quality_rules import OP8_SQL, op8_quality_rules
 from barloom.llm.repeats import OP4_SQL, op4_substring_dedup
+from barloom.llm.token_files import op2_token_counts
 from barloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_preference_pairs": op6_preference_pairs,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality": op9_quality,
