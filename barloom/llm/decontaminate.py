@@ -225,5 +225,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return spark.createDataFrame([], kind) if out is None else out
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the documents that hold an item."""
+    held = contaminated(docs, items).select("doc_id").distinct()
+    return docs.join(held.withColumnRenamed("doc_id", "_held"), docs["doc_id"].eqNullSafe(F.col("_held")), "left_anti")
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))

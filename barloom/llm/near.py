@@ -212,5 +212,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return sampled.select("doc_id").join(shared, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the least doc_id of each class of ``near_classes``; of rows that share a doc_id one stays, null ids all stay."""
+    gone = near_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

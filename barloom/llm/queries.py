@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.llm.bpe import op3_byte_bpe
 from barloom.llm.decontaminate import op5_decontaminate
+from barloom.llm.lines import op7_line_dedup
 from barloom.llm.near import op10_near_dedup
 from barloom.llm.preferences import OP6_SQL, op6_preference_pairs
 from barloom.llm.quality_model import op9_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_preference_pairs": op6_preference_pairs,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
