@@ -114,12 +114,11 @@ def ordered(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: in
     return sorted(rules, key=lambda x: -rate[x])
 
 
-def verdict(order: list[str], rules: dict[str, Callable], known: dict[str, Column] | None = None) -> Column:
-    """Whether no rule rejects, tried in this order; ``known`` has rules that are columns already."""
+def verdict(order: list[str], rules: dict[str, Callable], text: Column, words: Column) -> Column:
+    """Whether no rule rejects, tried in this order."""
     chain = None
     for name in order:
-        test = (known or {}).get(name)
-        test = rules[name](F.col("text"), F.col("words")) if test is None else test
+        test = rules[name](text, words)
         chain = F.when(test, False) if chain is None else chain.when(test, False)
     return F.lit(True) if chain is None else chain.otherwise(True)
 
@@ -136,16 +135,15 @@ def judged(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: int
     df = df.select("doc_id", "text", "words", _n(w).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(w).alias("n_repeat_words"))
     failed = {"few_words": F.col("n_words") < 20, "repeated_windows": 100 * F.col("n_repeat_words") > 30 * F.col("n_words")}
     base = failed["few_words"] | failed["repeated_windows"]
-    rest = verdict([x for x in order if x not in BASE], rules)
+    rest = verdict([x for x in order if x not in BASE], rules, t, w)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & rest).alias("kept"))
 
 
 def passing(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: int = 1000) -> DataFrame:
     """The rows of ``docs``, all columns, that no rule rejects, by the cascade alone."""
     order = ordered(docs, rules, sample_rows)
-    names = docs.columns
-    df = docs.select(F.struct(*names).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return df.withColumn("words", _words(F.col("text"))).where(verdict(order, rules)).select("row.*")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.where(_let(_words(text), lambda w: verdict(order, rules, text, w)))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
