@@ -1,11 +1,16 @@
-"""Queries over the driver tables, by name, with their SQL."""
+"""All queries of the bar library by name, with their SQL."""
 
 from __future__ import annotations
 
+from barloom.queries import bars, calendar, studies
+
+_PARTS = (calendar, bars, studies)
+flagship = studies.flagship
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.SQL.items()}
