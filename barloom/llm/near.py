@@ -8,8 +8,9 @@ the same samples meet in a bucket:
 
 * a bucket of up to ``ALL_PAIRS`` documents compares all of them;
 * a larger one compares each with its hub (the member that meets most others over all bands), and those that the
-  hub does not match with every member. Members matched with the hub are in one class already, so no link between
-  classes is lost, and a bucket of n near copies costs about n comparisons.
+  hub does not match with every member, in blocks, by matrix products that return no more links than it takes to
+  join them. Members matched with the hub are in one class already, so no link between classes is lost, and no step
+  makes rows for all pairs.
 
 Pairs whose samples agree well enough to be similar are verified on their whole texts; verified links are joined
 into classes.
@@ -30,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 ALL_PAIRS = 4
 DF_CELLS = 1 << 18
+#: Documents that their hub does not match go to tasks of about so many, each with all members of their bucket.
+LOOSE_BLOCK = 256
 #: A pair is verified if so much of its samples agree: four standard deviations below the similarity.
 AGREEING = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 _BLOCKS = 64
@@ -157,10 +160,14 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, weight: np.ndarray) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of ``ids`` (id), which may be any share of the corpus: dealt by id, never broadcast."""
+    ids = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    return C.written(C.only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, weight: np.ndarray) -> DataFrame:
     """The pairs that are similar by their whole texts."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = C.written(C.only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi"))
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batches):
@@ -175,6 +182,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, weight: np.ndarray) -> DataFram
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def spanning_links(ids: list[int], texts: list[str], loose: np.ndarray, weight: np.ndarray, columns: int = 2048) -> list[tuple[int, int]]:
+    """Links that join the ``loose`` documents (a Boolean mask) to all they are similar to, no more than it takes to join them.
+
+    Sums of shared weights come from products of blocks of the matrix of documents and shingles.
+    """
+    words, counts = C.hashed_words(texts)
+    ends = C.doc_offsets(counts)
+    starts = C.window_starts(counts, WIDTH)
+    h, doc = C.window_hashes(words, starts, WIDTH), np.searchsorted(ends, starts, "right") - 1
+    sums = np.concatenate([[0], np.cumsum(weight[_cells(words)], dtype=np.float64)])
+    w = (sums[starts + WIDTH] - sums[starts]) / WIDTH
+    order = np.lexsort((h, doc))
+    h, doc, w = h[order], doc[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+    times = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    h = C.mixed(h ^ times.astype(np.uint64))  # the second occurrence of a shingle is an element of its own
+    total = np.bincount(doc, w, len(texts))
+    cells, col, n = np.unique(h, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(n > 1)
+    place = np.full(len(cells), -1)
+    place[often] = np.arange(len(often))
+    keep = place[col] >= 0
+    col, doc, w = place[col[keep]], doc[keep], w[keep]
+    order = np.argsort(col, kind="stable")
+    col, doc, w = col[order], doc[order], w[order]
+    rows = np.flatnonzero(loose)
+    shared = np.zeros((len(rows), len(texts)))
+    for lo in range(0, len(often), columns):
+        a, b = np.searchsorted(col, [lo, lo + columns])
+        block = np.zeros((len(texts), columns), np.float32)
+        weights = np.zeros(columns, np.float32)
+        block[doc[a:b], col[a:b] - lo] = 1
+        weights[col[a:b] - lo] = w[a:b]
+        shared += (block[rows] * weights) @ block.T
+    similar = shared >= SIMILARITY * (total[rows, None] + total[None, :] - shared) - 1e-6
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(similar), strict=True):
+        a, b = root(int(rows[i])), root(int(j))
+        if a != b:
+            parent[a] = b
+            out.append((ids[rows[i]], ids[j]))
+    return out
+
+
+def _spanning(loose: DataFrame, members: DataFrame, texts: DataFrame, weight: np.ndarray) -> DataFrame:
+    """a, b: links of the ``loose`` (bucket, id) to members (bucket, id) of their buckets, block by block of loose documents."""
+    parts = loose.groupBy("bucket").agg(F.ceil(F.count("*") / LOOSE_BLOCK).cast("int").alias("parts"))
+    part = lambda x: F.pmod(F.xxhash64(x), F.col("parts")).cast("int")
+    every = members.join(parts, "bucket").join(loose.withColumn("loose", F.lit(True)), ["bucket", "id"], "left")
+    every = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = every.select("bucket", "part", "id", (F.coalesce("loose", F.lit(False)) & (part("id") == F.col("part"))).alias("loose"))
+    every = every.join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
+
+    def run(table):
+        links = spanning_links(table.column("id").to_pylist(), C.texts_of(table), np.array(table.column("loose").to_pylist(), bool), weight)
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return every.groupBy("bucket", "part").applyInArrow(run, "a long, b long")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: the least doc_id of each document's class of near-duplicates.
 
@@ -200,11 +275,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     small = rows.where(F.col("size") <= ALL_PAIRS).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = small.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
     spokes = C.written(large.join(hubs, "bucket").where("id <> hub").select("bucket", F.col("hub").alias("a"), F.col("id").alias("b")))
-    first = C.written(_verified(C.written(_agreeing(few.union(spokes.select("a", "b")), sigs)), docs, weight))
-    loose = spokes.join(first, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("a"))
-    rest = loose.join(large.select("bucket", F.col("id").alias("b")), "bucket").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = C.written(_agreeing(rest, sigs).join(first, ["a", "b"], "left_anti"))
-    links = first if rest.isEmpty() else first.union(_verified(rest, docs, weight))
+    pairs = C.written(_agreeing(few.union(spokes.select("a", "b")), sigs))
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")))
+    first = C.written(_verified(pairs, texts, weight))
+    loose = C.written(spokes.join(first, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id")))
+    links = first.union(_spanning(loose, large.select("bucket", "id"), texts, weight))
     label = components(links)
     exact = real.select("doc_id", "k1", "k2", "n").join(reps.select("k1", "k2", "n", F.col("id")), ["k1", "k2", "n"])
     shared = exact.join(label, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
