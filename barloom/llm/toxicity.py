@@ -81,9 +81,10 @@ class Crf:
             tag = [int(bool(y) and any(s in marks for s in stems(w))) for w in ws] if y else [0] * len(ws)
             begins = {max(0, i - int(rng.integers(CHAIN))) for i in np.flatnonzero(tag)[:40]} | set(rng.integers(0, max(1, len(ws)), 2).tolist())
             for b in begins:
-                if len(part := ws[b : b + CHAIN]) == CHAIN:
-                    words.append(part)
-                    tags.append(tag[b : b + CHAIN])
+                if part := ws[b : b + CHAIN]:
+                    pad = CHAIN - len(part)
+                    words.append(part + [""] * pad)
+                    tags.append(tag[b : b + CHAIN] + [0] * pad)
         if not words:
             return
         y = np.array(tags)
