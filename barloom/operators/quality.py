@@ -61,7 +61,7 @@ def wide_spread(bars: DataFrame, quantile: float = 0.999) -> DataFrame:
     """Threshold (exact, interpolated quantile of positive spreads, 0 without any) and the bars above it."""
     spread = F.col("ask_close") - F.col("bid_close")
     limit = bars.where(spread > 0).groupBy("symbol").agg(F.percentile(spread, quantile).alias("threshold"))
-    both = bars.join(F.broadcast(limit), "symbol", "left")
+    both = bars.join(limit, "symbol", "left")
     return both.groupBy("symbol").agg(F.coalesce(F.first("threshold", True), F.lit(0.0)).alias("threshold"), F.count_if(F.coalesce(spread > F.col("threshold"), F.lit(False))).alias("wide_spread_count"))
 
 
