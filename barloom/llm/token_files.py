@@ -60,8 +60,8 @@ def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, header: i
     ``at`` and the positions count ids from the file's beginning; ``head`` has a document's first ``header`` ids.
     The end of a file ends an unterminated document. Empty files have no block.
     """
-    C.small_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!S]").load(path).select("path", "content")
+    C.small_batches(spark, 8)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("starts", pa.list_(pa.struct([("at", pa.int64()), ("head", pa.list_(pa.int32()))]))), ("stops", pa.list_(pa.int64()))])
