@@ -39,7 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that no plan still to run reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        p = jvm.org.apache.hadoop.fs.Path(t.table_path)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -15,12 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     about the logarithm of the longest path; each round is written, so a lost executor costs one round at most.
     """
     both = C.written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = C.written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    table = labels = C.written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         own = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = C.written(least.join(own, "label", "left").select("id", "old", F.least("label", "up").alias("label")))
-        labels = new.select("id", "label")
+        C.forget(table)
+        table, labels = new, new.select("id", "label")
         if new.where("old <> label").isEmpty():
+            C.forget(both)
             return labels

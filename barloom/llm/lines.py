@@ -3,14 +3,16 @@
 If two lines are within ``EDITS`` edits, and the shorter is cut into EDITS + 1 segments, one segment occurs in the
 longer, shifted by a few characters at most. So each distinct line is indexed under its length and its segments, and
 probes, for each length down to EDITS less, the substrings that such a segment could be (only as many as the shift
-around the edits before and after it allows). Lines with the same text are one line first. Index and probes meet in
-a join on the substring's hash; a parity signature of the characters, which EDITS edits change in few bits, is
-compared inside the join, so lines that merely share a long passage give no pair. Pairs are verified on their
+around the edits before and after it allows). Lines with the same text are one line first. Index and probes are
+dealt and sorted by the substring's hash, and each task walks its keys in order; a parity signature of the characters,
+which EDITS edits change in few bits, is compared there, so lines that merely share a long passage give no pair. Pairs are verified on their
 texts by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,9 @@ EDITS = 2
 #: Lines below so many characters are joined with their copies only.
 LEAST = 20
 SEEN = 200_000
+#: Rows of keys that a task walks at once, and the most bits (a power of two) of a broadcast bitmap: 32 MB.
+WALK_ROWS = 200_000
+MOST_BITS = 28
 
 _BOTH = (C._BYTE_POWERS, C.Powers(0xC2B2AE3D27D4EB4F))
 
@@ -56,9 +61,9 @@ class Lines:
         return C.mixed((s[stops] - s[starts]) * down[starts])
 
     def signatures(self, at: np.ndarray) -> np.ndarray:
-        """Of each line, for each of 64 kinds of character, whether it has an odd number of them."""
-        bits = np.uint64(1) << (self.values & np.uint64(63))
-        total = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bits)])
+        """Of each line, for each of 32 kinds of character, whether it has an odd number of them."""
+        bits = np.uint32(1) << (self.values & np.uint64(31)).astype(np.uint32)
+        total = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bits)])
         return total[self.stops[at]] ^ total[self.starts[at]]
 
 
@@ -156,7 +161,7 @@ def _all_lines(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """key, index, h1, sig of each line of LEAST characters or more; lines that a task has seen lately are left out."""
+    """key, probe, h1, sig of each line of LEAST characters or more; lines that a task has seen lately are left out."""
 
     def run(batches):
         seen: set[int] = set()
@@ -170,36 +175,116 @@ def _keys(docs: DataFrame) -> DataFrame:
                     seen = set()
                 seen.update(h[at].tolist())
                 row, key, index = keys(x, at)
-                yield pa.record_batch({"key": pa.array(key), "index": pa.array(index), "h1": pa.array(h[at].view(np.int64)[row]), "sig": pa.array(x.signatures(at).view(np.int64)[row])})
+                yield pa.record_batch({"key": pa.array(key), "probe": pa.array(~index), "h1": pa.array(h[at].view(np.int64)[row]), "sig": pa.array(x.signatures(at)[row].view(np.int32))})
+
+    return docs.mapInArrow(run, "key long, probe boolean, h1 long, sig int")
 
-    return docs.mapInArrow(run, "key long, index boolean, h1 long, sig long")
 
+def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (least hash first) of lines that index and probe the same key and whose signatures are close.
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """h1 and text of each line of LEAST characters or more."""
+    Rows are sorted by key, probe, hash. ``most``: pairs of rows that are compared at once.
+    """
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (probe[1:] != probe[:-1]) | (h1[1:] != h1[:-1])])
+    key, probe, h1, sig = key[new], probe[new], h1[new], sig[new]
+    run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    stop = np.append(run[1:], len(key))
+    n = np.add.reduceat((~probe).astype(np.int64), run)
+    ok = (n > 0) & (n < stop - run)
+    run, stop, n = run[ok], stop[ok], n[ok]
+    left = np.repeat(run - C.doc_offsets(n)[:-1], n) + np.arange(n.sum())  # every indexing row, with the probes of its run
+    first, count = np.repeat(run + n, n), np.repeat(stop - run - n, n)
+    out = []
+    for lo, hi in C.slices(count, most):
+        c = count[lo:hi]
+        for skip in range(0, int(c.max()), most):  # one row may have more probes than are compared at once
+            k = np.clip(c - skip, 0, most)
+            i = np.repeat(left[lo:hi], k)
+            j = np.repeat(first[lo:hi] + skip - C.doc_offsets(k)[:-1], k) + np.arange(k.sum())
+            close = np.flatnonzero((np.bitwise_count(sig[i] ^ sig[j]) <= 2 * EDITS) & (h1[i] != h1[j]))
+            out.append(np.stack([np.minimum(h1[i[close]], h1[j[close]]), np.maximum(h1[i[close]], h1[j[close]])]))
+    found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+    return found[0], found[1]
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """a, b: pairs of lines that may be close. Keys are dealt and sorted once; a task walks its keys in order."""
 
     def run(batches):
+        held, waiting = None, []
+        for b in chain(batches, [None]):
+            if b is not None:
+                waiting.append([b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "probe", "h1", "sig")])
+                if sum(len(x[0]) for x in waiting) < WALK_ROWS:
+                    continue
+            if not waiting:
+                break
+            cols = [np.concatenate(x) for x in zip(*([held] if held is not None else []), *waiting, strict=True)]
+            waiting = []
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last key may go on
+            held = [x[cut:] for x in cols]
+            if cut:
+                a, c = meetings(*(x[:cut] for x in cols))
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+        if held is not None and len(held[0]):
+            a, c = meetings(*held)
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+
+    dealt = _keys(docs).repartition("key").sortWithinPartitions("key", "probe", "h1")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _bits(ids: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the leading bits of hashes (h1), 16 bits for each of ``n``, never above MOST_BITS: merged on the executors by block."""
+    power = min(MOST_BITS, max(16, int(16 * n - 1).bit_length()))
+    blocks = 1 << max(0, power - 20)
+
+    def mark(batches):
+        for b in batches:
+            at = np.unique(b.column("h1").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
+            span = (1 << power) // blocks
+            for k in np.unique(at // span):
+                bits = np.zeros(span, bool)
+                bits[at[at // span == k] % span] = True
+                yield pa.record_batch({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def merge(key, table):
+        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "block int, bits binary"
+    out = np.zeros(((1 << power) // 8,), np.uint8)
+    span = len(out) // blocks
+    for r in ids.select("h1").mapInArrow(mark, kind).groupBy("block").applyInArrow(merge, kind).collect():
+        out[r.block * span : (r.block + 1) * span] = np.frombuffer(r.bits, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """h1 and text of the lines ``ids`` (h1). A bitmap of bounded size spares most others the shuffle; the join decides."""
+    bits = _bits(ids, ids.count())
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    drop = np.uint64(64 - (len(bits).bit_length() - 1))
+
+    def run(batches):
+        known = np.unpackbits(shared.value).astype(bool)
         for b in batches:
             for x, _ in _blocks(b):
                 h = x.hashes(x.starts, x.stops)
-                _, first = np.unique(h, return_index=True)
-                first = first[(x.stops - x.starts)[first] >= LEAST]
-                lines = [x.chars[s:e].tobytes().decode("utf-32-le") for s, e in zip(x.starts[first], x.stops[first], strict=True)]
-                yield pa.record_batch({"h1": pa.array(h[first].view(np.int64)), "text": pa.array(lines, pa.string())})
+                at = np.flatnonzero(known[h >> drop] & (x.stops - x.starts >= LEAST))
+                at = at[np.unique(h[at], return_index=True)[1]]
+                lines = [x.chars[s:e].tobytes().decode("utf-32-le") for s, e in zip(x.starts[at], x.stops[at], strict=True)]
+                yield pa.record_batch({"h1": pa.array(h[at].view(np.int64)), "text": pa.array(lines, pa.string())})
 
-    return docs.mapInArrow(run, "h1 long, text string")
+    return docs.mapInArrow(run, "h1 long, text string").join(ids.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.min("text").alias("text"))
 
 
 def _links(docs: DataFrame) -> DataFrame:
     """a, b: hashes of the distinct lines within EDITS edits of each other, a < b."""
-    dealt = _keys(docs).repartition("key").dropDuplicates(["key", "index", "h1"])
-    left = dealt.where("index").select("key", F.col("h1").alias("a"), F.col("sig").alias("sig_a"))
-    right = dealt.where("NOT index").select("key", F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
-    close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * EDITS)
-    pairs = left.join(right, "key").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = C.written(pairs)
-    ids = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    texts = C.written(_texts(docs).join(ids, "h1", "left_semi").dropDuplicates(["h1"]))
+    pairs = C.written(_pairs(docs))
+    C.small_batches(docs.sparkSession)
+    ids = C.written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
+    texts = C.written(_texts(docs, ids))
     side = lambda x: texts.select(F.col("h1").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -208,7 +293,9 @@ def _links(docs: DataFrame) -> DataFrame:
             d = distances(C.texts_of(b, "text_a"), C.texts_of(b, "text_b"))
             yield b.select(["a", "b"]).filter(pa.array((d > 0) & (d <= EDITS)))
 
-    return both.mapInArrow(run, "a long, b long")
+    links = C.written(both.mapInArrow(run, "a long, b long"))
+    C.forget(pairs, ids, texts)
+    return links
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
@@ -220,14 +307,15 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     """
     C.small_batches(docs.sparkSession)
     docs = C.only(docs, "doc_id", "text")
-    every = _all_lines(docs)
+    every = C.written(_all_lines(docs))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("line"))
-    links = C.written(_links(docs))
+    links = _links(docs)
     ends = links.select(F.col("a").alias("h1"), F.col("b").alias("other")).union(links.select("b", "a"))
     linked = ends.select("h1").distinct()
     first = every.join(linked, "h1", "left_semi").groupBy("h1").agg(F.min(place).alias("first"))
     near = ends.join(first.withColumnRenamed("h1", "other"), "other").groupBy("h1").agg(F.count("*").alias("links"), F.min("first").alias("near"))
     near = C.written(near)
+    C.forget(links)
     firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     firsts = firsts.join(near, "h1", "left").select("h1", "h2", "first", "links", (F.coalesce(F.col("near") < F.col("first"), F.lit(False))).alias("later"))
     out = every.join(firsts, ["h1", "h2"])

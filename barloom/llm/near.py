@@ -281,6 +281,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     loose = C.written(spokes.join(first, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id")))
     links = first.union(_spanning(loose, large.select("bucket", "id"), texts, weight))
     label = components(links)
+    C.forget(rows, spokes, pairs, texts, first, loose)
     exact = real.select("doc_id", "k1", "k2", "n").join(reps.select("k1", "k2", "n", F.col("id")), ["k1", "k2", "n"])
     shared = exact.join(label, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
     shared = shared.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -111,6 +111,7 @@ def ordered(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: in
     for name, rule in rules.items():
         took, hits = run(rule(F.col("text"), F.col("words")))
         rate[name] = hits / max(took - base, 1e-3)
+    C.forget(sample)
     return sorted(rules, key=lambda x: -rate[x])
 
 
