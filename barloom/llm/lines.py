@@ -28,6 +28,12 @@ SEEN = 200_000
 WALK_ROWS = 200_000
 MOST_BITS = 28
 
+
+def _values(chars: np.ndarray) -> np.ndarray:
+    return C.mixed((chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_VALUES = _values(np.arange(0x10000))
 _BOTH = (C._BYTE_POWERS, C.Powers(0xC2B2AE3D27D4EB4F))
 
 
@@ -47,16 +53,18 @@ class Lines:
         real = np.flatnonzero(filled[stops] > filled[starts])
         self.starts, self.stops, self.doc = starts[real], stops[real], of[real]
         self.number = real - first[self.doc]
-        values = C.mixed((self.chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        self.sums = []
-        for p in _BOTH:
-            up, down = p.to(len(values))
-            s = np.zeros(len(values) + 1, np.uint64)
-            np.cumsum(values * up, out=s[1:])
-            self.sums.append((s, down))
-        self.values = values
+        self.values = _VALUES[np.minimum(self.chars, 0xFFFF)]
+        far = np.flatnonzero(self.chars >= 0xFFFF)
+        if len(far):
+            self.values[far] = _values(self.chars[far])
+        self.sums = [None, None]
 
     def hashes(self, starts: np.ndarray, stops: np.ndarray, which: int = 0) -> np.ndarray:
+        if self.sums[which] is None:
+            up, down = _BOTH[which].to(len(self.values))
+            s = np.zeros(len(self.values) + 1, np.uint64)
+            np.cumsum(self.values * up, out=s[1:])
+            self.sums[which] = s, down
         s, down = self.sums[which]
         return C.mixed((s[stops] - s[starts]) * down[starts])
 
