@@ -326,6 +326,8 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     C.forget(links)
     firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     firsts = firsts.join(near, "h1", "left").select("h1", "h2", "first", "links", (F.coalesce(F.col("near") < F.col("first"), F.lit(False))).alias("later"))
+    firsts = C.written(firsts)  # so that both sides of the next join are dealt for it, and a very common line can be split
+    C.forget(near)
     out = every.join(firsts, ["h1", "h2"])
     return out.select("doc_id", "line", (F.col("later") | (place != F.col("first"))).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"))
 
