@@ -157,7 +157,9 @@ class Network:
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
     vectors = word_vectors(docs)
     rows = M.labelled(docs, labels, "quality", most)
-    x = pooled([t for t, _ in rows], vectors)
+    texts = [t for t, _ in rows]
+    parts = [pooled(texts[a:b], vectors) for a, b in C.slices(map(len, texts), 1_000_000)]  # in blocks, for the driver's memory
+    x = np.concatenate([pooled([], vectors), *parts])
     return vectors, Network(x, np.array([y for _, y in rows], float))
 
 
