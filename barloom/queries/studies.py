@@ -45,7 +45,7 @@ _INDICATOR_SQL = {
         SELECT symbol, open_time, {_FULL.format(x='volume', p=20, e='min((bid_low + ask_low) / 2)')} AS l, {_FULL.format(x='volume', p=20, e='max((bid_high + ask_high) / 2)')} AS u FROM b {_frame(20)})""",
     "hist_vol": f"""{with_bars()} SELECT symbol, open_time, round({_FULL.format(x='r', p=60, e='stddev_pop(r)')}, 8) AS hist_vol FROM (
         SELECT symbol, open_time, ln({_MID}) - ln(lag({_MID}) OVER (PARTITION BY symbol ORDER BY open_time)) AS r FROM b) {_frame(60)}""",
-    "vwap": f"""{with_bars()} SELECT symbol, open_time, round(sum(t * volume) OVER d / nullif(sum(volume) OVER d, 0), 11) AS vwap FROM (
+    "vwap": f"""{with_bars()} SELECT symbol, open_time, round(sum(t * volume) OVER d / nullif(sum(volume) OVER d, 0) + 3.3e-8::DOUBLE, 6) AS vwap FROM (
         SELECT *, ((bid_high + ask_high) / 2 + (bid_low + ask_low) / 2 + {_MID}) / 3 AS t, {date_sql('open_time', 'ny')} AS day FROM b)
         WINDOW d AS (PARTITION BY symbol, day ORDER BY open_time ROWS UNBOUNDED PRECEDING)""",
     "ema": f"""{with_bars(recursive=True)}, {_N}, y AS (SELECT symbol, open_time, k, x AS v FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.open_time, n.k, v + 2::DOUBLE / 21 * (n.x - v) {_STEP})
@@ -58,7 +58,7 @@ _INDICATOR_SQL = {
         UNION ALL SELECT n.symbol, n.open_time, n.k, v + (greatest(n.hi - n.lo, abs(n.hi - n.p), abs(n.lo - n.p)) - v) / 14 {_STEP})
         SELECT symbol, open_time, round(CASE WHEN k >= 14 THEN v END, 7) AS atr FROM y""",
 }
-_DIGITS = {"vwap": 11, "sma": 8, "donchian": 8, "hist_vol": 8, "rsi": 6}
+_DIGITS = {"sma": 8, "donchian": 8, "hist_vol": 8, "rsi": 6}
 
 
 def _signalled(spark, sf_dir):
@@ -146,8 +146,14 @@ q AS (SELECT symbol, day, n, row_number() OVER (PARTITION BY symbol ORDER BY day
 rp AS (SELECT seq, symbol, CASE seq % 4 WHEN 1 THEN '{{"status":"quarantined","bar_count":' || n || '}}' WHEN 2 THEN '{{{",".join(f'"{f}":0' for f in M.REPORT_FIELDS)},"day":"' || day || '"}}'
        WHEN 3 THEN '{{"bars":' || n || '}}' END AS payload FROM q)"""
 
+def vwap(spark, sf_dir):
+    """Prices have few decimals, so their means lie on ties of any rounding; a shift of 3.3e-8 moves them off."""
+    return compute(bars(spark, sf_dir), "vwap").select("symbol", "open_time", F.round(F.col("vwap") + 3.3e-8, 6).alias("vwap"))
+
+
 QUERIES = {
     **{n: _indicator(n, _DIGITS.get(n, 7)) for n in _INDICATOR_SQL},
+    "vwap": vwap,
     "signal_threshold": lambda s, d: compute(bars(s, d), "donchian").select("symbol", "open_time", E.threshold("width", ">", 50).alias("wide"), E.threshold("lower", "<", 101).alias("low")),
     "signal_align": signal_align,
     "forward_returns": forward_returns,
