@@ -7,10 +7,18 @@ around the edits before and after it allows). Lines with the same text are one l
 dealt and sorted by the substring's hash, and each task walks its keys in order; a parity signature of the characters,
 which EDITS edits change in few bits, is compared there, so lines that merely share a long passage give no pair. Pairs are verified on their
 texts by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time.
+
+With ``by_length`` the threshold follows the longer line's length (``allowed``): a character in PER, and for shorter
+lines one in ten up to ``EDITS``, so lines below ten characters have their copies only. Pairs up to LONG characters
+are found as above. In a longer pair, the shorter line's segments have about PER - 2 characters or more, too many with
+too many shifts to probe each; but wherever the lines share a run of that length, both choose the same gram in it (the
+least hash of WINDOW consecutive ones). So each line has its chosen grams as keys, by class of length, and lines that
+meet are compared by their lengths and the grams' places: exact, with keys in proportion to the characters.
 """
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -27,6 +35,10 @@ SEEN = 200_000
 #: Rows of keys that a task walks at once, and the most bits (a power of two) of a broadcast bitmap: 32 MB.
 WALK_ROWS = 200_000
 MOST_BITS = 28
+#: By length: characters to an edit, the least length of the longer line that is joined by grams, grams of a window.
+PER = 20
+LONG = PER * (EDITS + 1)
+WINDOW = 5
 
 
 def _values(chars: np.ndarray) -> np.ndarray:
@@ -75,6 +87,55 @@ class Lines:
         return total[self.stops[at]] ^ total[self.starts[at]]
 
 
+def allowed(length: np.ndarray) -> np.ndarray:
+    """The edits within which two lines are near, by the longer one's length; 0: copies only."""
+    return np.maximum(length // PER, np.minimum(EDITS, length // (PER // 2)))
+
+
+def _classes(longest: int) -> np.ndarray:
+    """Least lengths of the classes of lines that are joined by grams; the last is above ``longest``."""
+    out = [LONG - LONG // PER]
+    while out[-1] <= longest:
+        out.append(out[-1] * 13 // 10)
+    return np.array(out)
+
+
+def grams(lines: Lines, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the lines ``at`` that may be in a pair of LONG or more: positions in ``at``, keys, first and last place of the gram."""
+    start, length = lines.starts[at], lines.stops[at] - lines.starts[at]
+    least = _classes(int(length.max(initial=0)))
+    own, low = (np.searchsorted(least, x, "right") - 1 for x in (length, np.maximum(least[0], length - length // PER)))
+    out = []
+    for c in np.unique(own[own >= 0]) if len(at) else []:
+        for k in (c, c - 1):  # as the shorter line of a pair or as the longer one, whose partner may be a class below
+            rows = np.flatnonzero((own == c) & (low <= k)) if k >= 0 else []
+            if not len(rows):
+                continue
+            shared = least[k] // (PER - 1)  # the most edits of the shortest pair, which share the shortest run
+            size = (PER - 1) * shared // (shared + 1) - WINDOW + 1
+            n = length[rows] - size + 1
+            first = C.doc_offsets(n)
+            line = np.repeat(np.arange(len(rows)), n)
+            place = np.arange(first[-1]) - first[line]
+            begin = start[rows][line] + place
+            h = lines.hashes(begin, begin + size)
+            best, which = h.copy(), np.zeros(len(h), np.int64)
+            for d in range(1, WINDOW):
+                less = h[d:] < best[:-d]
+                best[:-d][less] = h[d:][less]
+                which[:-d][less] = d
+            chosen = np.zeros(len(h), bool)
+            window = np.flatnonzero(place <= n[line] - WINDOW)
+            chosen[window + which[window]] = True
+            chosen = np.flatnonzero(chosen)
+            chosen = chosen[np.lexsort((h[chosen], line[chosen]))]
+            key, line, place = h[chosen], line[chosen], place[chosen]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]))
+            tag = C.mixed(np.array([k + (1 << 40)], np.uint64))
+            out.append((rows[line[new]], (key[new] ^ tag).view(np.int64), np.minimum.reduceat(place, new), np.maximum.reduceat(place, new)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+
 def segments(length: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start and length of each of the ``edits`` + 1 even segments of lines of these lengths."""
     k = edits + 1
@@ -83,7 +144,7 @@ def segments(length: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, n
     return [(sum(size[:i], np.zeros_like(length)), size[i]) for i in range(k)]
 
 
-def keys(lines: Lines, at: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys(lines: Lines, at: np.ndarray, edits: int = EDITS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines ``at``: positions in ``at``, keys, and whether a key indexes (or probes)."""
     start, length = lines.starts[at], lines.stops[at] - lines.starts[at]
     rows, found, index = [], [], []
@@ -103,7 +164,7 @@ def keys(lines: Lines, at: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray,
             low = max(-i, less - (edits - i))
             high = min(i, less + (edits - i))
             for shift in range(low, high + 1):
-                ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= length) & (other >= LEAST))
+                ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= length) & (other >= least))
                 add(ok, start[ok] + p[ok] + shift, n[ok], other[ok], i, False)
     return np.concatenate(rows), np.concatenate(found), np.concatenate(index)
 
@@ -150,6 +211,45 @@ def distances(a: list[str], b: list[str], most: int = EDITS) -> np.ndarray:
     return out
 
 
+def _far(a: str, b: str, most: int) -> bool:
+    """Whether two strings are within ``most`` edits, by bit vectors of any width."""
+    n = len(os.path.commonprefix([a, b]))
+    a, b = a[n:], b[n:]
+    n = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    same: dict[str, int] = {}
+    for i, c in enumerate(a):
+        same[c] = same.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    plus, minus, value = full, 0, len(a)
+    for j, c in enumerate(b):
+        eq = same.get(c, 0)
+        d = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = (minus | ~(d | plus)) & full, plus & d
+        value += (up >> top) - (down >> top & 1)
+        if value - (len(b) - 1 - j) > most:
+            return False
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        plus, minus = (down | ~(d | up)) & full, up & d
+    return value <= most
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs of strings, longer than ``most``, are within so many edits each."""
+    out = np.zeros(len(a), bool)
+    low = 0
+    for cap in (EDITS, 4, 8, 15, 31):
+        at = np.flatnonzero((most > low) & (most <= cap))
+        low = cap
+        if len(at):
+            out[at] = distances([a[i] for i in at], [b[i] for i in at], cap) <= most[at]
+    for i in np.flatnonzero(most > low):
+        out[i] = _far(a[i], b[i], int(most[i]))
+    return out
+
+
 def _blocks(batch):
     texts, ids = C.texts_of(batch), batch.column("doc_id").to_pylist()
     for lo, hi in C.slices((len(t or "") for t in texts), 1_000_000):
@@ -168,24 +268,72 @@ def _all_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line int, h1 long, h2 long")
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """key, probe, h1, sig of each line of LEAST characters or more; lines that a task has seen lately are left out."""
+def _lately(docs: DataFrame, ranges: list[tuple[int, int]], rows_of, kind: str) -> DataFrame:
+    """What ``rows_of`` makes of a block's lines whose length is in a range; lines that a task has seen lately are left out."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for x, _ in _blocks(b):
-                h = x.hashes(x.starts, x.stops)
+                h, n = x.hashes(x.starts, x.stops), x.stops - x.starts
                 _, first = np.unique(h, return_index=True)
-                first = first[(x.stops - x.starts)[first] >= LEAST]
+                first = first[(n[first] >= min(lo for lo, _ in ranges)) & (n[first] < max(hi for _, hi in ranges))]
                 at = first[[v not in seen for v in h[first].tolist()]] if len(first) else first
                 if len(seen) > SEEN:
                     seen = set()
                 seen.update(h[at].tolist())
-                row, key, index = keys(x, at)
-                yield pa.record_batch({"key": pa.array(key), "probe": pa.array(~index), "h1": pa.array(h[at].view(np.int64)[row]), "sig": pa.array(x.signatures(at)[row].view(np.int32))})
+                for i, (lo, hi) in enumerate(ranges):
+                    yield from rows_of(x, at[(n[at] >= lo) & (n[at] < hi)], i)
+
+    return docs.mapInArrow(run, kind)
+
+
+def _keys(docs: DataFrame, by_length: bool = False) -> DataFrame:
+    """key, probe, h1, sig of each line of LEAST characters or more, by length of those that a pair below LONG may have."""
+    near = LEAST - EDITS
+    parts = [(PER // 2 - 1, PER, 1), (near, LONG, EDITS)] if by_length else [(LEAST, 1 << 62, EDITS)]
+
+    def rows_of(x, at, i):
+        row, key, index = keys(x, at, parts[i][2], parts[i][0])
+        h = x.hashes(x.starts[at], x.stops[at])
+        yield pa.record_batch({"key": pa.array(key), "probe": pa.array(~index), "h1": pa.array(h.view(np.int64)[row]), "sig": pa.array(x.signatures(at)[row].view(np.int32))})
 
-    return docs.mapInArrow(run, "key long, probe boolean, h1 long, sig int")
+    return _lately(docs, [p[:2] for p in parts], rows_of, "key long, probe boolean, h1 long, sig int")
+
+
+def _grams(docs: DataFrame) -> DataFrame:
+    """key, n, h1, low, high of each gram that a line of length n, in a pair of LONG or more, has chosen."""
+
+    def rows_of(x, at, i):
+        h, n = x.hashes(x.starts[at], x.stops[at]), x.stops[at] - x.starts[at]
+        row, key, low, high = grams(x, at)
+        yield pa.record_batch({"key": pa.array(key, pa.int64()), "n": pa.array(n[row].astype(np.int32)), "h1": pa.array(h.view(np.int64)[row]), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
+
+    return _lately(docs, [(LONG - LONG // PER, 1 << 62)], rows_of, "key long, n int, h1 long, low int, high int")
+
+
+def long_meetings(key: np.ndarray, n: np.ndarray, h1: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (least hash first) of lines that share a gram at places, and have lengths, that allowed edits can move.
+
+    Rows are sorted by key, length, hash. ``most``: pairs of rows that are compared at once.
+    """
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (h1[1:] != h1[:-1])])
+    key, n, h1, low, high = (x[new].astype(np.int64) for x in (key, n, h1, low, high))
+    rank = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(np.int64) << 33
+    count = np.searchsorted(rank + n, rank + n + n // (PER - 1), "right") - np.arange(len(key)) - 1
+    out = []
+    for lo, hi in C.slices(count, most):
+        c = count[lo:hi]
+        for skip in range(0, int(c.max()), most):
+            k = np.clip(c - skip, 0, most)
+            i = np.repeat(np.arange(lo, hi), k)
+            j = i + 1 + skip + np.arange(k.sum()) - np.repeat(C.doc_offsets(k)[:-1], k)
+            edits = allowed(n[j])
+            ok = (n[j] >= LONG) & (n[j] - n[i] <= edits) & (low[i] <= high[j] + edits) & (low[j] <= high[i] + edits) & (h1[i] != h1[j])
+            a, b = h1[i[ok]], h1[j[ok]]
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+    found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+    return found[0], found[1]
 
 
 def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -215,14 +363,14 @@ def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray
     return found[0], found[1]
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """a, b: pairs of lines that may be close. Keys are dealt and sorted once; a task walks its keys in order."""
+def _met(table: DataFrame, names: tuple[str, ...], meet) -> DataFrame:
+    """a, b: pairs of lines that ``meet`` finds in rows of the same key. Keys are dealt and sorted once; a task walks its keys in order."""
 
     def run(batches):
         held, waiting = None, []
         for b in chain(batches, [None]):
             if b is not None:
-                waiting.append([b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "probe", "h1", "sig")])
+                waiting.append([b.column(n).to_numpy(zero_copy_only=False) for n in names])
                 if sum(len(x[0]) for x in waiting) < WALK_ROWS:
                     continue
             if not waiting:
@@ -232,14 +380,22 @@ def _pairs(docs: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last key may go on
             held = [x[cut:] for x in cols]
             if cut:
-                a, c = meetings(*(x[:cut] for x in cols))
+                a, c = meet(*(x[:cut] for x in cols))
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
         if held is not None and len(held[0]):
-            a, c = meetings(*held)
+            a, c = meet(*held)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
 
-    dealt = _keys(docs).repartition("key").sortWithinPartitions("key", "probe", "h1")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = table.select(*names).repartition("key").sortWithinPartitions(*names[:3])
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _pairs(docs: DataFrame, by_length: bool = False) -> DataFrame:
+    """a, b: pairs of lines that may be close."""
+    out = _met(_keys(docs, by_length), ("key", "probe", "h1", "sig"), meetings)
+    if by_length:
+        out = out.union(_met(_grams(docs), ("key", "n", "h1", "low", "high"), long_meetings))
+    return out.distinct()
 
 
 def _bits(ids: DataFrame, n: int) -> np.ndarray:
@@ -279,7 +435,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             for x, _ in _blocks(b):
                 h = x.hashes(x.starts, x.stops)
-                at = np.flatnonzero(known[h >> drop] & (x.stops - x.starts >= LEAST))
+                at = np.flatnonzero(known[h >> drop] & (x.stops - x.starts >= PER // 2 - 1))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 lines = [x.chars[s:e].tobytes().decode("utf-32-le") for s, e in zip(x.starts[at], x.stops[at], strict=True)]
                 yield pa.record_batch({"h1": pa.array(h[at].view(np.int64)), "text": pa.array(lines, pa.string())})
@@ -287,9 +443,9 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h1 long, text string").join(ids.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.min("text").alias("text"))
 
 
-def _links(docs: DataFrame) -> DataFrame:
-    """a, b: hashes of the distinct lines within EDITS edits of each other, a < b."""
-    pairs = C.written(_pairs(docs))
+def _links(docs: DataFrame, by_length: bool = False) -> DataFrame:
+    """a, b: hashes of the distinct lines within EDITS edits of each other, or by length within ``allowed`` ones, a < b."""
+    pairs = C.written(_pairs(docs, by_length))
     C.small_batches(docs.sparkSession)
     ids = C.written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
     texts = C.written(_texts(docs, ids))
@@ -298,26 +454,28 @@ def _links(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            d = distances(C.texts_of(b, "text_a"), C.texts_of(b, "text_b"))
-            yield b.select(["a", "b"]).filter(pa.array((d > 0) & (d <= EDITS)))
+            x, y = C.texts_of(b, "text_a"), C.texts_of(b, "text_b")
+            longer = np.array([max(len(s), len(t)) for s, t in zip(x, y, strict=True)], np.int64)
+            near = within(x, y, allowed(longer) if by_length else np.full(len(x), EDITS))
+            yield b.select(["a", "b"]).filter(pa.array(near & [s != t for s, t in zip(x, y, strict=True)], pa.bool_()))
 
     links = C.written(both.mapInArrow(run, "a long, b long"))
     C.forget(pairs, ids, texts)
     return links
 
 
-def judged_lines(docs: DataFrame) -> DataFrame:
+def judged_lines(docs: DataFrame, by_length: bool = False) -> DataFrame:
     """doc_id, line, removed, links of each line that is not blank.
 
     A line goes if an earlier line (smaller doc_id, or the same document and a smaller number) has the same text, or
     if a distinct line within EDITS edits of it first occurs earlier. ``links``: how many distinct lines are within
-    EDITS edits of it; below LEAST characters only copies count.
+    EDITS edits of it; below LEAST characters only copies count. ``by_length``: within ``allowed`` edits instead.
     """
     C.small_batches(docs.sparkSession)
     docs = C.only(docs, "doc_id", "text")
     every = C.written(_all_lines(docs))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("line"))
-    links = _links(docs)
+    links = _links(docs, by_length)
     ends = links.select(F.col("a").alias("h1"), F.col("b").alias("other")).union(links.select("b", "a"))
     linked = ends.select("h1").distinct()
     first = every.join(linked, "h1", "left_semi").groupBy("h1").agg(F.min(place).alias("first"))
@@ -332,27 +490,27 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "line", (F.col("later") | (place != F.col("first"))).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
+def line_counts(docs: DataFrame, by_length: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links, removed (ascending numbers of removed lines) of each document with lines.
 
     Documents whose text is null or blank give no row, nor does an empty table. Rows that share a doc_id are one
     document, whose lines of a number count as many times; a null doc_id comes last. Other columns are ignored.
     """
-    lines = judged_lines(docs).groupBy("doc_id")
+    lines = judged_lines(docs, by_length).groupBy("doc_id")
     return lines.agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"))
 
 
-def without_removed(docs: DataFrame) -> DataFrame:
+def without_removed(docs: DataFrame, by_length: bool = False) -> DataFrame:
     """``docs``, all columns, without the lines that ``judged_lines`` removes; documents that lose their last line go.
 
     Documents without lines, of null or blank text, stay as they are.
     """
-    gone = line_counts(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_lines").alias("_lines"), F.col("removed").alias("_removed"))
+    gone = line_counts(docs, by_length).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_lines").alias("_lines"), F.col("removed").alias("_removed"))
     both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left").where("_id IS NULL AND _removed IS NULL OR size(_removed) < _lines")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
     return both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_id", "_lines", "_removed")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = line_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = line_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_length=True)
     return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))

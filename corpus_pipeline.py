@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines that occur earlier, or nearly so, go; so does a document that has none left."""
-    out = lines.without_removed(docs)
+    out = lines.without_removed(docs, by_length=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

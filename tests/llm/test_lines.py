@@ -96,3 +96,47 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_counts(empty).count() == 0
     assert L.without_removed(empty).count() == 0
+
+
+def brute_links(texts):
+    near = {s: 0 for s in texts}
+    for s, t in itertools.combinations(near, 2):
+        n = max(len(s), len(t))
+        most = n // 20 if n >= 60 else min(2, n // 10)
+        if abs(len(s) - len(t)) <= most and edit(s, t) <= most:
+            near[s] += 1
+            near[t] += 1
+    return near
+
+
+def test_threshold_follows_the_length(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefghijklmnop é", k=n)) for n in (9, 10, 14, 19, 20, 21, 40, 58, 60, 62, 77, 80, 99, 130, 210, 400, 700)]
+    texts = dict.fromkeys(x for s in base for x in [s, *(changed(rng, s, rng.randrange(len(s) // 15 + 3)) for _ in range(5))])
+    texts = [s for s in texts if s.strip()]
+    want = brute_links(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in L.line_counts(df, by_length=True).collect()}
+    assert got == {i: want[s] for i, s in enumerate(texts)}
+    assert sum(want.values()) > sum(x[2] for x in brute(list(enumerate(texts))).values())
+
+
+def test_a_changed_word_makes_a_near_copy(spark):
+    first = "the harbour of the northern town was ennton are onst in the cold winter of that year"
+    df = spark.createDataFrame([(1, first), (2, first.replace("are onst", "ou onst"))], "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed) for r in L.line_counts(df, by_length=True).orderBy("doc_id").collect()] == [(1, 0), (2, 1)]
+
+
+def test_near_lines_choose_a_common_gram():
+    rng = random.Random(12)
+    for _ in range(150):
+        a = "".join(rng.choices("abcdefgh ", k=rng.randrange(57, 500))).strip() + "xyz"
+        at = [int((i + 1) * len(a) / (len(a) // 20 + 1)) for i in range(len(a) // 20)]  # spread evenly, the hardest case
+        kind = rng.randrange(3)
+        b = "".join(("" if kind == 0 else "#" if kind == 1 else "#" + c) if i in at else c for i, c in enumerate(a))
+        if max(len(a), len(b)) >= 60 and edit(a, b) <= max(len(a), len(b)) // 20:
+            x = L.Lines([a + "\n" + b])
+            row, key, low, high = L.grams(x, np.arange(2))
+            n = (x.stops - x.starts)[row]
+            order = np.lexsort((row, n, key))
+            assert len(L.long_meetings(key[order], n[order], row[order], low[order], high[order])[0]), (a, b)
