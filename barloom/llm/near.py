@@ -9,7 +9,7 @@ the same samples meet in a bucket:
 * a bucket of up to ``ALL_PAIRS`` documents compares all of them;
 * a larger one compares each with its hub (the member that meets most others over all bands), and those that the
   hub does not match with every member, in blocks, by matrix products that return no more links than it takes to
-  join them. Members matched with the hub are in one class already, so no link between classes is lost, and no step
+  join them in each pair of blocks. Members matched with the hub are in one class already, so no link between classes is lost, and no step
   makes rows for all pairs.
 
 Pairs whose samples agree well enough to be similar are verified on their whole texts; verified links are joined
@@ -31,8 +31,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 ALL_PAIRS = 4
 DF_CELLS = 1 << 18
-#: Documents that their hub does not match go to tasks of about so many, each with all members of their bucket.
-LOOSE_BLOCK = 256
+#: Documents that their hub does not match, and the members of their bucket that they meet, go to tasks of about so many
+#: of each, and of about so many characters of each.
+LOOSE_BLOCK, MEMBER_BLOCK = 256, 512
+BLOCK_CHARS = 4_000_000
 #: A pair is verified if so much of its samples agree: four standard deviations below the similarity.
 AGREEING = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 _BLOCKS = 64
@@ -234,20 +236,38 @@ def spanning_links(ids: list[int], texts: list[str], loose: np.ndarray, weight:
     return out
 
 
+def _dealt(loose: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket, part, other, id, loose, text: each pair of blocks of the ``loose`` (bucket, id) and of the members (bucket, id) of a bucket.
+
+    Blocks do not grow with the bucket. A document may be in both blocks of a pair, and is then there twice.
+    """
+    sizes = texts.select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).dropDuplicates(["id"])
+
+    def blocks(df, most, name):
+        n = F.greatest(F.count("*") / most, F.sum("chars") / BLOCK_CHARS)
+        return df.join(sizes, "id").groupBy("bucket").agg(F.ceil(n).cast("int").alias(name))
+
+    members = members.join(loose.select("bucket").distinct(), "bucket", "left_semi")
+    counts = blocks(loose, LOOSE_BLOCK, "parts").join(blocks(members, MEMBER_BLOCK, "others"), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = loose.join(counts, "bucket").select("bucket", own("parts").alias("part"), every("others").alias("other"), "id", F.lit(True).alias("loose"))
+    rows = rows.union(members.join(counts, "bucket").select("bucket", every("parts").alias("part"), own("others").alias("other"), "id", F.lit(False).alias("loose")))
+    return rows.join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
+
+
 def _spanning(loose: DataFrame, members: DataFrame, texts: DataFrame, weight: np.ndarray) -> DataFrame:
-    """a, b: links of the ``loose`` (bucket, id) to members (bucket, id) of their buckets, block by block of loose documents."""
-    parts = loose.groupBy("bucket").agg(F.ceil(F.count("*") / LOOSE_BLOCK).cast("int").alias("parts"))
-    part = lambda x: F.pmod(F.xxhash64(x), F.col("parts")).cast("int")
-    every = members.join(parts, "bucket").join(loose.withColumn("loose", F.lit(True)), ["bucket", "id"], "left")
-    every = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    every = every.select("bucket", "part", "id", (F.coalesce("loose", F.lit(False)) & (part("id") == F.col("part"))).alias("loose"))
-    every = every.join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
+    """a, b: links of the ``loose`` (bucket, id) to members (bucket, id) of their buckets, by pairs of blocks of both."""
 
     def run(table):
-        links = spanning_links(table.column("id").to_pylist(), C.texts_of(table), np.array(table.column("loose").to_pylist(), bool), weight)
+        own: dict[int, tuple[str, bool]] = {}
+        for i, t, x in zip(table.column("id").to_pylist(), C.texts_of(table), table.column("loose").to_pylist(), strict=True):
+            own[i] = t, x or (i in own and own[i][1])
+        texts, mask = zip(*own.values(), strict=True)
+        links = spanning_links(list(own), list(texts), np.array(mask, bool), weight)
         return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
 
-    return every.groupBy("bucket", "part").applyInArrow(run, "a long, b long")
+    return _dealt(loose, members, texts).groupBy("bucket", "part", "other").applyInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
