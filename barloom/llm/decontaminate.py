@@ -11,6 +11,8 @@ question's shingles of five words, and the answer's words, must be in the passag
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,8 @@ K1, B = 1.2, 0.75
 #: Items of a block, and blocks of a group.
 BLOCK, GROUP = 4, 8
 LEAST_PASSAGE = 128
-#: Characters of items in one index, the bound of what is broadcast; a larger benchmark makes several indexes.
+#: Characters of items in one index, which bound what is broadcast; a larger benchmark makes several indexes, all with the
+#: statistics of the whole.
 INDEX_CHARS = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,10 +56,44 @@ def _parts(text: str) -> tuple[str, str]:
     return text[:at], text[at:]
 
 
+class Totals:
+    """Of all items: number, mean and greatest number of words, and in how many a word (ascending hashes) occurs."""
+
+    def __init__(self, n: int, mean: float, longest: int, words: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.longest, self.words, self.df = n, mean, longest, words, df
+
+
+class Maxima:
+    """The greatest impact of each term in each block of ``width`` items where it occurs, as ranges of sparse rows."""
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, width: int, v: int):
+        block = doc // width  # postings are in order of term and item
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.value = block[new], np.maximum.reduceat(impact, new) if len(new) else np.zeros(0)
+        self.bounds = np.searchsorted(term[new], np.arange(v + 1))
+
+    def of(self, term: int) -> dict[int, float]:
+        a, b = self.bounds[term], self.bounds[term + 1]
+        return dict(zip(self.block[a:b].tolist(), self.value[a:b].tolist(), strict=True))
+
+    def reached(self, what: np.ndarray, passage: np.ndarray, n: int, blocks: int, least: float) -> np.ndarray:
+        """Which of ``n`` passages, with these terms, have a block whose bound reaches ``least``; ``passage`` ascends."""
+        out = np.zeros(n, bool)
+        count = self.bounds[what + 1] - self.bounds[what]
+        size = np.bincount(passage, count, n).astype(np.int64)
+        first = np.searchsorted(passage, np.arange(n + 1))
+        for lo, hi in C.slices(np.maximum(size, blocks), 2_000_000):
+            at, c = slice(first[lo], first[hi]), count[first[lo] : first[hi]]
+            row = np.repeat(self.bounds[what[at]] - C.doc_offsets(c)[:-1], c) + np.arange(c.sum())
+            key = np.repeat(passage[at] - lo, c) * blocks + self.block[row]
+            out[lo:hi] = (np.bincount(key, self.value[row], (hi - lo) * blocks).reshape(hi - lo, blocks) >= least - 1e-9).any(1)
+        return out
+
+
 class Index:
-    """Postings, impacts and their maxima over items and blocks of items, by term."""
+    """Postings, impacts and their maxima over items and blocks of items, by term; with the ``totals`` of all items, or else their own."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], totals: Totals | None = None):
         self.ids = [i for i, _ in items]
         words, counts = terms([t for _, t in items])
         ends = C.doc_offsets(counts)
@@ -70,23 +107,23 @@ class Index:
         n, v = len(items), len(self.terms)
         pair, tf = np.unique(at * max(1, n) + doc, return_counts=True)
         term, doc = pair // max(1, n), pair % max(1, n)
-        df = np.bincount(term, minlength=v)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        size = counts / max(1e-9, counts.mean() if n else 1)
+        if totals is None:
+            totals = Totals(n, float(counts.mean()) if n else 1.0, int(counts.max(initial=0)), self.terms, np.bincount(term, minlength=v))
+        df = totals.df[np.searchsorted(totals.words, self.terms)] if v else np.zeros(0)
+        idf = np.log(1 + (totals.n - df + 0.5) / (df + 0.5))
+        size = counts / max(1e-9, totals.mean)
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc]))
         full = np.bincount(doc, impact, n)
         impact = impact / full[doc] if len(doc) else impact
         self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((v, self.blocks), np.float32)
-        np.maximum.at(self.block_max, (term, doc // BLOCK), impact.astype(np.float32))
-        groups = -(-self.blocks // GROUP)
-        self.fine = np.zeros((v, groups, GROUP), np.float32)
-        self.fine.reshape(v, -1)[:, : self.blocks] = self.block_max
-        self.group_max = self.fine.max(2, initial=0)
-        self.term_max = self.block_max.max(1, initial=0)
+        self.groups = -(-self.blocks // GROUP)
+        self.block_max = Maxima(term, doc, impact, BLOCK, v)
+        self.group_max = Maxima(term, doc, impact, BLOCK * GROUP, v)
+        self.term_max = np.zeros(v)
+        np.maximum.at(self.term_max, term, impact)
         bounds = np.searchsorted(term, np.arange(v + 1))
         self.postings = [(doc[a:b].tolist(), impact[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.passage = max(LEAST_PASSAGE, 2 * int(counts.max(initial=0)))
+        self.passage = max(LEAST_PASSAGE, 2 * totals.longest)
         self.mask = np.zeros(1 << 20, bool)
         self.mask[self.terms >> np.uint64(44)] = True
 
@@ -101,7 +138,7 @@ class Index:
 
     def wand(self, query: list[int], least: float) -> list[tuple[int, float]]:
         """All items that score ``least`` or more against the distinct terms of ``query``."""
-        lists = [(self.postings[t][0], self.postings[t][1], float(self.term_max[t]), self.block_max[t]) for t in query]
+        lists = [(self.postings[t][0], self.postings[t][1], float(self.term_max[t]), self.block_max.of(t)) for t in query]
         at, out = [0] * len(lists), []
         while True:
             live = sorted((x[0][at[i]], i) for i, x in enumerate(lists) if at[i] < len(x[0]))
@@ -115,7 +152,7 @@ class Index:
                 return out
             block = pivot // BLOCK
             ahead = [i for doc, i in live if doc <= pivot]
-            if sum(float(lists[i][3][block]) for i in range(len(lists))) < least:
+            if sum(x[3].get(block, 0.0) for x in lists) < least - 1e-9:
                 to = (block + 1) * BLOCK  # no item of this block can reach the threshold
             else:
                 to = pivot
@@ -152,14 +189,11 @@ class Index:
             part = alive[lo : lo + 2000]
             sizes = stops[part] - starts[part]
             idx = np.repeat(starts[part] - C.doc_offsets(sizes)[:-1], sizes) + np.arange(sizes.sum())
-            group = np.add.reduceat(self.group_max[what[idx]], C.doc_offsets(sizes)[:-1], 0) >= least
-            hit = np.zeros(len(part), bool)
-            for g in np.flatnonzero(group.any(0)):
-                some = np.flatnonzero(group[:, g] & ~hit)
-                n = sizes[some]
-                if len(some):
-                    at = np.repeat(starts[part[some]] - C.doc_offsets(n)[:-1], n) + np.arange(n.sum())
-                    hit[some] = (np.add.reduceat(self.fine[what[at], g], C.doc_offsets(n)[:-1], 0) >= least).any(1)
+            which = np.repeat(np.arange(len(part)), sizes)
+            hit = self.group_max.reached(what[idx], which, len(part), self.groups, least)
+            some = hit[which]  # blocks, for the passages that a group of them may hold
+            near = np.flatnonzero(hit)
+            hit[near] = self.block_max.reached(what[idx][some], np.searchsorted(near, which[some]), len(near), self.blocks, least)
             for k in part[hit].tolist():
                 passage = int(own[starts[k]])
                 d = int(np.searchsorted(base, passage, "right") - 1)
@@ -186,17 +220,41 @@ class Index:
         return float(np.isin(own, C.range_hashes(passage, s, s + n, C._WORD_POWERS[0])).mean()), float(np.isin(self.answer[item], passage).mean())
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of the items (item_id, text), each over about INDEX_CHARS characters, ordered by item."""
-    rows = C.only(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
-    out, part, size = [], [], 0
-    for r in rows.toLocalIterator():
-        part.append((r.item_id, r.text))
-        size += len(r.text)
-        if size >= INDEX_CHARS:
-            out.append(Index(part))
-            part, size = [], 0
-    return [*out, Index(part)] if part else out
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes of the items (item_id, text), each over about INDEX_CHARS characters; statistics are of all items, counted on the executors.
+
+    The driver holds one part's items and the counts of its words at a time.
+    """
+    rows = C.only(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    size = int(rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0)
+    parts = max(1, -(-size // INDEX_CHARS))
+    rows = C.written(rows.withColumn("part", F.lit(0)) if parts == 1 else rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")))
+
+    def count(batches):
+        for b in batches:
+            words, counts = terms(C.texts_of(b))
+            part = np.array(b.column("part").to_pylist(), np.int32)
+            ends = C.doc_offsets(counts)
+            own = [np.unique(words[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            n = [len(w) for w in own]
+            if len(words):
+                yield pa.record_batch({"part": pa.array(np.repeat(part, n), pa.int32()), "word": pa.array(np.concatenate(own).view(np.int64))})
+
+    def lengths(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array(terms(C.texts_of(b))[1], pa.int64())})
+
+    n, mean, longest = rows.mapInArrow(lengths, "n long").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    words = C.written(rows.select("text", "part").mapInArrow(count, "part int, word long").groupBy("part", "word").agg(F.count("*").alias("df")))
+    df = C.written(words.groupBy("word").agg(F.sum("df").alias("df"))) if parts > 1 else words.select("word", "df")
+    for part in range(parts if n else 0):
+        own = [(r.item_id, r.text) for r in rows.where(F.col("part") == part).orderBy("item_id", "text").collect()]
+        known = df.join(words.where(F.col("part") == part).select("word"), "word", "left_semi").toArrow() if parts > 1 else df.toArrow()
+        word, freq = (known.column(c).to_numpy() for c in ("word", "df"))
+        word = word.view(np.uint64)
+        order = np.argsort(word)
+        if own:
+            yield Index(own, Totals(n, mean, longest, word[order], freq[order]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
