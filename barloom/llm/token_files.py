@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ NULL_ID = 1 << 64
 #: Documents of a file at most, so that a file fits a task; and ids of a block.
 FILE_DOCS = 2000
 BLOCK = 1 << 16
+#: Blocks of a file that a task reads at once.
+RANGE = 64
 
 
 def _header(doc_id: int | None) -> bytes:
@@ -54,33 +57,72 @@ def write(docs: DataFrame, path: str, vocabulary: str, pattern: str) -> None:
     flat.write.option("encoding", "ISO-8859-1").option("lineSep", end).option("maxRecordsPerFile", FILE_DOCS).text(path)
 
 
+def _store(name: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it of a file as Spark names it."""
+    if name.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + name[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(name)
+
+
+def _seekable(name: str) -> bool:
+    try:
+        store, at = _store(name)
+        return store.get_file_info(at).is_file
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
 def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, header: int = HEADER, block: int = BLOCK) -> DataFrame:
     """file, block, starts (array of (at, head)), stops (array of positions): what a block of each file of ``path`` shows.
 
     ``at`` and the positions count ids from the file's beginning; ``head`` has a document's first ``header`` ids.
-    The end of a file ends an unterminated document. Empty files have no block.
+    The end of a file ends an unterminated document. Empty files have no block. Tasks read ranges of a file, so it may be
+    of any size; only from a store that Spark alone can open, a file is read whole, by one task.
     """
     C.small_batches(spark, 8)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches):
-        kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("starts", pa.list_(pa.struct([("at", pa.int64()), ("head", pa.list_(pa.int32()))]))), ("stops", pa.list_(pa.int64()))])
+    files = spark.read.format("binaryFile").load(path)
+    kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("starts", pa.list_(pa.struct([("at", pa.int64()), ("head", pa.list_(pa.int32()))]))), ("stops", pa.list_(pa.int64()))])
+
+    def shown(name, ids, begin, first, last, total):
+        """The blocks from ``first`` to ``last`` (ids of a file); ``ids`` begin with the file's id ``begin`` and go on for a header after ``last``."""
+        rows = []
+        for lo in range(first, last, block):
+            hi = min(lo + block, total)
+            stops = np.flatnonzero(ids[lo - begin : hi - begin] == separator) + lo
+            starts = stops[stops + 1 < hi] + 1
+            if not lo or ids[lo - 1 - begin] == separator:
+                starts = np.concatenate([[lo], starts])
+            if hi == total and ids[total - 1 - begin] != separator:
+                stops = np.append(stops, total)
+            rows.append({"file": name, "block": lo // block, "starts": [{"at": int(s), "head": ids[s - begin : s - begin + header].tolist()} for s in starts], "stops": stops.tolist()})
+        return pa.Table.from_pylist(rows, kind).to_batches()
+
+    def whole(batches):
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 ids = np.frombuffer(content.as_buffer(), "<u2")
-                rows = []
-                for lo in range(0, len(ids), block):
-                    part = ids[lo : lo + block]
-                    stops = np.flatnonzero(part == separator) + lo
-                    starts = stops[stops + 1 < min(len(ids), lo + block)] + 1
-                    if not lo or ids[lo - 1] == separator:
-                        starts = np.concatenate([[lo], starts])
-                    if lo + block >= len(ids) and ids[-1] != separator:
-                        stops = np.append(stops, len(ids))
-                    rows.append({"file": name, "block": lo // block, "starts": [{"at": int(s), "head": ids[s : s + header].tolist()} for s in starts], "stops": stops.tolist()})
-                yield from pa.Table.from_pylist(rows, kind).to_batches()
-
-    return files.mapInArrow(run, "file string, block long, starts array<struct<at:long,head:array<int>>>, stops array<long>")
+                yield from shown(name, ids, 0, 0, len(ids), len(ids))
+
+    def ranged(batches):
+        for b in batches:
+            for name, length, first in zip(*(b.column(c).to_pylist() for c in ("path", "length", "first")), strict=True):
+                if length % 2:
+                    raise ValueError(f"{name}: not a file of 16-bit ids")
+                total = length // 2
+                last, begin = min(first + RANGE * block, total), max(0, first - 1)
+                store, at = _store(name)
+                with store.open_input_file(at) as f:
+                    ids = np.frombuffer(f.read_at(2 * (min(last + header, total) - begin), 2 * begin), "<u2")
+                yield from shown(name, ids, begin, first, last, total)
+
+    out = "file string, block long, starts array<struct<at:long,head:array<int>>>, stops array<long>"
+    some = files.select("path").first()
+    if some and not _seekable(some.path):
+        return files.select("path", "content").mapInArrow(whole, out)
+    step = 2 * RANGE * block
+    ranges = files.select("path", "length").where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("k"))
+    tasks = max(1, spark.sparkContext.defaultParallelism, ranges.count() // 4)  # a number, as rows so small would be put into one task
+    return ranges.select("path", "length", (F.col("k") * (RANGE * block)).alias("first")).repartition(tasks, "path", "first").mapInArrow(ranged, out)
 
 
 def lengths(found: DataFrame) -> DataFrame:
