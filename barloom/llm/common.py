@@ -1,7 +1,9 @@
 """Helpers that the operators of this subpackage share.
 
-Hashes here are vectorised polynomial hashes over bytes and over words (modulo 2**64, finished with
-an avalanche mix), so a task hashes every word of a few megabytes of text in a handful of numpy calls.
+A word's hash chains its bytes, eight at a time, through an avalanche mix, for all words of a block in a handful of numpy
+calls; functions of different seeds are independent. Windows of a fixed number of words combine their words' hashes as
+a polynomial modulo 2**64. Whole lines and texts are told apart by 128 bits of BLAKE2b. Polynomials straight over
+bytes (``range_hashes`` of ``_BYTE_VALUES``) only deal words to cells, where a collision does no harm.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +21,18 @@ from pyspark.sql import functions as F
 #: Words are the maximal runs of characters other than these (space, tab, \n, \v, \f, \r), as in ``[^\x20\x09-\x0D]+``.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+#: Words above so many bytes are hashed one at a time.
+LONG_WORD = 512
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -52,9 +54,10 @@ def forget(*tables: DataFrame) -> None:
         p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound Arrow batches, so that one batch of long texts fits a Python worker."""
-    spark.conf.set(ARROW_ROWS, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in rows and bytes, so that one batch of long texts fits a Python worker; the same for every operator."""
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,20 +98,47 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, power
     return mixed((sums[ends] - sums[starts]) * down[np.minimum(starts, max(0, len(values) - 1))])
 
 
-def hashed_words(texts: Iterable[str | None], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of ``texts`` in order, and each text's number of words (null: none)."""
-    hashes, counts, part, size = [], [], [], 0
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each half-open range of bytes of ``buf``, which goes on for eight bytes after the last; ranges are not empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lanes = np.ndarray(len(buf) - 7, "<u8", np.ascontiguousarray(buf), strides=(1,))
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x51ED27 + 1))
+    h = mixed(h ^ lanes[starts] & _MASKS[np.minimum(size, 8)])
+    at = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(at):
+        h[at] = mixed(h[at] ^ lanes[starts[at] + done] & _MASKS[np.minimum(size[at] - done, 8)])
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+    return h
+
+
+def words_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts one after another, where words start and end in them, and each text's number of words."""
+    buf = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n" + bytes(8), np.uint8)
+    gap = _GAP[buf[:-8]]
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    return buf, starts, ends, np.diff(np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in raw]) + 1))
+
+
+def hashed_words(texts: Iterable[str | None], block: int = 1 << 20, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
+    """The hash, for each of ``seeds``, of every word of ``texts`` in order, and each text's number of words (null: none)."""
+    hashes, counts, part, size = [[] for _ in seeds], [], [], 0
 
     def flush():
         nonlocal part, size
         if part:
-            buf = np.frombuffer(b"\n" + b"\n".join(part) + b"\n", np.uint8)
-            gap = _GAP[buf]
-            starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-            ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-            bounds = np.cumsum([0] + [len(x) + 1 for x in part])
-            counts.append(np.diff(np.searchsorted(starts, bounds + 1)))
-            hashes.append(range_hashes(_BYTE_VALUES[buf], starts, ends))
+            buf, starts, ends, n = words_of(part)
+            counts.append(n)
+            for out, seed in zip(hashes, seeds, strict=True):
+                out.append(word_hashes(buf, starts, ends, seed))
             part, size = [], 0
 
     for t in texts:
@@ -117,7 +147,12 @@ def hashed_words(texts: Iterable[str | None], block: int = 1 << 20) -> tuple[np.
         if size >= block:
             flush()
     flush()
-    return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(counts or [np.zeros(0, np.int64)]).astype(np.int64)
+    return *(np.concatenate(x or [np.zeros(0, np.uint64)]) for x in hashes), np.concatenate(counts or [np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def digests(items: Iterable[bytes]) -> np.ndarray:
+    """128 bits of BLAKE2b of each item, as a row of two int64."""
+    return np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in items), "<i8").reshape(-1, 2)
 
 
 def window_starts(counts: np.ndarray, width: int) -> np.ndarray:
@@ -128,8 +163,8 @@ def window_starts(counts: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hashes of windows of ``width`` words; ``which`` (0 or 1) picks one of two independent functions."""
-    return range_hashes(mixed(words ^ np.uint64(0x51ED27 + which)), starts, starts + width, _WORD_POWERS[which])
+    """Hashes of windows of ``width`` words, given their words' hashes; ``which`` (0 or 1) picks one of two bases."""
+    return range_hashes(words, starts, starts + width, _WORD_POWERS[which])
 
 
 def doc_offsets(counts: np.ndarray) -> np.ndarray:

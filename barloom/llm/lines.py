@@ -1,24 +1,22 @@
 """Line deduplication (operator 7): an edit-distance join of lines by segments.
 
-If two lines are within ``EDITS`` edits, and the shorter is cut into EDITS + 1 segments, one segment occurs in the
-longer, shifted by a few characters at most. So each distinct line is indexed under its length and its segments, and
-probes, for each length down to EDITS less, the substrings that such a segment could be (only as many as the shift
-around the edits before and after it allows). Lines with the same text are one line first. Index and probes are
-dealt and sorted by the substring's hash, and each task walks its keys in order; a parity signature of the characters,
-which EDITS edits change in few bits, is compared there, so lines that merely share a long passage give no pair. Pairs are verified on their
-texts by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time.
-
-With ``by_length`` the threshold follows the longer line's length (``allowed``): a character in PER, and for shorter
-lines one in ten up to ``EDITS``, so lines below ten characters have their copies only. Pairs up to LONG characters
-are found as above. In a longer pair, the shorter line's segments have about PER - 2 characters or more, too many with
-too many shifts to probe each; but wherever the lines share a run of that length, both choose the same gram in it (the
-least hash of WINDOW consecutive ones). So each line has its chosen grams as keys, by class of length, and lines that
-meet are compared by their lengths and the grams' places: exact, with keys in proportion to the characters.
+A line of WORDS words or more is a sequence of words, a shorter one a sequence of characters; two lines are near if the
+longer one's length allows the edits between them (``allowed``: a word in ten up to two, then one in twenty-five up to
+``EDITS``; or a character in ten up to two). If two lines are within k edits, and the shorter is cut into k + 1 segments, one
+segment occurs in the longer, shifted by a few places at most. So each distinct line is indexed under its length and
+its segments, and probes, for each length down to k less, the substrings that such a segment could be (only as many as the
+shift around the edits before and after it allows). Lines with the same text are one line first. Index and probes
+are dealt and sorted by the substring's hash, and each task walks its keys in order; a parity signature of the
+symbols, which an edit changes in two bits at most, is compared there, so lines that merely share a long passage give no
+pair. A key of very many lines is cut into blocks, which are compared two at a time by tasks of their own. Pairs are
+verified on their texts by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time.
+
+Lines are told apart by 128 bits of BLAKE2b of their bytes; 64-bit hashes only find pairs, which texts decide.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,115 +26,65 @@ from pyspark.sql import functions as F
 
 from barloom.llm import common as C
 
-EDITS = 2
-#: Lines below so many characters are joined with their copies only.
-LEAST = 20
+#: Words from which on a line is compared by words, and the most edits of any pair.
+WORDS = 10
+EDITS = 4
 SEEN = 200_000
-#: Rows of keys that a task walks at once, and the most bits (a power of two) of a broadcast bitmap: 32 MB.
+#: Rows of keys that a task walks at once, rows of a key from which on it is compared in blocks, and the most bits (a
+#: power of two) of a broadcast bitmap: 32 MB.
 WALK_ROWS = 200_000
+BLOCK_ROWS = 8192
 MOST_BITS = 28
-#: By length: characters to an edit, the least length of the longer line that is joined by grams, grams of a window.
-PER = 20
-LONG = PER * (EDITS + 1)
-WINDOW = 5
-
-
-def _values(chars: np.ndarray) -> np.ndarray:
-    return C.mixed((chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-
-
-_VALUES = _values(np.arange(0x10000))
-_BOTH = (C._BYTE_POWERS, C.Powers(0xC2B2AE3D27D4EB4F))
+#: Bits of a signature that tell symbols apart; three more hold the edits.
+KINDS = 29
 
 
 class Lines:
-    """The lines of a block of texts that hold more than white space, as ranges of code points."""
+    """The lines of a block of texts that hold more than white space, as ranges of bytes and of words."""
 
     def __init__(self, texts: list[str | None]):
-        joined = "\n" + "\n".join(t or "" for t in texts) + "\n"
-        self.chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-        breaks = np.flatnonzero(self.chars == 10)
-        gap = (self.chars == 32) | ((self.chars >= 9) & (self.chars <= 13))
-        filled = np.concatenate([[0], np.cumsum(~gap)])
+        raw = [(t or "").encode() for t in texts]
+        self.buf, begins, ends, _ = C.words_of(raw)
+        breaks = np.flatnonzero(self.buf[:-8] == 10)
         starts, stops = breaks[:-1] + 1, breaks[1:]
-        bounds = np.cumsum([0] + [len(t or "") + 1 for t in texts])
-        first = np.searchsorted(starts, bounds + 1)
+        low, high = np.searchsorted(begins, starts), np.searchsorted(begins, stops)
+        first = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in raw]) + 1)
         of = np.repeat(np.arange(len(texts)), np.diff(first))
-        real = np.flatnonzero(filled[stops] > filled[starts])
+        real = np.flatnonzero(high > low)
         self.starts, self.stops, self.doc = starts[real], stops[real], of[real]
         self.number = real - first[self.doc]
-        self.values = _VALUES[np.minimum(self.chars, 0xFFFF)]
-        far = np.flatnonzero(self.chars >= 0xFFFF)
-        if len(far):
-            self.values[far] = _values(self.chars[far])
-        self.sums = [None, None]
-
-    def hashes(self, starts: np.ndarray, stops: np.ndarray, which: int = 0) -> np.ndarray:
-        if self.sums[which] is None:
-            up, down = _BOTH[which].to(len(self.values))
-            s = np.zeros(len(self.values) + 1, np.uint64)
-            np.cumsum(self.values * up, out=s[1:])
-            self.sums[which] = s, down
-        s, down = self.sums[which]
-        return C.mixed((s[stops] - s[starts]) * down[starts])
-
-    def signatures(self, at: np.ndarray) -> np.ndarray:
-        """Of each line, for each of 32 kinds of character, whether it has an odd number of them."""
-        bits = np.uint32(1) << (self.values & np.uint64(31)).astype(np.uint32)
-        total = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bits)])
-        return total[self.stops[at]] ^ total[self.starts[at]]
-
-
-def allowed(length: np.ndarray) -> np.ndarray:
-    """The edits within which two lines are near, by the longer one's length; 0: copies only."""
-    return np.maximum(length // PER, np.minimum(EDITS, length // (PER // 2)))
-
-
-def _classes(longest: int) -> np.ndarray:
-    """Least lengths of the classes of lines that are joined by grams; the last is above ``longest``."""
-    out = [LONG - LONG // PER]
-    while out[-1] <= longest:
-        out.append(out[-1] * 13 // 10)
-    return np.array(out)
-
-
-def grams(lines: Lines, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the lines ``at`` that may be in a pair of LONG or more: positions in ``at``, keys, first and last place of the gram."""
-    start, length = lines.starts[at], lines.stops[at] - lines.starts[at]
-    least = _classes(int(length.max(initial=0)))
-    own, low = (np.searchsorted(least, x, "right") - 1 for x in (length, np.maximum(least[0], length - length // PER)))
-    out = []
-    for c in np.unique(own[own >= 0]) if len(at) else []:
-        for k in (c, c - 1):  # as the shorter line of a pair or as the longer one, whose partner may be a class below
-            rows = np.flatnonzero((own == c) & (low <= k)) if k >= 0 else []
-            if not len(rows):
-                continue
-            shared = least[k] // (PER - 1)  # the most edits of the shortest pair, which share the shortest run
-            size = (PER - 1) * shared // (shared + 1) - WINDOW + 1
-            n = length[rows] - size + 1
-            first = C.doc_offsets(n)
-            line = np.repeat(np.arange(len(rows)), n)
-            place = np.arange(first[-1]) - first[line]
-            begin = start[rows][line] + place
-            h = lines.hashes(begin, begin + size)
-            best, which = h.copy(), np.zeros(len(h), np.int64)
-            for d in range(1, WINDOW):
-                less = h[d:] < best[:-d]
-                best[:-d][less] = h[d:][less]
-                which[:-d][less] = d
-            chosen = np.zeros(len(h), bool)
-            window = np.flatnonzero(place <= n[line] - WINDOW)
-            chosen[window + which[window]] = True
-            chosen = np.flatnonzero(chosen)
-            chosen = chosen[np.lexsort((h[chosen], line[chosen]))]
-            key, line, place = h[chosen], line[chosen], place[chosen]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]))
-            tag = C.mixed(np.array([k + (1 << 40)], np.uint64))
-            out.append((rows[line[new]], (key[new] ^ tag).view(np.int64), np.minimum.reduceat(place, new), np.maximum.reduceat(place, new)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-
-
-def segments(length: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.low, self.high = low[real], high[real]
+        self.begins, self.ends = begins, ends
+        self._ids = None
+
+    def line(self, i: int) -> bytes:
+        return self.buf[self.starts[i] : self.stops[i]].tobytes()
+
+    @property
+    def ids(self) -> np.ndarray:
+        """128 bits of each line, as a row of two int64."""
+        if self._ids is None:
+            data = self.buf.tobytes()
+            self._ids = C.digests(data[a:b] for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True))
+        return self._ids
+
+    def symbols(self, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the words, or of the characters, of the lines ``at`` (at least), and where each line's begin and end."""
+        if words:
+            return C.word_hashes(self.buf, self.begins, self.ends), self.low[at], self.high[at]
+        chars = [np.frombuffer(self.line(i).decode().encode("utf-32-le"), "<u4") for i in at.tolist()]
+        bounds = C.doc_offsets(np.array([len(x) for x in chars], np.int64))
+        flat = np.concatenate([np.zeros(0, np.uint32), *chars]).astype(np.uint64)
+        return C.mixed((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), bounds[:-1], bounds[1:]
+
+
+def allowed(length: np.ndarray, words: bool) -> np.ndarray:
+    """The edits within which two lines are near, by the longer one's length in words or characters; 0: copies only."""
+    few = np.minimum(2, length // 10)
+    return np.minimum(EDITS, np.maximum(few, length // 25)) if words else few
+
+
+def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start and length of each of the ``edits`` + 1 even segments of lines of these lengths."""
     k = edits + 1
     short, long = length // k, length % k
@@ -144,40 +92,50 @@ def segments(length: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, n
     return [(sum(size[:i], np.zeros_like(length)), size[i]) for i in range(k)]
 
 
-def keys(lines: Lines, at: np.ndarray, edits: int = EDITS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines ``at``: positions in ``at``, keys, and whether a key indexes (or probes)."""
-    start, length = lines.starts[at], lines.stops[at] - lines.starts[at]
-    rows, found, index = [], [], []
-
-    def add(i, begin, size, of_length, segment, is_index):
-        tag = C.mixed(of_length.astype(np.uint64) * np.uint64(64) + np.uint64(segment))
-        rows.append(i)
-        found.append((lines.hashes(begin, begin + size) ^ tag).view(np.int64))
-        index.append(np.full(len(i), is_index))
-
-    everything = np.arange(len(at))
-    for i, (p, n) in enumerate(segments(length, edits)):
-        add(everything, start + p, n, length, i, True)
-    for less in range(edits + 1):
-        other = length - less
-        for i, (p, n) in enumerate(segments(other, edits)):
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= length) & (other >= least))
-                add(ok, start[ok] + p[ok] + shift, n[ok], other[ok], i, False)
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(index)
-
-
-def distances(a: list[str], b: list[str], most: int = EDITS) -> np.ndarray:
-    """Edit distances of pairs of strings; ``most`` + 1 stands for all above ``most``.
+def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines as ranges of symbol values: which line, the key, whether it indexes (or else probes), the signature."""
+    length = stop - start
+    own = allowed(length, words)
+    bits = np.uint32(1) << (values % np.uint64(KINDS)).astype(np.uint32)
+    parity = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bits)])
+    parity = (parity[stop] ^ parity[start]).astype(np.int64)
+    rows, found, index, sig = [], [], [], []
+    up, down = C._WORD_POWERS[1].to(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
+
+    def add(line, begin, size, of_length, segment, edits, is_index):
+        tag = C.mixed(of_length.astype(np.uint64) * np.uint64(512) + np.uint64(segment * 32 + edits * 2 + words))
+        rows.append(line)
+        found.append((C.mixed((sums[begin + size] - sums[begin]) * down[begin]) ^ tag).view(np.int64))
+        index.append(np.full(len(line), is_index))
+        sig.append(parity[line] | edits << KINDS)
+
+    for edits in range(1, int(allowed(length + EDITS, words).max(initial=0)) + 1):
+        at = np.flatnonzero((own <= edits) & (edits <= allowed(length + edits, words)))  # the shorter line of a pair
+        for i, (p, n) in enumerate(segments(length[at], edits)):
+            add(at, start[at] + p, n, length[at], i, edits, True)
+        at = np.flatnonzero(own == edits)  # the longer line
+        for less in range(edits + 1):
+            other = length[at] - less
+            for i, (p, n) in enumerate(segments(other, edits)):
+                low = max(-i, less - (edits - i))
+                high = min(i, less + (edits - i))
+                for shift in range(low, high + 1):
+                    ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= length[at]))
+                    add(at[ok], start[at[ok]] + p[ok] + shift, n[ok], other[ok], i, edits, False)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(index), np.concatenate(sig).astype(np.uint32).view(np.int32)
+
+
+def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
+    """Edit distances of pairs of sequences of symbols (below 2**32 - 1); ``most`` + 1 stands for all above ``most``.
 
     Bit i of a column's words stands for the row i - most below the diagonal: a band of 2 most + 1 rows, in
     which vertical differences are kept as bits for +1 and for -1. The value at the band's last row is carried along
-    the diagonal, then along the last row. Strings longer than ``most`` only.
+    the diagonal, then along the last row. Sequences longer than ``most`` only.
     """
-    a, b = [np.frombuffer(x.encode("utf-32-le"), "<u4") for x in a], [np.frombuffer(x.encode("utf-32-le"), "<u4") for x in b]
-    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    m, n = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     out = np.full(len(a), most + 1)
     todo = np.flatnonzero((np.abs(m - n) <= most) & (m > most))
     order = todo[np.argsort(n[todo], kind="stable")]
@@ -211,129 +169,76 @@ def distances(a: list[str], b: list[str], most: int = EDITS) -> np.ndarray:
     return out
 
 
-def _far(a: str, b: str, most: int) -> bool:
-    """Whether two strings are within ``most`` edits, by bit vectors of any width."""
-    n = len(os.path.commonprefix([a, b]))
-    a, b = a[n:], b[n:]
-    n = len(os.path.commonprefix([a[::-1], b[::-1]]))
-    a, b = a[: len(a) - n], b[: len(b) - n]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
-    same: dict[str, int] = {}
-    for i, c in enumerate(a):
-        same[c] = same.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, len(a) - 1
-    plus, minus, value = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = same.get(c, 0)
-        d = (((eq & plus) + plus) ^ plus) | eq | minus
-        up, down = (minus | ~(d | plus)) & full, plus & d
-        value += (up >> top) - (down >> top & 1)
-        if value - (len(b) - 1 - j) > most:
-            return False
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        plus, minus = (down | ~(d | up)) & full, up & d
-    return value <= most
-
-
-def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Which pairs of strings, longer than ``most``, are within so many edits each."""
+def near(a: list[str], b: list[str]) -> np.ndarray:
+    """Which pairs of lines are near, by their texts."""
+    number: dict[bytes, int] = {}
+    x, y, most = [], [], np.zeros(len(a), np.int64)
+    for i, pair in enumerate(zip(a, b, strict=True)):
+        split = [s.encode().split() for s in pair]
+        words = max(map(len, split)) >= WORDS
+        if words:
+            pair = [np.array([number.setdefault(w, len(number)) for w in s], np.uint32) for s in split]
+        else:
+            pair = [np.frombuffer(s.encode("utf-32-le"), "<u4") for s in pair]
+        x.append(pair[0])
+        y.append(pair[1])
+        most[i] = allowed(np.array(max(map(len, pair))), words)
     out = np.zeros(len(a), bool)
-    low = 0
-    for cap in (EDITS, 4, 8, 15, 31):
-        at = np.flatnonzero((most > low) & (most <= cap))
-        low = cap
-        if len(at):
-            out[at] = distances([a[i] for i in at], [b[i] for i in at], cap) <= most[at]
-    for i in np.flatnonzero(most > low):
-        out[i] = _far(a[i], b[i], int(most[i]))
-    return out
+    for edits in np.unique(most[most > 0]).tolist():
+        at = np.flatnonzero(most == edits)
+        out[at] = distances([x[i] for i in at], [y[i] for i in at], edits) <= edits
+    return out & np.array([s != t for s, t in zip(a, b, strict=True)], bool)
+
+
+def _prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text: rows of the same id are told apart by the hash of their text."""
+    docs = C.only(docs, "doc_id", "text")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
 
 def _blocks(batch):
-    texts, ids = C.texts_of(batch), batch.column("doc_id").to_pylist()
+    texts = C.texts_of(batch)
     for lo, hi in C.slices((len(t or "") for t in texts), 1_000_000):
-        yield Lines(texts[lo:hi]), ids[lo:hi]
+        yield Lines(texts[lo:hi]), batch.slice(lo, hi - lo)
 
 
 def _all_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (number from 0, blank lines counted), h1, h2 of each line that is not blank."""
+    """doc_id, key, line (number from 0, blank lines counted), h1, h2 of each line that is not blank."""
 
     def run(batches):
         for b in batches:
-            for x, ids in _blocks(b):
-                h = [x.hashes(x.starts, x.stops, i).view(np.int64) for i in (0, 1)]
-                yield pa.record_batch({"doc_id": pa.array([ids[d] for d in x.doc.tolist()], pa.int64()), "line": pa.array(x.number.astype(np.int32)), "h1": pa.array(h[0]), "h2": pa.array(h[1])})
+            for x, rows in _blocks(b):
+                of = pa.array(x.doc)
+                yield pa.record_batch({"doc_id": rows.column("doc_id").take(of), "key": rows.column("key").take(of), "line": pa.array(x.number.astype(np.int32)), "h1": pa.array(x.ids[:, 0]), "h2": pa.array(x.ids[:, 1])})
 
-    return docs.mapInArrow(run, "doc_id long, line int, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, key long, line int, h1 long, h2 long")
 
 
-def _lately(docs: DataFrame, ranges: list[tuple[int, int]], rows_of, kind: str) -> DataFrame:
-    """What ``rows_of`` makes of a block's lines whose length is in a range; lines that a task has seen lately are left out."""
+def _keys(docs: DataFrame) -> DataFrame:
+    """key, probe, h1, sig of each line that may be near another; lines that a task has seen lately are left out."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for x, _ in _blocks(b):
-                h, n = x.hashes(x.starts, x.stops), x.stops - x.starts
+                h = x.ids[:, 0]
                 _, first = np.unique(h, return_index=True)
-                first = first[(n[first] >= min(lo for lo, _ in ranges)) & (n[first] < max(hi for _, hi in ranges))]
                 at = first[[v not in seen for v in h[first].tolist()]] if len(first) else first
                 if len(seen) > SEEN:
                     seen = set()
                 seen.update(h[at].tolist())
-                for i, (lo, hi) in enumerate(ranges):
-                    yield from rows_of(x, at[(n[at] >= lo) & (n[at] < hi)], i)
-
-    return docs.mapInArrow(run, kind)
-
-
-def _keys(docs: DataFrame, by_length: bool = False) -> DataFrame:
-    """key, probe, h1, sig of each line of LEAST characters or more, by length of those that a pair below LONG may have."""
-    near = LEAST - EDITS
-    parts = [(PER // 2 - 1, PER, 1), (near, LONG, EDITS)] if by_length else [(LEAST, 1 << 62, EDITS)]
-
-    def rows_of(x, at, i):
-        row, key, index = keys(x, at, parts[i][2], parts[i][0])
-        h = x.hashes(x.starts[at], x.stops[at])
-        yield pa.record_batch({"key": pa.array(key), "probe": pa.array(~index), "h1": pa.array(h.view(np.int64)[row]), "sig": pa.array(x.signatures(at)[row].view(np.int32))})
-
-    return _lately(docs, [p[:2] for p in parts], rows_of, "key long, probe boolean, h1 long, sig int")
+                n = (x.high - x.low)[at]
+                for words, part in ((True, at[n >= WORDS - 1]), (False, at[n < WORDS])):
+                    row, key, index, sig = keys(*x.symbols(part, words), words)
+                    yield pa.record_batch({"key": pa.array(key), "probe": pa.array(~index), "h1": pa.array(h[part][row]), "sig": pa.array(sig)})
 
+    return docs.mapInArrow(run, "key long, probe boolean, h1 long, sig int")
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """key, n, h1, low, high of each gram that a line of length n, in a pair of LONG or more, has chosen."""
 
-    def rows_of(x, at, i):
-        h, n = x.hashes(x.starts[at], x.stops[at]), x.stops[at] - x.starts[at]
-        row, key, low, high = grams(x, at)
-        yield pa.record_batch({"key": pa.array(key, pa.int64()), "n": pa.array(n[row].astype(np.int32)), "h1": pa.array(h.view(np.int64)[row]), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
-
-    return _lately(docs, [(LONG - LONG // PER, 1 << 62)], rows_of, "key long, n int, h1 long, low int, high int")
-
-
-def long_meetings(key: np.ndarray, n: np.ndarray, h1: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (least hash first) of lines that share a gram at places, and have lengths, that allowed edits can move.
-
-    Rows are sorted by key, length, hash. ``most``: pairs of rows that are compared at once.
-    """
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (h1[1:] != h1[:-1])])
-    key, n, h1, low, high = (x[new].astype(np.int64) for x in (key, n, h1, low, high))
-    rank = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(np.int64) << 33
-    count = np.searchsorted(rank + n, rank + n + n // (PER - 1), "right") - np.arange(len(key)) - 1
-    out = []
-    for lo, hi in C.slices(count, most):
-        c = count[lo:hi]
-        for skip in range(0, int(c.max()), most):
-            k = np.clip(c - skip, 0, most)
-            i = np.repeat(np.arange(lo, hi), k)
-            j = i + 1 + skip + np.arange(k.sum()) - np.repeat(C.doc_offsets(k)[:-1], k)
-            edits = allowed(n[j])
-            ok = (n[j] >= LONG) & (n[j] - n[i] <= edits) & (low[i] <= high[j] + edits) & (low[j] <= high[i] + edits) & (h1[i] != h1[j])
-            a, b = h1[i[ok]], h1[j[ok]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
-    found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-    return found[0], found[1]
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether signatures (which have the same edits) are as near as the edits allow."""
+    x, y = x.view(np.uint32), y.view(np.uint32)
+    return np.bitwise_count(x ^ y) <= 2 * (x >> np.uint32(KINDS))
 
 
 def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -357,49 +262,102 @@ def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray
             k = np.clip(c - skip, 0, most)
             i = np.repeat(left[lo:hi], k)
             j = np.repeat(first[lo:hi] + skip - C.doc_offsets(k)[:-1], k) + np.arange(k.sum())
-            close = np.flatnonzero((np.bitwise_count(sig[i] ^ sig[j]) <= 2 * EDITS) & (h1[i] != h1[j]))
+            close = np.flatnonzero(_close(sig[i], sig[j]) & (h1[i] != h1[j]))
             out.append(np.stack([np.minimum(h1[i[close]], h1[j[close]]), np.maximum(h1[i[close]], h1[j[close]])]))
     found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
     return found[0], found[1]
 
 
-def _met(table: DataFrame, names: tuple[str, ...], meet) -> DataFrame:
-    """a, b: pairs of lines that ``meet`` finds in rows of the same key. Keys are dealt and sorted once; a task walks its keys in order."""
+def _walked(table: DataFrame) -> DataFrame:
+    """Of ``_keys``: a, b for pairs of lines that met; or, of a key with many lines, its lines in blocks: key, block, probe, h1, sig.
+
+    Keys are dealt and sorted once; a task walks its keys in order and holds no more than a bounded number of rows.
+    """
+    names = ("key", "probe", "h1", "sig")
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("probe", pa.bool_()), ("h1", pa.binary()), ("sig", pa.binary())])
+
+    def pairs(cols):
+        a, b = meetings(*cols)
+        none = [pa.nulls(len(a), f.type) for f in list(kind)[2:]]
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], schema=kind)
 
     def run(batches):
-        held, waiting = None, []
+        held, waiting, hot, number = [np.zeros(0, t) for t in (np.int64, bool, np.int64, np.int32)], [], None, 0
+
+        def blocks(cols):
+            """The rows of one key, as blocks of either role."""
+            nonlocal number
+            for role in (False, True):
+                own = np.flatnonzero(cols[1] == role)
+                for lo in range(0, len(own), BLOCK_ROWS):
+                    part = own[lo : lo + BLOCK_ROWS]
+                    row = {"key": [int(cols[0][0])], "block": [number], "probe": [role], "h1": [cols[2][part].tobytes()], "sig": [cols[3][part].tobytes()]}
+                    yield pa.record_batch([pa.array(row.get(f.name, [None]), f.type) for f in kind], schema=kind)
+                    number += 1
+
+        def settled(cols, last):
+            """What whole keys give; of the last key only so much as must not be held, unless it is over."""
+            nonlocal hot, number
+            edge = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1], [True]])) if len(cols[0]) else np.zeros(1, np.int64)
+            size, rest = np.diff(edge), [x[:0] for x in cols]
+            light = np.ones(len(cols[0]), bool)
+            for i in np.flatnonzero((size > BLOCK_ROWS) | (cols[0][edge[:-1]] == hot if hot is not None else False)).tolist():
+                light[edge[i] : edge[i + 1]] = False
+                own = [x[edge[i] : edge[i + 1]] for x in cols]
+                if hot != own[0][0]:
+                    hot, number = own[0][0], 0
+                yield from blocks(own)
+            if not last and len(size) and light[edge[-2]]:
+                rest = [x[edge[-2] :] for x in cols]
+                light[edge[-2] :] = False
+            if light.any():
+                yield pairs([x[light] for x in cols])
+            return rest
+
         for b in chain(batches, [None]):
             if b is not None:
                 waiting.append([b.column(n).to_numpy(zero_copy_only=False) for n in names])
                 if sum(len(x[0]) for x in waiting) < WALK_ROWS:
                     continue
-            if not waiting:
-                break
-            cols = [np.concatenate(x) for x in zip(*([held] if held is not None else []), *waiting, strict=True)]
+            cols = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
             waiting = []
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last key may go on
-            held = [x[cut:] for x in cols]
-            if cut:
-                a, c = meet(*(x[:cut] for x in cols))
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
-        if held is not None and len(held[0]):
-            a, c = meet(*held)
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+            held = yield from settled(cols, b is None)
 
     dealt = table.select(*names).repartition("key").sortWithinPartitions(*names[:3])
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, key long, block int, probe boolean, h1 binary, sig binary")
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """a, b of every two blocks of a key, one that indexes and one that probes: a task for a few of them."""
+    index = blocks.where("NOT probe").select("key", F.col("h1").alias("h"), F.col("sig").alias("s"))
+    probes = blocks.where("probe").select("key", "block", "h1", "sig")
+    met = index.join(probes.select("key", "block"), "key").join(probes, ["key", "block"]).repartition(F.expr("uuid()"))
 
+    def run(batches):
+        for b in batches:
+            for h, s, h1, sig in zip(*(b.column(n).to_pylist() for n in ("h", "s", "h1", "sig")), strict=True):
+                h, s, h1, sig = np.frombuffer(h, np.int64), np.frombuffer(s, np.int32), np.frombuffer(h1, np.int64), np.frombuffer(sig, np.int32)
+                role = np.repeat([False, True], [len(h), len(h1)])
+                a, c = meetings(np.zeros(len(role), np.int64), role, np.concatenate([h, h1]), np.concatenate([s, sig]))
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
 
-def _pairs(docs: DataFrame, by_length: bool = False) -> DataFrame:
-    """a, b: pairs of lines that may be close."""
-    out = _met(_keys(docs, by_length), ("key", "probe", "h1", "sig"), meetings)
-    if by_length:
-        out = out.union(_met(_grams(docs), ("key", "n", "h1", "low", "high"), long_meetings))
-    return out.distinct()
+    return met.select("h", "s", "h1", "sig").mapInArrow(run, "a long, b long")
 
 
-def _bits(ids: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the leading bits of hashes (h1), 16 bits for each of ``n``, never above MOST_BITS: merged on the executors by block."""
+def _pairs(docs: DataFrame) -> DataFrame:
+    """a, b: pairs of lines (their first 64 bits) that may be near, as a written table."""
+    walked = C.written(_walked(_keys(docs)))
+    out = walked.where("a IS NOT NULL").select("a", "b")
+    hot = walked.where("a IS NULL")
+    if not hot.isEmpty():
+        out = out.union(_block_pairs(hot))
+    pairs = C.written(out.distinct())
+    C.forget(walked)
+    return pairs
+
+
+def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A packed bitmap of the leading bits of hashes (h1), 16 bits for each of ``n``, merged on the executors by block; and its power of two, at most MOST_BITS."""
     power = min(MOST_BITS, max(16, int(16 * n - 1).bit_length()))
     blocks = 1 << max(0, power - 20)
 
@@ -412,105 +370,125 @@ def _bits(ids: DataFrame, n: int) -> np.ndarray:
                 bits[at[at // span == k] % span] = True
                 yield pa.record_batch({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    def merge(key, table):
-        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << power) // blocks // 8, np.uint8)
+        for b in batches:
+            for x in b.column("bits").to_pylist():
+                total |= np.frombuffer(x, np.uint8)
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     kind = "block int, bits binary"
-    out = np.zeros(((1 << power) // 8,), np.uint8)
+    out = np.zeros((1 << power) // 8, np.uint8)
     span = len(out) // blocks
-    for r in ids.select("h1").mapInArrow(mark, kind).groupBy("block").applyInArrow(merge, kind).collect():
+    for r in ids.select("h1").mapInArrow(mark, kind).groupBy("block").applyInArrow(merge, kind).toLocalIterator():
         out[r.block * span : (r.block + 1) * span] = np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out, power
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """h1 and text of the lines ``ids`` (h1). A bitmap of bounded size spares most others the shuffle; the join decides."""
-    bits = _bits(ids, ids.count())
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    drop = np.uint64(64 - (len(bits).bit_length() - 1))
+    """h1, h2, text of the lines whose h1 is among ``ids``. A bitmap of bounded size spares most others the shuffle; the join decides."""
+    bits, power = _bits(ids, ids.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        known = np.unpackbits(shared.value).astype(bool)
+        known = shared.value
         for b in batches:
             for x, _ in _blocks(b):
-                h = x.hashes(x.starts, x.stops)
-                at = np.flatnonzero(known[h >> drop] & (x.stops - x.starts >= PER // 2 - 1))
-                at = at[np.unique(h[at], return_index=True)[1]]
-                lines = [x.chars[s:e].tobytes().decode("utf-32-le") for s, e in zip(x.starts[at], x.stops[at], strict=True)]
-                yield pa.record_batch({"h1": pa.array(h[at].view(np.int64)), "text": pa.array(lines, pa.string())})
+                spot = x.ids[:, 0].view(np.uint64) >> np.uint64(64 - power)
+                at = np.flatnonzero(known[spot >> np.uint64(3)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                at = at[np.unique(x.ids[at], axis=0, return_index=True)[1]]
+                lines = [x.line(i).decode() for i in at.tolist()]
+                yield pa.record_batch({"h1": pa.array(x.ids[at, 0]), "h2": pa.array(x.ids[at, 1]), "text": pa.array(lines, pa.string())})
 
-    return docs.mapInArrow(run, "h1 long, text string").join(ids.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.min("text").alias("text"))
+    some = docs.mapInArrow(run, "h1 long, h2 long, text string").join(ids.hint("merge"), "h1", "left_semi")
+    return some.groupBy("h1", "h2").agg(F.min("text").alias("text"))
 
 
-def _links(docs: DataFrame, by_length: bool = False) -> DataFrame:
-    """a, b: hashes of the distinct lines within EDITS edits of each other, or by length within ``allowed`` ones, a < b."""
-    pairs = C.written(_pairs(docs, by_length))
-    C.small_batches(docs.sparkSession)
+def _links(docs: DataFrame) -> DataFrame:
+    """a, a2, b, b2: the 128 bits of either end of each pair of distinct lines that are near, as a written table."""
+    pairs = _pairs(docs)
     ids = C.written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
     texts = C.written(_texts(docs, ids))
-    side = lambda x: texts.select(F.col("h1").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a2", "b", "b2", "text_a", "text_b")
 
     def run(batches):
         for b in batches:
-            x, y = C.texts_of(b, "text_a"), C.texts_of(b, "text_b")
-            longer = np.array([max(len(s), len(t)) for s, t in zip(x, y, strict=True)], np.int64)
-            near = within(x, y, allowed(longer) if by_length else np.full(len(x), EDITS))
-            yield b.select(["a", "b"]).filter(pa.array(near & [s != t for s, t in zip(x, y, strict=True)], pa.bool_()))
+            ok = near(C.texts_of(b, "text_a"), C.texts_of(b, "text_b"))
+            yield b.select(["a", "a2", "b", "b2"]).filter(pa.array(ok, pa.bool_()))
 
-    links = C.written(both.mapInArrow(run, "a long, b long"))
+    links = C.written(both.mapInArrow(run, "a long, a2 long, b long, b2 long"))
     C.forget(pairs, ids, texts)
     return links
 
 
-def judged_lines(docs: DataFrame, by_length: bool = False) -> DataFrame:
-    """doc_id, line, removed, links of each line that is not blank.
+def judged_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, line, removed, links, first of each line that is not blank.
 
-    A line goes if an earlier line (smaller doc_id, or the same document and a smaller number) has the same text, or
-    if a distinct line within EDITS edits of it first occurs earlier. ``links``: how many distinct lines are within
-    EDITS edits of it; below LEAST characters only copies count. ``by_length``: within ``allowed`` edits instead.
+    A line goes if an earlier line has the same text, or if a distinct line near it first occurs earlier. Earlier: a
+    smaller doc_id (null last), then, of rows that share one, a smaller ``key`` (the hash of the row's text), then a smaller
+    number. ``links``: how many distinct lines are near it; ``first``: the place (d, key, line) where its text, or
+    else the first line near it, occurs first, which is the line itself if nothing is earlier. Rows of one id and one text have the same
+    place, so none of them loses a line to the other.
     """
     C.small_batches(docs.sparkSession)
-    docs = C.only(docs, "doc_id", "text")
+    docs = _prepared(docs)
     every = C.written(_all_lines(docs))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("line"))
-    links = _links(docs, by_length)
-    ends = links.select(F.col("a").alias("h1"), F.col("b").alias("other")).union(links.select("b", "a"))
-    linked = ends.select("h1").distinct()
-    first = every.join(linked, "h1", "left_semi").groupBy("h1").agg(F.min(place).alias("first"))
-    near = ends.join(first.withColumnRenamed("h1", "other"), "other").groupBy("h1").agg(F.count("*").alias("links"), F.min("first").alias("near"))
-    near = C.written(near)
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
+    links = _links(docs)
+    ends = links.select(F.col("a").alias("h1"), F.col("a2").alias("h2"), F.col("b").alias("o1"), F.col("b2").alias("o2")).union(links.select("b", "b2", "a", "a2"))
+    linked = ends.select("h1", "h2").distinct()
+    first = every.join(linked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    near_first = ends.join(first.withColumnsRenamed({"h1": "o1", "h2": "o2"}), ["o1", "o2"]).groupBy("h1", "h2").agg(F.count("*").alias("links"), F.min("first").alias("near"))
+    near_first = C.written(near_first)
     C.forget(links)
-    firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    firsts = firsts.join(near, "h1", "left").select("h1", "h2", "first", "links", (F.coalesce(F.col("near") < F.col("first"), F.lit(False))).alias("later"))
+    firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("own"))
+    firsts = firsts.join(near_first, ["h1", "h2"], "left").select("h1", "h2", "own", "links", F.least("own", "near").alias("first"))
     firsts = C.written(firsts)  # so that both sides of the next join are dealt for it, and a very common line can be split
-    C.forget(near)
+    C.forget(near_first)
     out = every.join(firsts, ["h1", "h2"])
-    return out.select("doc_id", "line", (F.col("later") | (place != F.col("first"))).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "key", "line", (place != F.col("first")).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"), "first")
+
 
+def _judged_rows(docs: DataFrame) -> DataFrame:
+    lines = judged_lines(docs).groupBy("doc_id", "key")
+    return lines.agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"), F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line"))))).alias("removed"))
 
-def line_counts(docs: DataFrame, by_length: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, removed (ascending numbers of removed lines) of each document with lines.
 
-    Documents whose text is null or blank give no row, nor does an empty table. Rows that share a doc_id are one
-    document, whose lines of a number count as many times; a null doc_id comes last. Other columns are ignored.
+def line_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_links, removed (ascending numbers of removed lines) of each row of ``docs``.
+
+    A null, empty or blank text has no lines and gives zeros; an empty table gives no row. Rows that share a doc_id, or have none, are judged apart
+    (``judged_lines``), and rows of one id and one text alike. Texts and lines of any length are compared whole; of
+    equal lines the earliest stays. Other columns are ignored, whatever their names.
     """
-    lines = judged_lines(docs, by_length).groupBy("doc_id")
-    return lines.agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"))
+    rows, found = _prepared(docs).select("doc_id", "key"), _judged_rows(docs)
+    copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
+    on = copies["doc_id"].eqNullSafe(found["doc_id"]) & (copies["key"] == found["key"])
+    share = lambda c: F.coalesce((F.col(c) / F.col("copies")).cast("long"), F.lit(0).cast("long")).alias(c)
+    both = copies.join(found, on, "left").select(copies["doc_id"], "copies", share("n_lines"), share("n_removed"), share("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return both.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
-def without_removed(docs: DataFrame, by_length: bool = False) -> DataFrame:
+def without_removed(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, without the lines that ``judged_lines`` removes; documents that lose their last line go.
 
-    Documents without lines, of null or blank text, stay as they are.
+    Documents without lines, of null or blank text, stay as they are. A row loses only lines of its own that occur earlier, whatever
+    rows share its id; columns may have any names.
     """
-    gone = line_counts(docs, by_length).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_lines").alias("_lines"), F.col("removed").alias("_removed"))
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left").where("_id IS NULL AND _removed IS NULL OR size(_removed) < _lines")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
-    return both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_id", "_lines", "_removed")
+    gone = _judged_rows(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), "key", "n_lines", "n_removed", "removed")
+    rows = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    text = F.col("row")["text"].cast("string")
+    rows = rows.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("own"))
+    both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left").where("n_removed IS NULL OR n_removed < n_lines")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    return both.select(*((F.when(F.col("removed").isNull(), text).otherwise(kept) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = line_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_length=True)
+    """Every row of ``documents``: its lines, those removed (numbers, by commas), and the links of its lines to distinct lines near them.
+
+    See ``line_counts`` for nulls, empty and long texts, ties and repeated rows.
+    """
+    out = line_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))

@@ -2,141 +2,191 @@ import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import lines as L
 
 
-def edit(a, b):
-    row = list(range(len(b) + 1))
+def edit(a, b, band=8):
+    """The edit distance, or ``band`` if it is that or more."""
+    if abs(len(a) - len(b)) >= band:
+        return band
+    row = {j: j for j in range(band)}
     for i, x in enumerate(a, 1):
-        old, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-    return row[-1]
-
-
-def changed(rng, s, n):
+        new = {}
+        for j in range(max(0, i - band), min(len(b), i + band) + 1):
+            best = row.get(j, band) + 1
+            if j:
+                best = min(best, new.get(j - 1, band) + 1, row.get(j - 1, band) + (x != b[j - 1]))
+            new[j] = best
+        row = new
+    return min(band, row.get(len(b), band))
+
+
+def changed(rng, s, n, letters="abcé中"):
+    """``s``, a string or a list of words, after ``n`` edits."""
     for _ in range(n):
         i = rng.randrange(max(1, len(s)))
-        s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("abcé中") + s[i:], s[:i] + rng.choice("abcé中") + s[i + 1 :]])
+        new = [rng.choice(letters)] if isinstance(s, list) else rng.choice(letters)
+        s = rng.choice([s[:i] + s[i + 1 :], s[:i] + new + s[i:], s[:i] + new + s[i + 1 :]])
     return s
 
 
-def test_banded_distance_is_the_edit_distance():
-    rng = random.Random(1)
-    for most in (1, 2, 3):
-        a = ["".join(rng.choices("abcé", k=rng.randrange(most + 1, 40))) for _ in range(400)]
-        b = [s if len(t := changed(rng, s, rng.randrange(5))) <= most else t for s in a]
-        want = [min(edit(x, y), most + 1) for x, y in zip(a, b)]
-        assert L.distances(a, b, most).tolist() == want
+def is_near(s, t):
+    a, b = s.split(), t.split()
+    n = max(len(a), len(b))
+    if n >= 10:
+        return s != t and edit(a, b) <= min(4, max(min(2, n // 10), n // 25))
+    return s != t and edit(s, t) <= min(2, max(len(s), len(t)) // 10)
 
 
-def test_close_lines_share_a_key():
-    rng = random.Random(2)
-    for _ in range(200):
-        a = "".join(rng.choices("abcdefgh ", k=rng.randrange(22, 60))).strip() + "xyz" * 7
-        b = changed(rng, a, rng.randrange(1, 3))
-        x = L.Lines([a + "\n" + b])
-        row, key, index = L.keys(x, np.arange(2))
-        sides = [({*key[(row == i) & index].tolist()}, {*key[(row == i) & ~index].tolist()}) for i in (0, 1)]
-        assert sides[0][0] & sides[1][1] or sides[1][0] & sides[0][1], (a, b)
-
-
-def brute(rows):
-    lines, out = [], {}
-    for doc, text in rows:
+def brute(rows, key=lambda t: 0):
+    """Of each row (in order): n_lines, n_removed, n_links, removed; rows of one id are ordered by ``key`` of their text."""
+    lines = []
+    for k, (doc, text) in enumerate(rows):
         for n, s in enumerate((text or "").split("\n")):
             if s.strip(" \t\n\v\f\r"):
-                lines.append(((1 << 63) if doc is None else doc, n, s, doc))
+                lines.append((((1 << 63) if doc is None else doc, key(text), n), s, k))
     first = {}
-    for d, n, s, _ in sorted(lines):
-        first.setdefault(s, (d, n))
+    for place, s, _ in sorted(lines):
+        first.setdefault(s, place)
     near = {s: [] for s in first}
     for s, t in itertools.combinations(first, 2):
-        if min(len(s), len(t)) >= L.LEAST and abs(len(s) - len(t)) <= L.EDITS and edit(s, t) <= L.EDITS:
+        if abs(len(s.split()) - len(t.split())) <= 4 and is_near(s, t):
             near[s].append(t)
             near[t].append(s)
-    for d, n, s, doc in lines:
-        gone = (d, n) != first[s] or any(first[t] < first[s] for t in near[s])
-        x = out.setdefault(doc, [0, 0, 0, []])
-        x[0] += 1
-        x[1] += gone
-        x[2] += len(near[s])
-        x[3] += [n] * gone
-    return {k: (a, b, c, sorted(r)) for k, (a, b, c, r) in out.items()}
+    out = [[0, 0, 0, []] for _ in rows]
+    for place, s, k in lines:
+        gone = place != first[s] or any(first[t] < first[s] for t in near[s])
+        out[k][0] += 1
+        out[k][1] += gone
+        out[k][2] += len(near[s])
+        out[k][3] += [place[2]] * gone
+    return [(a, b, c, sorted(r)) for a, b, c, r in out]
+
+
+def keys_of(spark, rows):
+    df = spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").select("text", F.xxhash64("text").alias("k"))
+    return {r.text: r.k for r in df.collect()}.__getitem__
+
+
+def symbols(s, number={}):
+    return np.array([number.setdefault(x, len(number)) for x in s], np.uint32)
+
+
+def test_banded_distance_is_the_edit_distance():
+    rng = random.Random(1)
+    for most in (1, 2, 3, 4):
+        a = ["".join(rng.choices("abcé", k=rng.randrange(most + 1, 40))) for _ in range(400)]
+        b = [s if len(t := changed(rng, s, rng.randrange(6))) <= most else t for s in a]
+        want = [min(edit(x, y), most + 1) for x, y in zip(a, b)]
+        assert L.distances([symbols(s) for s in a], [symbols(s) for s in b], most).tolist() == want
+
+
+def test_near_lines_share_a_key():
+    rng = random.Random(2)
+    met = 0
+    for _ in range(600):
+        words = rng.random() < 0.7
+        if words:
+            a = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(rng.randrange(9, 130))]
+            b = changed(rng, a, rng.randrange(1, 5))
+            a, b = " ".join(a), "  ".join(b)
+        else:
+            a = "".join(rng.choices("abcdefgh", k=rng.randrange(9, 60)))
+            b = changed(rng, a, rng.randrange(1, 3))
+        if is_near(a, b):
+            met += 1
+            x = L.Lines([a + "\n" + b])
+            words = max(x.high - x.low) >= L.WORDS
+            row, key, index, sig = L.keys(*x.symbols(np.arange(2), words), words)
+            order = np.lexsort((row, ~index, key))
+            assert len(L.meetings(key[order], ~index[order], row[order], sig[order])[0]), (a, b)
+    assert met > 200
 
 
 def corpus():
     rng = random.Random(5)
-    base = ["".join(rng.choices("abcdefg é", k=rng.randrange(18, 50))) for _ in range(25)]
+    words = ["".join(rng.choices("abcdefg é", k=4)).replace(" ", "x") for _ in range(60)]
+    base = [rng.choices(words, k=rng.choice([4, 9, 10, 12, 19, 20, 21, 40, 74, 75, 99, 100, 130])) for _ in range(25)]
+    base += ["".join(rng.choices("abcdefg é", k=rng.randrange(8, 50))) for _ in range(20)]
     rows = []
-    for i in range(40):
-        some = [changed(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randrange(1, 6))]
+    for i in range(60):
+        some = [changed(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3, 4, 5])) for _ in range(rng.randrange(1, 6))]
+        some = [s if isinstance(s, str) else " ".join(s) for s in some]
         rows.append((i, "\n".join([*some, *rng.choice([[], ["", "  "], ["ok"], ["oh"]])])))
-    return [*rows, (90, None), (91, ""), (92, " \n\t"), (None, base[0]), (93, base[0] * 300), (94, base[0] * 300 + "!")]
+    odd = [(90, None), (91, ""), (92, " \n\t"), (93, " ".join(words) * 4), (94, " ".join(words) * 4 + " end"), (95, "n" * 70_000), (96, "n" * 70_000)]
+    same = [(7, rows[3][1]), (None, rows[5][1]), (None, "a text of its own\n" + rows[6][1]), (None, rows[5][1]), (8, rows[8][1]), (8, "also its own\nok"), (None, None)]
+    return [*rows, *odd, *same]
 
 
-def test_query_against_brute_force(spark):
+@pytest.mark.parametrize("block", [L.BLOCK_ROWS, 3])
+def test_query_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK_ROWS", block)
+    monkeypatch.setattr(L, "WALK_ROWS", 50 if block == 3 else L.WALK_ROWS)
     rows = corpus()
-    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, line int").repartition(5)
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, line int, key int").repartition(5)
+    want = brute(rows, keys_of(spark, rows))
+    show = lambda d, x: (str(d), *x[:3], tuple(x[3]))
+    got = [show(r.doc_id, (r.n_lines, r.n_removed, r.n_links, list(r.removed))) for r in L.line_counts(df).collect()]
+    assert sorted(got) == sorted(show(d, x) for (d, _), x in zip(rows, want, strict=True))
+    assert sum(x[2] for x in want) > 100
+    left = []
+    for (d, t), n in zip(rows, want, strict=True):
+        if n[1] and n[1] == n[0]:
+            continue
+        left.append((str(d), str("\n".join(s for i, s in enumerate(t.split("\n")) if i not in n[3]) if n[1] else t)))
+    assert sorted((str(r.doc_id), str(r.text)) for r in L.without_removed(df).collect()) == sorted(left)
+
+
+def test_rows_that_share_an_id_lose_no_text_of_their_own(spark):
+    rows = [(1, "dup line"), (None, "dup line"), (None, "unique one"), (2, "dup line"), (2, "unique two"), (3, "x\ndup line")]
+    names = ("_id", "_lines", "_removed", "row", "own", "key", "id", "removed", "n_lines", "copies")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(c), "text") for c in names})
+    got = L.without_removed(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text, r["_removed"]) for r in got.collect()) == [("1", "dup line", "_removeddup line"), ("2", "unique two", "_removedunique two"), ("3", "x", "_removedx\ndup line"), ("None", "unique one", "_removedunique one")]
+
+
+def thue_morse(n, a, b):
+    return [(b if bin(i).count("1") % 2 else a) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_lines_that_polynomial_hashes_confuse_are_apart(spark, n):
+    rows = [(1, "".join(thue_morse(n, "a", "b"))), (2, "".join(thue_morse(n, "b", "a"))), (3, " ".join(thue_morse(n, "a", "b"))), (4, " ".join(thue_morse(n, "b", "a")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed, r.n_links) for r in L.line_counts(df).collect()) == [(i, 0, 0) for i in (1, 2, 3, 4)]
+
+
+def test_a_key_of_many_lines_is_met_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(L, "WALK_ROWS", 16)
+    head = " ".join(f"head{i}" for i in range(12))
+    rows = [(i, f"{head} n{i} m{i} l{i} k{i} j{i}") for i in range(60)] + [(100 + i, f"{head} n{i} m{i} x{i} k{i} j{i}") for i in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    L.C.small_batches(spark)
+    walked = L._walked(L._keys(L._prepared(df)))
+    assert walked.where("a IS NULL AND length(h1) > 64").isEmpty() and walked.where("a IS NULL").count() > 4
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_links, list(r.removed)) for r in L.line_counts(df).collect()}
-    assert got == brute(rows)
-    kept = {r.doc_id: r.text for r in L.without_removed(df).collect()}
-    for d, t in rows:
-        n = got.get(d)
-        if n and n[1] == n[0]:
-            assert d not in kept
-        elif n:
-            assert kept[d] == "\n".join(s for i, s in enumerate(t.split("\n")) if i not in n[3])
-        else:
-            assert kept[d] == t
-
-
-def test_empty_table(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string")
-    assert L.line_counts(empty).count() == 0
-    assert L.without_removed(empty).count() == 0
+    assert got == dict(zip([d for d, _ in rows], brute(rows), strict=True)) and sum(x[2] for x in got.values()) == 18
 
 
-def brute_links(texts):
-    near = {s: 0 for s in texts}
-    for s, t in itertools.combinations(near, 2):
-        n = max(len(s), len(t))
-        most = n // 20 if n >= 60 else min(2, n // 10)
-        if abs(len(s) - len(t)) <= most and edit(s, t) <= most:
-            near[s] += 1
-            near[t] += 1
-    return near
+def test_a_changed_word_makes_a_near_copy(spark):
+    first = "the harbour of the northern town was ennton are onst in the cold winter of that year"
+    df = spark.createDataFrame([(1, first), (2, first.replace("are onst", "ou onst")), (3, first.replace("harbour", "constellation"))], "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed) for r in L.line_counts(df).orderBy("doc_id").collect()] == [(1, 0), (2, 1), (3, 1)]
 
 
-def test_threshold_follows_the_length(spark):
-    rng = random.Random(11)
-    base = ["".join(rng.choices("abcdefghijklmnop é", k=n)) for n in (9, 10, 14, 19, 20, 21, 40, 58, 60, 62, 77, 80, 99, 130, 210, 400, 700)]
-    texts = dict.fromkeys(x for s in base for x in [s, *(changed(rng, s, rng.randrange(len(s) // 15 + 3)) for _ in range(5))])
-    texts = [s for s in texts if s.strip()]
-    want = brute_links(texts)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.n_links for r in L.line_counts(df, by_length=True).collect()}
-    assert got == {i: want[s] for i, s in enumerate(texts)}
-    assert sum(want.values()) > sum(x[2] for x in brute(list(enumerate(texts))).values())
+def test_texts_of_several_megabytes(spark):
+    rng = random.Random(9)
+    text = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(14_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nlast"), (3, "b" * 3_000_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in L.line_counts(df).collect()) == [(1, 14_000, 0), (2, 14_001, 14_000), (3, 1, 0)]
 
 
-def test_a_changed_word_makes_a_near_copy(spark):
-    first = "the harbour of the northern town was ennton are onst in the cold winter of that year"
-    df = spark.createDataFrame([(1, first), (2, first.replace("are onst", "ou onst"))], "doc_id long, text string")
-    assert [(r.doc_id, r.n_removed) for r in L.line_counts(df, by_length=True).orderBy("doc_id").collect()] == [(1, 0), (2, 1)]
-
-
-def test_near_lines_choose_a_common_gram():
-    rng = random.Random(12)
-    for _ in range(150):
-        a = "".join(rng.choices("abcdefgh ", k=rng.randrange(57, 500))).strip() + "xyz"
-        at = [int((i + 1) * len(a) / (len(a) // 20 + 1)) for i in range(len(a) // 20)]  # spread evenly, the hardest case
-        kind = rng.randrange(3)
-        b = "".join(("" if kind == 0 else "#" if kind == 1 else "#" + c) if i in at else c for i, c in enumerate(a))
-        if max(len(a), len(b)) >= 60 and edit(a, b) <= max(len(a), len(b)) // 20:
-            x = L.Lines([a + "\n" + b])
-            row, key, low, high = L.grams(x, np.arange(2))
-            n = (x.stops - x.starts)[row]
-            order = np.lexsort((row, n, key))
-            assert len(L.long_meetings(key[order], n[order], row[order], low[order], high[order])[0]), (a, b)
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert L.line_counts(empty).count() == 0
+    assert L.without_removed(empty).count() == 0
