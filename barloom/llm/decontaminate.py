@@ -35,18 +35,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_VALUES = np.where(_SIGN, np.uint64(0), C._BYTE_VALUES[_LOWER])
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``texts``, without ASCII case and signs at the ends, and each text's number of words."""
-    raw = [(t or "").encode() for t in texts]
-    buf = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
-    gap = C._GAP[buf]
-    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    counts = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in raw]) + 1))
-    begin = starts + (_SIGN[buf[starts]] & (ends - starts > 1)) if len(starts) else starts
-    return C.range_hashes(_VALUES[buf], begin, ends), counts
+    """Hashes of the words of ``texts``, without ASCII case and signs at their ends, and each text's number of words; a word of signs alone is kept."""
+    buf, starts, ends, counts = C.words_of([(t or "").encode() for t in texts])
+    place = np.arange(len(buf))
+    real = ~(_SIGN[buf] | C._GAP[buf])
+    last = np.maximum.accumulate(np.where(real, place, -1))[ends - 1] + 1
+    first = np.minimum.accumulate(np.where(real, place, len(buf))[::-1])[::-1][starts]
+    some = last > starts
+    return C.word_hashes(_LOWER[buf], np.where(some, first, starts), np.where(some, last, ends)), counts
 
 
 def _parts(text: str) -> tuple[str, str]:
@@ -264,7 +263,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     than five words before its answer, is question and answer. Null or empty texts and items hold nothing and are held by nothing; a null doc_id is kept, a null item_id is
     left out; repeated documents or items give a row each time; other columns are ignored; empty tables give none.
     """
-    C.small_batches(docs.sparkSession, 2048)
+    C.small_batches(docs.sparkSession)
     spark, out, kind = docs.sparkSession, None, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     docs = C.only(docs, "doc_id", "text")
     for index in indexes(items):
@@ -283,11 +282,50 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return spark.createDataFrame([], kind) if out is None else out
 
 
+def _found(docs: DataFrame, items: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``names``, item_id, score, question_overlap, answer_overlap of the items that rows of ``docs`` (long columns ``names``, text) hold."""
+    C.small_batches(docs.sparkSession)
+    spark, out = docs.sparkSession, None
+    kind = ", ".join(f"{n} long" for n in (*names, "item_id")) + ", score double, question_overlap double, answer_overlap double"
+    for index in indexes(items):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                texts = C.texts_of(b)
+                for lo, hi in C.slices((len(t or "") for t in texts), 1_000_000):
+                    found = shared.value.search(*terms(texts[lo:hi]))
+                    cols = list(zip(*((lo + d, shared.value.ids[i], *map(float, x)) for d, i, *x in found), strict=True)) or [[]] * 5
+                    own = [b.column(n).take(pa.array(cols[0], pa.int64())) for n in names]
+                    rest = [pa.array(x, t) for x, t in zip(cols[1:], [pa.int64(), *[pa.float64()] * 3], strict=True)]
+                    yield pa.record_batch([*own, *rest], names=[*names, "item_id", "score", "question_overlap", "answer_overlap"])
+
+        part = docs.select(*names, "text").mapInArrow(run, kind)
+        out = part if out is None else out.union(part)
+    return spark.createDataFrame([], kind) if out is None else out
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap: the items that documents hold, at their best passage.
+
+    An item's answer is what follows its first line, or else its last sentence; an item of one sentence, or with fewer
+    than five words before its answer, is question and answer. Null or empty texts and items hold nothing and are held by nothing; a null doc_id is kept, a null item_id is
+    left out; repeated documents or items give a row each time; other columns are ignored; empty tables give none. A text of any
+    length is searched whole; of passages that hold an item the one of the highest score, then the first, is reported.
+    """
+    return _found(C.only(docs, "doc_id", "text"), items, ("doc_id",))
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents that hold an item."""
-    held = contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(held.withColumnRenamed("doc_id", "_held"), docs["doc_id"].eqNullSafe(F.col("_held")), "left_anti")
+    """``docs``, all columns, without the rows that hold an item. A row goes for its own text alone, whatever rows share its id; columns may have any names."""
+    rows = C.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    held = _found(rows, items, ("doc_id", "key")).select(F.col("doc_id").alias("held_id"), F.col("key").alias("held_key")).distinct()
+    packed = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    packed = packed.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
+    kept = packed.join(held, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("key") == F.col("held_key")), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every item of ``benchmark`` that a row of ``documents`` holds; see ``contaminated`` for nulls, ties, repeated rows and long texts."""
     return contaminated(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))

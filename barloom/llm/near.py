@@ -3,8 +3,8 @@
 A document is a weighted set of its shingles of five words: weight = times in the document x mean inverse document
 frequency of the shingle's words (counted over all documents, in ``DF_CELLS`` hashed cells: a table of fixed size).
 Improved consistent weighted sampling gives ``BANDS x ROWS`` samples; two documents agree on one with the probability
-of their weighted Jaccard similarity. Documents with the same words collapse first. In each band, documents with
-the same samples meet in a bucket:
+of their weighted Jaccard similarity. Documents with the same words (128 bits of BLAKE2b of them) collapse first. In each
+band, documents with the same samples meet in a bucket:
 
 * a bucket of up to ``ALL_PAIRS`` documents compares all of them;
 * a larger one compares each with its hub (the member that meets most others over all bands), and those that the
@@ -12,15 +12,17 @@ the same samples meet in a bucket:
   join them in each pair of blocks. Members matched with the hub are in one class already, so no link between classes is lost, and no step
   makes rows for all pairs.
 
-Pairs whose samples agree well enough to be similar are verified on their whole texts; verified links are joined
-into classes.
+Every pair that meets is verified on whole texts by ``weighted_jaccard``, in buckets of any size (matrix products only say
+which pairs to verify there); verified links are joined into classes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import common as C
@@ -35,8 +37,6 @@ DF_CELLS = 1 << 18
 #: of each, and of about so many characters of each.
 LOOSE_BLOCK, MEMBER_BLOCK = 256, 512
 BLOCK_CHARS = 4_000_000
-#: A pair is verified if so much of its samples agree: four standard deviations below the similarity.
-AGREEING = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 _BLOCKS = 64
 
 
@@ -58,9 +58,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         blocks = [total[i * span : (i + 1) * span].astype("<i8").tobytes() for i in range(_BLOCKS)]
         yield pa.record_batch({"block": pa.array(range(_BLOCKS), pa.int32()), "n": pa.array([n] * _BLOCKS, pa.int64()), "counts": pa.array(blocks, pa.binary())})
 
-    def add(key, table):
-        total = sum((np.frombuffer(b, "<i8") for b in table.column("counts").to_pylist()), np.zeros(span, np.int64))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(span, np.int64), 0
+        for b in batches:
+            n += sum(b.column("n").to_pylist())
+            for x in b.column("counts").to_pylist():
+                total += np.frombuffer(x, "<i8")
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     kind = "block int, n long, counts binary"
     rows = sorted(C.only(docs, "text").mapInArrow(count, kind).groupBy("block").applyInArrow(add, kind).collect())
@@ -73,10 +77,9 @@ def idf(frequencies: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingles(texts: list[str | None], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text's distinct shingles, in order of text and hash: hash, weight; the texts' bounds; the texts' keys (two hashes of all words, and their number)."""
+    """Of each text's distinct shingles, in order of text and hash: hash, weight; the texts' bounds; the texts' numbers of words."""
     words, counts = C.hashed_words(texts)
     ends = C.doc_offsets(counts)
-    keys = np.stack([C.range_hashes(C.mixed(words ^ np.uint64(71 + i)), ends[:-1], ends[1:], C._WORD_POWERS[i]).view(np.int64) for i in (0, 1)] + [counts], 1)
     starts = C.window_starts(counts, WIDTH)
     h = C.window_hashes(words, starts, WIDTH)
     doc = np.searchsorted(ends, starts, "right") - 1
@@ -87,7 +90,7 @@ def shingles(texts: list[str | None], weight: np.ndarray) -> tuple[np.ndarray, n
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(h)))
-    return h[at], w[at] * times.astype(np.float32), np.searchsorted(doc[at], np.arange(len(counts) + 1)), keys
+    return h[at], w[at] * times.astype(np.float32), np.searchsorted(doc[at], np.arange(len(counts) + 1)), counts
 
 
 class Sampler:
@@ -131,46 +134,39 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _sampled(docs: DataFrame, weight: np.ndarray) -> DataFrame:
-    """doc_id, k1, k2, n, sig (binary; null below five words), bands (longs) of each document."""
+    """doc_id, key (the hash of the text), k1, k2 (of the words), n, bands (longs; null below five words) of each document."""
 
     def run(batches):
         sampler = Sampler()
         mult = C.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
-            h, w, bounds, keys = shingles(C.texts_of(b), weight)
-            full = np.flatnonzero(np.diff(bounds))
-            sig = sampler(h, w, bounds[:-1][full]) if len(full) else np.zeros((0, BANDS * ROWS), np.uint32)
-            band = C.mixed((sig.astype(np.uint64) * mult).reshape(-1, BANDS, ROWS).sum(2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            sigs, bands = [None] * b.num_rows, [None] * b.num_rows
-            for i, s, x in zip(full.tolist(), sig, band.tolist(), strict=True):
-                sigs[i], bands[i] = s.tobytes(), x
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "n": pa.array(keys[:, 2]), "sig": pa.array(sigs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
-
-    return C.only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary, bands array<long>")
-
-
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose samples agree well enough."""
-    side = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), "<u4").reshape(b.num_rows, -1) for n in ("sig_a", "sig_b"))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= AGREEING))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of ``ids`` (id), which may be any share of the corpus: dealt by id, never broadcast."""
-    ids = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")
-    return C.written(C.only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi"))
+            texts = C.texts_of(b)
+            for lo, hi in C.slices((len(t or "") for t in texts), 2_000_000):
+                h, w, bounds, counts = shingles(texts[lo:hi], weight)
+                full = np.flatnonzero(np.diff(bounds))
+                sig = sampler(h, w, bounds[:-1][full]) if len(full) else np.zeros((0, BANDS * ROWS), np.uint32)
+                band = C.mixed((sig.astype(np.uint64) * mult).reshape(-1, BANDS, ROWS).sum(2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                bands = [None] * (hi - lo)
+                for i, x in zip(full.tolist(), band.tolist(), strict=True):
+                    bands[i] = x
+                k = C.digests(b" ".join((t or "").encode().split()) for t in texts[lo:hi])
+                own = b.slice(lo, hi - lo)
+                yield pa.record_batch({"doc_id": own.column("doc_id"), "key": own.column("key"), "k1": pa.array(k[:, 0]), "k2": pa.array(k[:, 1]), "n": pa.array(counts), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    rows = C.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, k1 long, k2 long, n long, bands array<long>")
+
+
+def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of ``ids`` (id), which may be any share of the corpus: dealt by the row they stand for, never broadcast."""
+    own = reps.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "key").hint("merge")
+    rows = C.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return C.written(rows.join(own, ["doc_id", "key"]).select("id", "text").dropDuplicates(["id"]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weight: np.ndarray) -> DataFrame:
     """The pairs that are similar by their whole texts."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batches):
         for b in batches:
@@ -187,8 +183,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, weight: np.ndarray) -> DataFra
 def spanning_links(ids: list[int], texts: list[str], loose: np.ndarray, weight: np.ndarray, columns: int = 2048) -> list[tuple[int, int]]:
     """Links that join the ``loose`` documents (a Boolean mask) to all they are similar to, no more than it takes to join them.
 
-    Sums of shared weights come from products of blocks of the matrix of documents and shingles.
+    Sums of shared weights come from products of blocks of the matrix of documents and shingles, which single precision may
+    put beside the exact sums by a little; so pairs that come close are verified one by one.
     """
+    exact = shingles(texts, weight)
+    part = lambda i: (exact[0][exact[2][i] : exact[2][i + 1]], exact[1][exact[2][i] : exact[2][i + 1]])
     words, counts = C.hashed_words(texts)
     ends = C.doc_offsets(counts)
     starts = C.window_starts(counts, WIDTH)
@@ -218,7 +217,8 @@ def spanning_links(ids: list[int], texts: list[str], loose: np.ndarray, weight:
         block[doc[a:b], col[a:b] - lo] = 1
         weights[col[a:b] - lo] = w[a:b]
         shared += (block[rows] * weights) @ block.T
-    similar = shared >= SIMILARITY * (total[rows, None] + total[None, :] - shared) - 1e-6
+    either = total[rows, None] + total[None, :] - shared
+    similar = shared >= (SIMILARITY - 1e-3) * either
     parent = list(range(len(texts)))
 
     def root(i):
@@ -230,7 +230,7 @@ def spanning_links(ids: list[int], texts: list[str], loose: np.ndarray, weight:
     out = []
     for i, j in zip(*np.nonzero(similar), strict=True):
         a, b = root(int(rows[i])), root(int(j))
-        if a != b:
+        if a != b and weighted_jaccard(part(rows[i]), part(j)) >= SIMILARITY:
             parent[a] = b
             out.append((ids[rows[i]], ids[j]))
     return out
@@ -241,7 +241,7 @@ def _dealt(loose: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
 
     Blocks do not grow with the bucket. A document may be in both blocks of a pair, and is then there twice.
     """
-    sizes = texts.select(F.col("doc_id").alias("id"), F.length("text").alias("chars")).dropDuplicates(["id"])
+    sizes = texts.select("id", F.length("text").alias("chars"))
 
     def blocks(df, most, name):
         n = F.greatest(F.count("*") / most, F.sum("chars") / BLOCK_CHARS)
@@ -253,7 +253,7 @@ def _dealt(loose: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = loose.join(counts, "bucket").select("bucket", own("parts").alias("part"), every("others").alias("other"), "id", F.lit(True).alias("loose"))
     rows = rows.union(members.join(counts, "bucket").select("bucket", every("parts").alias("part"), own("others").alias("other"), "id", F.lit(False).alias("loose")))
-    return rows.join(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id")
+    return rows.join(texts, "id")
 
 
 def _spanning(loose: DataFrame, members: DataFrame, texts: DataFrame, weight: np.ndarray) -> DataFrame:
@@ -270,22 +270,21 @@ def _spanning(loose: DataFrame, members: DataFrame, texts: DataFrame, weight: np
     return _dealt(loose, members, texts).groupBy("bucket", "part", "other").applyInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the least doc_id of each document's class of near-duplicates.
+def _classed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, id, label of each row: its text's hash and number of words, what stands for its words, and for its class.
 
-    Documents with the same words are in one class, as are those linked by a weighted Jaccard similarity of
-    ``SIMILARITY`` or more over shingles of five words (below five words, only the same words). A text without words, null or
-    empty, is alone in its class, and so is a null doc_id (class null). Rows that share a doc_id are one document's and
-    in one class; each gives a row. Other columns are ignored; an empty table gives no row.
+    Of documents with the same words the first (by doc_id, key) stands for all; its ``id`` is its doc_id, or a hash of its words if other
+    words have that doc_id too. Rows without words or doc_id have neither id nor label.
     """
     C.small_batches(docs.sparkSession)
     counts, n = document_frequencies(docs)
     weight = idf(counts, n)
     sampled = C.written(_sampled(docs, weight))
     real = sampled.where("n > 0 AND doc_id IS NOT NULL")
-    reps = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x"))
-    reps = C.written(reps.select("k1", "k2", "n", "x.*").withColumnRenamed("doc_id", "id"))
-    sigs = reps.where("sig IS NOT NULL").select("id", "sig").dropDuplicates(["id"])
+    reps = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "key", "bands")).alias("x")).select("k1", "k2", "n", "x.*")
+    several = reps.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1")
+    reps = reps.join(several, "doc_id", "left").withColumn("id", F.when(F.col("texts") > 1, F.xxhash64("k1", "k2")).otherwise(F.col("doc_id"))).drop("texts")
+    reps = C.written(reps)
     rows = reps.select("id", F.explode("bands").alias("bucket")).distinct()
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = C.written(rows.join(sizes, "bucket"))
@@ -295,25 +294,53 @@ def near_classes(docs: DataFrame) -> DataFrame:
     small = rows.where(F.col("size") <= ALL_PAIRS).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = small.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
     spokes = C.written(large.join(hubs, "bucket").where("id <> hub").select("bucket", F.col("hub").alias("a"), F.col("id").alias("b")))
-    pairs = C.written(_agreeing(few.union(spokes.select("a", "b")), sigs))
-    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")))
+    pairs = C.written(few.union(spokes.select("a", "b")).distinct())
+    texts = _texts(docs, reps, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     first = C.written(_verified(pairs, texts, weight))
     loose = C.written(spokes.join(first, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id")))
-    links = first.union(_spanning(loose, large.select("bucket", "id"), texts, weight))
-    label = components(links)
+    links = C.written(first.union(_spanning(loose, large.select("bucket", "id"), texts, weight)))
     C.forget(rows, spokes, pairs, texts, first, loose)
-    exact = real.select("doc_id", "k1", "k2", "n").join(reps.select("k1", "k2", "n", F.col("id")), ["k1", "k2", "n"])
-    shared = exact.join(label, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
-    shared = shared.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return sampled.select("doc_id").join(shared, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    label = components(links)
+    exact = sampled.join(reps.select("k1", "k2", "n", "id").where("n > 0"), ["k1", "k2", "n"], "left")
+    exact = exact.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id")))
+    return exact.join(label, "id", "left").select("doc_id", "key", "n", "id", F.coalesce("label", "id").alias("label"))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id: the least doc_id of each document's class of near-duplicates.
+
+    Documents with the same words are in one class, as are those linked by a weighted Jaccard similarity of
+    ``SIMILARITY`` or more over shingles of five words (below five words, only the same words). A text without words, null or
+    empty, is alone in its class, and so is a null doc_id (class null). Rows that share a doc_id are judged by their own
+    texts; each gives a row. Texts of any length are compared whole. Other columns are ignored; an empty table gives no row.
+    """
+    rows = C.written(_classed(docs))
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with the least doc_id of each class of ``near_classes``; of rows that share a doc_id one stays, null ids all stay."""
-    gone = near_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """``docs``, all columns, with one row of each class of near-duplicates: the least by doc_id, then by the hash of its text.
+
+    Rows without words, or without doc_id, all stay. A row goes only if a row that stays is in its class, whatever rows share its doc_id;
+    of rows with the same doc_id and text one stays (the least by a hash of the other columns). Columns may have any names.
+    """
+    rows = C.written(_classed(docs).where("label IS NOT NULL").select("doc_id", "key", "label"))
+    best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    found = rows.groupBy("doc_id", "key", "label").agg(F.count("*").alias("copies")).join(best, "label")
+    first = F.struct("doc_id", "key") == F.col("best")
+    special = C.written(found.where(~first | (F.col("copies") > 1)).select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), first.alias("first")))
+    C.forget(rows)
+    packed = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    packed = packed.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
+    same = (F.col("doc_id") == F.col("own_id")) & (F.col("key") == F.col("own_key"))
+    kept = packed.join(special, same, "left_anti")
+    w = Window.partitionBy("doc_id", "key").orderBy(F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString())))
+    again = packed.join(special.where("first"), same, "left_semi").withColumn("k", F.row_number().over(w)).where("k = 1")
+    out = kept.select("row").union(again.select("row"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its class of near-duplicates; see ``near_classes`` for nulls, ties and repeated rows."""
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,10 +4,13 @@ Method. Documents are dealt into chunks by their id. Each chunk hashes its windo
 sketch (``ROWS`` rows, a number of cells in proportion to the corpus) and sends it in ranges of cells; each
 range's task adds up the sketches of all chunks and tells each chunk which of its cells other chunks use too.
 The estimate never falls below the true count, so a window whose cells are not all shared occurs in no other
-chunk. Only the rest goes to the second pass, which groups the windows exactly, by 96 bits of hash and more, one entry
-for a distinct window and chunk, and tells each chunk which of its first occurrences start earlier elsewhere.
-Repeats inside a chunk never leave it. So a window in a third of all documents costs each chunk one entry: no
-task holds more than its share, nothing is broadcast or collected, and sketch and shuffle follow the input.
+chunk. Only the rest goes to the second pass, which groups the windows exactly, by more than 96 bits of two hashes
+that rest on two independent hashes of the words' bytes, one entry for a distinct window and chunk, and tells each chunk
+which of its first occurrences start earlier elsewhere. Repeats inside a chunk never leave it. So a window in a third of
+all documents costs each chunk one entry: no task holds more than its share and nothing is broadcast or collected.
+
+A chunk sends each range a part of its sketch, so parts grow with chunks times ranges: small beside their content up to
+about 1 TB of text; beyond that, raise ``CHUNK_CHARS`` and ``RANGE_ENTRIES`` with the executors' memory.
 """
 
 from __future__ import annotations
@@ -28,22 +31,23 @@ RANGE_ENTRIES = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 
 ASKS = "chunk int, rng int, cells binary"
-CANDIDATES = "chunk int, rng int, h1 binary, h2 binary, at binary, doc binary, pos binary"
+CANDIDATES = "chunk int, rng int, h1 binary, h2 binary, at binary, doc binary, tie binary, pos binary"
 #: Fields of a candidate window as they travel: columns of steps from one candidate to the next, which compress well, beside the hashes.
-KINDS = {"h1": np.dtype("<u8"), "h2": np.dtype("<u4"), "at": np.dtype("<u4"), "doc": np.dtype("<i8"), "pos": np.dtype("<i4")}
+KINDS = {"h1": np.dtype("<u8"), "h2": np.dtype("<u4"), "at": np.dtype("<u4"), "doc": np.dtype("<i8"), "tie": np.dtype("<i8"), "pos": np.dtype("<i4")}
 LATER = "chunk int, later binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
 class _Chunk:
-    """The windows of one chunk, its documents in the order of their ids."""
+    """The windows of one chunk, its documents in the order of their ids, then of their texts' hashes."""
 
     def __init__(self, table: pa.Table, width: int):
-        ids = table.column("doc_id").to_pylist()
-        texts = table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i] or ""))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
-        words, self.counts = C.hashed_words(self.texts)
+        ids = np.array([NO_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
+        ties = table.column("key").to_numpy()
+        order = np.lexsort((ties, ids))
+        self.ids, self.ties = ids[order], ties[order]
+        self.given, self.texts = table.column("doc_id").take(order), table.column("text").take(order).to_pylist()
+        words, self.other, self.counts = C.hashed_words(self.texts, seeds=(0, 1))
         self.offsets = C.doc_offsets(self.counts)
         self.words, self.width = words, width
         self.starts = C.window_starts(self.counts, width)
@@ -51,7 +55,7 @@ class _Chunk:
 
     def group(self) -> None:
         """Finds the first of each distinct window, and the rest."""
-        self.h2 = C.window_hashes(self.words, self.starts, self.width, 1)
+        self.h2 = C.window_hashes(self.other, self.starts, self.width, 1)
         order = np.argsort(self.h1)
         a, b = self.h1[order], self.h2[order]
         new = np.concatenate([[True], a[1:] != a[:-1]]) if len(order) else np.zeros(0, bool)
@@ -124,7 +128,6 @@ def _candidates(width: int, cells: int, ranges: int):
         h1, h2 = chunk.h1[at], chunk.h2[at]
         start = chunk.starts[at]
         doc = np.searchsorted(chunk.offsets, start, "right") - 1
-        ids = np.array([NO_ID if i is None else i for i in chunk.ids], np.int64)
         pos = start - chunk.offsets[doc]
         to = (h2 % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -133,7 +136,7 @@ def _candidates(width: int, cells: int, ranges: int):
         for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if b > a:
                 i = order[a:b]
-                steps = {"at": np.diff(at[i], prepend=0), "doc": np.diff(ids[doc[i]], prepend=0), "pos": np.diff(pos[i], prepend=0)}
+                steps = {"at": np.diff(at[i], prepend=0), "doc": np.diff(chunk.ids[doc[i]], prepend=0), "tie": np.diff(chunk.ties[doc[i]], prepend=0), "pos": np.diff(pos[i], prepend=0)}
                 whole = {"h1": h1[i], "h2": h2[i] >> np.uint64(32)} | steps
                 rows.append((key[0].as_py(), r, *(whole[n].astype(t).tobytes() for n, t in KINDS.items())))
         return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), _CANDIDATE_SCHEMA, strict=True)], names=names) if rows else _CANDIDATE_SCHEMA.empty_table()
@@ -141,7 +144,7 @@ def _candidates(width: int, cells: int, ranges: int):
     return run
 
 
-_CANDIDATE_SCHEMA = pa.schema([("chunk", pa.int32()), ("rng", pa.int32()), *((n, pa.binary()) for n in ("h1", "h2", "at", "doc", "pos"))])
+_CANDIDATE_SCHEMA = pa.schema([("chunk", pa.int32()), ("rng", pa.int32()), *((n, pa.binary()) for n in KINDS)])
 
 
 def _later(key, table):
@@ -151,7 +154,7 @@ def _later(key, table):
     sizes = [len(x) for x in got["h1"]]
     of = np.repeat(np.arange(len(sizes)), sizes)
     x = {n: np.concatenate(v) for n, v in got.items()}
-    order = np.lexsort((x["pos"], x["doc"], x["h2"], x["h1"]))
+    order = np.lexsort((x["pos"], x["tie"], x["doc"], x["h2"], x["h1"]))
     a, b = x["h1"][order], x["h2"][order]
     same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
     hit = order[same]
@@ -182,7 +185,7 @@ def _kept(width: int):
                 g = gone[chunk.offsets[i] : chunk.offsets[i + 1]].tolist()
                 words = [w for w, x in zip(words, g, strict=True) if not x]
             kept.append(b" ".join(words).decode())
-        return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "n_words": pa.array(chunk.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": chunk.given, "n_words": pa.array(chunk.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return run
 
@@ -191,23 +194,25 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     """Remove each word covered by a window of ``width`` words whose sequence also starts earlier.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, n_words, n_removed, kept_text
-    (kept words joined by one space). Earlier: a smaller doc_id, or the same document and an earlier start. A null
-    text has no words; rows that share a doc_id are ordered by text, a null doc_id comes last; repeated rows each
-    give a row; an empty table gives none.
+    (kept words joined by one space). Earlier: a smaller doc_id, or the same document and an earlier start. A null or empty
+    text has no words; rows that share a doc_id are ordered by the hash of their text, a null doc_id comes last; repeated
+    rows each give a row; an empty table gives none. A text of any length is read whole, by one task.
     """
-    docs = C.only(docs, "doc_id", "text")
+    C.small_batches(docs.sparkSession)
+    docs = C.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
     chars = C.total_chars(docs)
     windows = max(1, chars // 5)  # more than there are: a word and its gap take more characters on average
     cells, ranges, chunks = CELLS * windows, -(-windows // RANGE_ENTRIES), max(1, -(-chars // CHUNK_CHARS))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     asks = dealt.groupBy("chunk").applyInArrow(_asks(width, cells, ranges), ASKS)
-    answers = asks.groupBy("rng").applyInArrow(_shared(-(-cells // ranges)), ASKS)
+    answers = asks.repartition(ROWS * ranges, "rng").groupBy("rng").applyInArrow(_shared(-(-cells // ranges)), ASKS)
     some = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_candidates(width, cells, ranges), CANDIDATES)
-    later = some.groupBy("rng").applyInArrow(_later, LATER)
+    later = some.repartition(ranges, "rng").groupBy("rng").applyInArrow(_later, LATER)
     return dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_kept(width), OUT)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` without words of repeated windows of 20; see ``remove_repeats`` for nulls, ties and long texts."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -79,7 +79,7 @@ def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, header: i
     The end of a file ends an unterminated document. Empty files have no block. Tasks read ranges of a file, so it may be
     of any size; only from a store that Spark alone can open, a file is read whole, by one task.
     """
-    C.small_batches(spark, 8)
+    C.small_batches(spark)
     files = spark.read.format("binaryFile").load(path)
     kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("starts", pa.list_(pa.struct([("at", pa.int64()), ("head", pa.list_(pa.int32()))]))), ("stops", pa.list_(pa.int64()))])
 

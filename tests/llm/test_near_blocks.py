@@ -16,7 +16,7 @@ def test_blocks_of_a_large_bucket_are_bounded_and_join_all(spark, monkeypatch):
         t = list(base)
         t[int(rng.integers(60))] = t[int(rng.integers(60))] = str(rng.choice(words))
         texts.append((i, " ".join(t)))
-    table = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame(texts, "id long, text string")
     members = spark.createDataFrame([(7, i) for i in range(120)], "bucket long, id long")
     loose = members.where("id % 3 = 0")
     rows = near._dealt(loose, members, table).collect()
@@ -43,7 +43,7 @@ def test_blocks_of_a_large_bucket_are_bounded_and_join_all(spark, monkeypatch):
 
 def test_blocks_are_bounded_in_characters(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK_CHARS", 2000)
-    table = spark.createDataFrame([(i, "word " * 100) for i in range(40)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, "word " * 100) for i in range(40)], "id long, text string")
     members = spark.createDataFrame([(7, i) for i in range(40)], "bucket long, id long")
     sizes = near._dealt(members.where("id < 1"), members, table).groupBy("bucket", "part", "other").count().collect()
     assert len(sizes) == 10 and max(r["count"] for r in sizes) < 20

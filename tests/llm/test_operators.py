@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.llm import common, decontaminate, near, preferences, quality_model, quality_rules, repeats, token_files, toxicity
 from barloom.llm.queries import QUERIES, SQL
 from tests.helpers import oracle, rows
+from tests.llm.test_lines import keys_of
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -36,8 +37,8 @@ def test_packed_steps():
     assert len(common.unpacked(common.packed(np.zeros(0, np.int64)))) == 0
 
 
-def brute_repeats(pairs, width):
-    order = sorted(range(len(pairs)), key=lambda i: (math.inf if pairs[i][0] is None else pairs[i][0], pairs[i][1] or ""))
+def brute_repeats(pairs, width, key):
+    order = sorted(range(len(pairs)), key=lambda i: (math.inf if pairs[i][0] is None else pairs[i][0], key(pairs[i][1])))
     seen, out = set(), []
     for i in order:
         ws = (pairs[i][1] or "").encode().split()
@@ -58,8 +59,9 @@ def test_repeats(spark, monkeypatch, chunk):
     rng = np.random.default_rng(2)
     some = [" ".join(rng.choice(list("abcd"), 12)) for _ in range(12)]
     pairs = [*ODD[:5], *ODD[6:], *((20 + i, "\n".join(rng.choice(some, 4))) for i in range(30))]
+    pairs += [(d, "\n".join(rng.choice(some, 3))) for d in (None, None, None, 25, 25, 26)]
     got = repeats.remove_repeats(docs(spark, pairs), width=6).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(pairs, 6)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(pairs, 6, keys_of(spark, pairs))
     assert repeats.remove_repeats(docs(spark, ODD).limit(0)).count() == 0
 
 
