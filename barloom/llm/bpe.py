@@ -10,7 +10,9 @@ keeps the pieces it has met, as a text's words repeat.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -119,18 +121,16 @@ class Ranks:
         """The ids of one piece of any length, by a tree of its own."""
         n = len(piece)
         bits = max(1, (n - 1).bit_length())
-        s, none, byte = 1 << bits, NONE << bits, self.byte.tolist()
-        merge = self._merge
-        token = [byte[b] for b in piece]
-        tree = [none] * (2 * s)
-        for i in range(n - 1):
-            r = merge.get(token[i] << 32 | token[i + 1])
-            if r is not None:
-                tree[s + i] = r << bits | i
-        for i in range(s - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        s, none, merge = 1 << bits, NONE << bits, self._merge
+        raw = np.frombuffer(piece, np.uint8).astype(np.int64)
+        leaf = self.first_pairs[raw[:-1] << 8 | raw[1:]]
+        full = np.full(2 * s, none, np.int64)
+        full[s : s + n - 1] = np.where(leaf < NONE, leaf << bits | np.arange(n - 1), none)
+        for lo in (s >> k for k in range(1, bits + 1)):
+            full[lo : 2 * lo] = np.minimum(full[2 * lo : 4 * lo : 2], full[2 * lo + 1 : 4 * lo : 2])
+        tree, token = array("q", full.tobytes()), array("q", self.byte[raw].tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        del full
 
         def put(at, value):
             i = s + at
@@ -160,7 +160,7 @@ class Ranks:
                 put(p, none)
             if before[p] >= 0:
                 put(before[p], joined(before[p], p))
-        out, i = [], 0
+        out, i = array("I"), 0
         while i < n:
             out.append(token[i])
             i = after[i]
@@ -254,11 +254,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of what they decode to."""
+    """doc_id, n_tokens and the digests of the ids and of what they decode to, in one pass: ids and bytes do not leave the task.
+
+    Nulls, empty and repeated rows and other columns as in ``encode``; a text of any length is encoded whole.
+    """
+    C.small_batches(docs.sparkSession)
     path, pattern = default_vocabulary()
-    out = decode(encode(docs, path, pattern), path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def run(batches):
+        encoder, token = Encoder(path, pattern), ranks(path).bytes.__getitem__
+        for b in batches:
+            ids = encoder(C.texts_of(b))
+            decoded = (b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids)
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha256(x).hexdigest() for x in ids]), "decoded_sha256": pa.array([sha256(x).hexdigest() for x in decoded])})
+
+    return C.only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, encoded and decoded; see ``round_trip``."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

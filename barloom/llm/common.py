@@ -49,9 +49,12 @@ def written(df: DataFrame) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that no plan still to run reads."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(t.table_path)
-        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(t.sparkSession, t.table_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:

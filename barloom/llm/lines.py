@@ -446,13 +446,18 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     firsts = firsts.join(near_first, ["h1", "h2"], "left").select("h1", "h2", "own", "links", F.least("own", "near").alias("first"))
     firsts = C.written(firsts)  # so that both sides of the next join are dealt for it, and a very common line can be split
     C.forget(near_first)
-    out = every.join(firsts, ["h1", "h2"])
-    return out.select("doc_id", "key", "line", (place != F.col("first")).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"), "first")
+    out = every.join(firsts, ["h1", "h2"]).select("doc_id", "key", "line", (place != F.col("first")).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"), "first")
+    out.tables = every, firsts
+    return out
 
 
 def _judged_rows(docs: DataFrame) -> DataFrame:
-    lines = judged_lines(docs).groupBy("doc_id", "key")
-    return lines.agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"), F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line"))))).alias("removed"))
+    """What ``judged_lines`` says, by doc_id and key, as a written table."""
+    lines = judged_lines(docs)
+    rows = lines.groupBy("doc_id", "key").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sum("links").alias("n_links"), F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line"))))).alias("removed"))
+    rows = C.written(rows)
+    C.forget(*lines.tables)
+    return rows
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def _spanning(loose: DataFrame, members: DataFrame, texts: DataFrame, weight: np
 
 
 def _classed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, id, label of each row: its text's hash and number of words, what stands for its words, and for its class.
+    """doc_id, key, n, id, label of each row, as a written table: its text's hash and number of words, what stands for its words, and for its class.
 
     Of documents with the same words the first (by doc_id, key) stands for all; its ``id`` is its doc_id, or a hash of its words if other
     words have that doc_id too. Rows without words or doc_id have neither id nor label.
@@ -303,7 +303,9 @@ def _classed(docs: DataFrame) -> DataFrame:
     label = components(links)
     exact = sampled.join(reps.select("k1", "k2", "n", "id").where("n > 0"), ["k1", "k2", "n"], "left")
     exact = exact.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id")))
-    return exact.join(label, "id", "left").select("doc_id", "key", "n", "id", F.coalesce("label", "id").alias("label"))
+    out = C.written(exact.join(label, "id", "left").select("doc_id", "key", "n", "id", F.coalesce("label", "id").alias("label")))
+    C.forget(sampled, reps, links)
+    return out
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -314,7 +316,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     empty, is alone in its class, and so is a null doc_id (class null). Rows that share a doc_id are judged by their own
     texts; each gives a row. Texts of any length are compared whole. Other columns are ignored; an empty table gives no row.
     """
-    rows = C.written(_classed(docs))
+    rows = _classed(docs)
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -325,12 +327,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without words, or without doc_id, all stay. A row goes only if a row that stays is in its class, whatever rows share its doc_id;
     of rows with the same doc_id and text one stays (the least by a hash of the other columns). Columns may have any names.
     """
-    rows = C.written(_classed(docs).where("label IS NOT NULL").select("doc_id", "key", "label"))
+    classed = _classed(docs)
+    rows = classed.where("label IS NOT NULL").select("doc_id", "key", "label")
     best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("best"))
     found = rows.groupBy("doc_id", "key", "label").agg(F.count("*").alias("copies")).join(best, "label")
     first = F.struct("doc_id", "key") == F.col("best")
     special = C.written(found.where(~first | (F.col("copies") > 1)).select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), first.alias("first")))
-    C.forget(rows)
+    C.forget(classed)
     packed = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
     packed = packed.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
     same = (F.col("doc_id") == F.col("own_id")) & (F.col("key") == F.col("own_key"))

@@ -16,21 +16,25 @@ from barloom.llm import common as C
 END = "<|end|>\n"
 
 
+def _seg(role: Column, text: Column) -> Column:
+    """A turn as it is rendered."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit(END))
+
+
 def _conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, turns: each turn with its rendering and the end of it in the rendered conversation, in order."""
+    """conv_id, turns: each turn with the length of its head and the end of it in the rendered conversation, in order."""
     turns = C.only(turns, "conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
     turns = turns.withColumns({"role": F.coalesce("role", F.lit("unknown")), "text": F.coalesce("text", F.lit(""))})
-    head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))
-    turns = turns.withColumns({"seg": F.concat(head, F.col("text"), F.lit(END)), "head": F.length(head)})
+    turns = turns.withColumns({"head": F.length("role") + len("<||>\n"), "size": F.length(_seg(F.col("role"), F.col("text"))).cast("long")})
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    turns = turns.withColumns({"at": F.row_number().over(w), "stop": F.sum(F.length("seg").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "seg", "head", "stop"))).alias("turns"))
+    turns = turns.withColumns({"at": F.row_number().over(w), "stop": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "head", "size", "stop"))).alias("turns"))
 
 
 def _common(a: Column, b: Column) -> Column:
     """How many leading turns are the same in role and text."""
     both = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, 1, both), F.slice(b, 1, both), lambda x, y: x["seg"] == y["seg"])
+    same = F.zip_with(F.slice(a, 1, both), F.slice(b, 1, both), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
     first = F.array_position(same, False)
     return F.when(first == 0, both).otherwise(first - 1).cast("int")
 
@@ -40,12 +44,12 @@ def _tail(turns: Column, n: Column) -> Column:
 
 
 def _text(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: t["seg"]), "")
+    return F.array_join(F.transform(turns, lambda t: _seg(t["role"], t["text"])), "")
 
 
 def _mask(turns: Column, n: Column) -> Column:
     base = F.when(n == 0, F.lit(0).cast("long")).otherwise(F.get(turns, n - 1)["stop"])
-    spans = lambda t: F.struct((t["stop"] - F.length(t["seg"]) + t["head"] - base).alias("start"), (t["stop"] - base).alias("stop"))
+    spans = lambda t: F.struct((t["stop"] - t["size"] + t["head"] - base).alias("start"), (t["stop"] - base).alias("stop"))
     return F.transform(F.filter(_tail(turns, n), lambda t: t["role"] == "assistant"), spans)
 
 

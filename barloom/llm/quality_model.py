@@ -11,6 +11,8 @@ aside, calibrates its probabilities.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,12 +21,12 @@ from pyspark.sql import functions as F
 from barloom.llm import common as C
 from barloom.llm import models as M
 
-#: Most labelled documents that training sees; it runs on the driver.
+#: Most labelled documents that training sees (and ``models.TRAIN_CHARS`` characters of them); it runs on the driver.
 TRAIN_ROWS = 8000
 CELLS, SHAPES = 1 << 14, 1 << 10
 DIM, SIGNS, REACH = 32, 4, 2
 HIDDEN = 32
-_BLOCKS = 64
+_BLOCKS = 256
 
 _CLASS = np.zeros(256, np.uint8)  # 1 lower case and other letters, 2 upper case, 3 digit, 4 sign
 _CLASS[128:] = 1
@@ -93,11 +95,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         blocks = [total[i * span : (i + 1) * span].astype("<i4").tobytes() for i in range(_BLOCKS)]
         yield pa.record_batch({"block": pa.array(range(_BLOCKS), pa.int32()), "sums": pa.array(blocks, pa.binary())})
 
-    def add(key, table):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(span)
-        for b in table.column("sums").to_pylist():
-            total += np.frombuffer(b, "<i4" if len(b) == 4 * span else "<f8")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+        for b in batches:
+            for x in b.column("sums").to_pylist():
+                total += np.frombuffer(x, "<i4")
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
     C.small_batches(docs.sparkSession)
     kind = "block int, sums binary"
@@ -167,7 +170,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
     """doc_id, score of each document.
 
     A null or empty text is scored as one without words; repeated rows each give a row; a null doc_id is kept; other
-    columns are ignored; an empty table gives none. The vectors are broadcast: their size is fixed.
+    columns are ignored; an empty table gives none. A text of any length is pooled whole. The vectors are broadcast: their size is fixed.
     """
     C.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((vectors, network))
@@ -183,6 +186,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """The score of every row of ``documents``; see ``score`` for nulls and repeated rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, *fitted(docs, labels))
     return out.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ SEPARATOR = 50256
 HEADER = 5
 DIGIT = 15
 NULL_ID = 1 << 64
-#: Documents of a file at most, so that a file fits a task; and ids of a block.
+#: Documents of a file that is written, and ids of a block.
 FILE_DOCS = 2000
 BLOCK = 1 << 16
 #: Blocks of a file that a task reads at once.
@@ -48,6 +48,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, pattern: str) -> None:
 
     def run(batches):
         encoder = Encoder(vocabulary, pattern)
+        if len(encoder.ranks.bytes) > SEPARATOR:
+            raise ValueError(f"{vocabulary} has ids from {SEPARATOR} on, which these files cannot hold")
         for b in batches:
             ids = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in encoder(C.texts_of(b)))
             yield pa.record_batch({"ids": pa.array([_header(i) + x for i, x in zip(b.column("doc_id").to_pylist(), ids, strict=True)], pa.binary())})
@@ -140,15 +142,21 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens of each document, by way of flat token files in ``path`` (new, in the shared folder by default).
 
     A null or empty text counts 0; repeated rows each give a row; a null doc_id is kept; other columns are ignored; an
-    empty table gives none.
+    empty table gives none. A text of any length is encoded whole, by one task, and counted across the blocks it fills. Files
+    in a folder of our own are deleted once they are counted.
     """
-    path = path or C.shared_dir(docs.sparkSession)
+    own, path = path is None, path or C.shared_dir(docs.sparkSession)
     write(docs, path, *default_vocabulary())
     digits = sum((F.get("head", i).cast("long") * F.lit(1 << DIGIT * i) for i in range(HEADER - 1)), F.lit(0).cast("long"))
     top = F.get("head", HEADER - 1)  # bits 60 to 74: four of the id, and one that says null
     doc_id = F.when(top >= 16, None).otherwise(digits.bitwiseOR(F.shiftleft(top.cast("long"), DIGIT * (HEADER - 1))))
-    return lengths(blocks(docs.sparkSession, path)).select(doc_id.alias("doc_id"), (F.col("n") - HEADER).alias("n_tokens"))
+    out = lengths(blocks(docs.sparkSession, path)).select(doc_id.alias("doc_id"), (F.col("n") - HEADER).alias("n_tokens"))
+    if own:
+        out = C.written(out)
+        C.delete(docs.sparkSession, path)
+    return out
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The number of tokens of every row of ``documents``; see ``token_counts``."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from barloom.llm import common as C
 from barloom.llm import models as M
 
-#: Most labelled documents that training sees; it runs on the driver.
+#: Most labelled documents that training sees (and ``models.TRAIN_CHARS`` characters of them); it runs on the driver.
 TRAIN_ROWS = 6000
 CELLS = 1 << 18
 REMEMBERED = 300_000
@@ -71,15 +71,24 @@ class Crf:
             self.known[w] = self.bias + sum(emit[i] for i in features(w))
         return np.array(list(map(self.known.__getitem__, words)), np.float64)
 
-    def train(self, texts: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5) -> None:
-        """Adagrad on the likelihood of chains of CHAIN tokens: those around toxic tokens, and as many others and more."""
-        marks = token_labels(texts)
+    def train(self, texts: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5, enough: float = 1e-4) -> None:
+        """Adagrad on the likelihood of chains of CHAIN tokens: those around every toxic token, and two others of each text.
+
+        It ends when a round lowers the loss by less than ``enough`` of it.
+        """
+        marks, cells = token_labels(texts), {}
+        of_word = lambda w: cells[w] if w in cells else cells.setdefault(w, features(w))
         rng = np.random.default_rng(1)
         words, tags = [], []
         for text, y in texts:
             ws = text.split()
             tag = [int(bool(y) and any(s in marks for s in stems(w))) for w in ws] if y else [0] * len(ws)
-            begins = {max(0, i - int(rng.integers(CHAIN))) for i in np.flatnonzero(tag)[:40]} | set(rng.integers(0, max(1, len(ws)), 2).tolist())
+            begins, reached = set(rng.integers(0, max(1, len(ws)), 2).tolist()), 0
+            for i in np.flatnonzero(tag).tolist():
+                if i >= reached:  # not in the chain before
+                    begin = max(0, i - int(rng.integers(CHAIN)))
+                    begins.add(begin)
+                    reached = begin + CHAIN
             for b in begins:
                 if part := ws[b : b + CHAIN]:
                     pad = CHAIN - len(part)
@@ -88,13 +97,14 @@ class Crf:
         if not words:
             return
         y = np.array(tags)
-        cell = [[features(w) for w in part] for part in words]
+        cell = [[of_word(w) for w in part] for part in words]
         flat = np.array([i for part in cell for f in part for i in f])
         sizes = np.array([len(f) for part in cell for f in part])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         of = np.repeat(np.arange(len(sizes)), sizes)
         g2, gb2, gm2 = np.full(CELLS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-        n = len(words)
+        n, before = len(words), np.inf
+        at, to = y[:, :-1], y[:, 1:]
         for _ in range(rounds):
             e = self.bias + np.add.reduceat(self.emit[flat], starts).reshape(n, CHAIN)
             score = np.stack([np.zeros_like(e), e], 2)
@@ -106,6 +116,10 @@ class Crf:
                 x = bwd[t + 1] + score[:, t + 1]
                 bwd[t] = np.logaddexp(x[:, :1] + self.move[:, 0], x[:, 1:] + self.move[:, 1])
             z = np.logaddexp(fwd[-1][:, 0], fwd[-1][:, 1])
+            loss = (z.sum() - (e * y).sum() - self.move[at, to].sum()) / n
+            if before - loss < enough * before and before > loss:
+                break
+            before = min(before, loss)
             p = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z).T
             grad = (p - y).ravel()
             ge = np.bincount(flat, grad[of], CELLS) / n + 1e-6 * self.emit
@@ -185,7 +199,7 @@ class Tagger:
         self.crf.known = {}
 
     def __call__(self, texts: list[str | None]) -> tuple[list[float], list[list[dict]]]:
-        """Score and spans (start and stop in characters, toxic probability) of each text."""
+        """Score and spans (start and stop in characters, greatest toxic probability of a token) of each text; neighbouring toxic tokens are one span."""
         p, counts = self.crf.tagged(texts)
         score = M.sigmoid(summary(p, counts) @ self.weights[:-1] + self.weights[-1])
         spans, at = [], 0
@@ -194,7 +208,8 @@ class Tagger:
             own = []
             if len(hit):
                 words = list(re.finditer(r"\S+", t))  # the same runs as split() gives
-                own = [{"start": words[i].start(), "stop": words[i].end(), "p": float(p[at + i])} for i in hit.tolist()]
+                for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
+                    own.append({"start": words[run[0]].start(), "stop": words[run[-1]].end(), "p": float(p[at + run].max())})
             spans.append(own)
             at += n
         return score.tolist(), spans
@@ -208,7 +223,8 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """doc_id, score, spans of each document; spans: array of (start, stop, p), half-open, in characters.
 
     A null or empty text gets the score of a text without toxic tokens and no span; repeated rows each give a row; a
-    null doc_id is kept; other columns are ignored; an empty table gives none. The model is broadcast: its size is fixed.
+    null doc_id is kept; other columns are ignored; an empty table gives none. A text of any length is tagged whole. The
+    model is broadcast: its size is fixed.
     """
     C.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -225,6 +241,8 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The score of every row of ``documents`` and its toxic spans, ``start:stop`` in characters by commas; see ``tag`` for nulls and repeated rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = tag(docs, fitted(docs, labels))
-    return out.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return out.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), shown.alias("spans"))
