@@ -41,6 +41,14 @@ def to_utc(wall: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
 
 
+def localized(wall: Column, zone: str) -> Column:
+    """``to_utc`` of any wall clock; one that daylight saving skips or repeats is an error when the plan runs."""
+    utc, hour = to_utc(wall, zone), F.expr("interval 1 hour")
+    unclear = (local(utc, zone) != wall) | (local(utc - hour, zone) == wall) | (local(utc + hour, zone) == wall)
+    message = F.concat(F.lit(f"{zone} skips or repeats "), wall.cast("string"))
+    return F.when(unclear, F.raise_error(message).cast("timestamp_ntz")).otherwise(utc)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

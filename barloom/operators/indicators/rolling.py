@@ -6,20 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import caltime as K
-from barloom.operators.indicators.registry import by_time, full, indicator, mid
+from barloom.operators.indicators.registry import full, indicator, mid
+from barloom.operators.spans import windowed
 
 
 @indicator("sma", period=20)
 def sma(bars, keys, period):
     """Mean of the last ``period`` mid closes."""
-    return bars.withColumn("sma", full(F.avg, mid(), by_time(keys), period))
+    return windowed(bars, keys, lambda df, w: df.withColumn("sma", full(F.avg, mid(), w, period)), period - 1)
 
 
 @indicator("bbands", "lower", "middle", "upper", period=20, num_std=2.0)
 def bbands(bars, keys, period, num_std):
     """The mean, and population standard deviations around it."""
-    w = by_time(keys)
-    bars = bars.withColumns({"middle": full(F.avg, mid(), w, period), "_std": full(F.stddev_pop, mid(), w, period)})
+    run = lambda df, w: df.withColumns({"middle": full(F.avg, mid(), w, period), "_std": full(F.stddev_pop, mid(), w, period)})
+    bars = windowed(bars, keys, run, period - 1)
     return bars.withColumns({"lower": F.col("middle") - num_std * F.col("_std"), "upper": F.col("middle") + num_std * F.col("_std")}).drop("_std")
 
 
@@ -36,14 +37,17 @@ def vwap(bars, keys):
 @indicator("donchian", "lower", "upper", "width", period=20)
 def donchian(bars, keys, period):
     """Channel of the least low and greatest high, this bar included."""
-    w = by_time(keys)
-    bars = bars.withColumns({"lower": full(F.min, mid("low"), w, period), "upper": full(F.max, mid("high"), w, period)})
+    run = lambda df, w: df.withColumns({"lower": full(F.min, mid("low"), w, period), "upper": full(F.max, mid("high"), w, period)})
+    bars = windowed(bars, keys, run, period - 1)
     return bars.withColumn("width", F.col("upper") - F.col("lower"))
 
 
 @indicator("hist_vol", period=60)
 def hist_vol(bars, keys, period):
     """Population standard deviation of log returns, not annualised."""
-    w = by_time(keys)
-    bars = bars.withColumn("_ret", F.ln(mid()) - F.ln(F.lag(mid()).over(w)))
-    return bars.withColumn("hist_vol", full(F.stddev_pop, F.col("_ret"), w, period)).drop("_ret")
+
+    def run(df, w):
+        df = df.withColumn("_ret", F.ln(mid()) - F.ln(F.lag(mid()).over(w)))
+        return df.withColumn("hist_vol", full(F.stddev_pop, F.col("_ret"), w, period)).drop("_ret")
+
+    return windowed(bars, keys, run, period)

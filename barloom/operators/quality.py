@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import caltime as K
+from barloom.operators.spans import positioned, quantile as exact_quantile, windowed
 from barloom.schema import BAR_COLUMNS, VALUES, Timeframe, require_ntz
 
 #: Gaps of this many minutes or more are holidays rather than faults, in summaries.
@@ -26,8 +27,9 @@ def dup_counts(bars: DataFrame) -> DataFrame:
 
 
 def deduped(bars: DataFrame, order: str | None = None) -> DataFrame:
-    """The first row of each time in ingestion order; without such a column, the least row."""
-    first = F.struct(*([order] if order else []), *BAR_COLUMNS[1:])
+    """The first row of each time by the column ``order``; without one, the first in the order of the input's partitions and rows."""
+    bars = bars if order else bars.withColumn("_order", F.monotonically_increasing_id())
+    first = F.struct(order or "_order", *BAR_COLUMNS[1:])
     g = bars.groupBy("symbol", "open_time").agg(F.min(first).alias("x"))
     return g.select("symbol", "open_time", *(f"x.{c}" for c in BAR_COLUMNS[1:]))
 
@@ -37,8 +39,17 @@ def expected_bars(bars: DataFrame, timeframe: Timeframe, start: datetime | None
     step = _step(timeframe)
     first = F.lit(start).cast("timestamp_ntz") if start else F.min("open_time")
     end = F.lit(stop).cast("timestamp_ntz") if stop else F.max("open_time") + step
-    span = bars.groupBy("symbol").agg(first.alias("start"), end.alias("stop")).where("start < stop")
-    grid = span.select("symbol", "stop", F.explode(F.sequence("start", F.col("stop"), step)).alias("open_time")).where("open_time < stop")
+    return _slots(bars.groupBy("symbol").agg(first.alias("start"), end.alias("stop")), timeframe)
+
+
+def expected_slots(symbols: DataFrame, timeframe: Timeframe, start: datetime, stop: datetime) -> DataFrame:
+    """``expected_bars`` of a window for ``symbols`` (symbol), whatever bars they have."""
+    return _slots(symbols.select("symbol", F.lit(start).cast("timestamp_ntz").alias("start"), F.lit(stop).cast("timestamp_ntz").alias("stop")), timeframe)
+
+
+def _slots(spans: DataFrame, timeframe: Timeframe) -> DataFrame:
+    step = _step(timeframe)
+    grid = spans.where("start < stop").select("symbol", "stop", F.explode(F.sequence("start", F.col("stop"), step)).alias("open_time")).where("open_time < stop")
     return grid.where(K.is_open_during(F.col("open_time"), timeframe.minutes)).select("symbol", "open_time")
 
 
@@ -46,10 +57,8 @@ def gaps(bars: DataFrame, expected: DataFrame, timeframe: Timeframe) -> DataFram
     """symbol, from, to (last missing slot), missing_bars, minutes of each run of missing slots."""
     minutes = timeframe.minutes
     missing = expected.join(bars.select("symbol", "open_time").distinct(), ["symbol", "open_time"], "left_anti")
-    w = Window.partitionBy("symbol").orderBy("open_time")
-    new = F.coalesce(F.col("open_time") != F.lag("open_time").over(w) + _step(timeframe), F.lit(True))
-    runs = missing.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = runs.groupBy("symbol", "run").agg(F.min("open_time").alias("from"), F.max("open_time").alias("to"), F.count("*").alias("missing_bars"))
+    run = F.expr("open_time - make_dt_interval(0, 0, cast(_pos * %d as int))" % minutes)  # the same for neighbours
+    runs = positioned(missing, ["symbol"]).groupBy("symbol", run.alias("run")).agg(F.min("open_time").alias("from"), F.max("open_time").alias("to"), F.count("*").alias("missing_bars"))
     return runs.select("symbol", "from", "to", "missing_bars", (F.col("missing_bars") * float(minutes)).alias("minutes"))
 
 
@@ -60,43 +69,55 @@ def bad_spread(bars: DataFrame) -> DataFrame:
 def wide_spread(bars: DataFrame, quantile: float = 0.999) -> DataFrame:
     """Threshold (exact, interpolated quantile of positive spreads, 0 without any) and the bars above it."""
     spread = F.col("ask_close") - F.col("bid_close")
-    limit = bars.where(spread > 0).groupBy("symbol").agg(F.percentile(spread, quantile).alias("threshold"))
+    limit = exact_quantile(bars.select("symbol", spread.alias("spread")).where("spread > 0"), ["symbol"], "spread", quantile, "threshold")
     both = bars.join(limit, "symbol", "left")
     return both.groupBy("symbol").agg(F.coalesce(F.first("threshold", True), F.lit(0.0)).alias("threshold"), F.count_if(F.coalesce(spread > F.col("threshold"), F.lit(False))).alias("wide_spread_count"))
 
 
 def with_jumps(bars: DataFrame, timeframe: Timeframe, multiple: float = 10.0, period: int = 14) -> DataFrame:
     """``bars`` with ``jump``: a close moved more than ``multiple`` mean ranges against the bar just before."""
-    w = Window.partitionBy("symbol").orderBy("open_time")
-    last = w.rowsBetween(-(period - 1), 0)
     mid = (F.col("bid_close") + F.col("ask_close")) / 2
     span = F.abs(F.col("bid_high") - F.col("bid_low"))
-    df = bars.withColumns({"_mid": mid, "_range": F.when(F.count(span).over(last) == period, F.avg(span).over(last))})
-    moved = F.abs(F.col("_mid") - F.lag("_mid").over(w)) > multiple * F.col("_range")
-    adjacent = F.col("open_time") == F.lag("open_time").over(w) + _step(timeframe)
-    return df.withColumn("jump", F.coalesce(moved & adjacent, F.lit(False))).drop("_mid", "_range")
+
+    def run(df, w):
+        last = w.rowsBetween(-(period - 1), 0)
+        df = df.withColumns({"_mid": mid, "_range": F.when(F.count(span).over(last) == period, F.avg(span).over(last))})
+        moved = F.abs(F.col("_mid") - F.lag("_mid").over(w)) > multiple * F.col("_range")
+        adjacent = F.col("open_time") == F.lag("open_time").over(w) + _step(timeframe)
+        return df.withColumn("jump", F.coalesce(moved & adjacent, F.lit(False))).drop("_mid", "_range")
+
+    return windowed(bars, ["symbol"], run, period)
 
 
 def price_jumps(bars: DataFrame, timeframe: Timeframe, multiple: float = 10.0) -> DataFrame:
     return with_jumps(bars, timeframe, multiple).groupBy("symbol").agg(F.count_if("jump").alias("price_jump_count"))
 
 
-def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None, multiple: float = 10.0, quantile: float = 0.999, order: str | None = None) -> DataFrame:
-    """One report row for each symbol; ``gaps`` lists the missing runs. All but the duplicate counts see deduplicated bars."""
+def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None, multiple: float = 10.0, quantile: float = 0.999, order: str | None = None, symbols: tuple[str, ...] = ()) -> DataFrame:
+    """One report row for each symbol; ``gaps`` lists the missing runs. All but the duplicate counts see deduplicated bars.
+
+    With a window (``start`` and ``stop``), each of ``symbols`` has a report even if it has no bars: all that was due is missing then.
+    """
     if timeframe.delta is None:
         raise ValueError(f"{timeframe.value}: quality is defined for fixed lengths only")
     require_ntz(bars, "open_time", "close_time")
     one = deduped(bars, order)
     due = expected_bars(one, timeframe, start, stop)
+    names = bars.select("symbol").distinct()
+    if symbols and start and stop:
+        given = bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+        due = due.union(expected_slots(given.join(names, "symbol", "left_anti"), timeframe, start, stop))
+        names = names.union(given).distinct()
     found = gaps(one, due, timeframe)
     text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     item = F.struct(text("from").alias("from"), text("to").alias("to"), "missing_bars", "minutes")
     listed = found.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("gaps"), F.max("minutes").alias("longest_gap_minutes"), F.sum("missing_bars").alias("missing_bars"))
     actual = one.join(due, ["symbol", "open_time"], "left_semi").groupBy("symbol").agg(F.count("*").alias("actual_bars"))
-    out = dup_counts(bars).join(due.groupBy("symbol").agg(F.count("*").alias("expected_bars")), "symbol", "left")
+    out = names.join(dup_counts(bars), "symbol", "left").join(due.groupBy("symbol").agg(F.count("*").alias("expected_bars")), "symbol", "left")
     for part in (actual, listed, bad_spread(one), wide_spread(one, quantile), price_jumps(one, timeframe, multiple)):
         out = out.join(part, "symbol", "left")
-    zero = {c: 0 for c in ("expected_bars", "actual_bars", "missing_bars")} | {"longest_gap_minutes": 0.0}
+    counts = ("duplicate_count", "conflicting_count", "expected_bars", "actual_bars", "missing_bars", "bad_spread_count", "wide_spread_count", "price_jump_count")
+    zero = dict.fromkeys(counts, 0) | {"longest_gap_minutes": 0.0, "threshold": 0.0}
     return out.fillna(zero).withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<from:string,to:string,missing_bars:bigint,minutes:double>>")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import caltime as K
+from barloom.operators.spans import quantile
 from barloom.schema import BAR_COLUMNS, Timeframe, require_ntz
 
 
@@ -48,14 +49,21 @@ def resample(bars: DataFrame, timeframe: Timeframe, confirmed: bool = True) -> D
         raise ValueError("1m is the source, not a target")
     require_ntz(bars, "open_time", "close_time")
     ends = lambda f, x: f(x, "open_time")
-    aggs = [F.sum("volume").alias("volume"), F.min("open_time").alias("first_open"), F.max("close_time").alias("last_close")]
+    aggs = [F.sum("volume").alias("volume")]
     for s in ("bid", "ask"):
         aggs += [ends(F.min_by, f"{s}_open").alias(f"{s}_open"), F.max(f"{s}_high").alias(f"{s}_high"), F.min(f"{s}_low").alias(f"{s}_low"), ends(F.max_by, f"{s}_close").alias(f"{s}_close")]
-    out = _bounds(_keyed(bars, timeframe).groupBy("symbol", "bucket").agg(*aggs), timeframe)
-    if confirmed:
-        span = bars.groupBy("symbol").agg(F.min("open_time").alias("from"), F.max("close_time").alias("to"))
-        out = out.join(span, "symbol").where("open_time >= from AND close_time <= to")
-    return out.select("symbol", *BAR_COLUMNS)
+    out = _bounds(_keyed(bars, timeframe).groupBy("symbol", "bucket").agg(*aggs), timeframe).select("symbol", *BAR_COLUMNS)
+    return confirmed_only(out, spans(bars)) if confirmed else out
+
+
+def spans(bars: DataFrame) -> DataFrame:
+    """symbol, from, to: what time each symbol's bars span."""
+    return bars.groupBy("symbol").agg(F.min("open_time").alias("from"), F.max("close_time").alias("to"))
+
+
+def confirmed_only(derived: DataFrame, source: DataFrame) -> DataFrame:
+    """The derived bars that lie whole within the ``spans`` of their source."""
+    return derived.join(source, "symbol").where("open_time >= from AND close_time <= to").select("symbol", *BAR_COLUMNS)
 
 
 def source_coverage(bars: DataFrame, derived: DataFrame, timeframe: Timeframe) -> DataFrame:
@@ -75,4 +83,5 @@ def source_coverage(bars: DataFrame, derived: DataFrame, timeframe: Timeframe) -
 
 def coverage_summary(coverage: DataFrame, low: float = 0.9) -> DataFrame:
     """Bars, least and median coverage, and bars below ``low``, by symbol."""
-    return coverage.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("coverage").alias("min_coverage"), F.percentile("coverage", 0.5).alias("median_coverage"), F.count_if(F.col("coverage") < low).alias("low_bars"))
+    median = quantile(coverage, ["symbol"], "coverage", 0.5, "median_coverage")
+    return coverage.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("coverage").alias("min_coverage"), F.count_if(F.col("coverage") < low).alias("low_bars")).join(median, "symbol", "left").select("symbol", "bars", "min_coverage", "median_coverage", "low_bars")

@@ -59,8 +59,8 @@ def combine_sides(bid: DataFrame, ask: DataFrame, timeframe: Timeframe) -> DataF
     """Bars of two sides (symbol, open_time, open, high, low, close, volume): the times that both have; volume of the Bid."""
     if timeframe.delta is None:
         raise ValueError(f"{timeframe.value}: sides are combined for fixed lengths only")
-    require_ntz(bid, "open_time")
-    require_ntz(ask, "open_time")
+    require_ntz(bid, "open_time", of="bid side: ")
+    require_ntz(ask, "open_time", of="ask side: ")
     side = lambda df, name, *more: df.select("symbol", "open_time", *(F.col(f).alias(f"{name}_{f}") for f in ("open", "high", "low", "close")), *more)
     both = side(bid, "bid", "volume").join(side(ask, "ask"), ["symbol", "open_time"])
     return both.withColumn("close_time", F.col("open_time") + F.expr(f"interval {timeframe.minutes} minutes")).select("symbol", *BAR_COLUMNS)

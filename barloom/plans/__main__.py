@@ -23,6 +23,15 @@ def _time(text: str) -> datetime:
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Run a job; returns its exit code. What a user can mend (settings, options, locked or faulty data) ends in a message and code 1."""
+    try:
+        return _main(args, spark)
+    except (ValueError, KeyError, PermissionError, FileNotFoundError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 1
+
+
+def _main(args: list[str] | None, spark: SparkSession | None) -> int:
     p = argparse.ArgumentParser(prog="barloom.plans")
     p.add_argument("--settings", required=True)
     jobs = p.add_subparsers(dest="job", required=True)

@@ -7,15 +7,32 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.resample import coverage_summary, resample, source_coverage
+from barloom.operators.resample import confirmed_only, coverage_summary, resample, source_coverage, spans
 from barloom.schema import DERIVED, Timeframe
 
 
+def _finest(timeframe: Timeframe, timeframes) -> Timeframe | None:
+    """The longest of the fixed ``timeframes`` below ``timeframe`` that divides it; calendar frames build on an hour or less (their days begin on a full hour)."""
+    whole = timeframe.minutes if timeframe.delta is not None else 60
+    fit = [t for t in timeframes if t.delta is not None and t is not timeframe and whole % t.minutes == 0 and (timeframe.delta is None or t.minutes < whole)]
+    return max(fit, key=lambda t: t.minutes, default=None)
+
+
+def derived(bars: DataFrame, timeframes=DERIVED) -> dict[Timeframe, DataFrame]:
+    """Confirmed bars of each time frame. Each is built from the longest finer one that divides it, so minutes are read and shuffled once for all."""
+    whole: dict[Timeframe, DataFrame] = {}
+    for t in sorted(timeframes, key=lambda t: (t.delta is None, t.minutes if t.delta is not None else 0)):
+        finer = _finest(t, whole)
+        whole[t] = resample(whole[finer] if finer else bars, t, confirmed=False)
+    source = spans(bars)
+    return {t: confirmed_only(whole[t], source) for t in timeframes}
+
+
 def all_timeframes(bars: DataFrame, timeframes=DERIVED) -> DataFrame:
-    """Bars of every time frame in one table, with ``timeframe``: one scan of the source for all of them."""
+    """Bars of every time frame in one table, with ``timeframe``; stages that frames share are one exchange each."""
     out = None
-    for t in timeframes:
-        part = resample(bars, t).withColumn("timeframe", F.lit(t.value))
+    for t, part in derived(bars, timeframes).items():
+        part = part.withColumn("timeframe", F.lit(t.value))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -28,8 +45,7 @@ def build(settings, lake, *, as_of: datetime, meta=None, timeframes: tuple[Timef
     source = lake.load(settings.symbol, Timeframe.M1, as_of=as_of).cache()
     out = {}
     try:
-        for t in timeframes:
-            bars = resample(source, t)
+        for t, bars in derived(source, timeframes).items():
             if bars.isEmpty():
                 continue
             lake.replace(settings.symbol, t, bars)

@@ -61,7 +61,7 @@ def fetch(source, lake, meta, symbol: str, start: datetime, end: datetime, *, ti
             meta.record_fetch(symbol, timeframe.value, lo, hi)
             out.saved += 1
     stored = lake.load(symbol, timeframe, as_of=aware(end), start=aware(start))
-    report = check(stored, timeframe, start, end).first()
+    report = check(stored, timeframe, start, end, symbols=(symbol,)).first()  # a window without bars has one too
     if report is not None:
         meta.record_quality(symbol, timeframe.value, {"timeframe": timeframe.value} | report.asDict(recursive=True))
     return out

@@ -63,7 +63,7 @@ def resample_select(t: Timeframe, confirmed: bool = True, source: str = "b") ->
 
 
 def _coverage(spark, sf_dir, t=H4):
-    b = bars(spark, sf_dir).cache()
+    b = bars(spark, sf_dir)
     return source_coverage(b, resample(b, t), t)
 
 
@@ -78,7 +78,7 @@ def _coverage_sql(t=H4):
 
 
 def build_all(spark, sf_dir):
-    return all_timeframes(bars(spark, sf_dir).cache())
+    return all_timeframes(bars(spark, sf_dir))
 
 
 def _faulty(spark, sf_dir):
@@ -106,7 +106,7 @@ gp AS (SELECT symbol, min(open_time) AS "from", max(open_time) AS "to", count(*)
 
 
 def gaps(spark, sf_dir):
-    b = bars(spark, sf_dir).cache()
+    b = bars(spark, sf_dir)
     return Q.gaps(b, Q.expected_bars(b, M1), M1)
 
 
@@ -116,7 +116,7 @@ def expected_bars(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    return Q.check(_faulty(spark, sf_dir).cache(), M1)
+    return Q.check(_faulty(spark, sf_dir), M1)
 
 
 def quality_report(spark, sf_dir):
@@ -125,6 +125,18 @@ def quality_report(spark, sf_dir):
     return r.withColumns({"n_gaps": F.size("gaps").cast("long"), "first_gap": F.concat_ws("/", first["from"], first["to"], first["missing_bars"].cast("string")), "threshold": F.round("threshold", 9)}).drop("gaps")
 
 
+EMPTY = (datetime(2024, 3, 1), datetime(2024, 3, 9))
+
+
+def quality_report_empty_window(spark, sf_dir):
+    """A window after the last bar: each symbol has a report, and all that was due is missing."""
+    b = bars(spark, sf_dir)
+    symbols = tuple(r.symbol for r in b.select("symbol").distinct().orderBy("symbol").collect())
+    r = Q.check(b.where(F.col("open_time") >= F.lit(EMPTY[0])), M1, *EMPTY, symbols=symbols)
+    first = F.col("gaps")[0]
+    return r.select("symbol", "expected_bars", "actual_bars", "missing_bars", "duplicate_count", "longest_gap_minutes", F.size("gaps").cast("long").alias("n_gaps"), F.concat_ws("/", first["from"], first["to"], first["missing_bars"].cast("string")).alias("first_gap"))
+
+
 _JUMPS_SQL = """jp AS (SELECT symbol, count(*) FILTER (WHERE jump)::BIGINT AS price_jump_count FROM (
   SELECT symbol, abs(m - lag(m) OVER w) > 10 * (CASE WHEN count(*) OVER f = 14 THEN avg(r) OVER f END) AND open_time = lag(open_time) OVER w + INTERVAL '1 minute' AS jump
   FROM (SELECT symbol, open_time, (bid_close + ask_close) / 2 AS m, abs(bid_high - bid_low) AS r FROM b)
@@ -172,7 +184,7 @@ def ticks_to_1m(spark, sf_dir):
 
 
 def mtf(spark, sf_dir):
-    b = bars(spark, sf_dir).cache()
+    b = bars(spark, sf_dir)
     return mtf_asof(b, resample(b, H4), ["bid_close"]).select("symbol", "open_time", "h_open_time", "h_bid_close")
 
 
@@ -192,6 +204,7 @@ QUERIES = {
     "wide_spread": lambda s, d: _rounded(Q.wide_spread(bars(s, d)), "threshold", digits=9),
     "price_jumps": lambda s, d: Q.price_jumps(bars(s, d), M1),
     "quality_report": quality_report,
+    "quality_report_empty_window": quality_report_empty_window,
     "gap_summary": lambda s, d: Q.gap_summary(_report(s, d)),
     "lake_as_of_scan": lake_as_of_scan,
     "lake_years": lake_years,
@@ -232,6 +245,11 @@ SQL = {
         ex AS (SELECT symbol, count(*)::BIGINT AS expected_bars FROM x GROUP BY symbol), ac AS (SELECT symbol, count(*)::BIGINT AS actual_bars FROM x SEMI JOIN b USING (symbol, open_time) GROUP BY symbol),
         bs AS (SELECT symbol, count(*) FILTER (WHERE ask_close <= bid_close)::BIGINT AS bad_spread_count FROM b GROUP BY symbol)
         SELECT * REPLACE (round(threshold, 9) AS threshold) FROM dc JOIN ex USING (symbol) JOIN ac USING (symbol) JOIN gs USING (symbol) JOIN bs USING (symbol) JOIN ws USING (symbol) JOIN jp USING (symbol)""",
+    "quality_report_empty_window": f"""{with_bars()}, x AS (SELECT symbol, m AS open_time FROM (SELECT DISTINCT symbol FROM b), (SELECT unnest(generate_series(TIMESTAMP '2024-03-01', TIMESTAMP '2024-03-08 23:59:00', INTERVAL '1 minute')) AS m) WHERE {open_sql('m')}),
+        runs AS (SELECT symbol, open_time, open_time - row_number() OVER (PARTITION BY symbol ORDER BY open_time) * INTERVAL '1 minute' AS g FROM x),
+        gp AS (SELECT symbol, min(open_time) AS f, max(open_time) AS t, count(*)::BIGINT AS n FROM runs GROUP BY symbol, g)
+        SELECT symbol, sum(n)::BIGINT AS expected_bars, 0::BIGINT AS actual_bars, sum(n)::BIGINT AS missing_bars, 0::BIGINT AS duplicate_count, max(n)::DOUBLE AS longest_gap_minutes, count(*)::BIGINT AS n_gaps,
+               first(strftime(f, '%Y-%m-%d %H:%M:%S+00:00') || '/' || strftime(t, '%Y-%m-%d %H:%M:%S+00:00') || '/' || n ORDER BY f) AS first_gap FROM gp GROUP BY symbol""",
     "gap_summary": f"""{_SUMMARY_PARTS}, g2 AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE minutes >= 1440) AS l, coalesce(max(minutes) FILTER (WHERE minutes < 1440), 0)::BIGINT AS r, FROM gp GROUP BY symbol),
         ex AS (SELECT symbol, count(*) AS e FROM x GROUP BY symbol), ac AS (SELECT symbol, count(*) AS a FROM x SEMI JOIN b USING (symbol, open_time) GROUP BY symbol)
         SELECT symbol, printf('coverage %.2f%%, %d gaps (%d of a day or more, longest other %d min)', 100.0::DOUBLE * a / e, n, l, r) AS summary FROM g2 JOIN ex USING (symbol) JOIN ac USING (symbol)""",

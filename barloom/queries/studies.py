@@ -66,7 +66,8 @@ def _signalled(spark, sf_dir):
 
 
 def _shown(df):
-    return df.select("symbol", "grp", F.col("horizon").cast("long").alias("horizon"), F.col("n").cast("long").alias("n"), *(F.round(c, 5).alias(c) for c in E.STATS[1:]))
+    more = ["n_signals"] if "n_signals" in df.columns else []
+    return df.select("symbol", "grp", F.col("horizon").cast("long").alias("horizon"), *more, F.col("n").cast("long").alias("n"), *(F.round(c, 5).alias(c) for c in E.STATS[1:]))
 
 
 def scan_sql(signal: str = "bid_close > 150", view: str = "EV", horizons=E.HORIZONS, groups: bool = False, where: str = "TRUE", head: str | None = None, source: str = "b", side: str = "long") -> str:
@@ -80,13 +81,15 @@ def scan_sql(signal: str = "bid_close > 150", view: str = "EV", horizons=E.HORIZ
     st AS (SELECT symbol, grp, horizon, count(*) AS n, avg(ret) AS mean, quantile_cont(ret, 0.5) AS median, avg((ret > 0)::INT) AS win_rate, stddev_samp(ret) AS std FROM sm GROUP BY ALL),
     s2 AS (SELECT *, n * n / o AS n_eff FROM st JOIN ov USING (symbol, grp, horizon)),
     s3 AS (SELECT *, CASE WHEN n_eff >= 2 AND n >= 2 THEN ({t}) * std / sqrt(n_eff) END AS half FROM s2),
-    sp AS (SELECT DISTINCT symbol, grp, horizon FROM (SELECT symbol, {g} AS grp FROM pb), hz)
-    SELECT symbol, grp, horizon, coalesce(n, 0)::BIGINT AS n, coalesce(round(n_eff, 5), 0) AS n_eff, round(mean, 5) AS mean, round(median, 5) AS median, round(win_rate, 5) AS win_rate, round(std, 5) AS std,
+    sp AS (SELECT symbol, grp, horizon, n_signals FROM (SELECT symbol, grp, count(*) FILTER (WHERE sig)::BIGINT AS n_signals FROM (SELECT symbol, sig, {g} AS grp FROM pb) GROUP BY ALL), hz)
+    SELECT symbol, grp, horizon, n_signals, coalesce(n, 0)::BIGINT AS n, coalesce(round(n_eff, 5), 0) AS n_eff, round(mean, 5) AS mean, round(median, 5) AS median, round(win_rate, 5) AS win_rate, round(std, 5) AS std,
     round(mean - half, 5) AS ci_lo, round(mean + half, 5) AS ci_hi FROM sp LEFT JOIN s3 USING (symbol, grp, horizon)"""
 
 
 def forward_returns(spark, sf_dir):
-    return _signalled(spark, sf_dir).select("symbol", "open_time", F.round(E.forward_return(5), 6).alias("long_net"), F.round(E.forward_return(5, "short"), 6).alias("short_net"), F.round(E.forward_return(60, deduct_spread=False), 6).alias("long_gross"))
+    columns = {"long_net": {"h": 5}, "short_net": {"h": 5, "direction": "short"}, "long_gross": {"h": 60, "deduct_spread": False}}
+    out = E.forward_returns(_signalled(spark, sf_dir), columns)
+    return out.select("symbol", "open_time", *(F.round(c, 6).alias(c) for c in columns))
 
 
 def signal_align(spark, sf_dir):
@@ -106,7 +109,15 @@ def flagship(spark, sf_dir, horizons=(1, 5, 15)):
 
 
 def edge_json(spark, sf_dir):
-    return E.edge_json(_shown(E.scan(_signalled(spark, sf_dir), horizons=(5, 60)))).select("symbol", F.get_json_object("json", "$[0].n").cast("long").alias("n0"), F.get_json_object("json", "$[1].horizon").cast("long").alias("h1"), F.get_json_object("json", "$[1].mean").cast("double").alias("mean1"))
+    """A scan by session as one JSON document a symbol; numbers have five decimals, so that both engines write them alike."""
+    b = _signalled(spark, sf_dir)
+    stats = E.scan(b, horizons=(5, 60), group_by="session")
+    stats = stats.select("symbol", "grp", F.col("horizon").cast("long").alias("horizon"), F.col("n").cast("long").alias("n"), *(F.round(c, 5).cast("decimal(20,5)").alias(c) for c in E.STATS[1:]))
+    return E.edge_json(stats, E.covered(b))
+
+
+_ROW = "'{\"horizon\":' || horizon || ',\"n\":' || n || " + " || ".join(f"',\"{c}\":' || coalesce({c}::DECIMAL(20,5)::VARCHAR, 'null')" for c in E.STATS[1:]) + " || '}'"
+_TIME = "'%Y-%m-%dT%H:%M:%S+00:00'"
 
 
 def _ranges(spark, sf_dir):
@@ -164,6 +175,7 @@ QUERIES = {
     "edge_scan_by_session": lambda s, d: _shown(E.scan(_signalled(s, d), group_by="session")),
     "edge_scan_period": _period_scan,
     "edge_json": edge_json,
+    "edge_covered": lambda s, d: E.covered(_signalled(s, d), "short", False),
     "flagship_rsi_scan": flagship,
     "period_slice": lambda s, d: SETTINGS.slice_bars(bars(s, d, "OR"), "training").select("symbol", "open_time", "bid_close"),
     "locked_count": lambda s, d: locked_count(bars(s, d, "OR"), SETTINGS),
@@ -188,11 +200,16 @@ SQL = {
     "effective_n": f"SELECT symbol, grp, horizon, n, n_eff FROM ({scan_sql()}) WHERE n > 0",
     "t95": f"""SELECT df, round(CASE {' '.join(f'WHEN floor(df) = {i} THEN {v}::DOUBLE' for i, v in enumerate(E.T95, 1))} WHEN df >= 31 THEN 1.959964::DOUBLE * (1 + 1 / (4 * df)) END, 9) AS t
         FROM (SELECT DISTINCT (event_id % 120)::DOUBLE / 2 AS df FROM events)""",
-    "horizon_stats": f"SELECT * FROM ({scan_sql(side='short')}) WHERE n > 0",
+    "horizon_stats": f"SELECT * EXCLUDE (n_signals) FROM ({scan_sql(side='short')}) WHERE n > 0",
     "edge_scan": scan_sql(),
     "edge_scan_by_session": scan_sql(groups=True),
     "edge_scan_period": scan_sql(view="OR", horizons=(1, 5, 15), where="open_time >= TIMESTAMP '1995-01-01' AND open_time < TIMESTAMP '1998-01-01'"),
-    "edge_json": f"SELECT symbol, max(n) FILTER (WHERE horizon = 5) AS n0, 60::BIGINT AS h1, max(mean) FILTER (WHERE horizon = 60) AS mean1 FROM ({scan_sql(horizons=(5, 60))}) GROUP BY symbol",
+    "edge_json": f"""SELECT symbol, '{{"n_signals":' || n_signals || ',"direction":"long","deduct_spread":true,"covered_start":"' || covered_start || '","covered_end":"' || covered_end
+            || '","horizons":' || max(rows) FILTER (WHERE grp = 'ALL') || ',"by_group":{{' || string_agg('"' || grp || '":' || rows, ',' ORDER BY grp) FILTER (WHERE grp <> 'ALL') || '}}}}' AS json
+        FROM (SELECT symbol, grp, '[' || string_agg({_ROW}, ',' ORDER BY horizon) || ']' AS rows FROM ({scan_sql(horizons=(5, 60), groups=True)}) GROUP BY ALL)
+        JOIN ({with_bars()} SELECT symbol, count(*) FILTER (WHERE bid_close > 150) AS n_signals, strftime(min(open_time), {_TIME}) AS covered_start, strftime(max(open_time), {_TIME}) AS covered_end FROM b GROUP BY symbol) USING (symbol)
+        GROUP BY symbol, n_signals, covered_start, covered_end""",
+    "edge_covered": f"{with_bars()} SELECT symbol, count(*) FILTER (WHERE bid_close > 150)::BIGINT AS n_signals, 'short' AS direction, false AS deduct_spread, min(open_time) AS covered_start, max(open_time) AS covered_end FROM b GROUP BY symbol",
     "flagship_rsi_scan": scan_sql("rsi < 30", horizons=(1, 5, 15), groups=True, head=_RSI_HEAD, source="br"),
     "period_slice": f"{with_bars('OR')} SELECT symbol, open_time, bid_close FROM b WHERE open_time < TIMESTAMP '1998-01-01'",
     "locked_count": f"{with_bars('OR')} SELECT symbol, count(*) FILTER (WHERE open_time >= TIMESTAMP '1998-01-01' AND open_time < TIMESTAMP '2002-01-01')::BIGINT AS locked_bars FROM b GROUP BY symbol",

@@ -72,8 +72,8 @@ def empty_bars(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], BAR_SCHEMA)
 
 
-def require_ntz(df: DataFrame, *names: str) -> None:
-    """Reject time columns with a session time zone: their wall clock would depend on who reads them."""
+def require_ntz(df: DataFrame, *names: str, of: str = "") -> None:
+    """Reject time columns with a session time zone: their wall clock would depend on who reads them. ``of`` names the table in the message."""
     for n in names:
         if not isinstance(df.schema[n].dataType, T.TimestampNTZType):
-            raise ValueError(f"{n} must be TIMESTAMP_NTZ in UTC, not {df.schema[n].dataType.simpleString()}; convert it first")
+            raise ValueError(f"{of}{n} must be TIMESTAMP_NTZ in UTC, not {df.schema[n].dataType.simpleString()}; convert it first")

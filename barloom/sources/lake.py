@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.caltime import ensure_utc_timestamp
-from barloom.operators.validate import validate_bars
+from barloom.operators.validate import project_bars, validate_bars
 from barloom.schema import BAR_COLUMNS, BAR_SCHEMA, VALUES, Timeframe, empty_bars
 
 
@@ -88,25 +88,33 @@ class Lake:
     def save(self, symbol: str, timeframe: Timeframe, bars: DataFrame) -> int:
         """Merge bars into the lake; returns how many were given.
 
-        All affected years are merged, checked and staged before the first is swapped in, so a failure changes
-        nothing. Bars that differ from stored ones are an error.
+        The bars are written to the side once; then all affected years are merged, staged and checked before the first is
+        swapped in, so a failure until then changes nothing. Years are swapped one after another: a crash between two leaves
+        whole years, some old and some new, and saving the same bars again completes it. Bars that differ from stored ones are an error.
         """
-        new = validate_bars(bars.withColumn("symbol", F.lit(symbol)), timeframe).withColumn("year", F.year("open_time"))
-        years = [r.year for r in new.groupBy("year").count().collect()]
-        if not years:
-            return 0
-        old = self._read(symbol, timeframe).where(F.col("year").isin(years))
-        clash = merge_conflicts(old.drop("year").unionByName(new.drop("year"))).orderBy("open_time").limit(5).collect()
-        if clash:
-            raise ValueError(f"stored bars differ from new ones at {[str(r.open_time) for r in clash]}")
-        whole = validate_bars(merged(old.drop("year"), new.drop("year")), timeframe)
         live = self.dir(symbol, timeframe)
-        staged = f"{live}/.staging-{uuid.uuid4().hex}"
-        whole.drop("symbol").withColumn("year", F.year("open_time")).repartition("year").sortWithinPartitions("open_time").write.partitionBy("year").parquet(staged)
-        for y in years:
-            self._swap(f"{staged}/year={y}", f"{live}/year={y}")
-        self._delete(staged)
-        return new.count()
+        given, staged = (f"{live}/.{kind}-{uuid.uuid4().hex}" for kind in ("given", "staging"))
+        try:
+            project_bars(bars.withColumn("symbol", F.lit(symbol))).write.parquet(given)  # computed once; all that follows reads this
+            new = validate_bars(self.spark.read.schema(BAR_SCHEMA).parquet(given), timeframe)
+            sizes = {r.year: r["count"] for r in new.groupBy(F.year("open_time").alias("year")).count().collect()}
+            if not sizes:
+                return 0
+            old = self._read(symbol, timeframe).where(F.col("year").isin(list(sizes))).drop("year")
+            clash = merge_conflicts(old.unionByName(new)).orderBy("open_time").limit(5).collect()
+            if clash:
+                raise ValueError(f"stored bars differ from new ones at {[str(r.open_time) for r in clash]}")
+            self._stage(merged(old, new), staged)
+            validate_bars(self.spark.read.parquet(staged).withColumn("symbol", F.lit(symbol)), timeframe)
+            for y in sizes:
+                self._swap(f"{staged}/year={y}", f"{live}/year={y}")
+            return sum(sizes.values())
+        finally:
+            self._delete(given)
+            self._delete(staged)
+
+    def _stage(self, bars: DataFrame, path: str) -> None:
+        bars.drop("symbol").withColumn("year", F.year("open_time")).repartition("year").sortWithinPartitions("open_time").write.partitionBy("year").parquet(path)
 
     def drop(self, symbol: str, timeframe: Timeframe) -> int:
         """Delete a derived time frame; returns how many years it had."""
@@ -125,7 +133,7 @@ class Lake:
             raise ValueError("refusing to replace with no bars")
         live = self.dir(symbol, timeframe)
         staged = f"{self.root}/bars/symbol={symbol}/.staging-{uuid.uuid4().hex}"
-        bars.drop("symbol").withColumn("year", F.year("open_time")).repartition("year").sortWithinPartitions("open_time").write.partitionBy("year").parquet(staged)
+        self._stage(bars, staged)
         self._swap(staged, live)
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
+import math
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def quarantined(rows: DataFrame) -> DataFrame:
     return rows.where(F.get_json_object("payload", "$.status") == "quarantined")
 
 
+def json_safe(x):
+    """``x`` as JSON can hold it: null for what is not finite, ISO 8601 for times, lists for tuples."""
+    if isinstance(x, float) and not math.isfinite(x):
+        return None
+    if isinstance(x, (datetime, date)):
+        return x.isoformat()
+    if isinstance(x, dict):
+        return {str(k): json_safe(v) for k, v in x.items()}
+    return [json_safe(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+
 class Meta:
     """Appends rows of small tables under ``root``; ``seq`` orders them. One writer at a time."""
 
@@ -70,7 +82,7 @@ class Meta:
         return [(r.start, r.stop) for r in merge_ranges(df).orderBy("start").collect()]
 
     def record_quality(self, symbol: str, timeframe: str, payload: dict, table: str = "quality_reports") -> None:
-        self._append(table, symbol, timeframe, json.dumps(payload, allow_nan=False))
+        self._append(table, symbol, timeframe, json.dumps(json_safe(payload), allow_nan=False))
 
     def _reports(self, symbol: str, timeframe: str, table: str) -> DataFrame:
         return self._table(table).where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe))
