@@ -7,9 +7,11 @@ segment occurs in the longer, shifted by a few places at most. So each distinct
 its segments, and probes, for each length down to k less, the substrings that such a segment could be (only as many as the
 shift around the edits before and after it allows). Lines with the same text are one line first. Index and probes
 are dealt and sorted by the substring's hash, and each task walks its keys in order; a parity signature of the
-symbols, which an edit changes in two bits at most, is compared there, so lines that merely share a long passage give no
-pair. A key of very many lines is cut into blocks, which are compared two at a time by tasks of their own. Pairs are
-verified on their texts by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time.
+symbols, which an edit changes in two bits at most, is compared there, so lines that merely share a long passage go no
+further. A key of very many lines is cut into blocks, which are compared two at a time by tasks of their own. Lines
+that met another go on, with their texts, to the group of each key where they did; a pair is verified in the first of the keys
+that it shares, by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time. What leaves
+a group is a row a line: its number of near lines there, and the earliest of them; pairs never become rows.
 
 Lines are told apart by 128 bits of BLAKE2b of their bytes; 64-bit hashes only find pairs, which texts decide.
 """
@@ -30,13 +32,14 @@ from barloom.llm import common as C
 WORDS = 10
 EDITS = 4
 SEEN = 200_000
-#: Rows of keys that a task walks at once, rows of a key from which on it is compared in blocks, and the most bits (a
-#: power of two) of a broadcast bitmap: 32 MB.
+#: Rows of keys that a task walks at once, rows of a key from which on it is compared in blocks, lines and characters of a
+#: block of a group that is verified, and the most bits (a power of two) of a broadcast bitmap: 32 MB.
 WALK_ROWS = 200_000
 BLOCK_ROWS = 8192
+GROUP_LINES, GROUP_CHARS = 1024, 4_000_000
 MOST_BITS = 28
-#: Bits of a signature that tell symbols apart; three more hold the edits.
-KINDS = 29
+#: Bits of a signature that tell symbols apart; three more hold the edits, and one the role.
+KINDS = 28
 
 
 class Lines:
@@ -92,13 +95,21 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return [(sum(size[:i], np.zeros_like(length)), size[i]) for i in range(k)]
 
 
+def parities(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of ranges of symbol values, for each of KINDS kinds, whether a range has an odd number of them."""
+    bits = np.uint32(1) << (values % np.uint64(KINDS)).astype(np.uint32)
+    total = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bits)])
+    return total[stop] ^ total[start]
+
+
 def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines as ranges of symbol values: which line, the key, whether it indexes (or else probes), the signature."""
+    """Of lines as ranges of symbol values: which line, the key, whether it indexes (or else probes), the signature.
+
+    A signature is negative where the key indexes; then come three bits for the edits, and the parities.
+    """
     length = stop - start
     own = allowed(length, words)
-    bits = np.uint32(1) << (values % np.uint64(KINDS)).astype(np.uint32)
-    parity = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bits)])
-    parity = (parity[stop] ^ parity[start]).astype(np.int64)
+    parity = parities(values, start, stop).astype(np.int64)
     rows, found, index, sig = [], [], [], []
     up, down = C._WORD_POWERS[1].to(len(values) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
@@ -108,7 +119,7 @@ def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -
         rows.append(line)
         found.append((C.mixed((sums[begin + size] - sums[begin]) * down[begin]) ^ tag).view(np.int64))
         index.append(np.full(len(line), is_index))
-        sig.append(parity[line] | edits << KINDS)
+        sig.append(parity[line] | edits << KINDS | is_index << 31)
 
     for edits in range(1, int(allowed(length + EDITS, words).max(initial=0)) + 1):
         at = np.flatnonzero((own <= edits) & (edits <= allowed(length + edits, words)))  # the shorter line of a pair
@@ -169,25 +180,27 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray
     return out
 
 
-def near(a: list[str], b: list[str]) -> np.ndarray:
-    """Which pairs of lines are near, by their texts."""
+def near(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of ``texts`` are near lines."""
     number: dict[bytes, int] = {}
-    x, y, most = [], [], np.zeros(len(a), np.int64)
-    for i, pair in enumerate(zip(a, b, strict=True)):
-        split = [s.encode().split() for s in pair]
-        words = max(map(len, split)) >= WORDS
-        if words:
-            pair = [np.array([number.setdefault(w, len(number)) for w in s], np.uint32) for s in split]
-        else:
-            pair = [np.frombuffer(s.encode("utf-32-le"), "<u4") for s in pair]
-        x.append(pair[0])
-        y.append(pair[1])
-        most[i] = allowed(np.array(max(map(len, pair))), words)
-    out = np.zeros(len(a), bool)
+    words, chars = {}, {}
+    for k in np.union1d(i, j).tolist():
+        raw = texts[k].encode()
+        words[k] = np.array([number.setdefault(w, len(number)) for w in raw.split()], np.uint32)
+        if len(words[k]) < WORDS:
+            chars[k] = np.frombuffer(texts[k].encode("utf-32-le"), "<u4")
+    x, y, most = [], [], np.zeros(len(i), np.int64)
+    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        by_words = max(len(words[a]), len(words[b])) >= WORDS
+        of = words if by_words else chars
+        x.append(of[a])
+        y.append(of[b])
+        most[n] = allowed(max(len(of[a]), len(of[b])), by_words)
+    out = np.zeros(len(i), bool)
     for edits in np.unique(most[most > 0]).tolist():
         at = np.flatnonzero(most == edits)
-        out[at] = distances([x[i] for i in at], [y[i] for i in at], edits) <= edits
-    return out & np.array([s != t for s, t in zip(a, b, strict=True)], bool)
+        out[at] = distances([x[k] for k in at], [y[k] for k in at], edits) <= edits
+    return out & np.array([texts[a] != texts[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -215,7 +228,7 @@ def _all_lines(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """key, probe, h1, sig of each line that may be near another; lines that a task has seen lately are left out."""
+    """key, sig, h1 of each line that may be near another; lines that a task has seen lately are left out."""
 
     def run(batches):
         seen: set[int] = set()
@@ -229,33 +242,33 @@ def _keys(docs: DataFrame) -> DataFrame:
                 seen.update(h[at].tolist())
                 n = (x.high - x.low)[at]
                 for words, part in ((True, at[n >= WORDS - 1]), (False, at[n < WORDS])):
-                    row, key, index, sig = keys(*x.symbols(part, words), words)
-                    yield pa.record_batch({"key": pa.array(key), "probe": pa.array(~index), "h1": pa.array(h[part][row]), "sig": pa.array(sig)})
+                    row, key, _, sig = keys(*x.symbols(part, words), words)
+                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(h[part][row])})
 
-    return docs.mapInArrow(run, "key long, probe boolean, h1 long, sig int")
+    return docs.mapInArrow(run, "key long, sig int, h1 long")
 
 
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether signatures (which have the same edits) are as near as the edits allow."""
+    """Whether signatures, one that indexes and one that probes with the same edits, are as near as the edits allow."""
     x, y = x.view(np.uint32), y.view(np.uint32)
-    return np.bitwise_count(x ^ y) <= 2 * (x >> np.uint32(KINDS))
+    return np.bitwise_count(x ^ y) <= 2 * (y >> np.uint32(KINDS)) + 1
 
 
-def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (least hash first) of lines that index and probe the same key and whose signatures are close.
+def meetings(key: np.ndarray, sig: np.ndarray, h1: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and lines (h1) of the lines that index or probe a key where another's signature is close, each once.
 
-    Rows are sorted by key, probe, hash. ``most``: pairs of rows that are compared at once.
+    Rows are sorted by key, signature (so that those that index come first), hash. ``most``: pairs of rows that are compared at once.
     """
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (probe[1:] != probe[:-1]) | (h1[1:] != h1[:-1])])
-    key, probe, h1, sig = key[new], probe[new], h1[new], sig[new]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (h1[1:] != h1[:-1])])
+    key, sig, h1 = key[new], sig[new], h1[new]
     run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     stop = np.append(run[1:], len(key))
-    n = np.add.reduceat((~probe).astype(np.int64), run)
+    n = np.add.reduceat((sig < 0).astype(np.int64), run)
     ok = (n > 0) & (n < stop - run)
     run, stop, n = run[ok], stop[ok], n[ok]
     left = np.repeat(run - C.doc_offsets(n)[:-1], n) + np.arange(n.sum())  # every indexing row, with the probes of its run
     first, count = np.repeat(run + n, n), np.repeat(stop - run - n, n)
-    out = []
+    met = np.zeros(len(key), bool)
     for lo, hi in C.slices(count, most):
         c = count[lo:hi]
         for skip in range(0, int(c.max()), most):  # one row may have more probes than are compared at once
@@ -263,36 +276,38 @@ def meetings(key: np.ndarray, probe: np.ndarray, h1: np.ndarray, sig: np.ndarray
             i = np.repeat(left[lo:hi], k)
             j = np.repeat(first[lo:hi] + skip - C.doc_offsets(k)[:-1], k) + np.arange(k.sum())
             close = np.flatnonzero(_close(sig[i], sig[j]) & (h1[i] != h1[j]))
-            out.append(np.stack([np.minimum(h1[i[close]], h1[j[close]]), np.maximum(h1[i[close]], h1[j[close]])]))
-    found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+            met[i[close]] = met[j[close]] = True
+    found = np.unique(np.stack([key[met], h1[met]]), axis=1)
     return found[0], found[1]
 
 
+def _met(key: np.ndarray, h1: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"key": pa.array(key, pa.int64()), "h1": pa.array(h1, pa.int64())})
+
+
 def _walked(table: DataFrame) -> DataFrame:
-    """Of ``_keys``: a, b for pairs of lines that met; or, of a key with many lines, its lines in blocks: key, block, probe, h1, sig.
+    """Of ``_keys``: key, line for lines that met another; or, of a key with many lines, its lines in blocks: key, block, probe, h1, sig.
 
     Keys are dealt and sorted once; a task walks its keys in order and holds no more than a bounded number of rows.
     """
-    names = ("key", "probe", "h1", "sig")
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("probe", pa.bool_()), ("h1", pa.binary()), ("sig", pa.binary())])
+    names = ("key", "sig", "h1")
+    kind = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("block", pa.int32()), ("probe", pa.bool_()), ("h1", pa.binary()), ("sig", pa.binary())])
 
-    def pairs(cols):
-        a, b = meetings(*cols)
-        none = [pa.nulls(len(a), f.type) for f in list(kind)[2:]]
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], schema=kind)
+    def rows(**columns):
+        n = len(columns["key"])
+        return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in kind], schema=kind)
 
     def run(batches):
-        held, waiting, hot, number = [np.zeros(0, t) for t in (np.int64, bool, np.int64, np.int32)], [], None, 0
+        held, waiting, hot, number = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)], [], None, 0
 
         def blocks(cols):
             """The rows of one key, as blocks of either role."""
             nonlocal number
-            for role in (False, True):
-                own = np.flatnonzero(cols[1] == role)
+            for probe in (False, True):
+                own = np.flatnonzero((cols[1] >= 0) == probe)
                 for lo in range(0, len(own), BLOCK_ROWS):
                     part = own[lo : lo + BLOCK_ROWS]
-                    row = {"key": [int(cols[0][0])], "block": [number], "probe": [role], "h1": [cols[2][part].tobytes()], "sig": [cols[3][part].tobytes()]}
-                    yield pa.record_batch([pa.array(row.get(f.name, [None]), f.type) for f in kind], schema=kind)
+                    yield rows(key=[int(cols[0][0])], block=[number], probe=[probe], h1=[cols[2][part].tobytes()], sig=[cols[1][part].tobytes()])
                     number += 1
 
         def settled(cols, last):
@@ -311,49 +326,48 @@ def _walked(table: DataFrame) -> DataFrame:
                 rest = [x[edge[-2] :] for x in cols]
                 light[edge[-2] :] = False
             if light.any():
-                yield pairs([x[light] for x in cols])
+                key, line = meetings(*(x[light] for x in cols))
+                yield rows(key=key, line=line)
             return rest
 
         for b in chain(batches, [None]):
             if b is not None:
-                waiting.append([b.column(n).to_numpy(zero_copy_only=False) for n in names])
+                waiting.append([b.column(n).to_numpy() for n in names])
                 if sum(len(x[0]) for x in waiting) < WALK_ROWS:
                     continue
             cols = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
             waiting = []
             held = yield from settled(cols, b is None)
 
-    dealt = table.select(*names).repartition("key").sortWithinPartitions(*names[:3])
-    return dealt.mapInArrow(run, "a long, b long, key long, block int, probe boolean, h1 binary, sig binary")
+    dealt = table.select(*names).repartition("key").sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "key long, line long, block int, probe boolean, h1 binary, sig binary")
 
 
 def _block_pairs(blocks: DataFrame) -> DataFrame:
-    """a, b of every two blocks of a key, one that indexes and one that probes: a task for a few of them."""
+    """key, h1 of lines that met another, of every two blocks of a key, one that indexes and one that probes: a task for a few of them."""
     index = blocks.where("NOT probe").select("key", F.col("h1").alias("h"), F.col("sig").alias("s"))
     probes = blocks.where("probe").select("key", "block", "h1", "sig")
     met = index.join(probes.select("key", "block"), "key").join(probes, ["key", "block"]).repartition(F.expr("uuid()"))
 
     def run(batches):
         for b in batches:
-            for h, s, h1, sig in zip(*(b.column(n).to_pylist() for n in ("h", "s", "h1", "sig")), strict=True):
+            for key, h, s, h1, sig in zip(*(b.column(n).to_pylist() for n in ("key", "h", "s", "h1", "sig")), strict=True):
                 h, s, h1, sig = np.frombuffer(h, np.int64), np.frombuffer(s, np.int32), np.frombuffer(h1, np.int64), np.frombuffer(sig, np.int32)
-                role = np.repeat([False, True], [len(h), len(h1)])
-                a, c = meetings(np.zeros(len(role), np.int64), role, np.concatenate([h, h1]), np.concatenate([s, sig]))
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+                yield _met(*meetings(np.full(len(h) + len(h1), key), np.concatenate([s, sig]), np.concatenate([h, h1])))
 
-    return met.select("h", "s", "h1", "sig").mapInArrow(run, "a long, b long")
+    return met.select("key", "h", "s", "h1", "sig").mapInArrow(run, "key long, h1 long")
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """a, b: pairs of lines (their first 64 bits) that may be near, as a written table."""
+def _members(docs: DataFrame) -> DataFrame:
+    """key, h1: the lines (their first 64 bits) that met another, by the keys where they did, as a written table."""
     walked = C.written(_walked(_keys(docs)))
-    out = walked.where("a IS NOT NULL").select("a", "b")
-    hot = walked.where("a IS NULL")
+    out = walked.where("line IS NOT NULL").select("key", F.col("line").alias("h1"))
+    hot = walked.where("line IS NULL")
     if not hot.isEmpty():
-        out = out.union(_block_pairs(hot))
-    pairs = C.written(out.distinct())
+        out = out.union(_block_pairs(hot).distinct())
+    members = C.written(out)
     C.forget(walked)
-    return pairs
+    return members
 
 
 def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -404,22 +418,123 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.groupBy("h1", "h2").agg(F.min("text").alias("text"))
 
 
-def _links(docs: DataFrame) -> DataFrame:
-    """a, a2, b, b2: the 128 bits of either end of each pair of distinct lines that are near, as a written table."""
-    pairs = _pairs(docs)
-    ids = C.written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
-    texts = C.written(_texts(docs, ids))
-    side = lambda x: texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a2", "b", "b2", "text_a", "text_b")
+def _padded(row: np.ndarray, key: np.ndarray, n: int, fill: int) -> np.ndarray:
+    """The keys of each of ``n`` lines as a row of a matrix."""
+    order = np.argsort(row, kind="stable")
+    row, key = row[order], key[order]
+    count = np.bincount(row, minlength=n)
+    out = np.full((n, int(count.max(initial=0))), fill, np.int64)
+    out[row, np.arange(len(row)) - np.repeat(C.doc_offsets(count)[:-1], count)] = key
+    return out
 
-    def run(batches):
-        for b in batches:
-            ok = near(C.texts_of(b, "text_a"), C.texts_of(b, "text_b"))
-            yield b.select(["a", "a2", "b", "b2"]).filter(pa.array(ok, pa.bool_()))
 
-    links = C.written(both.mapInArrow(run, "a long, a2 long, b long, b2 long"))
-    C.forget(pairs, ids, texts)
-    return links
+class Group:
+    """Lines that met, as rows of groups (``key``; ``part`` tells blocks of a large key apart), and their pairs that are near."""
+
+    def __init__(self, texts: list[str], key: np.ndarray):
+        x = Lines(texts)
+        self.texts, self.key, everything = texts, key, np.arange(len(texts))
+        self.words = x.high - x.low
+        self.chars = np.array([len(t) for t in texts])
+        self.parity = np.zeros((2, len(texts)), np.uint32)
+        index, probes = [], []
+        for words, part in ((True, everything[self.words >= WORDS - 1]), (False, everything[self.words < WORDS])):
+            values, start, stop = x.symbols(part, words)
+            self.parity[int(words), part] = parities(values, start, stop)
+            row, k, is_index, _ = keys(values, start, stop, words)
+            index.append((part[row[is_index]], k[is_index]))
+            probes.append((part[row[~is_index]], k[~is_index]))
+        ends = np.iinfo(np.int64)
+        self.index, self.probes = (_padded(*map(np.concatenate, zip(*side, strict=True)), len(texts), fill) for side, fill in ((index, ends.min), (probes, ends.max)))
+
+    def first_shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The least key that one line of each pair indexes and the other probes."""
+        out = np.full(len(i), np.iinfo(np.int64).max)
+        step = max(1, 4_000_000 // max(1, self.index.shape[1] * self.probes.shape[1]))
+        for lo in range(0, len(i), step):
+            for a, b in ((i, j), (j, i)):
+                x, y = self.index[a[lo : lo + step]][:, :, None], self.probes[b[lo : lo + step]][:, None, :]
+                if x.size and y.size:
+                    least = np.where(x == y, x, np.iinfo(np.int64).max).min((1, 2))
+                    out[lo : lo + step] = np.minimum(out[lo : lo + step], least)
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows of one group, those that are near and share no lesser key than the group's."""
+        words = np.maximum(self.words[i], self.words[j]) >= WORDS
+        a, b = (np.where(words, self.words[k], self.chars[k]) for k in (i, j))
+        longer = np.maximum(a, b)
+        most = np.where(words, allowed(longer, True), allowed(longer, False))
+        apart = np.bitwise_count(self.parity[words.astype(np.int64), i] ^ self.parity[words.astype(np.int64), j])
+        ok = np.flatnonzero((np.abs(a - b) <= most) & (most > 0) & (apart <= 2 * most))
+        i, j = i[ok], j[ok]
+        ok = self.first_shared(i, j) == self.key[i]
+        i, j = i[ok], j[ok]
+        ok = near(self.texts, i, j)
+        return i[ok], j[ok]
+
+
+def _linked(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """h1, h2, links, near (place): how many lines are near each of ``texts`` (h1, h2, text, n, first), and the earliest place of one.
+
+    A group holds the lines that met at a key; a large one is cut into blocks by line, and every two blocks meet.
+    """
+    sizes = members.join(texts.select("h1", "n"), "h1").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / GROUP_LINES, F.sum("n") / GROUP_CHARS)).cast("int").alias("blocks"))
+    rows = members.join(sizes.where("blocks > 1"), "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("h1"), "blocks"), F.lit(0)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    rows = rows.select("h1", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(texts.drop("n"), "h1")
+    dealt = rows.select("key", "p", "q", "block", "h1", "h2", "text", "first").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "h1", "h2")
+    kind = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("links", pa.int64()), ("d", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
+
+    def found(t: pa.Table):
+        """What whole groups give."""
+        col = {n: t.column(n).to_numpy() for n in ("key", "p", "q", "block", "h1", "h2")}
+        edge = np.flatnonzero(np.concatenate([[True], *(((col["key"][1:] != col["key"][:-1]) | (col["p"][1:] != col["p"][:-1]) | (col["q"][1:] != col["q"][:-1])),)]))
+        stop = np.repeat(np.append(edge[1:], t.num_rows), np.diff(np.append(edge, t.num_rows)))
+        group = Group(t.column("text").to_pylist(), col["key"])
+        place = t.column("first").combine_chunks()
+        d, key, line = (place.field(n).to_numpy() for n in ("d", "key", "line"))
+        order = np.lexsort((line, key, d))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        links, best = np.zeros(t.num_rows, np.int64), np.full(t.num_rows, t.num_rows)
+        count = stop - np.arange(t.num_rows) - 1
+        for lo, hi in C.slices(count, 500_000):
+            c = count[lo:hi]
+            i = np.repeat(np.arange(lo, hi), c)
+            j = i + 1 + np.arange(c.sum()) - np.repeat(C.doc_offsets(c)[:-1], c)
+            ok = (col["p"][i] == col["q"][i]) | (col["block"][i] != col["block"][j])
+            i, j = group.near(i[ok], j[ok])
+            for a, b in ((i, j), (j, i)):
+                np.add.at(links, a, 1)
+                np.minimum.at(best, a, rank[b])
+        at = np.flatnonzero(links)
+        at_place = order[best[at]]
+        return pa.record_batch([pa.array(x, f.type) for x, f in zip((col["h1"][at], col["h2"][at], links[at], d[at_place], key[at_place], line[at_place]), kind, strict=True)], schema=kind)
+
+    def run(batches):
+        waiting, size, chars = [], 0, 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                waiting.append(b)
+                size, chars = size + b.num_rows, chars + b.column("text").nbytes
+                if size < GROUP_LINES * 16 and chars < GROUP_CHARS:
+                    continue
+            if not waiting:
+                break
+            t = pa.Table.from_batches(waiting)
+            last = [t.column(n)[-1].as_py() for n in ("key", "p", "q")]
+            cut = t.num_rows
+            if b is not None:  # the last group may go on
+                same = np.logical_and.reduce([t.column(n).to_numpy() == v for n, v in zip(("key", "p", "q"), last, strict=True)])
+                cut = int(np.flatnonzero(same)[0])
+            if cut:
+                yield found(t.slice(0, cut))
+            waiting = t.slice(cut).to_batches()
+            size, chars = t.num_rows - cut, sum(x.column("text").nbytes for x in waiting)
+
+    out = dealt.mapInArrow(run, "h1 long, h2 long, links long, d long, key long, line int")
+    return out.groupBy("h1", "h2").agg(F.sum("links").alias("links"), F.min(F.struct("d", "key", "line")).alias("near"))
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
@@ -435,13 +550,12 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     docs = _prepared(docs)
     every = C.written(_all_lines(docs))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
-    links = _links(docs)
-    ends = links.select(F.col("a").alias("h1"), F.col("a2").alias("h2"), F.col("b").alias("o1"), F.col("b2").alias("o2")).union(links.select("b", "b2", "a", "a2"))
-    linked = ends.select("h1", "h2").distinct()
-    first = every.join(linked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    near_first = ends.join(first.withColumnsRenamed({"h1": "o1", "h2": "o2"}), ["o1", "o2"]).groupBy("h1", "h2").agg(F.count("*").alias("links"), F.min("first").alias("near"))
-    near_first = C.written(near_first)
-    C.forget(links)
+    members = _members(docs)
+    ids = C.written(members.select("h1").distinct())
+    own = every.join(ids.hint("merge"), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    texts = C.written(_texts(docs, ids).join(own, ["h1", "h2"]).select("h1", "h2", "text", F.length("text").alias("n"), "first"))
+    near_first = C.written(_linked(members, texts))
+    C.forget(members, ids, texts)
     firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("own"))
     firsts = firsts.join(near_first, ["h1", "h2"], "left").select("h1", "h2", "own", "links", F.least("own", "near").alias("first"))
     firsts = C.written(firsts)  # so that both sides of the next join are dealt for it, and a very common line can be split

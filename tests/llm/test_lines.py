@@ -101,8 +101,12 @@ def test_near_lines_share_a_key():
             x = L.Lines([a + "\n" + b])
             words = max(x.high - x.low) >= L.WORDS
             row, key, index, sig = L.keys(*x.symbols(np.arange(2), words), words)
-            order = np.lexsort((row, ~index, key))
-            assert len(L.meetings(key[order], ~index[order], row[order], sig[order])[0]), (a, b)
+            order = np.lexsort((row, sig, key))
+            shared = L.meetings(key[order], sig[order], row[order])[0]
+            assert len(shared) and ((sig < 0) == index).all(), (a, b)
+            group = L.Group([a, b], np.full(2, shared.min()))
+            assert len(group.near(np.array([0]), np.array([1]))[0]) == 1, (a, b)
+            assert not len(L.Group([a, b], np.full(2, shared.min() + 1)).near(np.array([0]), np.array([1]))[0])
     assert met > 200
 
 
@@ -124,7 +128,9 @@ def corpus():
 @pytest.mark.parametrize("block", [L.BLOCK_ROWS, 3])
 def test_query_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(L, "BLOCK_ROWS", block)
-    monkeypatch.setattr(L, "WALK_ROWS", 50 if block == 3 else L.WALK_ROWS)
+    if block == 3:
+        monkeypatch.setattr(L, "WALK_ROWS", 50)
+        monkeypatch.setattr(L, "GROUP_LINES", 4)
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, line int, key int").repartition(5)
     want = brute(rows, keys_of(spark, rows))
@@ -168,7 +174,7 @@ def test_a_key_of_many_lines_is_met_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     L.C.small_batches(spark)
     walked = L._walked(L._keys(L._prepared(df)))
-    assert walked.where("a IS NULL AND length(h1) > 64").isEmpty() and walked.where("a IS NULL").count() > 4
+    assert walked.where("line IS NULL AND length(h1) > 64").isEmpty() and walked.where("line IS NULL").count() > 4
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_links, list(r.removed)) for r in L.line_counts(df).collect()}
     assert got == dict(zip([d for d, _ in rows], brute(rows), strict=True)) and sum(x[2] for x in got.values()) == 18
 
