@@ -19,6 +19,11 @@ def _step(timeframe: Timeframe) -> Column:
     return F.expr(f"interval {timeframe.minutes} minutes")
 
 
+def _ntz(t: datetime) -> Column:
+    """A naive time as a literal that no session time zone moves."""
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def dup_counts(bars: DataFrame) -> DataFrame:
     """symbol, duplicate_count (rows beyond the first of a time), conflicting_count (times whose rows differ anywhere)."""
     same = F.struct("close_time", *VALUES)
@@ -37,14 +42,14 @@ def deduped(bars: DataFrame, order: str | None = None) -> DataFrame:
 def expected_bars(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
     """symbol, open_time of each slot in which the market is open: steps from ``start`` (default: the symbol's first bar) to ``stop`` (its last bar's end)."""
     step = _step(timeframe)
-    first = F.lit(start).cast("timestamp_ntz") if start else F.min("open_time")
-    end = F.lit(stop).cast("timestamp_ntz") if stop else F.max("open_time") + step
+    first = _ntz(start) if start else F.min("open_time")
+    end = _ntz(stop) if stop else F.max("open_time") + step
     return _slots(bars.groupBy("symbol").agg(first.alias("start"), end.alias("stop")), timeframe)
 
 
 def expected_slots(symbols: DataFrame, timeframe: Timeframe, start: datetime, stop: datetime) -> DataFrame:
     """``expected_bars`` of a window for ``symbols`` (symbol), whatever bars they have."""
-    return _slots(symbols.select("symbol", F.lit(start).cast("timestamp_ntz").alias("start"), F.lit(stop).cast("timestamp_ntz").alias("stop")), timeframe)
+    return _slots(symbols.select("symbol", _ntz(start).alias("start"), _ntz(stop).alias("stop")), timeframe)
 
 
 def _slots(spans: DataFrame, timeframe: Timeframe) -> DataFrame:

@@ -11,18 +11,18 @@ from barloom.operators.resample import confirmed_only, coverage_summary, resampl
 from barloom.schema import DERIVED, Timeframe
 
 
-def _finest(timeframe: Timeframe, timeframes) -> Timeframe | None:
-    """The longest of the fixed ``timeframes`` below ``timeframe`` that divides it; calendar frames build on an hour or less (their days begin on a full hour)."""
+def _finer(timeframe: Timeframe, timeframes) -> Timeframe | None:
+    """The shortest of the fixed ``timeframes`` if it divides ``timeframe``; calendar days and weeks begin on a full hour."""
     whole = timeframe.minutes if timeframe.delta is not None else 60
-    fit = [t for t in timeframes if t.delta is not None and t is not timeframe and whole % t.minutes == 0 and (timeframe.delta is None or t.minutes < whole)]
-    return max(fit, key=lambda t: t.minutes, default=None)
+    least = min((t for t in timeframes if t.delta is not None), key=lambda t: t.minutes, default=None)
+    return least if least is not None and least is not timeframe and whole % least.minutes == 0 else None
 
 
 def derived(bars: DataFrame, timeframes=DERIVED) -> dict[Timeframe, DataFrame]:
-    """Confirmed bars of each time frame. Each is built from the longest finer one that divides it, so minutes are read and shuffled once for all."""
+    """Confirmed bars of each time frame. All are built from the shortest where that divides them, so minutes are read and shuffled once for all."""
     whole: dict[Timeframe, DataFrame] = {}
     for t in sorted(timeframes, key=lambda t: (t.delta is None, t.minutes if t.delta is not None else 0)):
-        finer = _finest(t, whole)
+        finer = _finer(t, whole)
         whole[t] = resample(whole[finer] if finer else bars, t, confirmed=False)
     source = spans(bars)
     return {t: confirmed_only(whole[t], source) for t in timeframes}

@@ -132,7 +132,7 @@ def quality_report_empty_window(spark, sf_dir):
     """A window after the last bar: each symbol has a report, and all that was due is missing."""
     b = bars(spark, sf_dir)
     symbols = tuple(r.symbol for r in b.select("symbol").distinct().orderBy("symbol").collect())
-    r = Q.check(b.where(F.col("open_time") >= F.lit(EMPTY[0])), M1, *EMPTY, symbols=symbols)
+    r = Q.check(b.where(F.col("open_time") >= F.lit(str(EMPTY[0])).cast("timestamp_ntz")), M1, *EMPTY, symbols=symbols)
     first = F.col("gaps")[0]
     return r.select("symbol", "expected_bars", "actual_bars", "missing_bars", "duplicate_count", "longest_gap_minutes", F.size("gaps").cast("long").alias("n_gaps"), F.concat_ws("/", first["from"], first["to"], first["missing_bars"].cast("string")).alias("first_gap"))
 
