@@ -62,8 +62,9 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, acc
     df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     near = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
     bracket = df.groupBy(*keys).agg(F.percentile_approx("_v", near, accuracy).alias("_b"), F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    low = F.when(F.lit(near[0] == 0), F.col("_least")).otherwise(F.col("_b")[0])
-    high = F.when(F.lit(near[1] == 1), F.col("_most")).otherwise(F.col("_b")[1])
+    few = F.col("_n") <= accuracy  # too few for the bracket to reach the neighbours of the place
+    low = F.when(few | F.lit(near[0] == 0), F.col("_least")).otherwise(F.col("_b")[0])
+    high = F.when(few | F.lit(near[1] == 1), F.col("_most")).otherwise(F.col("_b")[1])
     bracket = bracket.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
     both = df.join(bracket, keys)
     below = F.col("_v") < F.col("_low")
