@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """id, label: the least id that each id of ``links`` (a, b: longs) is connected to.
 
     Every round takes the least label among neighbours and then the label's own label, so the number of rounds is
-    about the logarithm of the longest path; each round is written, so a lost executor costs one round at most.
+    about the logarithm of the longest path; each round is written, so a lost executor costs one round at most. The caller
+    deletes the result (``common.forget``).
     """
     both = C.written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     table = labels = C.written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
@@ -25,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         table, labels = new, new.select("id", "label")
         if new.where("old <> label").isEmpty():
             C.forget(both)
+            labels.table_path = new.table_path
             return labels

@@ -304,7 +304,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     exact = sampled.join(reps.select("k1", "k2", "n", "id").where("n > 0"), ["k1", "k2", "n"], "left")
     exact = exact.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id")))
     out = C.written(exact.join(label, "id", "left").select("doc_id", "key", "n", "id", F.coalesce("label", "id").alias("label")))
-    C.forget(sampled, reps, links)
+    C.forget(sampled, reps, links, label)
     return out
 
 

@@ -72,25 +72,37 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op6_preference_pairs(spark, sf_dir: str) -> DataFrame:
-    """Conversation 2k is chosen over 2k + 1. Masks as text, ``start:stop`` by commas."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Two kinds of pairs: conversation 2k over 2k + 1; and each conversation c over -1 - c, the same one with its last assistant turn from c + 1.
+
+    Conversations without an assistant turn, or whose neighbour has none, have no pair of the second kind. Masks as text,
+    ``start:stop`` by commas. See ``preference_pairs`` for nulls and ties.
+    """
+    turns = C.only(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    own = turns.where("role = 'assistant' AND turn IS NOT NULL").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
+    swaps = own.select("conv_id", F.col("x.turn").alias("last")).join(own.select((F.col("conv_id") - 1).alias("conv_id"), F.col("x.text").alias("other")), "conv_id")
+    text = F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")), F.col("other")).otherwise(F.col("text"))
+    swapped = turns.join(swaps, "conv_id").select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", text.alias("text"))
     pairs = turns.select("conv_id").where(F.col("conv_id") % 2 == 0).distinct().select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"))
-    out = preference_pairs(turns, pairs)
+    pairs = pairs.union(swaps.select("conv_id", -1 - F.col("conv_id")))
+    out = preference_pairs(turns.union(swapped), pairs)
     shown = lambda m: F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias(m)
     return out.select("chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", shown("chosen_mask"), shown("rejected_mask"))
 
 
 OP6_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH u AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, max(turn) AS last, arg_max(text, (turn, text)) AS text FROM u WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id),
+x AS (SELECT a.conv_id, a.last, o.text AS other FROM a JOIN a o ON o.conv_id = a.conv_id + 1),
+t AS (SELECT * FROM u UNION ALL SELECT -1 - u.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last THEN other ELSE text END FROM u JOIN x USING (conv_id)),
 s AS (SELECT conv_id, role, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS seg,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k FROM t),
-p AS (SELECT DISTINCT conv_id AS chosen_id, conv_id + 1 AS rejected_id FROM t WHERE conv_id % 2 = 0 AND conv_id + 1 IN (SELECT conv_id FROM t)),
+p AS (SELECT DISTINCT conv_id AS chosen_id, conv_id + 1 AS rejected_id FROM u WHERE conv_id % 2 = 0 AND conv_id + 1 IN (SELECT conv_id FROM u) UNION ALL SELECT conv_id, -1 - conv_id FROM x),
 j AS (SELECT chosen_id, rejected_id, coalesce(c.k, r.k) AS k, c.seg IS NOT DISTINCT FROM r.seg AS same
       FROM (SELECT * FROM p JOIN s ON conv_id = chosen_id) c FULL JOIN (SELECT chosen_id, rejected_id, k, seg FROM p JOIN s ON conv_id = rejected_id) r
       USING (chosen_id, rejected_id, k)),
 n AS (SELECT chosen_id, rejected_id, (coalesce(min(k) FILTER (WHERE NOT same), max(k) + 1) - 1)::INTEGER AS n FROM j GROUP BY ALL),
 o AS (SELECT n.*, conv_id = chosen_id AS is_chosen, k, role, head, seg,
-             sum(CASE WHEN k > n THEN length(seg) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS stop
+             sum(CASE WHEN k > n THEN length(seg) ELSE 0 END) OVER (PARTITION BY chosen_id, rejected_id, conv_id ORDER BY k) AS stop
       FROM n JOIN s ON conv_id IN (chosen_id, rejected_id))
 SELECT chosen_id, rejected_id, n AS n_prompt_turns,
        coalesce(string_agg(seg, '' ORDER BY k) FILTER (WHERE is_chosen AND k <= n), '') AS prompt,

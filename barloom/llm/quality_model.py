@@ -59,6 +59,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     sign = np.where(last == 4, buf[ends - 1] % 32, 0)
     same = np.zeros(len(h), np.int64)
     same[1:] = h[1:] == h[:-1]
+    same[C.doc_offsets(counts)[:-1][counts > 0]] = 0  # a text's first word repeats none
     size = np.minimum(3, np.log2(ends - starts).astype(np.int64))
     single = (ends - starts == 1) & (last == 4)
     first, capital = kind[starts] == 2, has(2) & ~has(1)
@@ -122,6 +123,14 @@ def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(params: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean logistic loss of two layers (weights and biases of either) over inputs ``z`` and labels ``y``."""
+    h = np.tanh(z @ params[0] + params[1])
+    d = (M.sigmoid(h @ params[2] + params[3]) - y) / len(y)
+    dh = d[:, None] * params[2] * (1 - h**2)
+    return [z.T @ dh, dh.sum(0), h.T @ d, d.sum(keepdims=True)]
+
+
 class Network:
     """Two layers (tanh, then a logistic unit) on standardised inputs, with a temperature."""
 
@@ -137,11 +146,8 @@ class Network:
             rng.shuffle(use)
             for i in range(0, len(use), 128):
                 part = use[i : i + 128]
-                h = np.tanh(z[part] @ self.params[0] + self.params[1])
-                d = (M.sigmoid(h @ self.params[2] + self.params[3]) - y[part]) / len(part)
-                dh = d[:, None] * self.params[2] * (1 - h**2)
                 t += 1
-                for j, g in enumerate((z[part].T @ dh, dh.sum(0), h.T @ d, d.sum(keepdims=True))):
+                for j, g in enumerate(gradients(self.params, z[part], y[part])):
                     g = g + 1e-4 * self.params[j]
                     m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g**2
                     self.params[j] = self.params[j] - rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)

@@ -1,12 +1,14 @@
 """The pipeline's stages, one after another, against brute-force versions of each."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
 from barloom.llm import bpe, quality_rules
 from tests.llm.test_lines import brute
+from tests.llm.test_operators import weighted
 
 
 def test_run(spark, tmp_path):
@@ -25,11 +27,11 @@ def test_run(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     left = {i: t for i, t in enumerate(texts[:23])}  # the rules reject the rest
-    lines = brute(sorted(left.items()))
+    lines = dict(zip(sorted(left), brute(sorted(left.items())), strict=True))
     left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in lines[i][3]) for i, t in left.items() if lines[i][1] < lines[i][0]}
-    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in left.items() for w in [t.split()]}
-    similar = lambda a, b: len(grams[a] & grams[b]) / max(1, len(grams[a] | grams[b]))
-    left = {i: t for i, t in left.items() if not any(j < i and similar(i, j) > 0.78 for j in grams)}
+    df = Counter(w for t in left.values() for w in set(t.split()))
+    similar = lambda a, b: weighted(left[a].split(), left[b].split(), df, len(left))  # noqa: E731  the operator's own rule
+    left = {i: t for i, t in left.items() if not any(j < i and similar(i, j) >= 0.8 for j in left)}
     left = {i: t for i, t in left.items() if " ".join(item.split()) not in " ".join(t.split())}
     assert sorted(got) == sorted(left) and 20 not in got and 21 not in got and 22 not in got
     encoder = bpe.Encoder(*bpe.default_vocabulary())
@@ -38,6 +40,23 @@ def test_run(spark, tmp_path):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_rows_that_share_an_id_are_kept_for_their_own_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(2000)]
+    text = lambda: " ".join(rng.choice(words, 60))
+    item, own = f"{text()}\n{text()}", [text() for _ in range(6)]
+    rows = [(1, own[0], "a"), (1, own[1], "b"), (None, own[2], "c"), (None, own[3], "d"), (None, f"{own[0]}\n{own[4]}", "e"), (1, item, "f"), (2, own[5], "g"), (2, own[5], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars", "_id", "_id _removed", "_id _held", "_id row", "_id key")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    left = sorted((str(r.doc_id), r.text, r.n_chars, r["_held"]) for r in docs.collect())
+    assert [x[:2] for x in left] == sorted([("1", own[0]), ("1", own[1]), ("None", own[2]), ("None", own[3]), ("None", own[4]), ("2", own[5])])
+    assert all(n == len(t) for _, t, n, _ in left) and {x[3] for x in left} in ({"a", "b", "c", "d", "e", "g"}, {"a", "b", "c", "d", "e", "h"})
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     empty = spark.createDataFrame([], schema)
