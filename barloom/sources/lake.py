@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime
 
@@ -137,6 +138,29 @@ class Lake:
         self._swap(staged, live)
 
 
+class CachedLoads:
+    """``Lake.load`` for readers that ask again, as a chart does: bars stay in the executors' memory, the last ``entries`` of them for ``seconds``."""
+
+    def __init__(self, lake: Lake, entries: int = 8, seconds: float = 600.0, clock=time.monotonic):
+        self.lake, self.entries, self.seconds, self.clock = lake, entries, seconds, clock
+        self._held: dict[tuple, tuple[float, DataFrame]] = {}
+
+    def load(self, symbol: str, timeframe: Timeframe, *, as_of: datetime, start: datetime | None = None) -> DataFrame:
+        key, now = (symbol, timeframe, as_of, start), self.clock()
+        for old in [k for k, (at, _) in self._held.items() if now - at >= self.seconds]:
+            self._held.pop(old)[1].unpersist()
+        if key not in self._held:
+            self._held[key] = now, self.lake.load(symbol, timeframe, as_of=as_of, start=start).cache()
+            while len(self._held) > self.entries:
+                self._held.pop(next(iter(self._held)))[1].unpersist()
+        return self._held[key][1]
+
+    def clear(self) -> None:
+        """Forget everything, as after a save."""
+        while self._held:
+            self._held.popitem()[1][1].unpersist()
+
+
 def _ntz(t: datetime) -> Column:
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 

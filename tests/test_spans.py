@@ -1,6 +1,6 @@
 """Series in blocks: the same values whatever the blocks, across month borders too, and exact quantiles."""
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 import numpy as np
 import pytest
@@ -14,6 +14,7 @@ from barloom.operators.indicators import REGISTRY, compute
 from barloom.operators.resample import resample
 from barloom.plans.__main__ import main
 from barloom.schema import Timeframe
+from barloom.sources.lake import CachedLoads, Lake
 from barloom.sources.meta import json_safe
 from tests.helpers import minute_bars
 
@@ -126,3 +127,20 @@ def test_reports_of_windows_without_bars(spark):
     r = quality.check(empty, Timeframe.M1, datetime(2026, 1, 5), datetime(2026, 1, 5, 1), symbols=("X",)).collect()
     assert [(x.symbol, x.expected_bars, x.actual_bars, x.missing_bars, len(x.gaps)) for x in r] == [("X", 60, 0, 60, 1)]
     assert quality.check(empty, Timeframe.M1, datetime(2026, 1, 5), datetime(2026, 1, 5, 1)).count() == 0
+
+
+def test_cached_loads(spark, tmp_path):
+    lake, now = Lake(spark, str(tmp_path)), [0.0]
+    lake.save("X", Timeframe.M1, minute_bars(spark, "2025-12-31 23:58", 5))
+    assert lake.save("X", Timeframe.M1, minute_bars(spark, "2025-12-31 23:59", 6)) == 6 and lake.available_years("X", Timeframe.M1) == [2025, 2026]
+    cached = CachedLoads(lake, entries=2, seconds=10, clock=lambda: now[0])
+    ask = lambda m: cached.load("X", Timeframe.M1, as_of=datetime(2026, 1, 1, 0, m, tzinfo=timezone.utc))
+    one = ask(1)
+    assert one.count() == 3 and one.is_cached and ask(1) is one
+    ask(2), ask(3)
+    assert not one.is_cached and ask(1) is not one
+    two = ask(1)
+    now[0] = 11.0
+    assert ask(1) is not two and not two.is_cached
+    cached.clear()
+    assert lake.load("X", Timeframe.M1, as_of=datetime(2027, 1, 1, tzinfo=timezone.utc)).count() == 7
