@@ -71,11 +71,16 @@ def bad_spread(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count_if(F.col("ask_close") - F.col("bid_close") <= 0).alias("bad_spread_count"))
 
 
+def _spread_limit(bars: DataFrame, quantile: float) -> DataFrame:
+    """symbol, threshold: the quantile of positive spreads."""
+    spread = F.col("ask_close") - F.col("bid_close")
+    return exact_quantile(bars.select("symbol", spread.alias("spread")).where("spread > 0"), ["symbol"], "spread", quantile, "threshold")
+
+
 def wide_spread(bars: DataFrame, quantile: float = 0.999) -> DataFrame:
     """Threshold (exact, interpolated quantile of positive spreads, 0 without any) and the bars above it."""
     spread = F.col("ask_close") - F.col("bid_close")
-    limit = exact_quantile(bars.select("symbol", spread.alias("spread")).where("spread > 0"), ["symbol"], "spread", quantile, "threshold")
-    both = bars.join(limit, "symbol", "left")
+    both = bars.join(_spread_limit(bars, quantile), "symbol", "left")
     return both.groupBy("symbol").agg(F.coalesce(F.first("threshold", True), F.lit(0.0)).alias("threshold"), F.count_if(F.coalesce(spread > F.col("threshold"), F.lit(False))).alias("wide_spread_count"))
 
 
@@ -108,22 +113,27 @@ def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None,
     require_ntz(bars, "open_time", "close_time")
     one = deduped(bars, order)
     due = expected_bars(one, timeframe, start, stop)
-    names = bars.select("symbol").distinct()
+    out = dup_counts(bars)
     if symbols and start and stop:
         given = bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-        due = due.union(expected_slots(given.join(names, "symbol", "left_anti"), timeframe, start, stop))
-        names = names.union(given).distinct()
+        due = due.union(expected_slots(given.join(bars.select("symbol").distinct(), "symbol", "left_anti"), timeframe, start, stop))
+        out = out.join(given, "symbol", "full")
     found = gaps(one, due, timeframe)
     text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     item = F.struct(text("from").alias("from"), text("to").alias("to"), "missing_bars", "minutes")
     listed = found.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("gaps"), F.max("minutes").alias("longest_gap_minutes"), F.sum("missing_bars").alias("missing_bars"))
-    actual = one.join(due, ["symbol", "open_time"], "left_semi").groupBy("symbol").agg(F.count("*").alias("actual_bars"))
-    out = names.join(dup_counts(bars), "symbol", "left").join(due.groupBy("symbol").agg(F.count("*").alias("expected_bars")), "symbol", "left")
-    for part in (actual, listed, bad_spread(one), wide_spread(one, quantile), price_jumps(one, timeframe, multiple)):
+    spread = F.col("ask_close") - F.col("bid_close")
+    limit = _spread_limit(one, quantile)
+    seen = with_jumps(one, timeframe, multiple).join(limit, "symbol", "left").groupBy("symbol").agg(  # one pass for what each bar shows
+        F.count_if(spread <= 0).alias("bad_spread_count"), F.first("threshold", True).alias("threshold"),
+        F.count_if(F.coalesce(spread > F.col("threshold"), F.lit(False))).alias("wide_spread_count"), F.count_if("jump").alias("price_jump_count"),
+    )
+    for part in (due.groupBy("symbol").agg(F.count("*").alias("expected_bars")), listed, seen):
         out = out.join(part, "symbol", "left")
-    counts = ("duplicate_count", "conflicting_count", "expected_bars", "actual_bars", "missing_bars", "bad_spread_count", "wide_spread_count", "price_jump_count")
+    counts = ("duplicate_count", "conflicting_count", "expected_bars", "missing_bars", "bad_spread_count", "wide_spread_count", "price_jump_count")
     zero = dict.fromkeys(counts, 0) | {"longest_gap_minutes": 0.0, "threshold": 0.0}
-    return out.fillna(zero).withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<from:string,to:string,missing_bars:bigint,minutes:double>>")))
+    out = out.fillna(zero).withColumn("actual_bars", F.col("expected_bars") - F.col("missing_bars"))  # slots that have a bar
+    return out.withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<from:string,to:string,missing_bars:bigint,minutes:double>>")))
 
 
 def gap_summary(reports: DataFrame) -> DataFrame:
