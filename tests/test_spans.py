@@ -131,8 +131,8 @@ def test_reports_of_windows_without_bars(spark):
 
 def test_cached_loads(spark, tmp_path):
     lake, now = Lake(spark, str(tmp_path)), [0.0]
-    lake.save("X", Timeframe.M1, minute_bars(spark, "2025-12-31 23:58", 5, price=lambda i: 150))
-    assert lake.save("X", Timeframe.M1, minute_bars(spark, "2025-12-31 23:59", 6, price=lambda i: 150)) == 6 and lake.available_years("X", Timeframe.M1) == [2025, 2026]
+    lake.save("X", Timeframe.M1, minute_bars(spark, "2025-12-31 23:58", 5, price=lambda i: 150.0))
+    assert lake.save("X", Timeframe.M1, minute_bars(spark, "2025-12-31 23:59", 6, price=lambda i: 150.0)) == 6 and lake.available_years("X", Timeframe.M1) == [2025, 2026]
     cached = CachedLoads(lake, entries=2, seconds=10, clock=lambda: now[0])
     ask = lambda m: cached.load("X", Timeframe.M1, as_of=datetime(2026, 1, 1, 0, m, tzinfo=timezone.utc))
     one = ask(1)
