@@ -7,6 +7,7 @@ from barloom.llm.decontaminate import op5_decontaminate
 from barloom.llm.lines import op7_line_dedup
 from barloom.llm.near import op10_near_dedup
 from barloom.llm.preferences import OP6_SQL, op6_preference_pairs
+from barloom.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from barloom.llm.quality_model import op9_quality
 from barloom.llm.quality_rules import OP8_SQL, op8_quality_rules
 from barloom.llm.repeats import OP4_SQL, op4_substring_dedup
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
     "op4_substring_dedup": OP4_SQL,
     "op6_preference_pairs": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
