@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import caltime as K
-from barloom.operators.spans import positioned, quantile as exact_quantile, windowed
+from barloom.operators.opening import due_slots, missing_runs, slots
+from barloom.operators.spans import quantile as exact_quantile, windowed
 from barloom.schema import BAR_COLUMNS, VALUES, Timeframe, require_ntz
 
 #: Gaps of this many minutes or more are holidays rather than faults, in summaries.
@@ -39,32 +39,21 @@ def deduped(bars: DataFrame, order: str | None = None) -> DataFrame:
     return g.select("symbol", "open_time", *(f"x.{c}" for c in BAR_COLUMNS[1:]))
 
 
-def expected_bars(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
-    """symbol, open_time of each slot in which the market is open: steps from ``start`` (default: the symbol's first bar) to ``stop`` (its last bar's end)."""
-    step = _step(timeframe)
+def due(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
+    """The slots in which the market is open, as ranges (``opening.due_slots``): steps from ``start`` (default: the symbol's first bar) to ``stop`` (its last bar's end)."""
     first = _ntz(start) if start else F.min("open_time")
-    end = _ntz(stop) if stop else F.max("open_time") + step
-    return _slots(bars.groupBy("symbol").agg(first.alias("start"), end.alias("stop")), timeframe)
-
+    end = _ntz(stop) if stop else F.max("open_time") + _step(timeframe)
+    return due_slots(bars.groupBy("symbol").agg(first.alias("start"), end.alias("stop")), timeframe.minutes)
 
-def expected_slots(symbols: DataFrame, timeframe: Timeframe, start: datetime, stop: datetime) -> DataFrame:
-    """``expected_bars`` of a window for ``symbols`` (symbol), whatever bars they have."""
-    return _slots(symbols.select("symbol", _ntz(start).alias("start"), _ntz(stop).alias("stop")), timeframe)
 
-
-def _slots(spans: DataFrame, timeframe: Timeframe) -> DataFrame:
-    step = _step(timeframe)
-    grid = spans.where("start < stop").select("symbol", "stop", F.explode(F.sequence("start", F.col("stop"), step)).alias("open_time")).where("open_time < stop")
-    return grid.where(K.is_open_during(F.col("open_time"), timeframe.minutes)).select("symbol", "open_time")
+def expected_bars(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
+    """symbol, open_time of each slot that is ``due``."""
+    return slots(due(bars, timeframe, start, stop), timeframe.minutes)
 
 
-def gaps(bars: DataFrame, expected: DataFrame, timeframe: Timeframe) -> DataFrame:
-    """symbol, from, to (last missing slot), missing_bars, minutes of each run of missing slots."""
-    minutes = timeframe.minutes
-    missing = expected.join(bars.select("symbol", "open_time").distinct(), ["symbol", "open_time"], "left_anti")
-    run = F.expr("open_time - make_dt_interval(0, 0, cast(_pos * %d as int))" % minutes)  # the same for neighbours
-    runs = positioned(missing, ["symbol"]).groupBy("symbol", run.alias("run")).agg(F.min("open_time").alias("from"), F.max("open_time").alias("to"), F.count("*").alias("missing_bars"))
-    return runs.select("symbol", "from", "to", "missing_bars", (F.col("missing_bars") * float(minutes)).alias("minutes"))
+def gaps(bars: DataFrame, due: DataFrame, timeframe: Timeframe) -> DataFrame:
+    """symbol, from, to (last missing slot), missing_bars, minutes of each run of slots that are ``due`` and have no bar."""
+    return missing_runs(bars, due, timeframe.minutes)
 
 
 def bad_spread(bars: DataFrame) -> DataFrame:
@@ -112,13 +101,14 @@ def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None,
         raise ValueError(f"{timeframe.value}: quality is defined for fixed lengths only")
     require_ntz(bars, "open_time", "close_time")
     one = deduped(bars, order)
-    due = expected_bars(one, timeframe, start, stop)
+    wanted = due(one, timeframe, start, stop)
     out = dup_counts(bars)
     if symbols and start and stop:
         given = bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-        due = due.union(expected_slots(given.join(bars.select("symbol").distinct(), "symbol", "left_anti"), timeframe, start, stop))
+        others = given.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", _ntz(start).alias("start"), _ntz(stop).alias("stop"))
+        wanted = wanted.union(due_slots(others, timeframe.minutes))
         out = out.join(given, "symbol", "full")
-    found = gaps(one, due, timeframe)
+    found = gaps(one, wanted, timeframe)
     text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     item = F.struct(text("from").alias("from"), text("to").alias("to"), "missing_bars", "minutes")
     listed = found.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("gaps"), F.max("minutes").alias("longest_gap_minutes"), F.sum("missing_bars").alias("missing_bars"))
@@ -128,7 +118,7 @@ def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None,
         F.count_if(spread <= 0).alias("bad_spread_count"), F.first("threshold", True).alias("threshold"),
         F.count_if(F.coalesce(spread > F.col("threshold"), F.lit(False))).alias("wide_spread_count"), F.count_if("jump").alias("price_jump_count"),
     )
-    for part in (due.groupBy("symbol").agg(F.count("*").alias("expected_bars")), listed, seen):
+    for part in (wanted.groupBy("symbol").agg(F.sum(F.col("last") - F.col("first") + 1).alias("expected_bars")), listed, seen):
         out = out.join(part, "symbol", "left")
     counts = ("duplicate_count", "conflicting_count", "expected_bars", "missing_bars", "bad_spread_count", "wide_spread_count", "price_jump_count")
     zero = dict.fromkeys(counts, 0) | {"longest_gap_minutes": 0.0, "threshold": 0.0}

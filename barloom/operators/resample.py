@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import caltime as K
+from barloom.operators.opening import with_open_minutes
 from barloom.operators.spans import quantile
 from barloom.schema import BAR_COLUMNS, Timeframe, require_ntz
 
@@ -70,12 +71,10 @@ def source_coverage(bars: DataFrame, derived: DataFrame, timeframe: Timeframe) -
     """symbol, open_time, actual, expected, coverage of each derived bar.
 
     Actual: source bars inside it. Expected: minutes of it at which the market is open; none gives a null coverage.
-    Both sides meet by bucket, an equi-join; the minutes of each calendar bar are counted once for all symbols.
+    Both sides meet by bucket, an equi-join; the open minutes of each calendar bar are worked out once for all symbols.
     """
     have = _bounds(_keyed(bars, timeframe).groupBy("symbol", "bucket").agg(F.count("*").alias("actual")), timeframe)
-    spans = derived.select("open_time", "close_time").distinct()
-    minute = spans.withColumn("minute", F.explode(F.sequence("open_time", F.col("close_time") - F.expr("interval 1 minute"), F.expr("interval 1 minute"))))
-    due = minute.groupBy("open_time").agg(F.count_if(K.is_market_open(F.col("minute"))).alias("expected"))
+    due = with_open_minutes(derived.select("open_time", "close_time").distinct(), "open_time", "close_time", "expected").drop("close_time")
     out = derived.select("symbol", "open_time").join(have.select("symbol", "open_time", "actual"), ["symbol", "open_time"], "left").join(due, "open_time")
     out = out.withColumn("actual", F.coalesce("actual", F.lit(0)).cast("long"))
     return out.select("symbol", "open_time", "actual", "expected", F.try_divide("actual", "expected").alias("coverage"))

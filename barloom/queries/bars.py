@@ -10,10 +10,11 @@ from barloom.operators import quality as Q
 from barloom.operators.asof import mtf_asof
 from barloom.operators.chart import overlay_tail, session_bands, tail
 from barloom.operators.indicators import compute
+from barloom.operators.opening import with_open_minutes
 from barloom.operators.resample import coverage_summary, resample, source_coverage
 from barloom.operators.validate import combine_sides, rule_counts
 from barloom.plans.build import all_timeframes
-from barloom.queries.base import bars, date_sql, open_sql, period_start_sql, scratch, session_sql, ticks, with_bars
+from barloom.queries.base import TICKS_SQL, bars, date_sql, open_sql, period_start_sql, scratch, session_sql, ticks, with_bars
 from barloom.schema import DERIVED, PRICES, Timeframe
 from barloom.sources.lake import as_of_scan, merge_conflicts, merged
 
@@ -107,7 +108,7 @@ gp AS (SELECT symbol, min(open_time) AS "from", max(open_time) AS "to", count(*)
 
 def gaps(spark, sf_dir):
     b = bars(spark, sf_dir)
-    return Q.gaps(b, Q.expected_bars(b, M1), M1)
+    return Q.gaps(b, Q.due(b, M1), M1)
 
 
 def expected_bars(spark, sf_dir):
@@ -115,6 +116,12 @@ def expected_bars(spark, sf_dir):
     return Q.expected_bars(b, M1).groupBy("symbol").agg(F.count("*").alias("expected_bars"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
 
 
+def open_minutes_between(spark, sf_dir):
+    """From each tick of ``events`` to a time up to three weeks later."""
+    t = ticks(spark, sf_dir, "EV").select("id", "ts", (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 30_000).cast("int"))).alias("stop"))
+    return with_open_minutes(t, "ts", "stop", "open_minutes")
+
+
 def _report(spark, sf_dir):
     return Q.check(_faulty(spark, sf_dir), M1)
 
@@ -200,6 +207,7 @@ QUERIES = {
     "dup_counts": lambda s, d: Q.dup_counts(_faulty(s, d)),
     "expected_bars": expected_bars,
     "gaps": gaps,
+    "open_minutes_between": open_minutes_between,
     "bad_spread": lambda s, d: Q.bad_spread(bars(s, d).withColumn("ask_close", F.when(F.minute("open_time") < 9, F.col("bid_close")).otherwise(F.col("ask_close")))),
     "wide_spread": lambda s, d: _rounded(Q.wide_spread(bars(s, d)), "threshold", digits=9),
     "price_jumps": lambda s, d: Q.price_jumps(bars(s, d), M1),
@@ -236,6 +244,10 @@ SQL = {
     "dup_counts": f"{with_bars()}{FAULTY_SQL}, {_DUPS_SQL} SELECT * FROM dc",
     "expected_bars": f"{with_bars()}, {_expected_sql()} SELECT symbol, count(*)::BIGINT AS expected_bars, min(open_time) AS first, max(open_time) AS last FROM x GROUP BY symbol",
     "gaps": f"{with_bars()}, {_expected_sql()}, {_GAPS_SQL} SELECT * FROM gp",
+    "open_minutes_between": f"""WITH t AS (SELECT id, ts, ts + to_minutes((id % 30000)::BIGINT) AS stop FROM ({TICKS_SQL['EV']})),
+        m AS (SELECT unnest(generate_series(date_trunc('day', min(ts)) - INTERVAL '1 day', max(stop) + INTERVAL '1 day', INTERVAL '1 minute')) AS m FROM t),
+        g AS (SELECT m, sum(CASE WHEN {open_sql('m')} THEN 1 ELSE 0 END) OVER (ORDER BY m) AS n FROM m)
+        SELECT id, ts, stop, (b.n - a.n)::BIGINT AS open_minutes FROM t ASOF JOIN g a ON ts > a.m ASOF JOIN g b ON stop > b.m""",
     "bad_spread": f"{with_bars()} SELECT symbol, count(*) FILTER (WHERE minute(open_time) < 9 OR ask_close <= bid_close)::BIGINT AS bad_spread_count FROM b GROUP BY symbol",
     "wide_spread": f"{with_bars()}, {_WIDE_SQL} SELECT * REPLACE (round(threshold, 9) AS threshold) FROM ws",
     "price_jumps": f"{with_bars()}, {_JUMPS_SQL} SELECT * FROM jp",
