@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import caltime as K
 from barloom.operators import indicators
+from barloom.operators.interval_join import segments
 from barloom.operators.spans import block_of, positioned, quantile, windowed
 from barloom.operators.periods import Settings, authorize_locked_access
 
@@ -44,10 +45,10 @@ def forward_return(w: WindowSpec, h: int, direction: str = "long", pip: float =
     return move / pip
 
 
-def forward_returns(bars: DataFrame, columns: dict[str, dict]) -> DataFrame:
-    """``bars`` with a column for each name: its forward return by these options (``h``, ``direction``, ``pip``, ``deduct_spread``)."""
+def forward_returns(bars: DataFrame, columns: dict[str, dict], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``bars`` with a column for each name: its forward return by these options (``h``, ``direction``, ``pip``, ``deduct_spread``), within a series by ``keys``."""
     run = lambda df, w: df.withColumns({name: forward_return(w, **options) for name, options in columns.items()})
-    return windowed(bars, ["symbol"], run, ahead=max(o["h"] for o in columns.values()))
+    return windowed(bars, list(keys), run, ahead=max(o["h"] for o in columns.values()))
 
 
 def _check(horizons, direction, pip, group_by) -> None:
@@ -62,9 +63,13 @@ def _check(horizons, direction, pip, group_by) -> None:
 
 
 def samples(bars: DataFrame, horizons=HORIZONS, direction="long", pip=0.01, deduct_spread=True, group_by=None) -> DataFrame:
-    """symbol, grp, horizon, pos, ret of each usable signal; ``bars`` has ``signal``. Positions count all bars of the symbol."""
+    """symbol, grp, horizon, pos, ret of each usable signal; ``bars`` has ``signal``. Positions count all bars of the symbol.
+
+    If ``bars`` have ``segment``, a return stays within its segment.
+    """
+    keys = ("symbol", "segment") if "segment" in bars.columns else ("symbol",)
     columns = {f"_r{h}": {"h": h, "direction": direction, "pip": pip, "deduct_spread": deduct_spread} for h in horizons}
-    df = forward_returns(positioned(bars, ["symbol"]), columns).withColumn("pos", F.col("_pos") + 1)
+    df = forward_returns(positioned(bars, ["symbol"]), columns, keys).withColumn("pos", F.col("_pos") + 1)
     groups = F.array(F.lit("ALL"), K.session_labels(F.col("open_time"))) if group_by else F.array(F.lit("ALL"))
     df = df.where("signal").withColumn("x", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("ret")) for h in horizons))))
     df = df.where("x.ret IS NOT NULL").select("symbol", "pos", "x.horizon", "x.ret", groups.alias("g"))
@@ -134,6 +139,14 @@ def scan(bars: DataFrame, horizons=HORIZONS, direction="long", pip=0.01, deduct_
     return out.withColumns({"n": F.coalesce("n", F.lit(0)), "n_eff": F.coalesce("n_eff", F.lit(0.0))}).select("symbol", "grp", "horizon", "n_signals", *STATS)
 
 
+def scan_excluding(bars: DataFrame, bad: DataFrame, **options) -> DataFrame:
+    """``scan`` of the bars that no interval of ``bad`` (symbol, start, stop) touches; no return crosses a removed stretch.
+
+    ``signal`` may come from all bars. Returns end ``h`` bars later in the same segment, so samples of two segments never overlap.
+    """
+    return scan(segments(bars, bad), **options)
+
+
 def covered(bars: DataFrame, direction="long", deduct_spread=True) -> DataFrame:
     """symbol, n_signals, direction, deduct_spread, covered_start, covered_end: what a scan of ``bars`` with ``signal`` sees and how."""
     g = bars.groupBy("symbol").agg(F.count_if("signal").alias("n_signals"), F.min("open_time").alias("covered_start"), F.max("open_time").alias("covered_end"))

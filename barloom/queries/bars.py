@@ -10,6 +10,7 @@ from barloom.operators import quality as Q
 from barloom.operators.asof import mtf_asof
 from barloom.operators.chart import overlay_tail, session_bands, tail
 from barloom.operators.indicators import compute
+from barloom.operators.interval_join import interval_coverage
 from barloom.operators.opening import with_open_minutes
 from barloom.operators.resample import coverage_summary, resample, source_coverage
 from barloom.operators.validate import combine_sides, rule_counts
@@ -122,6 +123,15 @@ def open_minutes_between(spark, sf_dir):
     return with_open_minutes(t, "ts", "stop", "open_minutes")
 
 
+def coverage_of_intervals(spark, sf_dir):
+    """Fifty minutes of most hours, with holes between, and stretches of thirty hours over them."""
+    b = bars(spark, sf_dir)
+    hours = b.select("symbol", F.window("open_time", "1 hour").start.alias("start")).distinct()
+    cut = lambda df, minutes: df.withColumn("stop", F.col("start") + F.expr(f"interval {minutes} minutes"))
+    some = cut(hours.where("hour(start) % 5 <> 0"), 50).union(cut(hours.where("hour(start) % 7 = 0"), 1800))
+    return _rounded(interval_coverage(b, some), "coverage")
+
+
 def _report(spark, sf_dir):
     return Q.check(_faulty(spark, sf_dir), M1)
 
@@ -202,6 +212,7 @@ QUERIES = {
     **{f"resample_{t.value.lower()}": _resampled(t) for t in DERIVED},
     "resample_unconfirmed": _resampled(Timeframe.D1_NY, confirmed=False),
     "source_coverage": lambda s, d: _rounded(_coverage(s, d), "coverage"),
+    "interval_coverage": coverage_of_intervals,
     "coverage_summary": lambda s, d: _rounded(coverage_summary(_coverage(s, d)), "min_coverage", "median_coverage"),
     "build_all_timeframes": build_all,
     "dup_counts": lambda s, d: Q.dup_counts(_faulty(s, d)),
@@ -238,6 +249,12 @@ SQL = {
     **{f"resample_{t.value.lower()}": f"{with_bars('OR')} {resample_select(t)}" for t in DERIVED},
     "resample_unconfirmed": f"{with_bars('OR')} {resample_select(Timeframe.D1_NY, False)}",
     "source_coverage": f"{_coverage_sql()} SELECT * REPLACE (round(coverage, 6) AS coverage) FROM cov",
+    "interval_coverage": f"""{with_bars()}, h AS (SELECT DISTINCT symbol, time_bucket(INTERVAL '1 hour', open_time) AS start FROM b),
+        i AS (SELECT symbol, start, start + INTERVAL '50 minutes' AS stop FROM h WHERE hour(start) % 5 <> 0 UNION ALL SELECT symbol, start, start + INTERVAL '1800 minutes' FROM h WHERE hour(start) % 7 = 0),
+        a AS (SELECT i.symbol, i.start, i.stop, count(b.symbol) AS actual FROM i LEFT JOIN b ON b.symbol = i.symbol AND b.open_time >= i.start AND b.open_time < i.stop GROUP BY ALL),
+        d AS (SELECT DISTINCT start, stop FROM i), g AS (SELECT start, stop, unnest(generate_series(start, stop - INTERVAL '1 minute', INTERVAL '1 minute')) AS m FROM d),
+        e AS (SELECT start, stop, count(*) FILTER (WHERE {open_sql('m')}) AS expected FROM g GROUP BY ALL)
+        SELECT symbol, start, stop, actual::BIGINT AS actual, expected::BIGINT AS expected, round(actual::DOUBLE / nullif(expected, 0), 6) AS coverage FROM a JOIN e USING (start, stop)""",
     "coverage_summary": f"""{_coverage_sql()} SELECT symbol, count(*)::BIGINT AS bars, round(min(coverage), 6) AS min_coverage, round(quantile_cont(coverage, 0.5), 6) AS median_coverage,
         count(*) FILTER (WHERE coverage < 0.9)::BIGINT AS low_bars FROM cov GROUP BY symbol""",
     "build_all_timeframes": f"{with_bars()} " + " UNION ALL ".join(f"SELECT *, '{t.value}' AS timeframe FROM ({resample_select(t)})" for t in DERIVED),

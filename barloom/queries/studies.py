@@ -70,13 +70,13 @@ def _shown(df):
     return df.select("symbol", "grp", F.col("horizon").cast("long").alias("horizon"), *more, F.col("n").cast("long").alias("n"), *(F.round(c, 5).alias(c) for c in E.STATS[1:]))
 
 
-def scan_sql(signal: str = "bid_close > 150", view: str = "EV", horizons=E.HORIZONS, groups: bool = False, where: str = "TRUE", head: str | None = None, source: str = "b", side: str = "long") -> str:
+def scan_sql(signal: str = "bid_close > 150", view: str = "EV", horizons=E.HORIZONS, groups: bool = False, where: str = "TRUE", head: str | None = None, source: str = "b", side: str = "long", within: str = "TRUE") -> str:
     move = "(z.bid_close - a.ask_close) / 0.01::DOUBLE" if side == "long" else "(a.bid_close - z.ask_close) / 0.01::DOUBLE"
     g = f"unnest(['ALL', {session_sql('open_time')}])" if groups else "'ALL'"
     t = f"CASE {' '.join(f'WHEN floor(n_eff - 1) = {i} THEN {v}::DOUBLE' for i, v in enumerate(E.T95, 1))} WHEN n_eff - 1 >= 31 THEN 1.959964::DOUBLE * (1 + 1 / (4 * (n_eff - 1))) END"
     return f"""{head or with_bars(view)}, pb AS MATERIALIZED (SELECT *, coalesce({signal}, FALSE) AS sig, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS pos FROM {source} WHERE {where}),
     hz AS (SELECT unnest({list(horizons)})::BIGINT AS horizon),
-    sm AS MATERIALIZED (SELECT symbol, grp, horizon, pos, ret FROM (SELECT a.symbol, a.open_time, horizon, a.pos, {move} AS ret FROM pb a, hz, pb z WHERE a.sig AND z.symbol = a.symbol AND z.pos = a.pos + horizon), LATERAL (SELECT {g} AS grp)),
+    sm AS MATERIALIZED (SELECT symbol, grp, horizon, pos, ret FROM (SELECT a.symbol, a.open_time, horizon, a.pos, {move} AS ret FROM pb a, hz, pb z WHERE a.sig AND z.symbol = a.symbol AND z.pos = a.pos + horizon AND {within}), LATERAL (SELECT {g} AS grp)),
     ov AS (SELECT a.symbol, a.grp, a.horizon, sum(1 - abs(a.pos - z.pos)::DOUBLE / a.horizon) AS o FROM sm a JOIN sm z ON a.symbol = z.symbol AND a.grp = z.grp AND a.horizon = z.horizon AND z.pos BETWEEN a.pos - a.horizon AND a.pos + a.horizon GROUP BY ALL),
     st AS (SELECT symbol, grp, horizon, count(*) AS n, avg(ret) AS mean, quantile_cont(ret, 0.5) AS median, avg((ret > 0)::INT) AS win_rate, stddev_samp(ret) AS std FROM sm GROUP BY ALL),
     s2 AS (SELECT *, n * n / o AS n_eff FROM st JOIN ov USING (symbol, grp, horizon)),
@@ -103,6 +103,24 @@ def _period_scan(spark, sf_dir):
     return _shown(E.scan_period(b, SETTINGS, "training", horizons=(1, 5, 15)))
 
 
+def _bad(b):
+    """Parts of some hours, some of which overlap, and a weekend."""
+    hour = F.window("open_time", "1 hour").start
+    hours = b.select("symbol", hour.alias("h")).distinct().where("hour(h) % 6 = 2 AND day(h) % 3 = 0")
+    cut = lambda a, z: hours.select("symbol", (F.col("h") + F.expr(f"interval {a} minutes")).alias("start"), (F.col("h") + F.expr(f"interval {z} minutes")).alias("stop"))
+    return cut(10, 40).union(cut(30, 70)).union(b.select("symbol").distinct().selectExpr("symbol", "TIMESTAMP_NTZ'2024-01-13 00:00:30'", "TIMESTAMP_NTZ'2024-01-14 12:00:00'"))
+
+
+def edge_scan_excluding(spark, sf_dir):
+    return _shown(E.scan_excluding(_signalled(spark, sf_dir), _bad(bars(spark, sf_dir)), horizons=(1, 15, 60)))
+
+
+_EXCLUDING_HEAD = f"""{with_bars()}, h AS (SELECT DISTINCT symbol, time_bucket(INTERVAL '1 hour', open_time) AS h FROM b WHERE hour(open_time) % 6 = 2 AND day(open_time) % 3 = 0),
+    bad AS (SELECT symbol, h + INTERVAL '10 minutes' AS s, h + INTERVAL '40 minutes' AS e FROM h UNION ALL SELECT symbol, h + INTERVAL '30 minutes', h + INTERVAL '70 minutes' FROM h
+            UNION ALL SELECT DISTINCT symbol, TIMESTAMP '2024-01-13 00:00:30', TIMESTAMP '2024-01-14 12:00:00' FROM b),
+    cl AS (SELECT b.*, (SELECT count(*) FROM bad WHERE bad.symbol = b.symbol AND s < close_time) AS segment FROM b WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.symbol = b.symbol AND s < close_time AND e > open_time))"""
+
+
 def flagship(spark, sf_dir, horizons=(1, 5, 15)):
     """RSI(14) below 30 on minute bars: forward returns net of spread, by session and horizon."""
     return _shown(E.scan_condition(bars(spark, sf_dir), "rsi", "<", 30, horizons=horizons, group_by="session"))
@@ -174,6 +192,7 @@ QUERIES = {
     "edge_scan": lambda s, d: _shown(E.scan(_signalled(s, d))),
     "edge_scan_by_session": lambda s, d: _shown(E.scan(_signalled(s, d), group_by="session")),
     "edge_scan_period": _period_scan,
+    "edge_scan_excluding": edge_scan_excluding,
     "edge_json": edge_json,
     "edge_covered": lambda s, d: E.covered(_signalled(s, d), "short", False),
     "flagship_rsi_scan": flagship,
@@ -203,6 +222,7 @@ SQL = {
     "horizon_stats": f"SELECT * EXCLUDE (n_signals) FROM ({scan_sql(side='short')}) WHERE n > 0",
     "edge_scan": scan_sql(),
     "edge_scan_by_session": scan_sql(groups=True),
+    "edge_scan_excluding": scan_sql(horizons=(1, 15, 60), head=_EXCLUDING_HEAD, source="cl", within="z.segment = a.segment"),
     "edge_scan_period": scan_sql(view="OR", horizons=(1, 5, 15), where="open_time >= TIMESTAMP '1995-01-01' AND open_time < TIMESTAMP '1998-01-01'"),
     "edge_json": f"""SELECT symbol, '{{"n_signals":' || n_signals || ',"direction":"long","deduct_spread":true,"covered_start":"' || covered_start || '","covered_end":"' || covered_end
             || '","horizons":' || max(rows) FILTER (WHERE grp = 'ALL') || ',"by_group":{{' || string_agg('"' || grp || '":' || rows, ',' ORDER BY grp) FILTER (WHERE grp <> 'ALL') || '}}}}' AS json
