@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.opening import due_slots, missing_runs, slots
-from barloom.operators.spans import quantile as exact_quantile, windowed
+from barloom.operators.spans import positioned, quantile as exact_quantile, windowed
 from barloom.schema import BAR_COLUMNS, VALUES, Timeframe, require_ntz
 
 #: Gaps of this many minutes or more are holidays rather than faults, in summaries.
@@ -51,11 +51,20 @@ def expected_bars(bars: DataFrame, timeframe: Timeframe, start: datetime | None
     return slots(due(bars, timeframe, start, stop), timeframe.minutes)
 
 
-def gaps(bars: DataFrame, due: DataFrame, timeframe: Timeframe) -> DataFrame:
+def gaps_due(bars: DataFrame, due: DataFrame, timeframe: Timeframe) -> DataFrame:
     """symbol, from, to (last missing slot), missing_bars, minutes of each run of slots that are ``due`` and have no bar."""
     return missing_runs(bars, due, timeframe.minutes)
 
 
+def gaps(bars: DataFrame, expected: DataFrame, timeframe: Timeframe) -> DataFrame:
+    """The same of any listed slots (symbol, open_time)."""
+    minutes = timeframe.minutes
+    missing = expected.join(bars.select("symbol", "open_time").distinct(), ["symbol", "open_time"], "left_anti")
+    run = F.expr("open_time - make_dt_interval(0, 0, cast(_pos * %d as int))" % minutes)  # the same for neighbours
+    runs = positioned(missing, ["symbol"]).groupBy("symbol", run.alias("run")).agg(F.min("open_time").alias("from"), F.max("open_time").alias("to"), F.count("*").alias("missing_bars"))
+    return runs.select("symbol", "from", "to", "missing_bars", (F.col("missing_bars") * float(minutes)).alias("minutes"))
+
+
 def bad_spread(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count_if(F.col("ask_close") - F.col("bid_close") <= 0).alias("bad_spread_count"))
 
@@ -108,7 +117,7 @@ def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None,
         others = given.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", _ntz(start).alias("start"), _ntz(stop).alias("stop"))
         wanted = wanted.union(due_slots(others, timeframe.minutes))
         out = out.join(given, "symbol", "full")
-    found = gaps(one, wanted, timeframe)
+    found = gaps_due(one, wanted, timeframe)
     text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     item = F.struct(text("from").alias("from"), text("to").alias("to"), "missing_bars", "minutes")
     listed = found.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("gaps"), F.max("minutes").alias("longest_gap_minutes"), F.sum("missing_bars").alias("missing_bars"))

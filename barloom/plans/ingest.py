@@ -58,7 +58,7 @@ def fetch(source, lake, meta, symbol: str, start: datetime, end: datetime, *, ti
                 meta.record_quality(symbol, timeframe.value, {"status": "quarantined", "chunk_start": str(lo), "chunk_end": str(hi), "bar_count": count, "error": str(e)})
                 out.quarantined += 1
                 continue
-            meta.record_fetch(symbol, timeframe.value, lo, hi)
+            meta.record_fetch(symbol, timeframe.value, aware(lo), aware(hi))
             out.saved += 1
     stored = lake.load(symbol, timeframe, as_of=aware(end), start=aware(start))
     report = check(stored, timeframe, start, end, symbols=(symbol,)).first()  # a window without bars has one too

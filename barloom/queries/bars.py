@@ -109,7 +109,7 @@ gp AS (SELECT symbol, min(open_time) AS "from", max(open_time) AS "to", count(*)
 
 def gaps(spark, sf_dir):
     b = bars(spark, sf_dir)
-    return Q.gaps(b, Q.due(b, M1), M1)
+    return Q.gaps_due(b, Q.due(b, M1), M1)
 
 
 def expected_bars(spark, sf_dir):

@@ -9,7 +9,9 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.caltime import ensure_utc_timestamp
 from barloom.operators.intervals import merge_ranges
+from barloom.sources.files import Files
 
 #: Fields without which a payload is no quality report.
 REPORT_FIELDS = ("symbol", "timeframe", "expected_bars", "actual_bars", "missing_bars", "longest_gap_minutes", "duplicate_count", "conflicting_count", "bad_spread_count", "wide_spread_count", "price_jump_count", "gaps")
@@ -50,10 +52,10 @@ def json_safe(x):
 
 
 class Meta:
-    """Appends rows of small tables under ``root``; ``seq`` orders them. One writer at a time."""
+    """Appends rows of small tables under ``root``; ``seq`` orders them. Any number of writers: no row is lost, no ``seq`` is used twice."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     _KINDS = {
         "fetch_ranges": "seq long, symbol string, timeframe string, start string, stop string",
@@ -63,18 +65,22 @@ class Meta:
     }
 
     def _table(self, name: str) -> DataFrame:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+        if not self.files.names(f"{self.root}/{name}"):
             return self.spark.createDataFrame([], self._KINDS[name])
         return self.spark.read.schema(self._KINDS[name]).json(f"{self.root}/{name}")
 
-    def _append(self, name: str, *values: str) -> None:
-        seq = (self._table(name).agg(F.max("seq")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(seq, *values)], self._KINDS[name]).coalesce(1).write.mode("append").json(f"{self.root}/{name}")
+    def _append(self, name: str, *values: str) -> int:
+        """One row in a file of its own, named by its ``seq``: the first number that no other writer has taken. Returns it."""
+        names = [c.split()[0] for c in self._KINDS[name].split(",")]
+        seq = int((self.files.names(f"{self.root}/{name}") or ["0"])[-1].split(".")[0])
+        while True:
+            seq += 1
+            if self.files.put_if_absent(f"{self.root}/{name}/{seq:012d}.json", json.dumps(dict(zip(names, (seq, *values), strict=True))) + "\n"):
+                return seq
 
     def record_fetch(self, symbol: str, timeframe: str, start: datetime, stop: datetime) -> None:
-        self._append("fetch_ranges", symbol, timeframe, start.isoformat(sep=" "), stop.isoformat(sep=" "))
+        """Aware times only: what is stored is UTC."""
+        self._append("fetch_ranges", symbol, timeframe, *(ensure_utc_timestamp(t).isoformat(sep=" ") for t in (start, stop)))
 
     def fetched_ranges(self, symbol: str, timeframe: str) -> list[tuple[datetime, datetime]]:
         df = self._table("fetch_ranges").where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe))

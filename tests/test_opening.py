@@ -77,7 +77,7 @@ def test_no_bars_and_too_long_spans(spark):
 
 def test_plans_lay_out_days_at_most(spark):
     b = minute_bars(spark, "2026-01-05 00:00", 300)
-    for df in (source_coverage(b, resample(b, T.H1), T.H1), Q.gaps(b, Q.due(b, T.M1), T.M1)):
+    for df in (source_coverage(b, resample(b, T.H1), T.H1), Q.gaps_due(b, Q.due(b, T.M1), T.M1)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         steps = [p.split(")")[0] for p in plan.split("sequence(")[1:]]
         assert steps and all("MINUTE" not in p for p in steps)  # days, and numbers of weeks
