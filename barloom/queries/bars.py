@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -16,7 +16,8 @@ from barloom.operators.resample import coverage_summary, resample, source_covera
 from barloom.operators.validate import combine_sides, rule_counts
 from barloom.plans.build import all_timeframes
 from barloom.queries.base import TICKS_SQL, bars, date_sql, open_sql, period_start_sql, scratch, session_sql, ticks, with_bars
-from barloom.schema import DERIVED, PRICES, Timeframe
+from barloom.schema import DERIVED, FIELDS, PRICES, Timeframe
+from barloom.sources.bar_datasource import read_sides
 from barloom.sources.lake import as_of_scan, merge_conflicts, merged
 
 M1, H1, H4 = Timeframe.M1, Timeframe.H1, Timeframe.H4
@@ -205,6 +206,17 @@ def mtf(spark, sf_dir):
     return mtf_asof(b, resample(b, H4), ["bid_close"]).select("symbol", "open_time", "h_open_time", "h_bid_close")
 
 
+def bar_sides_scan(spark, sf_dir):
+    """Both sides of all bars of ``orders``, written apart, as two symbols' bars of nine months from the data source."""
+    path, b = scratch(spark), bars(spark, sf_dir, "OR")
+    for symbol in sorted(r.symbol for r in b.select("symbol").distinct().collect()):
+        for side in ("bid", "ask"):
+            own = b.where(F.col("symbol") == symbol).select("open_time", *(F.col(f"{side}_{f}").alias(f) for f in FIELDS), "volume")
+            own.sortWithinPartitions("open_time").write.parquet(f"{path}/{symbol}/1m/{side}")
+    utc = lambda *t: datetime(*t, tzinfo=timezone.utc)
+    return read_sides(spark, path, M1, ("OR0", "OR2"), utc(1996, 6, 10, 12), utc(1997, 3, 5))
+
+
 QUERIES = {
     "ticks_to_1m": ticks_to_1m,
     "bid_ask_join": bid_ask_join,
@@ -225,6 +237,7 @@ QUERIES = {
     "quality_report": quality_report,
     "quality_report_empty_window": quality_report_empty_window,
     "gap_summary": lambda s, d: Q.gap_summary(_report(s, d)),
+    "bar_sides_scan": bar_sides_scan,
     "lake_as_of_scan": lake_as_of_scan,
     "lake_years": lake_years,
     "lake_merge_upsert": lake_merge_upsert,
@@ -282,6 +295,7 @@ SQL = {
     "gap_summary": f"""{_SUMMARY_PARTS}, g2 AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE minutes >= 1440) AS l, coalesce(max(minutes) FILTER (WHERE minutes < 1440), 0)::BIGINT AS r, FROM gp GROUP BY symbol),
         ex AS (SELECT symbol, count(*) AS e FROM x GROUP BY symbol), ac AS (SELECT symbol, count(*) AS a FROM x SEMI JOIN b USING (symbol, open_time) GROUP BY symbol)
         SELECT symbol, printf('coverage %.2f%%, %d gaps (%d of a day or more, longest other %d min)', 100.0::DOUBLE * a / e, n, l, r) AS summary FROM g2 JOIN ex USING (symbol) JOIN ac USING (symbol)""",
+    "bar_sides_scan": f"{with_bars('OR')} SELECT {ALL} FROM b WHERE symbol IN ('OR0', 'OR2') AND open_time >= TIMESTAMP '1996-06-10 12:00:00' AND open_time < TIMESTAMP '1997-03-05'",
     "lake_as_of_scan": f"{with_bars('OR')} SELECT {ALL} FROM b WHERE close_time <= TIMESTAMP '1998-03-01 12:00:00' AND open_time >= TIMESTAMP '1996-06-01'",
     "lake_years": f"{with_bars('OR')} SELECT symbol, '1m' AS timeframe, year(open_time)::BIGINT AS year, count(*)::BIGINT AS bars FROM b GROUP BY ALL",
     "lake_merge_upsert": f"{with_bars('OR')} SELECT {ALL} FROM b",
