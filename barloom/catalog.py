@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.queries import bars, calendar, studies
+from barloom.queries import bars, calendar, streams, studies
 
-_PARTS = (calendar, bars, studies)
+_PARTS = (calendar, bars, studies, streams)
 flagship = studies.flagship
 
 

@@ -10,6 +10,7 @@ from barloom.operators import indicators
 from barloom.operators.interval_join import segments
 from barloom.operators.spans import block_of, positioned, quantile, windowed
 from barloom.operators.periods import Settings, authorize_locked_access
+from barloom.sources.shared import materialized
 
 HORIZONS = (1, 5, 15, 30, 60)
 # Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom, and of the normal distribution.
@@ -62,18 +63,27 @@ def _check(horizons, direction, pip, group_by) -> None:
         raise ValueError("horizons must be positive")
 
 
-def samples(bars: DataFrame, horizons=HORIZONS, direction="long", pip=0.01, deduct_spread=True, group_by=None) -> DataFrame:
-    """symbol, grp, horizon, pos, ret of each usable signal; ``bars`` has ``signal``. Positions count all bars of the symbol.
+def seen(bars: DataFrame, horizons=HORIZONS, direction="long", pip=0.01, deduct_spread=True, group_by=None) -> DataFrame:
+    """symbol, signal, grps, pos and the forward return for each horizon (``_r5``, …) of all bars; positions count all bars of the symbol.
 
     If ``bars`` have ``segment``, a return stays within its segment.
     """
     keys = ("symbol", "segment") if "segment" in bars.columns else ("symbol",)
     columns = {f"_r{h}": {"h": h, "direction": direction, "pip": pip, "deduct_spread": deduct_spread} for h in horizons}
-    df = forward_returns(positioned(bars, ["symbol"]), columns, keys).withColumn("pos", F.col("_pos") + 1)
+    df = forward_returns(positioned(bars, ["symbol"]), columns, keys)
     groups = F.array(F.lit("ALL"), K.session_labels(F.col("open_time"))) if group_by else F.array(F.lit("ALL"))
+    return df.select("symbol", "signal", groups.alias("grps"), (F.col("_pos") + 1).alias("pos"), *columns)
+
+
+def samples(bars: DataFrame, horizons=HORIZONS, direction="long", pip=0.01, deduct_spread=True, group_by=None) -> DataFrame:
+    """symbol, grp, horizon, pos, ret of each usable signal; ``bars`` has ``signal``."""
+    return _samples(seen(bars, horizons, direction, pip, deduct_spread, group_by), horizons)
+
+
+def _samples(df: DataFrame, horizons) -> DataFrame:
     df = df.where("signal").withColumn("x", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("ret")) for h in horizons))))
-    df = df.where("x.ret IS NOT NULL").select("symbol", "pos", "x.horizon", "x.ret", groups.alias("g"))
-    return df.select("symbol", F.explode("g").alias("grp"), "horizon", "pos", "ret")
+    df = df.where("x.ret IS NOT NULL").select("symbol", "pos", "x.horizon", "x.ret", "grps")
+    return df.select("symbol", F.explode("grps").alias("grp"), "horizon", "pos", "ret")
 
 
 def with_overlap(df: DataFrame) -> DataFrame:
@@ -128,12 +138,13 @@ def scan(bars: DataFrame, horizons=HORIZONS, direction="long", pip=0.01, deduct_
 
     ``grp`` is ALL and, with ``group_by="session"``, each session that the bars have; groups and horizons without a
     signal appear with n 0. ``n_signals`` counts signals, also those too late for a return. Returns look ``h`` rows ahead, whatever
-    session those are in. ``covered`` tells what a scan saw.
+    session those are in. ``covered`` tells what a scan saw. Bars are positioned, and their indicator computed, once: into a table in the shared folder that all
+    statistics read.
     """
     _check(horizons, direction, pip, group_by)
-    stats = horizon_stats(samples(bars, horizons, direction, pip, deduct_spread, group_by))
-    labels = F.array(F.lit("ALL"), K.session_labels(F.col("open_time"))) if group_by else F.array(F.lit("ALL"))
-    spine = bars.select("symbol", "signal", F.explode(labels).alias("grp")).groupBy("symbol", "grp").agg(F.count_if("signal").alias("n_signals"))
+    table = materialized(seen(bars, horizons, direction, pip, deduct_spread, group_by))
+    stats = horizon_stats(_samples(table, horizons))
+    spine = table.select("symbol", "signal", F.explode("grps").alias("grp")).groupBy("symbol", "grp").agg(F.count_if("signal").alias("n_signals"))
     spine = spine.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
     out = spine.join(stats, ["symbol", "grp", "horizon"], "left")
     return out.withColumns({"n": F.coalesce("n", F.lit(0)), "n_eff": F.coalesce("n_eff", F.lit(0.0))}).select("symbol", "grp", "horizon", "n_signals", *STATS)
@@ -163,7 +174,7 @@ def scan_period(bars: DataFrame, settings: Settings, period: str, allow_locked:
 
 
 def scan_condition(bars: DataFrame, name: str, op: str, value: float, column: str | None = None, params: dict | None = None, settings: Settings | None = None, period: str | None = None, **options) -> DataFrame:
-    """Indicator over all bars, predicate, then the scan (of a period): one lazy plan."""
+    """Indicator over all bars, predicate, then the scan (of a period)."""
     if name not in indicators.REGISTRY:
         raise ValueError(f"unknown indicator {name!r}")
     outputs = indicators.REGISTRY[name].outputs

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 BLOCK = 50_000
 
 
-def positioned(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """``bars`` with ``_pos``: the row's position in its series by ``open_time``, from 0."""
-    df = bars.withColumn("_month", F.year("open_time") * 12 + F.month("open_time"))
+def positioned(bars: DataFrame, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """``bars`` with ``_pos``: the row's position in its series by ``open_time`` (null first), then ``ties``, from 0. ``keys`` must not be null."""
+    df = bars.withColumn("_month", F.coalesce(F.year("open_time") * 12 + F.month("open_time"), F.lit(0)))
     sizes = df.groupBy(*keys, "_month").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_month", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    number = F.row_number().over(Window.partitionBy(*keys, "_month").orderBy("open_time"))
+    number = F.row_number().over(Window.partitionBy(*keys, "_month").orderBy("open_time", *ties))
     df = df.withColumn("_number", number).join(sizes, [*keys, "_month"])
     return df.select(*bars.columns, (F.col("_number") - 1 + F.col("_offset")).alias("_pos"))
 

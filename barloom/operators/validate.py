@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.spans import positioned, windowed
 from barloom.schema import BAR_COLUMNS, PRICES, VALUES, Timeframe, require_ntz
 
 #: A calendar bar is no longer than this; a week with a change of the clock stays below.
@@ -22,9 +23,10 @@ def project_bars(df: DataFrame) -> DataFrame:
 
 
 def rule_counts(df: DataFrame, timeframe: Timeframe) -> DataFrame:
-    """One row: how many rows break each rule."""
-    w = Window.partitionBy("symbol").orderBy("open_time", "close_time")
-    df = project_bars(df).withColumn("next_open", F.lead("open_time").over(w))
+    """One row: how many rows break each rule. Each row sees the next of its symbol, in blocks of rows; a null time comes first, and breaks its rules."""
+    df = project_bars(df).withColumn("_series", F.coalesce(F.concat(F.lit("="), "symbol"), F.lit("")))
+    following = lambda d, w: d.withColumn("next_open", F.lead("open_time").over(w))
+    df = windowed(positioned(df, ["_series"], ("close_time",)), ["_series"], following, ahead=1)
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     all_finite = finite(VALUES[0])
     for c in VALUES[1:]:

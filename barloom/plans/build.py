@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.resample import confirmed_only, coverage_summary, resample, source_coverage, spans
 from barloom.schema import DERIVED, Timeframe
+from barloom.sources.shared import materialized
 
 
 def _finer(timeframe: Timeframe, timeframes) -> Timeframe | None:
@@ -19,17 +20,21 @@ def _finer(timeframe: Timeframe, timeframes) -> Timeframe | None:
 
 
 def derived(bars: DataFrame, timeframes=DERIVED) -> dict[Timeframe, DataFrame]:
-    """Confirmed bars of each time frame. All are built from the shortest where that divides them, so minutes are read and shuffled once for all."""
+    """Confirmed bars of each time frame. All are built from the shortest where that divides them.
+
+    The shortest is written to the shared folder at once, so ``bars`` are read twice in all: for it, and for what time they span.
+    """
     whole: dict[Timeframe, DataFrame] = {}
     for t in sorted(timeframes, key=lambda t: (t.delta is None, t.minutes if t.delta is not None else 0)):
         finer = _finer(t, whole)
-        whole[t] = resample(whole[finer] if finer else bars, t, confirmed=False)
-    source = spans(bars)
+        part = resample(whole[finer] if finer else bars, t, confirmed=False)
+        whole[t] = part if whole or len(timeframes) == 1 else materialized(part)
+    source = materialized(spans(bars)) if len(timeframes) > 1 else spans(bars)
     return {t: confirmed_only(whole[t], source) for t in timeframes}
 
 
 def all_timeframes(bars: DataFrame, timeframes=DERIVED) -> DataFrame:
-    """Bars of every time frame in one table, with ``timeframe``; stages that frames share are one exchange each."""
+    """Bars of every time frame in one table, with ``timeframe``."""
     out = None
     for t, part in derived(bars, timeframes).items():
         part = part.withColumn("timeframe", F.lit(t.value))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.sources import ticks as T
+from barloom.sources.shared import shared_path
 
 VIEWS = {"EV": T.event_ticks, "OR": T.order_ticks}
 
@@ -19,11 +18,7 @@ def bars(spark: SparkSession, sf_dir: str, view: str = "EV") -> DataFrame:
     return T.ticks_to_1m(ticks(spark, sf_dir, view))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
+scratch = shared_path
 
 TICKS_SQL = {
     "EV": "SELECT 'EV' || (user_id % 4) AS symbol, ts, event_id AS id, 100.0::DOUBLE + value AS px, (json_extract_string(props, '$.k')::DOUBLE + 1.0::DOUBLE) / 1000.0::DOUBLE AS spr FROM events",
