@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators.opening import due_slots, missing_runs, slots
 from barloom.operators.spans import positioned, quantile as exact_quantile, windowed
 from barloom.schema import BAR_COLUMNS, VALUES, Timeframe, require_ntz
+from barloom.sources.shared import materialized
 
 #: Gaps of this many minutes or more are holidays rather than faults, in summaries.
 HOLIDAY_MINUTES = 1440
@@ -24,19 +25,30 @@ def _ntz(t: datetime) -> Column:
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def _times(bars: DataFrame, order: str | None = None) -> DataFrame:
+    """symbol, open_time, n (rows), differs (whether they differ anywhere), x: the first row by the column ``order``, or in the order of the input's partitions and rows."""
+    same = F.struct("close_time", *VALUES)
+    bars = bars if order else bars.withColumn("_order", F.monotonically_increasing_id())
+    first = F.struct(order or "_order", *BAR_COLUMNS[1:])
+    return bars.groupBy("symbol", "open_time").agg(F.count("*").alias("n"), (F.min(same) != F.max(same)).alias("differs"), F.min(first).alias("x"))
+
+
+def _dups(times: DataFrame) -> DataFrame:
+    return times.groupBy("symbol").agg((F.sum("n") - F.count("*")).alias("duplicate_count"), F.count_if("differs").alias("conflicting_count"))
+
+
+def _firsts(times: DataFrame) -> DataFrame:
+    return times.select("symbol", "open_time", *(f"x.{c}" for c in BAR_COLUMNS[1:]))
+
+
 def dup_counts(bars: DataFrame) -> DataFrame:
     """symbol, duplicate_count (rows beyond the first of a time), conflicting_count (times whose rows differ anywhere)."""
-    same = F.struct("close_time", *VALUES)
-    g = bars.groupBy("symbol", "open_time").agg(F.count("*").alias("n"), (F.min(same) != F.max(same)).alias("differs"))
-    return g.groupBy("symbol").agg((F.sum("n") - F.count("*")).alias("duplicate_count"), F.count_if("differs").alias("conflicting_count"))
+    return _dups(_times(bars))
 
 
 def deduped(bars: DataFrame, order: str | None = None) -> DataFrame:
     """The first row of each time by the column ``order``; without one, the first in the order of the input's partitions and rows."""
-    bars = bars if order else bars.withColumn("_order", F.monotonically_increasing_id())
-    first = F.struct(order or "_order", *BAR_COLUMNS[1:])
-    g = bars.groupBy("symbol", "open_time").agg(F.min(first).alias("x"))
-    return g.select("symbol", "open_time", *(f"x.{c}" for c in BAR_COLUMNS[1:]))
+    return _firsts(_times(bars, order))
 
 
 def due(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
@@ -104,19 +116,22 @@ def price_jumps(bars: DataFrame, timeframe: Timeframe, multiple: float = 10.0) -
 def check(bars: DataFrame, timeframe: Timeframe, start: datetime | None = None, stop: datetime | None = None, multiple: float = 10.0, quantile: float = 0.999, order: str | None = None, symbols: tuple[str, ...] = ()) -> DataFrame:
     """One report row for each symbol; ``gaps`` lists the missing runs. All but the duplicate counts see deduplicated bars.
 
-    With a window (``start`` and ``stop``), each of ``symbols`` has a report even if it has no bars: all that was due is missing then.
+    With a window (``start`` and ``stop``), each of ``symbols`` has a report even if it has no bars: all that was due is missing then. ``bars`` are read once, into
+    a table in the shared folder, by time; all figures come from there.
     """
     if timeframe.delta is None:
         raise ValueError(f"{timeframe.value}: quality is defined for fixed lengths only")
     require_ntz(bars, "open_time", "close_time")
-    one = deduped(bars, order)
+    times = materialized(_times(bars, order))
+    one = _firsts(times)
     wanted = due(one, timeframe, start, stop)
-    out = dup_counts(bars)
+    out = _dups(times)
     if symbols and start and stop:
         given = bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-        others = given.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", _ntz(start).alias("start"), _ntz(stop).alias("stop"))
+        others = given.join(times.select("symbol").distinct(), "symbol", "left_anti").select("symbol", _ntz(start).alias("start"), _ntz(stop).alias("stop"))
         wanted = wanted.union(due_slots(others, timeframe.minutes))
         out = out.join(given, "symbol", "full")
+    wanted = materialized(wanted)  # a row for a symbol and week, read three times
     found = gaps_due(one, wanted, timeframe)
     text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     item = F.struct(text("from").alias("from"), text("to").alias("to"), "missing_bars", "minutes")

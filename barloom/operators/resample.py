@@ -9,6 +9,7 @@ from barloom.functions import caltime as K
 from barloom.operators.opening import with_open_minutes
 from barloom.operators.spans import quantile
 from barloom.schema import BAR_COLUMNS, Timeframe, require_ntz
+from barloom.sources.shared import materialized
 
 
 def bucket(t: Column, timeframe: Timeframe) -> tuple[Column, Column]:
@@ -74,7 +75,8 @@ def source_coverage(bars: DataFrame, derived: DataFrame, timeframe: Timeframe) -
     Both sides meet by bucket, an equi-join; the open minutes of each calendar bar are worked out once for all symbols.
     """
     have = _bounds(_keyed(bars, timeframe).groupBy("symbol", "bucket").agg(F.count("*").alias("actual")), timeframe)
-    due = with_open_minutes(derived.select("open_time", "close_time").distinct(), "open_time", "close_time", "expected").drop("close_time")
+    spans = materialized(derived.select("open_time", "close_time").distinct())  # few, and read three times
+    due = with_open_minutes(spans, "open_time", "close_time", "expected").drop("close_time")
     out = derived.select("symbol", "open_time").join(have.select("symbol", "open_time", "actual"), ["symbol", "open_time"], "left").join(due, "open_time")
     out = out.withColumn("actual", F.coalesce("actual", F.lit(0)).cast("long"))
     return out.select("symbol", "open_time", "actual", "expected", F.try_divide("actual", "expected").alias("coverage"))
