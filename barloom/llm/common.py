@@ -216,6 +216,16 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(n).cast(kinds.get(n, "string")).alias(n) for n in names))
 
 
+def named(name: str) -> F.Column:
+    """The column of exactly this name, whatever dots, spaces or backticks are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed_rows(df: DataFrame) -> DataFrame:
+    """``row``: each row whole, as a struct, so that other columns may be added without a clash of names."""
+    return df.select(F.struct(*(named(c).alias(c) for c in df.columns)).alias("row"))
+
+
 def held_out(doc_id) -> F.Column:
     """Whether crc32 of the id as text, modulo 5, is 0: such rows are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

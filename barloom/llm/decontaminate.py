@@ -55,11 +55,16 @@ def _parts(text: str) -> tuple[str, str]:
     return text[:at], text[at:]
 
 
+def width(words: int) -> int:
+    """Words of the passages that are searched for an item of so many words: twice as many at least, in steps of a factor of two."""
+    return max(LEAST_PASSAGE, 1 << (2 * words - 1).bit_length()) if words else LEAST_PASSAGE
+
+
 class Totals:
-    """Of all items: number, mean and greatest number of words, and in how many a word (ascending hashes) occurs."""
+    """Of all items: number, mean number of words, and in how many a word (ascending hashes) occurs."""
 
-    def __init__(self, n: int, mean: float, longest: int, words: np.ndarray, df: np.ndarray):
-        self.n, self.mean, self.longest, self.words, self.df = n, mean, longest, words, df
+    def __init__(self, n: int, mean: float, words: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.words, self.df = n, mean, words, df
 
 
 class Maxima:
@@ -107,7 +112,7 @@ class Index:
         pair, tf = np.unique(at * max(1, n) + doc, return_counts=True)
         term, doc = pair // max(1, n), pair % max(1, n)
         if totals is None:
-            totals = Totals(n, float(counts.mean()) if n else 1.0, int(counts.max(initial=0)), self.terms, np.bincount(term, minlength=v))
+            totals = Totals(n, float(counts.mean()) if n else 1.0, self.terms, np.bincount(term, minlength=v))
         df = totals.df[np.searchsorted(totals.words, self.terms)] if v else np.zeros(0)
         idf = np.log(1 + (totals.n - df + 0.5) / (df + 0.5))
         size = counts / max(1e-9, totals.mean)
@@ -122,7 +127,7 @@ class Index:
         np.maximum.at(self.term_max, term, impact)
         bounds = np.searchsorted(term, np.arange(v + 1))
         self.postings = [(doc[a:b].tolist(), impact[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.passage = max(LEAST_PASSAGE, 2 * totals.longest)
+        self.passage = max((width(len(w)) for w in self.words), default=LEAST_PASSAGE)
         self.mask = np.zeros(1 << 20, bool)
         self.mask[self.terms >> np.uint64(44)] = True
 
@@ -219,10 +224,11 @@ class Index:
         return float(np.isin(own, C.range_hashes(passage, s, s + n, C._WORD_POWERS[0])).mean()), float(np.isin(self.answer[item], passage).mean())
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of the items (item_id, text), each over about INDEX_CHARS characters; statistics are of all items, counted on the executors.
+def indexes(items: DataFrame) -> Iterator[list[Index]]:
+    """Indexes of the items (item_id, text), about INDEX_CHARS characters at a time; statistics are of all items, counted on the executors.
 
-    The driver holds one part's items and the counts of its words at a time.
+    A part has an index for each width of passage: how long a passage is depends on the item alone, not on how long others are. The driver holds one
+    part's items and the counts of its words at a time.
     """
     rows = C.only(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = int(rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0)
@@ -243,7 +249,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         for b in batches:
             yield pa.record_batch({"n": pa.array(terms(C.texts_of(b))[1], pa.int64())})
 
-    n, mean, longest = rows.mapInArrow(lengths, "n long").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n, mean = rows.mapInArrow(lengths, "n long").agg(F.count("*"), F.avg("n")).first()
     words = C.written(rows.select("text", "part").mapInArrow(count, "part int, word long").groupBy("part", "word").agg(F.count("*").alias("df")))
     df = C.written(words.groupBy("word").agg(F.sum("df").alias("df"))) if parts > 1 else words.select("word", "df")
     for part in range(parts if n else 0):
@@ -252,34 +258,11 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         word, freq = (known.column(c).to_numpy() for c in ("word", "df"))
         word = word.view(np.uint64)
         order = np.argsort(word)
-        if own:
-            yield Index(own, Totals(n, mean, longest, word[order], freq[order]))
-
-
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap: the items that documents hold, at their best passage.
-
-    An item's answer is what follows its first line, or else its last sentence; an item of one sentence, or with fewer
-    than five words before its answer, is question and answer. Null or empty texts and items hold nothing and are held by nothing; a null doc_id is kept, a null item_id is
-    left out; repeated documents or items give a row each time; other columns are ignored; empty tables give none.
-    """
-    C.small_batches(docs.sparkSession)
-    spark, out, kind = docs.sparkSession, None, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    docs = C.only(docs, "doc_id", "text")
-    for index in indexes(items):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            for b in batches:
-                texts, ids = C.texts_of(b), b.column("doc_id").to_pylist()
-                for lo, hi in C.slices((len(t or "") for t in texts), 1_000_000):
-                    found = shared.value.search(*terms(texts[lo:hi]))
-                    cols = list(zip(*((ids[lo + d], shared.value.ids[i], *map(float, x)) for d, i, *x in found), strict=True)) or [[]] * 5
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = docs.mapInArrow(run, kind)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], kind) if out is None else out
+        classes: dict[int, list] = {}
+        for item, size in zip(own, terms([t for _, t in own])[1].tolist(), strict=True):
+            classes.setdefault(width(size), []).append(item)
+        if classes:
+            yield [Index(some, Totals(n, mean, word[order], freq[order])) for _, some in sorted(classes.items())]
 
 
 def _found(docs: DataFrame, items: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -287,15 +270,20 @@ def _found(docs: DataFrame, items: DataFrame, names: tuple[str, ...]) -> DataFra
     C.small_batches(docs.sparkSession)
     spark, out = docs.sparkSession, None
     kind = ", ".join(f"{n} long" for n in (*names, "item_id")) + ", score double, question_overlap double, answer_overlap double"
-    for index in indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+    shared = None
+    for part in indexes(items):
+        if shared is not None:  # a part's broadcast goes before the next one comes
+            out = C.written(out)
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
             for b in batches:
                 texts = C.texts_of(b)
                 for lo, hi in C.slices((len(t or "") for t in texts), 1_000_000):
-                    found = shared.value.search(*terms(texts[lo:hi]))
-                    cols = list(zip(*((lo + d, shared.value.ids[i], *map(float, x)) for d, i, *x in found), strict=True)) or [[]] * 5
+                    words = terms(texts[lo:hi])
+                    found = sorted((d, index.ids[i], *map(float, x)) for index in shared.value for d, i, *x in index.search(*words))
+                    cols = list(zip(*((lo + d, *x) for d, *x in found), strict=True)) or [[]] * 5
                     own = [b.column(n).take(pa.array(cols[0], pa.int64())) for n in names]
                     rest = [pa.array(x, t) for x, t in zip(cols[1:], [pa.int64(), *[pa.float64()] * 3], strict=True)]
                     yield pa.record_batch([*own, *rest], names=[*names, "item_id", "score", "question_overlap", "answer_overlap"])
@@ -320,8 +308,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that hold an item. A row goes for its own text alone, whatever rows share its id; columns may have any names."""
     rows = C.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
     held = _found(rows, items, ("doc_id", "key")).select(F.col("doc_id").alias("held_id"), F.col("key").alias("held_key")).distinct()
-    packed = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
-    packed = packed.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
+    packed = C.packed_rows(docs).select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
     kept = packed.join(held, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("key") == F.col("held_key")), "left_anti")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 

@@ -596,7 +596,7 @@ def without_removed(docs: DataFrame) -> DataFrame:
     rows share its id; columns may have any names.
     """
     gone = _judged_rows(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), "key", "n_lines", "n_removed", "removed")
-    rows = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    rows = C.packed_rows(docs)
     text = F.col("row")["text"].cast("string")
     rows = rows.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("own"))
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left").where("n_removed IS NULL OR n_removed < n_lines")

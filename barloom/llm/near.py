@@ -334,8 +334,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.struct("doc_id", "key") == F.col("best")
     special = C.written(found.where(~first | (F.col("copies") > 1)).select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), first.alias("first")))
     C.forget(classed)
-    packed = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
-    packed = packed.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
+    packed = C.packed_rows(docs).select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.col("row")["text"].cast("string")).alias("key"))
     same = (F.col("doc_id") == F.col("own_id")) & (F.col("key") == F.col("own_key"))
     kept = packed.join(special, same, "left_anti")
     w = Window.partitionBy("doc_id", "key").orderBy(F.xxhash64(*(F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString())))

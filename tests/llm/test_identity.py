@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import common, decontaminate, near, repeats
+from barloom.llm import common, decontaminate, lines, near, quality_rules, repeats
 from tests.llm.test_lines import thue_morse
 
-NAMES = ("_id", "_held", "row", "key", "own", "id", "label", "held_id", "held_key", "k", "first", "own_id", "copies")
+NAMES = ("_id", "_held", "row", "key", "own", "id", "label", "held_id", "held_key", "k", "first", "own_id", "copies", "meta.src", "a b", "c`d", "row.text")
 
 
 def with_names(spark, rows):
@@ -17,7 +17,7 @@ def with_names(spark, rows):
 
 
 def shown(df):
-    return sorted((str(r.doc_id), str(r.text), r["_held"], r["row"]) for r in df.collect())
+    return sorted((str(r.doc_id), str(r.text), r["_held"], r["row"], r["meta.src"], r["c`d"]) for r in df.collect())
 
 
 def test_decontamination_judges_rows(spark):
@@ -70,3 +70,14 @@ def test_word_hashes_are_of_the_bytes():
         alone = np.frombuffer(b"\n" + words[i] + b"\n" + bytes(8), np.uint8)
         assert common.word_hashes(alone, np.array([1]), np.array([1 + len(words[i])]))[0] == one[i]
     assert common.digests([b"a"])[0].tobytes() == hashlib.blake2b(b"a", digest_size=16).digest()
+
+
+def test_lines_and_rules_keep_columns_of_any_name(spark):
+    text = "first line of a text with some words in it\nsecond line of it that has other words than those"
+    df = with_names(spark, [(1, text), (2, text + "\nand a third one that is new among all these lines"), (3, None)])
+    got = lines.without_removed(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, text), (2, "and a third one that is new among all these lines"), (3, None)]
+    good = " ".join(f"word{i}" for i in range(60))
+    df = with_names(spark, [(1, good), (2, "too few")])
+    got = quality_rules.passing(df)
+    assert got.columns == df.columns and [r["meta.src"] for r in got.collect()] == ["meta.srcwor"]
