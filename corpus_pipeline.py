@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: lines that occur earlier, or nearly so, go; so does a document that has none left. Null and blank texts stay; a null doc_id is last."""
     out = lines.without_removed(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*map(common.named, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
