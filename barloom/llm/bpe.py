@@ -26,6 +26,8 @@ from barloom.llm import common as C
 SHORT = 64
 #: Pieces that a task remembers before it starts anew; the bound of its memory.
 REMEMBERED = 300_000
+#: Characters of these pieces; those of a longer block are forgotten after it.
+REMEMBERED_CHARS = 8_000_000
 NONE = 1 << 40
 
 
@@ -200,7 +202,7 @@ class Encoder:
     """Encodes texts one block at a time, with the pieces met so far at hand."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.split, self.known = ranks(path), splitter(pattern).findall, {}
+        self.ranks, self.split, self.known, self.chars = ranks(path), splitter(pattern).findall, {}, 0
 
     def __call__(self, texts: list[str | None], block: int = 2_000_000) -> list[bytes]:
         out = []
@@ -208,11 +210,14 @@ class Encoder:
             parts = [self.split(t or "") for t in texts[a:b]]
             new = list(set().union(*parts).difference(self.known))
             if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
+                self.known, self.chars = {}, 0
                 new = list(set().union(*parts))
             self.known.update(zip(new, self.ranks.encoded(new), strict=True))
             get = self.known.__getitem__
             out += [b"".join(map(get, p)) for p in parts]
+            self.chars += sum(map(len, new))
+            if self.chars > REMEMBERED_CHARS:
+                self.known, self.chars = {}, 0
         return out
 
 

@@ -128,11 +128,21 @@ def blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, header: i
 
 
 def lengths(found: DataFrame) -> DataFrame:
-    """file, at, head, n: start, first ids and number of ids (without the separator) of each document of ``blocks``."""
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    """file, at, head, n: start, first ids and number of ids (without the separator) of each document of ``blocks``.
+
+    The scan has two levels: what ranges of RANGE blocks add up to, of which a file has one row each, and then the blocks within a range. What
+    a range takes over is the number of starts and stops before it and the last start. ``found`` is read twice.
+    """
+    size = lambda c: F.size(c).cast("long")
+    table = found.withColumn("range", F.floor(F.col("block") / RANGE))
     last = F.when(F.size("starts") > 0, F.element_at("starts", -1))
-    open_ = F.coalesce(F.sum(F.size("starts")).over(w), F.lit(0)) > F.coalesce(F.sum(F.size("stops")).over(w), F.lit(0))
-    df = found.withColumns({"open": open_, "carried": F.last(last, ignorenulls=True).over(w)})
+    totals = table.groupBy("file", "range").agg(F.sum(size("starts")).alias("_s"), F.sum(size("stops")).alias("_e"), F.max_by(last, F.when(last.isNotNull(), F.col("block"))).alias("_l"))
+    w = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0).cast("long"))
+    totals = totals.select("file", "range", (before("_s") - before("_e")).alias("_ahead"), F.last("_l", ignorenulls=True).over(w).alias("_from"))
+    inside = Window.partitionBy("file", "range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("_ahead") + F.coalesce(F.sum(size("starts") - size("stops")).over(inside), F.lit(0).cast("long"))
+    df = table.join(totals, ["file", "range"]).withColumns({"open": ahead > 0, "carried": F.coalesce(F.last(last, ignorenulls=True).over(inside), "_from")})
     begun = F.when(F.col("open"), F.concat(F.array("carried"), "starts")).otherwise(F.col("starts"))
     pairs = F.zip_with(F.slice(begun, 1, F.size("stops")), "stops", lambda s, e: F.struct(s["at"].alias("at"), s["head"].alias("head"), (e - s["at"]).alias("n")))
     return df.select("file", F.explode(pairs).alias("x")).select("file", "x.*")
@@ -150,9 +160,11 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     digits = sum((F.get("head", i).cast("long") * F.lit(1 << DIGIT * i) for i in range(HEADER - 1)), F.lit(0).cast("long"))
     top = F.get("head", HEADER - 1)  # bits 60 to 74: four of the id, and one that says null
     doc_id = F.when(top >= 16, None).otherwise(digits.bitwiseOR(F.shiftleft(top.cast("long"), DIGIT * (HEADER - 1))))
-    out = lengths(blocks(docs.sparkSession, path)).select(doc_id.alias("doc_id"), (F.col("n") - HEADER).alias("n_tokens"))
+    found = C.written(blocks(docs.sparkSession, path))
+    out = lengths(found).select(doc_id.alias("doc_id"), (F.col("n") - HEADER).alias("n_tokens"))
     if own:
         out = C.written(out)
+        C.forget(found)
         C.delete(docs.sparkSession, path)
     return out
 

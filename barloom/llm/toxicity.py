@@ -25,6 +25,8 @@ from barloom.llm import models as M
 TRAIN_ROWS = 6000
 CELLS = 1 << 18
 REMEMBERED = 300_000
+#: Characters of these words; those of a longer text are forgotten after it.
+REMEMBERED_CHARS = 8_000_000
 CHAIN = 24
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -60,16 +62,21 @@ class Crf:
         self.emit = np.zeros(CELLS, np.float64)
         self.bias, self.move = -2.0, np.zeros((2, 2))
         self.known: dict[str, float] = {}
+        self.chars = 0
 
     def odds(self, words: list[str]) -> np.ndarray:
         """The emission score of each word."""
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set(words)
+            self.known, self.chars, new = {}, 0, set(words)
         emit = self.emit
         for w in new:
             self.known[w] = self.bias + sum(emit[i] for i in features(w))
-        return np.array(list(map(self.known.__getitem__, words)), np.float64)
+        out = np.array(list(map(self.known.__getitem__, words)), np.float64)
+        self.chars += sum(map(len, new))
+        if self.chars > REMEMBERED_CHARS:
+            self.known, self.chars = {}, 0
+        return out
 
     def train(self, texts: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5, enough: float = 1e-4) -> None:
         """Adagrad on the likelihood of chains of CHAIN tokens: those around every toxic token, and two others of each text.

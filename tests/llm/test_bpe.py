@@ -50,3 +50,14 @@ def test_round_trip_query(spark, oracle):
     want = sorted((str(i), len(e := oracle.encode_ordinary(t or "")), sha(np.array(e, "<u4").tobytes()), sha((t or "").encode())) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_what_is_remembered_is_bounded_in_characters(monkeypatch):
+    path, pattern = bpe.default_vocabulary()
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 50_000)
+    encoder = bpe.Encoder(path, pattern)
+    for k in range(6):
+        encoder([f"{'xyz' * 5000}{k}" for k in range(k, k + 3)] + ["the same words"])
+        assert sum(map(len, encoder.known)) <= 50_000
+    fresh = bpe.Encoder(path, pattern)(["the same words", "xyz" * 5000])
+    assert encoder(["the same words", "xyz" * 5000]) == fresh
