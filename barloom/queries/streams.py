@@ -60,15 +60,15 @@ def late_ticks(spark, sf_dir):
 
 
 def spread_sketch(spark, sf_dir):
-    """Merged daily sketches by symbol and hour: counts and ends are exact, and quantiles lie between the exact ones three rank errors either side."""
+    """Merged daily sketches by symbol and hour: counts and ends are exact, and the ranks of quantiles, counted over all bars, are off by three rank errors at most."""
     b = bars(spark, sf_dir)
     merged = merged_sketches(spread_sketches(b), "symbol", "hour")
+    merged = merged.select("symbol", "hour", "n", "least", "most", quantile_of(F.col("sketch"), 0.5).alias("p50"), quantile_of(F.col("sketch"), 0.9).alias("p90"))
     local = F.hour(F.convert_timezone(F.lit("UTC"), F.lit(NY), F.col("open_time")))
-    e, exact = 3 * rank_error(SIZE), b.select("symbol", local.alias("hour"), (F.col("ask_close") - F.col("bid_close")).alias("spread")).groupBy("symbol", "hour")
-    exact = exact.agg(*(F.percentile("spread", F.lit(max(0.0, min(1.0, q + d)))).alias(f"_{n}{s}") for n, q in (("p50", 0.5), ("p90", 0.9)) for s, d in (("lo", -e), ("hi", e))))
-    near = lambda n, q: quantile_of(F.col("sketch"), q).between(F.col(f"_{n}lo") - 1e-12, F.col(f"_{n}hi") + 1e-12).alias(f"{n}_near")
-    both = merged.join(exact, ["symbol", "hour"])
-    return both.select("symbol", F.col("hour").cast("long").alias("hour"), "n", F.round("least", 9).alias("least"), F.round("most", 9).alias("most"), near("p50", 0.5), near("p90", 0.9))
+    both = b.select("symbol", local.alias("hour"), (F.col("ask_close") - F.col("bid_close")).alias("spread")).join(merged, ["symbol", "hour"])
+    near = lambda v, q: (F.avg((F.col("spread") < F.col(v)).cast("double")) <= q + 3 * rank_error(SIZE)) & (F.avg((F.col("spread") <= F.col(v)).cast("double")) >= q - 3 * rank_error(SIZE))
+    out = both.groupBy("symbol", F.col("hour").cast("long").alias("hour"), "n", "least", "most").agg(near("p50", 0.5).alias("p50_near"), near("p90", 0.9).alias("p90_near"))
+    return out.withColumns({"least": F.round("least", 9), "most": F.round("most", 9)})
 
 
 CUTS = (1, 15, 61, 200)
