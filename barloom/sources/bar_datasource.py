@@ -14,7 +14,7 @@ from datetime import datetime
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as pd
+import pyarrow.dataset as ads
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,9 +51,9 @@ class BarSidesReader(DataSourceReader):
     def _store(self):
         return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
-    def _side(self, symbol: str, side: str) -> pd.Dataset:
+    def _side(self, symbol: str, side: str) -> ads.Dataset:
         store, root = self._store()
-        return pd.dataset(f"{root}/{symbol}/{self.timeframe.value}/{side}", filesystem=store, format="parquet")
+        return ads.dataset(f"{root}/{symbol}/{self.timeframe.value}/{side}", filesystem=store, format="parquet")
 
     def partitions(self) -> list[Month]:
         """Months that the files' own statistics say the Bid side reaches into, cut to the times asked for."""
