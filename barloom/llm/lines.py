@@ -1,8 +1,8 @@
 """Line deduplication (operator 7): an edit-distance join of lines by segments.
 
-A line of WORDS words or more is a sequence of words, a shorter one a sequence of characters; two lines are near if the
-longer one's length allows the edits between them (``allowed``: a word in ten up to two, then one in twenty-five up to
-``EDITS``; or a character in ten up to two). If two lines are within k edits, and the shorter is cut into k + 1 segments, one
+A line is a sequence of words and one of characters; two lines, whatever their lengths, are near if the
+longer one's length allows the edits between them in either (``allowed``: a word in ten up to two, then one in twenty-five up to
+``EDITS``; or a character in ten up to two). If two sequences are within k edits, and the shorter is cut into k + 1 segments, one
 segment occurs in the longer, shifted by a few places at most. So each distinct line is indexed under its length and
 its segments, and probes, for each length down to k less, the substrings that such a segment could be (only as many as the
 shift around the edits before and after it allows). Lines with the same text are one line first. Index and probes
@@ -10,7 +10,7 @@ are dealt and sorted by the substring's hash, and each task walks its keys in or
 symbols, which an edit changes in two bits at most, is compared there, so lines that merely share a long passage go no
 further. A key of very many lines is cut into blocks, which are compared two at a time by tasks of their own. Lines
 that met another go on, with their texts, to the group of each key where they did; a pair is verified in the first of the keys
-that it shares, by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time. What leaves
+of words that it shares, or else of characters, by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time. What leaves
 a group is a row a line: its number of near lines there, and the earliest of them; pairs never become rows.
 
 Lines are told apart by 128 bits of BLAKE2b of their bytes; 64-bit hashes only find pairs, which texts decide.
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import common as C
 
-#: Words from which on a line is compared by words, and the most edits of any pair.
-WORDS = 10
+#: The most edits of any pair.
 EDITS = 4
 SEEN = 200_000
 #: Rows of keys that a task walks at once, rows of a key from which on it is compared in blocks, lines and characters of a
@@ -180,22 +179,31 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray
     return out
 
 
-def near(texts: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs (i, j) of ``texts`` are near lines."""
+def trimmed(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two sequences without the symbols that both begin or end with, but no shorter than ``most`` + 1: their distance is the same."""
+    for _ in range(2):
+        n = max(0, min(len(a), len(b)) - most - 1)
+        apart = np.flatnonzero(a[:n] != b[:n])
+        n = int(apart[0]) if len(apart) else n
+        a, b = a[n:][::-1], b[n:][::-1]
+    return a, b
+
+
+def near(texts: list[str], i: np.ndarray, j: np.ndarray, words: bool) -> np.ndarray:
+    """Which pairs (i, j) of ``texts`` are near lines by their words, or by their characters."""
     number: dict[bytes, int] = {}
-    words, chars = {}, {}
+    of = {}
     for k in np.union1d(i, j).tolist():
-        raw = texts[k].encode()
-        words[k] = np.array([number.setdefault(w, len(number)) for w in raw.split()], np.uint32)
-        if len(words[k]) < WORDS:
-            chars[k] = np.frombuffer(texts[k].encode("utf-32-le"), "<u4")
-    x, y, most = [], [], np.zeros(len(i), np.int64)
-    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        by_words = max(len(words[a]), len(words[b])) >= WORDS
-        of = words if by_words else chars
-        x.append(of[a])
-        y.append(of[b])
-        most[n] = allowed(max(len(of[a]), len(of[b])), by_words)
+        if words:
+            of[k] = np.array([number.setdefault(w, len(number)) for w in texts[k].encode().split()], np.uint32)
+        else:
+            of[k] = np.frombuffer(texts[k].encode("utf-32-le"), "<u4")
+    most = allowed(np.array([max(len(of[a]), len(of[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64), words)
+    x, y = [], []
+    for a, b, k in zip(i.tolist(), j.tolist(), most.tolist(), strict=True):
+        a, b = trimmed(of[a], of[b], k)
+        x.append(a)
+        y.append(b)
     out = np.zeros(len(i), bool)
     for edits in np.unique(most[most > 0]).tolist():
         at = np.flatnonzero(most == edits)
@@ -240,10 +248,9 @@ def _keys(docs: DataFrame) -> DataFrame:
                 if len(seen) > SEEN:
                     seen = set()
                 seen.update(h[at].tolist())
-                n = (x.high - x.low)[at]
-                for words, part in ((True, at[n >= WORDS - 1]), (False, at[n < WORDS])):
-                    row, key, _, sig = keys(*x.symbols(part, words), words)
-                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(h[part][row])})
+                for words in (True, False):
+                    row, key, _, sig = keys(*x.symbols(at, words), words)
+                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(h[at][row])})
 
     return docs.mapInArrow(run, "key long, sig int, h1 long")
 
@@ -259,6 +266,8 @@ def meetings(key: np.ndarray, sig: np.ndarray, h1: np.ndarray, most: int = 2_000
 
     Rows are sorted by key, signature (so that those that index come first), hash. ``most``: pairs of rows that are compared at once.
     """
+    if not len(key):
+        return key, h1
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (h1[1:] != h1[:-1])])
     key, sig, h1 = key[new], sig[new], h1[new]
     run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -432,46 +441,43 @@ class Group:
     """Lines that met, as rows of groups (``key``; ``part`` tells blocks of a large key apart), and their pairs that are near."""
 
     def __init__(self, texts: list[str], key: np.ndarray):
-        x = Lines(texts)
-        self.texts, self.key, everything = texts, key, np.arange(len(texts))
-        self.words = x.high - x.low
-        self.chars = np.array([len(t) for t in texts])
-        self.parity = np.zeros((2, len(texts)), np.uint32)
-        index, probes = [], []
-        for words, part in ((True, everything[self.words >= WORDS - 1]), (False, everything[self.words < WORDS])):
-            values, start, stop = x.symbols(part, words)
-            self.parity[int(words), part] = parities(values, start, stop)
-            row, k, is_index, _ = keys(values, start, stop, words)
-            index.append((part[row[is_index]], k[is_index]))
-            probes.append((part[row[~is_index]], k[~is_index]))
-        ends = np.iinfo(np.int64)
-        self.index, self.probes = (_padded(*map(np.concatenate, zip(*side, strict=True)), len(texts), fill) for side, fill in ((index, ends.min), (probes, ends.max)))
-
-    def first_shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """The least key that one line of each pair indexes and the other probes."""
+        x, everything = Lines(texts), np.arange(len(texts))
+        self.texts, self.key, self.size, self.parity, self.index, self.probes = texts, key, {}, {}, {}, {}
+        for words in (True, False):
+            values, start, stop = x.symbols(everything, words)
+            self.size[words], self.parity[words] = stop - start, parities(values, start, stop)
+            row, k, index, _ = keys(values, start, stop, words)
+            self.index[words] = _padded(row[index], k[index], len(texts), np.iinfo(np.int64).min)
+            self.probes[words] = _padded(row[~index], k[~index], len(texts), np.iinfo(np.int64).max)
+
+    def first_shared(self, i: np.ndarray, j: np.ndarray, words: bool) -> np.ndarray:
+        """The least key, of words or of characters, that one line of each pair indexes and the other probes."""
+        index, probes = self.index[words], self.probes[words]
         out = np.full(len(i), np.iinfo(np.int64).max)
-        step = max(1, 4_000_000 // max(1, self.index.shape[1] * self.probes.shape[1]))
+        step = max(1, 4_000_000 // max(1, index.shape[1] * probes.shape[1]))
         for lo in range(0, len(i), step):
             for a, b in ((i, j), (j, i)):
-                x, y = self.index[a[lo : lo + step]][:, :, None], self.probes[b[lo : lo + step]][:, None, :]
+                x, y = index[a[lo : lo + step]][:, :, None], probes[b[lo : lo + step]][:, None, :]
                 if x.size and y.size:
                     least = np.where(x == y, x, np.iinfo(np.int64).max).min((1, 2))
                     out[lo : lo + step] = np.minimum(out[lo : lo + step], least)
         return out
 
     def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows of one group, those that are near and share no lesser key than the group's."""
-        words = np.maximum(self.words[i], self.words[j]) >= WORDS
-        a, b = (np.where(words, self.words[k], self.chars[k]) for k in (i, j))
-        longer = np.maximum(a, b)
-        most = np.where(words, allowed(longer, True), allowed(longer, False))
-        apart = np.bitwise_count(self.parity[words.astype(np.int64), i] ^ self.parity[words.astype(np.int64), j])
-        ok = np.flatnonzero((np.abs(a - b) <= most) & (most > 0) & (apart <= 2 * most))
-        i, j = i[ok], j[ok]
-        ok = self.first_shared(i, j) == self.key[i]
-        i, j = i[ok], j[ok]
-        ok = near(self.texts, i, j)
-        return i[ok], j[ok]
+        """Of pairs of rows of one group, those that are to be found there: near by words, or else by characters, with no lesser key of that kind."""
+        out = []
+        for words in (True, False):
+            a, b = self.size[words][i], self.size[words][j]
+            most = allowed(np.maximum(a, b), words)
+            apart = np.bitwise_count(self.parity[words][i] ^ self.parity[words][j])
+            at = np.flatnonzero((np.abs(a - b) <= most) & (most > 0) & (apart <= 2 * most))
+            at = at[self.first_shared(i[at], j[at], words) == self.key[i[at]]]
+            at = at[near(self.texts, i[at], j[at], words)]
+            if not words:
+                at = at[~near(self.texts, i[at], j[at], True)]
+            out.append(at)
+        at = np.concatenate(out)
+        return i[at], j[at]
 
 
 def _linked(members: DataFrame, texts: DataFrame) -> DataFrame:

@@ -34,11 +34,13 @@ def changed(rng, s, n, letters="abcé中"):
 
 
 def is_near(s, t):
+    """Near by words or by characters, at every length."""
     a, b = s.split(), t.split()
     n = max(len(a), len(b))
-    if n >= 10:
-        return s != t and edit(a, b) <= min(4, max(min(2, n // 10), n // 25))
-    return s != t and edit(s, t) <= min(2, max(len(s), len(t)) // 10)
+    if s == t:
+        return False
+    by_words = min(4, max(min(2, n // 10), n // 25))
+    return (by_words > 0 and edit(a, b) <= by_words) or edit(s, t) <= min(2, max(len(s), len(t)) // 10)
 
 
 def brute(rows, key=lambda t: 0):
@@ -99,14 +101,14 @@ def test_near_lines_share_a_key():
         if is_near(a, b):
             met += 1
             x = L.Lines([a + "\n" + b])
-            words = max(x.high - x.low) >= L.WORDS
-            row, key, index, sig = L.keys(*x.symbols(np.arange(2), words), words)
-            order = np.lexsort((row, sig, key))
-            shared = L.meetings(key[order], sig[order], row[order])[0]
-            assert len(shared) and ((sig < 0) == index).all(), (a, b)
-            group = L.Group([a, b], np.full(2, shared.min()))
-            assert len(group.near(np.array([0]), np.array([1]))[0]) == 1, (a, b)
-            assert not len(L.Group([a, b], np.full(2, shared.min() + 1)).near(np.array([0]), np.array([1]))[0])
+            shared = []
+            for words in (True, False):
+                row, key, index, sig = L.keys(*x.symbols(np.arange(2), words), words)
+                assert ((sig < 0) == index).all()
+                order = np.lexsort((row, sig, key))
+                shared += L.meetings(key[order], sig[order], row[order])[0].tolist()
+            found = [len(L.Group([a, b], np.full(2, k)).near(np.array([0]), np.array([1]))[0]) for k in set(shared)]
+            assert sum(found) == 1, (a, b)  # in one of the keys where they met
     assert met > 200
 
 
@@ -115,10 +117,12 @@ def corpus():
     words = ["".join(rng.choices("abcdefg é", k=4)).replace(" ", "x") for _ in range(60)]
     base = [rng.choices(words, k=rng.choice([4, 9, 10, 12, 19, 20, 21, 40, 74, 75, 99, 100, 130])) for _ in range(25)]
     base += ["".join(rng.choices("abcdefg é", k=rng.randrange(8, 50))) for _ in range(20)]
+    typed = [" ".join(rng.choices(words, k=k)) for k in (9, 10, 11, 15, 19, 30, 60)]
     rows = []
     for i in range(60):
         some = [changed(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3, 4, 5])) for _ in range(rng.randrange(1, 6))]
         some = [s if isinstance(s, str) else " ".join(s) for s in some]
+        some += [changed(rng, rng.choice(typed), rng.choice([0, 1, 1, 2, 2, 3, 6]), "ab ") for _ in range(2)]
         rows.append((i, "\n".join([*some, *rng.choice([[], ["", "  "], ["ok"], ["oh"]])])))
     odd = [(90, None), (91, ""), (92, " \n\t"), (93, " ".join(words) * 4), (94, " ".join(words) * 4 + " end"), (95, "n" * 70_000), (96, "n" * 70_000)]
     same = [(7, rows[3][1]), (None, rows[5][1]), (None, "a text of its own\n" + rows[6][1]), (None, rows[5][1]), (8, rows[8][1]), (8, "also its own\nok"), (None, None)]
@@ -185,6 +189,35 @@ def test_a_changed_word_makes_a_near_copy(spark):
     assert [(r.doc_id, r.n_removed) for r in L.line_counts(df).orderBy("doc_id").collect()] == [(1, 0), (2, 1), (3, 1)]
 
 
+def test_mistyped_letters_make_a_near_copy_at_every_length(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for n in (8, 9, 10, 11, 19, 20, 100, 1000):
+        line = [f"w{rng.randrange(10**6)}word" for _ in range(n)]
+        typo, other = line.copy(), line.copy()
+        typo[1], typo[-2] = typo[1].replace("word", "wort"), typo[-2].replace("word", "worb")
+        for k in range(n // 10 + 5):
+            other[k] = f"x{k}yz"
+        for k, ws in enumerate((line, typo, other)):
+            rows.append((10 * n + k, " ".join(ws)))
+            want[10 * n + k] = (int(k == 1), int(k < 2))
+    split = " ".join(f"part{i}" for i in range(12))
+    rows += [(20_000, split), (20_001, split.replace(" part3 part4 part5", " par t3 part4part5")), (20_002, split.replace(" ", "  "))]
+    want |= {20_000: (0, 2), 20_001: (1, 1), 20_002: (1, 1)}
+    got = {r.doc_id: (r.n_removed, r.n_links) for r in L.line_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_trimmed_sequences_are_as_far_apart():
+    rng = random.Random(8)
+    for most in (1, 2, 4):
+        a = ["".join(rng.choices("ab", k=rng.randrange(most + 1, 60))) for _ in range(300)]
+        b = [t if len(t := changed(rng, s, rng.randrange(5), "ab")) > most else s for s in a]
+        short = [L.trimmed(symbols(s), symbols(t), most) for s, t in zip(a, b)]
+        assert all(min(map(len, x)) > most for x in short)
+        assert L.distances(*zip(*short), most).tolist() == [min(edit(x, y), most + 1) for x, y in zip(a, b)]
+
+
 def test_texts_of_several_megabytes(spark):
     rng = random.Random(9)
     text = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(14_000))
