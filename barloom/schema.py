@@ -8,6 +8,7 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Names of columns, time frames and sessions, and the lengths of time frames, are those of the data model.
 FIELDS = ("open", "high", "low", "close")
 PRICES = tuple(f"{side}_{f}" for side in ("bid", "ask") for f in FIELDS)
 VALUES = (*PRICES, "volume")
