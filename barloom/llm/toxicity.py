@@ -27,7 +27,8 @@ CELLS = 1 << 18
 REMEMBERED = 300_000
 #: Characters of these words; those of a longer text are forgotten after it.
 REMEMBERED_CHARS = 8_000_000
-CHAIN = 24
+#: Tokens of a training chain, and how many chains are drawn from each labelled text beside those around its toxic tokens.
+CHAIN, DRAWN = 24, 2
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -78,8 +79,35 @@ class Crf:
             self.known, self.chars = {}, 0
         return out
 
-    def train(self, texts: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5, enough: float = 1e-4) -> None:
-        """Adagrad on the likelihood of chains of CHAIN tokens: those around every toxic token, and two others of each text.
+    def gradient(self, flat: np.ndarray, starts: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """The mean negative log-likelihood of chains, and its gradient by ``emit``, ``bias`` and ``move``.
+
+        ``y`` holds the tags, a chain a row; ``flat`` the feature cells of all tokens, row by row, and ``starts`` where each token's begin.
+        """
+        n, steps = y.shape
+        of = np.repeat(np.arange(y.size), np.diff(np.append(starts, len(flat))))
+        at, to = y[:, :-1], y[:, 1:]
+        e = self.bias + np.add.reduceat(self.emit[flat], starts).reshape(n, steps)
+        score = np.stack([np.zeros_like(e), e], 2)
+        fwd, bwd = np.zeros((steps, n, 2)), np.zeros((steps, n, 2))
+        fwd[0] = score[:, 0]
+        for t in range(1, steps):
+            fwd[t] = score[:, t] + np.logaddexp(fwd[t - 1][:, :1] + self.move[0], fwd[t - 1][:, 1:] + self.move[1])
+        for t in range(steps - 2, -1, -1):
+            x = bwd[t + 1] + score[:, t + 1]
+            bwd[t] = np.logaddexp(x[:, :1] + self.move[:, 0], x[:, 1:] + self.move[:, 1])
+        z = np.logaddexp(fwd[-1][:, 0], fwd[-1][:, 1])
+        loss = (z.sum() - (e * y).sum() - self.move[at, to].sum()) / n
+        grad = (np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z).T - y).ravel()
+        move = np.zeros((2, 2))
+        for i in (0, 1):
+            for j in (0, 1):
+                pair = fwd[:-1, :, i] + self.move[i, j] + score[:, 1:, j].T + bwd[1:, :, j] - z
+                move[i, j] = (np.exp(pair).sum() - ((at == i) & (to == j)).sum()) / n
+        return loss, np.bincount(flat, grad[of], CELLS) / n, grad.sum() / n, move
+
+    def train(self, texts: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5, enough: float = 1e-4, drawn: int = DRAWN) -> None:
+        """Adagrad on the likelihood of chains of CHAIN tokens: those around every toxic token, and ``drawn`` others of each text, at random.
 
         It ends when a round lowers the loss by less than ``enough`` of it.
         """
@@ -90,7 +118,7 @@ class Crf:
         for text, y in texts:
             ws = text.split()
             tag = [int(bool(y) and any(s in marks for s in stems(w))) for w in ws] if y else [0] * len(ws)
-            begins, reached = set(rng.integers(0, max(1, len(ws)), 2).tolist()), 0
+            begins, reached = set(rng.integers(0, max(1, len(ws)), drawn).tolist()), 0
             for i in np.flatnonzero(tag).tolist():
                 if i >= reached:  # not in the chain before
                     begin = max(0, i - int(rng.integers(CHAIN)))
@@ -106,36 +134,15 @@ class Crf:
         y = np.array(tags)
         cell = [[of_word(w) for w in part] for part in words]
         flat = np.array([i for part in cell for f in part for i in f])
-        sizes = np.array([len(f) for part in cell for f in part])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        of = np.repeat(np.arange(len(sizes)), sizes)
+        starts = C.doc_offsets(np.array([len(f) for part in cell for f in part]))[:-1]
         g2, gb2, gm2 = np.full(CELLS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-        n, before = len(words), np.inf
-        at, to = y[:, :-1], y[:, 1:]
+        before = np.inf
         for _ in range(rounds):
-            e = self.bias + np.add.reduceat(self.emit[flat], starts).reshape(n, CHAIN)
-            score = np.stack([np.zeros_like(e), e], 2)
-            fwd, bwd = np.zeros((CHAIN, n, 2)), np.zeros((CHAIN, n, 2))
-            fwd[0] = score[:, 0]
-            for t in range(1, CHAIN):
-                fwd[t] = score[:, t] + np.logaddexp(fwd[t - 1][:, :1] + self.move[0], fwd[t - 1][:, 1:] + self.move[1])
-            for t in range(CHAIN - 2, -1, -1):
-                x = bwd[t + 1] + score[:, t + 1]
-                bwd[t] = np.logaddexp(x[:, :1] + self.move[:, 0], x[:, 1:] + self.move[:, 1])
-            z = np.logaddexp(fwd[-1][:, 0], fwd[-1][:, 1])
-            loss = (z.sum() - (e * y).sum() - self.move[at, to].sum()) / n
+            loss, ge, gb, gm = self.gradient(flat, starts, y)
             if before - loss < enough * before and before > loss:
                 break
             before = min(before, loss)
-            p = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z).T
-            grad = (p - y).ravel()
-            ge = np.bincount(flat, grad[of], CELLS) / n + 1e-6 * self.emit
-            gm = np.zeros((2, 2))
-            for i in (0, 1):
-                for j in (0, 1):
-                    pair = fwd[:-1, :, i] + self.move[i, j] + score[:, 1:, j].T + bwd[1:, :, j] - z
-                    gm[i, j] = (np.exp(pair).sum() - ((y[:, :-1] == i) & (y[:, 1:] == j)).sum()) / n
-            gb = grad.sum() / n
+            ge = ge + 1e-6 * self.emit
             g2, gb2, gm2 = g2 + ge**2, gb2 + gb**2, gm2 + gm**2
             self.emit -= rate * ge / np.sqrt(g2)
             self.bias -= rate * gb / gb2**0.5
