@@ -8,7 +8,8 @@ its segments, and probes, for each length down to k less, the substrings that su
 shift around the edits before and after it allows). Lines with the same text are one line first. Index and probes
 are dealt and sorted by the substring's hash, and each task walks its keys in order; a parity signature of the
 symbols, which an edit changes in two bits at most, is compared there, so lines that merely share a long passage go no
-further. A key of very many lines is cut into blocks, which are compared two at a time by tasks of their own. Lines
+further. Few keys are of two lines, so a first pass sends no more than 32 bits of each key, packed by ranges of keys, and only the keys
+that it finds under two lines, told by a bitmap, are dealt with their lines. A key of very many lines is cut into blocks, which are compared two at a time by tasks of their own. Lines
 that met another go on, with their texts, to the group of each key where they did; a pair is verified in the first of the keys
 of words that it shares, or else of characters, by a banded bit-parallel edit distance, all pairs of a batch at once, a column at a time. What leaves
 a group is a row a line: its number of near lines there, and the earliest of them; pairs never become rows.
@@ -30,16 +31,25 @@ from barloom.llm import common as C
 
 #: The most edits of any pair.
 EDITS = 4
-SEEN = 200_000
+#: Keys of a line, about; keys that a range gets from all tasks, about; keys that a task packs at once.
+KEYS_PER_LINE = 32
+RANGE_KEYS = 250_000
+PACKED_KEYS = 1_000_000
 #: Rows of keys that a task walks at once, rows of a key from which on it is compared in blocks, lines and characters of a
 #: block of a group that is verified, and the most bits (a power of two) of a broadcast bitmap: 32 MB.
 WALK_ROWS = 200_000
 BLOCK_ROWS = 8192
 GROUP_LINES, GROUP_CHARS = 1024, 4_000_000
+#: Characters of a group whose symbols are held at once, some eighty bytes each.
+SYMBOL_CHARS = 250_000
 MOST_BITS = 28
 #: Bits of a signature that tell symbols apart; three more hold the edits, and one the role.
 KINDS = 28
 
+NO_ID = (1 << 63) - 1
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_CHAR_VALUES = C.mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _GOLDEN)
+
 
 class Lines:
     """The lines of a block of texts that hold more than white space, as ranges of bytes and of words."""
@@ -74,10 +84,12 @@ class Lines:
         """Values of the words, or of the characters, of the lines ``at`` (at least), and where each line's begin and end."""
         if words:
             return C.word_hashes(self.buf, self.begins, self.ends), self.low[at], self.high[at]
-        chars = [np.frombuffer(self.line(i).decode().encode("utf-32-le"), "<u4") for i in at.tolist()]
-        bounds = C.doc_offsets(np.array([len(x) for x in chars], np.int64))
-        flat = np.concatenate([np.zeros(0, np.uint32), *chars]).astype(np.uint64)
-        return C.mixed((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), bounds[:-1], bounds[1:]
+        chars, start, stop = self.buf[:-8], self.starts[at], self.stops[at]
+        if chars.max() >= 128:
+            before = C.doc_offsets((chars & 0xC0) != 0x80)  # characters that begin before a byte
+            chars, start, stop = np.frombuffer(chars.tobytes().decode().encode("utf-32-le"), "<u4"), before[start], before[stop]
+        values = _CHAR_VALUES[chars] if chars.max() < len(_CHAR_VALUES) else C.mixed((chars.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+        return values, start, stop
 
 
 def allowed(length: np.ndarray, words: bool) -> np.ndarray:
@@ -96,15 +108,16 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
 
 def parities(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Of ranges of symbol values, for each of KINDS kinds, whether a range has an odd number of them."""
-    bits = np.uint32(1) << (values % np.uint64(KINDS)).astype(np.uint32)
+    bits = np.uint32(1) << ((values >> np.uint64(32)) * np.uint64(KINDS) >> np.uint64(32)).astype(np.uint32)
     total = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bits)])
     return total[stop] ^ total[start]
 
 
-def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool, own_probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lines as ranges of symbol values: which line, the key, whether it indexes (or else probes), the signature.
 
-    A signature is negative where the key indexes; then come three bits for the edits, and the parities.
+    A signature is negative where the key indexes; then come three bits for the edits, and the parities. Without
+    ``own_probes``, keys that a line both indexes and probes as its own segments are given as indexing only.
     """
     length = stop - start
     own = allowed(length, words)
@@ -131,6 +144,8 @@ def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -
                 low = max(-i, less - (edits - i))
                 high = min(i, less + (edits - i))
                 for shift in range(low, high + 1):
+                    if less == shift == 0 and not own_probes:
+                        continue
                     ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= length[at]))
                     add(at[ok], start[at[ok]] + p[ok] + shift, n[ok], other[ok], i, edits, False)
     if not rows:
@@ -235,26 +250,101 @@ def _all_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, line int, h1 long, h2 long")
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """key, sig, h1 of each line that may be near another; lines that a task has seen lately are left out."""
+def _spots(h1: np.ndarray, d: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line and its place."""
+    out = h1.view(np.uint64)
+    for x in (d, key, line):
+        out = C.mixed((out ^ x.astype(np.int64).view(np.uint64)) * _GOLDEN)
+    return out.view(np.int64)
+
+
+def _first_spots(batches):
+    for b in batches:
+        yield pa.record_batch({"h1": pa.array(_spots(*(b.column(n).to_numpy() for n in ("h1", "d", "key", "line"))))})
+
+
+def _marked(bitmap: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
+    """Which hashes are marked in a bitmap of ``_bits``."""
+    spot = h.view(np.uint64) >> np.uint64(64 - bitmap[1])
+    return bitmap[0][spot >> np.uint64(3)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _distinct(x: Lines, rows: pa.RecordBatch, firsts) -> np.ndarray:
+    """Lines of a block that differ; given the broadcast bitmap of first places, only those at such a place, or that it takes for such."""
+    h = x.ids[:, 0]
+    at = np.unique(x.ids, axis=0, return_index=True)[1] if firsts is None else np.arange(len(h))
+    if firsts is not None and len(at):
+        d, key = rows.column("doc_id").fill_null(NO_ID).to_numpy(), rows.column("key").to_numpy()
+        at = np.flatnonzero(_marked(firsts.value, _spots(h, d[x.doc], key[x.doc], x.number)))
+    return at
+
+
+def _keys(docs: DataFrame, firsts=None, shared=None) -> DataFrame:
+    """key, sig, h1 of each line that may be near another; with broadcast bitmaps, only of lines at first places, and keys ``shared``."""
 
     def run(batches):
-        seen: set[int] = set()
         for b in batches:
-            for x, _ in _blocks(b):
-                h = x.ids[:, 0]
-                _, first = np.unique(h, return_index=True)
-                at = first[[v not in seen for v in h[first].tolist()]] if len(first) else first
-                if len(seen) > SEEN:
-                    seen = set()
-                seen.update(h[at].tolist())
+            for x, rows in _blocks(b):
+                at = _distinct(x, rows, firsts)
                 for words in (True, False):
                     row, key, _, sig = keys(*x.symbols(at, words), words)
-                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(h[at][row])})
+                    if shared is not None:
+                        ok = np.flatnonzero(_marked(shared.value, key))
+                        row, key, sig = row[ok], key[ok], sig[ok]
+                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(x.ids[at[row], 0])})
 
     return docs.mapInArrow(run, "key long, sig int, h1 long")
 
 
+def packed_keys(codes: list[np.ndarray], ranges: int) -> list[tuple[int, bytes]]:
+    """Codes (a range, 31 bits of a key, a bit for those that probe), ascending, by range: two that index at most of a key, and one that probes."""
+    x = np.sort(np.concatenate(codes))
+    ok = np.ones(len(x), bool)
+    ok[1:] = (x[1:] != x[:-1]) | (x[1:] & np.uint64(1) == 0)
+    ok[2:] &= x[2:] != x[:-2]
+    x = x[ok]
+    cut = np.searchsorted(x, np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)).tolist()
+    return [(r, x[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip([0, *cut], [*cut, len(x)], strict=True)) if b > a]
+
+
+def shared_keys(parts: list[bytes]) -> np.ndarray:
+    """The 31 bits of a range's keys that a line indexes and another indexes or probes."""
+    x = np.sort(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p, "<u4") for p in parts)]))
+    key = x >> np.uint32(1)
+    run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return key[run[(x[run] & np.uint32(1) == 0) & (np.diff(np.append(run, len(x))) > 1)]]
+
+
+def _shared(docs: DataFrame, firsts, n: int) -> DataFrame:
+    """h1: the leading bits, of ``n`` lines, of the keys of two lines, as a written table; others may be among them, but none of those is missing.
+
+    Keys are dealt by ranges, 32 bits each, sorted and packed; a key of very many lines is no more than three entries a part.
+    """
+    power = max(0, (n * KEYS_PER_LINE // RANGE_KEYS).bit_length())
+    kind = pa.schema([("rng", pa.int32()), ("codes", pa.binary())])
+
+    def pack(batches):
+        waiting, size = [], 0
+        for b in chain(batches, [None]):
+            for x, rows in _blocks(b) if b is not None else ():
+                at = _distinct(x, rows, firsts)
+                for words in (True, False):
+                    _, key, index, _ = keys(*x.symbols(at, words), words, own_probes=False)
+                    waiting.append(key.view(np.uint64) >> np.uint64(33 - power) << np.uint64(1) | ~index)
+                    size += len(key)
+            if size >= PACKED_KEYS or (b is None and size):
+                parts = packed_keys(waiting, 1 << power)
+                waiting, size = [], 0
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*parts, strict=True), kind, strict=True)], schema=kind)
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared_keys([p for b in batches for p in b.column("codes").to_pylist()]).astype(np.uint64)
+        found |= np.uint64(key[0].as_py() << 31)
+        yield pa.record_batch({"h1": pa.array((found << np.uint64(33 - power)).view(np.int64))})
+
+    return C.written(docs.mapInArrow(pack, "rng int, codes binary").groupBy("rng").applyInArrow(merge, "h1 long"))
+
+
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether signatures, one that indexes and one that probes with the same edits, are as near as the edits allow."""
     x, y = x.view(np.uint32), y.view(np.uint32)
@@ -367,9 +457,13 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
     return met.select("key", "h", "s", "h1", "sig").mapInArrow(run, "key long, h1 long")
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    """key, h1: the lines (their first 64 bits) that met another, by the keys where they did, as a written table."""
-    walked = C.written(_walked(_keys(docs)))
+def _members(docs: DataFrame, firsts, n: int) -> DataFrame:
+    """key, h1: the lines (their first 64 bits), ``n`` distinct ones, that met another, by the keys where they did, as a written table."""
+    shared = _shared(docs, firsts, n)
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(shared, shared.count()))
+    walked = C.written(_walked(_keys(docs, firsts, bits)))
+    C.forget(shared)
+    bits.destroy()
     out = walked.where("line IS NOT NULL").select("key", F.col("line").alias("h1"))
     hot = walked.where("line IS NULL")
     if not hot.isEmpty():
@@ -408,18 +502,15 @@ def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out, power
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, firsts) -> DataFrame:
     """h1, h2, text of the lines whose h1 is among ``ids``. A bitmap of bounded size spares most others the shuffle; the join decides."""
-    bits, power = _bits(ids, ids.count())
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(ids, ids.count()))
 
     def run(batches):
-        known = shared.value
         for b in batches:
-            for x, _ in _blocks(b):
-                spot = x.ids[:, 0].view(np.uint64) >> np.uint64(64 - power)
-                at = np.flatnonzero(known[spot >> np.uint64(3)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
-                at = at[np.unique(x.ids[at], axis=0, return_index=True)[1]]
+            for x, rows in _blocks(b):
+                at = _distinct(x, rows, firsts)
+                at = at[_marked(shared.value, x.ids[at, 0])]
                 lines = [x.line(i).decode() for i in at.tolist()]
                 yield pa.record_batch({"h1": pa.array(x.ids[at, 0]), "h2": pa.array(x.ids[at, 1]), "text": pa.array(lines, pa.string())})
 
@@ -441,12 +532,16 @@ class Group:
     """Lines that met, as rows of groups (``key``; ``part`` tells blocks of a large key apart), and their pairs that are near."""
 
     def __init__(self, texts: list[str], key: np.ndarray):
-        x, everything = Lines(texts), np.arange(len(texts))
         self.texts, self.key, self.size, self.parity, self.index, self.probes = texts, key, {}, {}, {}, {}
-        for words in (True, False):
-            values, start, stop = x.symbols(everything, words)
-            self.size[words], self.parity[words] = stop - start, parities(values, start, stop)
-            row, k, index, _ = keys(values, start, stop, words)
+        parts = {words: [] for words in (True, False)}
+        for lo, hi in C.slices(map(len, texts), SYMBOL_CHARS):
+            x = Lines(texts[lo:hi])
+            for words, out in parts.items():
+                values, start, stop = x.symbols(np.arange(hi - lo), words)
+                row, k, index, _ = keys(values, start, stop, words)
+                out.append((stop - start, parities(values, start, stop), row + lo, k, index))
+        for words, out in parts.items():
+            self.size[words], self.parity[words], row, k, index = map(np.concatenate, zip(*out, strict=True))
             self.index[words] = _padded(row[index], k[index], len(texts), np.iinfo(np.int64).min)
             self.probes[words] = _padded(row[~index], k[~index], len(texts), np.iinfo(np.int64).max)
 
@@ -555,17 +650,20 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     C.small_batches(docs.sparkSession)
     docs = _prepared(docs)
     every = C.written(_all_lines(docs))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "key", "line")
-    members = _members(docs)
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "key", "line")
+    own = C.written(every.groupBy("h1", "h2").agg(F.min(place).alias("own")))
+    n = own.count()
+    at_first = docs.sparkSession.sparkContext.broadcast(_bits(own.select("h1", "own.*").mapInArrow(_first_spots, "h1 long"), n))
+    members = _members(docs, at_first, n)
     ids = C.written(members.select("h1").distinct())
-    own = every.join(ids.hint("merge"), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    texts = C.written(_texts(docs, ids).join(own, ["h1", "h2"]).select("h1", "h2", "text", F.length("text").alias("n"), "first"))
+    first = own.join(ids.hint("merge"), "h1", "left_semi").withColumnRenamed("own", "first")
+    texts = C.written(_texts(docs, ids, at_first).join(first, ["h1", "h2"]).select("h1", "h2", "text", F.length("text").alias("n"), "first"))
+    at_first.destroy()
     near_first = C.written(_linked(members, texts))
     C.forget(members, ids, texts)
-    firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("own"))
-    firsts = firsts.join(near_first, ["h1", "h2"], "left").select("h1", "h2", "own", "links", F.least("own", "near").alias("first"))
+    firsts = own.join(near_first, ["h1", "h2"], "left").select("h1", "h2", "own", "links", F.least("own", "near").alias("first"))
     firsts = C.written(firsts)  # so that both sides of the next join are dealt for it, and a very common line can be split
-    C.forget(near_first)
+    C.forget(near_first, own)
     out = every.join(firsts, ["h1", "h2"]).select("doc_id", "key", "line", (place != F.col("first")).alias("removed"), F.coalesce("links", F.lit(0)).alias("links"), "first")
     out.tables = every, firsts
     return out

@@ -1,10 +1,12 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm import common as C
 from barloom.llm import lines as L
 
 
@@ -229,3 +231,43 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_counts(empty).count() == 0
     assert L.without_removed(empty).count() == 0
+
+
+def test_a_group_of_millions_of_characters_holds_few_symbols_at_once():
+    rng = random.Random(10)
+    base = "".join(rng.choices("abcdefgh é", k=100_000))
+    texts = [base[: 100 * i] + "#" + base[100 * i :] for i in range(40)]
+    C._WORD_POWERS[1].to(2 * L.SYMBOL_CHARS)
+    tracemalloc.start()
+    group = L.Group(texts, np.zeros(len(texts), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert group.size[False].tolist() == [100_001] * 40 and group.index[False].shape == (40, 3)
+
+
+def test_only_keys_of_two_lines_are_dealt_with_their_lines(spark):
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(rng.randrange(8, 110))) for _ in range(2000)]
+    typo = [s[:30] + "#" + s[31:] for s in lines[:20]]
+    df = L._prepared(spark.createDataFrame([(i, s) for i, s in enumerate(lines + typo + lines[:300])], "doc_id long, text string").repartition(4))
+    own = L._all_lines(df).groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("d"), "key", "line")).alias("own"))
+    firsts = spark.sparkContext.broadcast(L._bits(own.select("h1", "own.*").mapInArrow(L._first_spots, "h1 long"), 2020))
+    shared = spark.sparkContext.broadcast(L._bits(L._shared(df, firsts, 2020), 2000))
+    every, dealt = L._keys(df).count(), L._keys(df, firsts, shared)
+    assert dealt.count() < every / 10
+    near = [L._walked(x).where("line IS NOT NULL").select("key", "line").distinct().collect() for x in (L._keys(df), dealt)]
+    assert set(near[0]) == set(near[1]) and len({r.line for r in near[0]}) == 40
+
+
+def test_keys_of_two_lines_are_found_whatever_part_they_came_in():
+    rng = random.Random(12)
+    rows = [(rng.randrange(4), rng.randrange(300), rng.random() < 0.5) for _ in range(1500)]
+    want = {(r, k) for r, k, probes in rows if not probes and sum(x[:2] == (r, k) for x in rows) > 1}
+    parts = {r: [] for r in range(4)}
+    for lo in range(0, len(rows), 70):
+        for r, codes in L.packed_keys([np.array([r << 32 | k << 1 | probes for r, k, probes in rows[lo : lo + 70]], np.uint64)], 4):
+            parts[r].append(codes)
+    assert {(r, k) for r, p in parts.items() for k in L.shared_keys(p).tolist()} == want and 0 < len(want) < 1200
+    most = L.packed_keys([np.array([6] * 50 + [7] * 50, np.uint64)], 1)
+    assert [np.frombuffer(c, "<u4").tolist() for _, c in most] == [[6, 6, 7]]
