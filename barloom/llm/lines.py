@@ -19,8 +19,9 @@ Lines are told apart by 128 bits of BLAKE2b of their bytes; 64-bit hashes only f
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,16 @@ from barloom.llm import common as C
 
 #: The most edits of any pair.
 EDITS = 4
+#: Characters of texts that a task looks at together.
+BLOCK_CHARS = 2_000_000
 #: Keys of a line, about; keys that a range gets from all tasks, about; keys that a task packs at once.
 KEYS_PER_LINE = 32
 RANGE_KEYS = 250_000
 PACKED_KEYS = 1_000_000
+#: Symbols of sequences that are compared at once, were each as long as the longest.
+PAIR_SYMBOLS = 500_000
+#: Hashes that a task marks in a bitmap at once.
+MARKED_ROWS = 2_000_000
 #: Rows of keys that a task walks at once, rows of a key from which on it is compared in blocks, lines and characters of a
 #: block of a group that is verified, and the most bits (a power of two) of a broadcast bitmap: 32 MB.
 WALK_ROWS = 200_000
@@ -47,6 +54,7 @@ MOST_BITS = 28
 KINDS = 28
 
 NO_ID = (1 << 63) - 1
+_BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _CHAR_VALUES = C.mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _GOLDEN)
 
@@ -84,11 +92,12 @@ class Lines:
         """Values of the words, or of the characters, of the lines ``at`` (at least), and where each line's begin and end."""
         if words:
             return C.word_hashes(self.buf, self.begins, self.ends), self.low[at], self.high[at]
-        chars, start, stop = self.buf[:-8], self.starts[at], self.stops[at]
-        if chars.max() >= 128:
-            before = C.doc_offsets((chars & 0xC0) != 0x80)  # characters that begin before a byte
-            chars, start, stop = np.frombuffer(chars.tobytes().decode().encode("utf-32-le"), "<u4"), before[start], before[stop]
-        values = _CHAR_VALUES[chars] if chars.max() < len(_CHAR_VALUES) else C.mixed((chars.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+        later = np.flatnonzero((self.buf & 0xC0) == 0x80)  # bytes that begin no character
+        start, stop = (x[at] - np.searchsorted(later, x[at]) for x in (self.starts, self.stops))
+        chars = np.frombuffer(self.buf.tobytes().decode().encode("utf-32-le"), "<u4")
+        values = _CHAR_VALUES[np.minimum(chars, len(_CHAR_VALUES) - 1)]
+        rare = np.flatnonzero(chars >= len(_CHAR_VALUES))
+        values[rare] = C.mixed((chars[rare].astype(np.uint64) + np.uint64(1)) * _GOLDEN)
         return values, start, stop
 
 
@@ -102,8 +111,12 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     """Start and length of each of the ``edits`` + 1 even segments of lines of these lengths."""
     k = edits + 1
     short, long = length // k, length % k
-    size = [short + (i >= k - long) for i in range(k)]
-    return [(sum(size[:i], np.zeros_like(length)), size[i]) for i in range(k)]
+    out, begin = [], np.zeros_like(length)
+    for i in range(k):
+        size = short + (i >= k - long)
+        out.append((begin, size))
+        begin = begin + size
+    return out
 
 
 def parities(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -113,44 +126,77 @@ def parities(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return total[stop] ^ total[start]
 
 
-def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool, own_probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines as ranges of symbol values: which line, the key, whether it indexes (or else probes), the signature.
+def pieces(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool, own_probes: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, bool, int]]:
+    """Of lines as ranges of symbol values, for each kind of key: which line, the key, whether it indexes (or else probes), the edits.
 
-    A signature is negative where the key indexes; then come three bits for the edits, and the parities. Without
-    ``own_probes``, keys that a line both indexes and probes as its own segments are given as indexing only.
+    Without ``own_probes``, keys that a line both indexes and probes as its own segments are given as indexing only.
     """
     length = stop - start
     own = allowed(length, words)
-    parity = parities(values, start, stop).astype(np.int64)
-    rows, found, index, sig = [], [], [], []
     up, down = C._WORD_POWERS[1].to(len(values) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
-
-    def add(line, begin, size, of_length, segment, edits, is_index):
-        tag = C.mixed(of_length.astype(np.uint64) * np.uint64(512) + np.uint64(segment * 32 + edits * 2 + words))
-        rows.append(line)
-        found.append((C.mixed((sums[begin + size] - sums[begin]) * down[begin]) ^ tag).view(np.int64))
-        index.append(np.full(len(line), is_index))
-        sig.append(parity[line] | edits << KINDS | is_index << 31)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+
+    def tags(of_length, edits):
+        """A value for each segment of lines of these lengths."""
+        whole = of_length.astype(np.uint64) * np.uint64(512) + np.uint64(edits * 2 + words)
+        return [(whole + np.uint64(i * 32)) * _GOLDEN for i in range(edits + 1)]
+
+    def hashes(begin, size, tag):
+        x = sums[begin + size]
+        x -= sums[begin]
+        x *= down[begin]
+        x ^= tag
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        return x.view(np.int64)
 
     for edits in range(1, int(allowed(length + EDITS, words).max(initial=0)) + 1):
         at = np.flatnonzero((own <= edits) & (edits <= allowed(length + edits, words)))  # the shorter line of a pair
-        for i, (p, n) in enumerate(segments(length[at], edits)):
-            add(at, start[at] + p, n, length[at], i, edits, True)
+        first = start[at]
+        for (p, n), tag in zip(segments(length[at], edits), tags(length[at], edits), strict=True):
+            yield at, hashes(first + p, n, tag), True, edits
         at = np.flatnonzero(own == edits)  # the longer line
+        first, whole = start[at], length[at]
         for less in range(edits + 1):
-            other = length[at] - less
-            for i, (p, n) in enumerate(segments(other, edits)):
+            other = whole - less
+            for i, ((p, n), tag) in enumerate(zip(segments(other, edits), tags(other, edits), strict=True)):
                 low = max(-i, less - (edits - i))
                 high = min(i, less + (edits - i))
                 for shift in range(low, high + 1):
                     if less == shift == 0 and not own_probes:
                         continue
-                    ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= length[at]))
-                    add(at[ok], start[at[ok]] + p[ok] + shift, n[ok], other[ok], i, edits, False)
-    if not rows:
+                    ok = (p + shift >= 0) & (p + shift + n <= whole)
+                    if ok.all():
+                        yield at, hashes(first + p + shift, n, tag), False, edits
+                    else:
+                        yield at[ok], hashes((first + p + shift)[ok], n[ok], tag[ok]), False, edits
+
+
+def signed(parity: np.ndarray, index: np.ndarray | bool, edits: np.ndarray | int) -> np.ndarray:
+    """Signatures: negative where the key indexes; then come three bits for the edits, and the parities."""
+    return (parity.astype(np.int64) | np.int64(edits) << KINDS | np.int64(index) << 31).astype(np.uint32).view(np.int32)
+
+
+def keys(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines as ranges of symbol values: which line, the key, whether it indexes (or else probes), the signature."""
+    parity = parities(values, start, stop)
+    out = [(row, key, np.full(len(row), index), signed(parity[row], index, edits)) for row, key, index, edits in pieces(values, start, stop, words)]
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(index), np.concatenate(sig).astype(np.uint32).view(np.int32)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _alike(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ascending sizes, each at most twice its least, and at most ``most`` in all were each as its greatest, or of one."""
+    lo = 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(sizes, 2 * sizes[lo], "right"))
+        hi = max(lo + 1, lo + min(hi - lo, most // int(sizes[hi - 1])))
+        yield lo, hi
+        lo = hi
 
 
 def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
@@ -164,14 +210,13 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray
     out = np.full(len(a), most + 1)
     todo = np.flatnonzero((np.abs(m - n) <= most) & (m > most))
     order = todo[np.argsort(n[todo], kind="stable")]
-    for lo, hi in C.slices(n[order], 1_000_000):
+    for lo, hi in _alike(n[order], PAIR_SYMBOLS):
         part = order[lo:hi]
         rows, cols, w = m[part], n[part], 2 * most + 1
         pattern = np.zeros((len(part), int(rows.max()) + 2 * w + int(cols.max())), np.uint32)
         text = np.full((len(part), int(cols.max())), 0xFFFFFFFF, np.uint32)
-        for i, k in enumerate(part):
-            pattern[i, most : most + m[k]] = a[k] + 1
-            text[i, : n[k]] = b[k] + 1
+        pattern[:, most : most + int(rows.max())][np.arange(int(rows.max())) < rows[:, None]] = np.concatenate([a[k] for k in part.tolist()]) + np.uint32(1)
+        text[np.arange(int(cols.max())) < cols[:, None]] = np.concatenate([b[k] for k in part.tolist()]) + np.uint32(1)
         full = np.uint64((1 << w) - 1)
         plus = np.full(len(part), ((1 << (most + 1)) - 1) << most, np.uint64)
         minus = np.zeros(len(part), np.uint64)
@@ -198,19 +243,20 @@ def trimmed(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.nda
     """Two sequences without the symbols that both begin or end with, but no shorter than ``most`` + 1: their distance is the same."""
     for _ in range(2):
         n = max(0, min(len(a), len(b)) - most - 1)
-        apart = np.flatnonzero(a[:n] != b[:n])
-        n = int(apart[0]) if len(apart) else n
+        apart = a[:n] != b[:n]
+        first = int(apart.argmax()) if n else 0
+        n = first if n and apart[first] else n
         a, b = a[n:][::-1], b[n:][::-1]
     return a, b
 
 
 def near(texts: list[str], i: np.ndarray, j: np.ndarray, words: bool) -> np.ndarray:
     """Which pairs (i, j) of ``texts`` are near lines by their words, or by their characters."""
-    number: dict[bytes, int] = {}
+    number: dict[bytes, int] = defaultdict(count().__next__)
     of = {}
     for k in np.union1d(i, j).tolist():
         if words:
-            of[k] = np.array([number.setdefault(w, len(number)) for w in texts[k].encode().split()], np.uint32)
+            of[k] = np.array(list(map(number.__getitem__, texts[k].encode().split())), np.uint32)
         else:
             of[k] = np.frombuffer(texts[k].encode("utf-32-le"), "<u4")
     most = allowed(np.array([max(len(of[a]), len(of[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64), words)
@@ -234,7 +280,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def _blocks(batch):
     texts = C.texts_of(batch)
-    for lo, hi in C.slices((len(t or "") for t in texts), 1_000_000):
+    for lo, hi in C.slices((len(t or "") for t in texts), BLOCK_CHARS):
         yield Lines(texts[lo:hi]), batch.slice(lo, hi - lo)
 
 
@@ -266,7 +312,7 @@ def _first_spots(batches):
 def _marked(bitmap: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
     """Which hashes are marked in a bitmap of ``_bits``."""
     spot = h.view(np.uint64) >> np.uint64(64 - bitmap[1])
-    return bitmap[0][spot >> np.uint64(3)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+    return bitmap[0][spot >> np.uint64(3)] & _BIT[spot & np.uint64(7)] != 0
 
 
 def _distinct(x: Lines, rows: pa.RecordBatch, firsts) -> np.ndarray:
@@ -279,6 +325,21 @@ def _distinct(x: Lines, rows: pa.RecordBatch, firsts) -> np.ndarray:
     return at
 
 
+def _few(bitmap: tuple[np.ndarray, int], values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key and signature, as of ``keys``, of the keys marked in a bitmap."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for row, key, index, edits in pieces(values, start, stop, words):
+        ok = np.flatnonzero(_marked(bitmap, key))
+        out.append((row[ok], key[ok], np.full(len(ok), edits << 1 | index)))
+    row, key, kind = map(np.concatenate, zip(*out, strict=True))
+    own = np.unique(row)
+    size = stop[own] - start[own]
+    offsets = C.doc_offsets(size)
+    some = values[np.arange(offsets[-1]) + np.repeat(start[own] - offsets[:-1], size)]
+    parity = parities(some, offsets[:-1], offsets[1:])
+    return row, key, signed(parity[np.searchsorted(own, row)], kind & 1, kind >> 1)
+
+
 def _keys(docs: DataFrame, firsts=None, shared=None) -> DataFrame:
     """key, sig, h1 of each line that may be near another; with broadcast bitmaps, only of lines at first places, and keys ``shared``."""
 
@@ -287,10 +348,11 @@ def _keys(docs: DataFrame, firsts=None, shared=None) -> DataFrame:
             for x, rows in _blocks(b):
                 at = _distinct(x, rows, firsts)
                 for words in (True, False):
-                    row, key, _, sig = keys(*x.symbols(at, words), words)
-                    if shared is not None:
-                        ok = np.flatnonzero(_marked(shared.value, key))
-                        row, key, sig = row[ok], key[ok], sig[ok]
+                    values, start, stop = x.symbols(at, words)
+                    if shared is None:
+                        row, key, _, sig = keys(values, start, stop, words)
+                    else:
+                        row, key, sig = _few(shared.value, values, start, stop, words)
                     yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(x.ids[at[row], 0])})
 
     return docs.mapInArrow(run, "key long, sig int, h1 long")
@@ -329,9 +391,9 @@ def _shared(docs: DataFrame, firsts, n: int) -> DataFrame:
             for x, rows in _blocks(b) if b is not None else ():
                 at = _distinct(x, rows, firsts)
                 for words in (True, False):
-                    _, key, index, _ = keys(*x.symbols(at, words), words, own_probes=False)
-                    waiting.append(key.view(np.uint64) >> np.uint64(33 - power) << np.uint64(1) | ~index)
-                    size += len(key)
+                    for _, key, index, _ in pieces(*x.symbols(at, words), words, own_probes=False):
+                        waiting.append(key.view(np.uint64) >> np.uint64(33 - power) << np.uint64(1) | np.uint64(not index))
+                        size += len(key)
             if size >= PACKED_KEYS or (b is None and size):
                 parts = packed_keys(waiting, 1 << power)
                 waiting, size = [], 0
@@ -460,7 +522,7 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, firsts, n: int) -> DataFrame:
     """key, h1: the lines (their first 64 bits), ``n`` distinct ones, that met another, by the keys where they did, as a written table."""
     shared = _shared(docs, firsts, n)
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(shared, shared.count()))
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(shared, 4 * shared.count()))
     walked = C.written(_walked(_keys(docs, firsts, bits)))
     C.forget(shared)
     bits.destroy()
@@ -479,13 +541,19 @@ def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     blocks = 1 << max(0, power - 20)
 
     def mark(batches):
-        for b in batches:
-            at = np.unique(b.column("h1").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
-            span = (1 << power) // blocks
-            for k in np.unique(at // span):
-                bits = np.zeros(span, bool)
-                bits[at[at // span == k] % span] = True
-                yield pa.record_batch({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        span, waiting, size = (1 << power) // blocks, [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                waiting.append(b.column("h1").to_numpy().view(np.uint64) >> np.uint64(64 - power))
+                size += b.num_rows
+            if size >= MARKED_ROWS or (b is None and size):
+                at = np.sort(np.concatenate(waiting)).astype(np.int64)
+                waiting, size = [], 0
+                cut = np.searchsorted(at, np.arange(blocks + 1) * span)
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    bits = np.zeros(span, bool)
+                    bits[at[cut[k] : cut[k + 1]] - k * span] = True
+                    yield pa.record_batch({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << power) // blocks // 8, np.uint8)
@@ -503,7 +571,7 @@ def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def _texts(docs: DataFrame, ids: DataFrame, firsts) -> DataFrame:
-    """h1, h2, text of the lines whose h1 is among ``ids``. A bitmap of bounded size spares most others the shuffle; the join decides."""
+    """h1, h2, text, first (place) of the lines whose h1 is among ``ids``. A bitmap of bounded size spares most others the shuffle; the join decides."""
     shared = docs.sparkSession.sparkContext.broadcast(_bits(ids, ids.count()))
 
     def run(batches):
@@ -512,10 +580,12 @@ def _texts(docs: DataFrame, ids: DataFrame, firsts) -> DataFrame:
                 at = _distinct(x, rows, firsts)
                 at = at[_marked(shared.value, x.ids[at, 0])]
                 lines = [x.line(i).decode() for i in at.tolist()]
-                yield pa.record_batch({"h1": pa.array(x.ids[at, 0]), "h2": pa.array(x.ids[at, 1]), "text": pa.array(lines, pa.string())})
+                of = pa.array(x.doc[at])
+                d, key = rows.column("doc_id").fill_null(NO_ID).take(of), rows.column("key").take(of)
+                yield pa.record_batch({"h1": pa.array(x.ids[at, 0]), "h2": pa.array(x.ids[at, 1]), "text": pa.array(lines, pa.string()), "d": d, "key": key, "line": pa.array(x.number[at].astype(np.int32))})
 
-    some = docs.mapInArrow(run, "h1 long, h2 long, text string").join(ids.hint("merge"), "h1", "left_semi")
-    return some.groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    some = docs.mapInArrow(run, "h1 long, h2 long, text string, d long, key long, line int").join(ids.hint("merge"), "h1", "left_semi")
+    return some.groupBy("h1", "h2").agg(F.min("text").alias("text"), F.min(F.struct("d", "key", "line")).alias("first"))
 
 
 def _padded(row: np.ndarray, key: np.ndarray, n: int, fill: int) -> np.ndarray:
@@ -599,9 +669,9 @@ def _linked(members: DataFrame, texts: DataFrame) -> DataFrame:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         links, best = np.zeros(t.num_rows, np.int64), np.full(t.num_rows, t.num_rows)
-        count = stop - np.arange(t.num_rows) - 1
-        for lo, hi in C.slices(count, 500_000):
-            c = count[lo:hi]
+        after = stop - np.arange(t.num_rows) - 1
+        for lo, hi in C.slices(after, 500_000):
+            c = after[lo:hi]
             i = np.repeat(np.arange(lo, hi), c)
             j = i + 1 + np.arange(c.sum()) - np.repeat(C.doc_offsets(c)[:-1], c)
             ok = (col["p"][i] == col["q"][i]) | (col["block"][i] != col["block"][j])
@@ -656,8 +726,7 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     at_first = docs.sparkSession.sparkContext.broadcast(_bits(own.select("h1", "own.*").mapInArrow(_first_spots, "h1 long"), n))
     members = _members(docs, at_first, n)
     ids = C.written(members.select("h1").distinct())
-    first = own.join(ids.hint("merge"), "h1", "left_semi").withColumnRenamed("own", "first")
-    texts = C.written(_texts(docs, ids, at_first).join(first, ["h1", "h2"]).select("h1", "h2", "text", F.length("text").alias("n"), "first"))
+    texts = C.written(_texts(docs, ids, at_first).select("h1", "h2", "text", F.length("text").alias("n"), "first"))
     at_first.destroy()
     near_first = C.written(_linked(members, texts))
     C.forget(members, ids, texts)
