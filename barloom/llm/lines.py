@@ -84,10 +84,13 @@ class Lines:
     def ids(self) -> np.ndarray:
         """128 bits of each line, as a row of two int64."""
         if self._ids is None:
-            data = self.buf.tobytes()
-            self._ids = C.digests(data[a:b] for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True))
+            self._ids = self.ids_of(np.arange(len(self.starts)))
         return self._ids
 
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        data = self.buf.tobytes()
+        return C.digests(data[a:b] for a, b in zip(self.starts[at].tolist(), self.stops[at].tolist(), strict=True))
+
     def symbols(self, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values of the words, or of the characters, of the lines ``at`` (at least), and where each line's begin and end."""
         if words:
@@ -95,10 +98,9 @@ class Lines:
         later = np.flatnonzero((self.buf & 0xC0) == 0x80)  # bytes that begin no character
         start, stop = (x[at] - np.searchsorted(later, x[at]) for x in (self.starts, self.stops))
         chars = np.frombuffer(self.buf.tobytes().decode().encode("utf-32-le"), "<u4")
-        values = _CHAR_VALUES[np.minimum(chars, len(_CHAR_VALUES) - 1)]
-        rare = np.flatnonzero(chars >= len(_CHAR_VALUES))
-        values[rare] = C.mixed((chars[rare].astype(np.uint64) + np.uint64(1)) * _GOLDEN)
-        return values, start, stop
+        if chars.max() < len(_CHAR_VALUES):
+            return _CHAR_VALUES[chars], start, stop
+        return C.mixed((chars.astype(np.uint64) + np.uint64(1)) * _GOLDEN), start, stop
 
 
 def allowed(length: np.ndarray, words: bool) -> np.ndarray:
@@ -149,8 +151,6 @@ def pieces(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool,
         x ^= tag
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
         return x.view(np.int64)
 
     for edits in range(1, int(allowed(length + EDITS, words).max(initial=0)) + 1):
@@ -296,9 +296,9 @@ def _all_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, line int, h1 long, h2 long")
 
 
-def _spots(h1: np.ndarray, d: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash of a line and its place."""
-    out = h1.view(np.uint64)
+def _spots(d: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place."""
+    out = np.zeros(len(d), np.uint64)
     for x in (d, key, line):
         out = C.mixed((out ^ x.astype(np.int64).view(np.uint64)) * _GOLDEN)
     return out.view(np.int64)
@@ -306,7 +306,7 @@ def _spots(h1: np.ndarray, d: np.ndarray, key: np.ndarray, line: np.ndarray) ->
 
 def _first_spots(batches):
     for b in batches:
-        yield pa.record_batch({"h1": pa.array(_spots(*(b.column(n).to_numpy() for n in ("h1", "d", "key", "line"))))})
+        yield pa.record_batch({"h1": pa.array(_spots(*(b.column(n).to_numpy() for n in ("d", "key", "line"))))})
 
 
 def _marked(bitmap: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
@@ -317,12 +317,10 @@ def _marked(bitmap: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
 
 def _distinct(x: Lines, rows: pa.RecordBatch, firsts) -> np.ndarray:
     """Lines of a block that differ; given the broadcast bitmap of first places, only those at such a place, or that it takes for such."""
-    h = x.ids[:, 0]
-    at = np.unique(x.ids, axis=0, return_index=True)[1] if firsts is None else np.arange(len(h))
-    if firsts is not None and len(at):
-        d, key = rows.column("doc_id").fill_null(NO_ID).to_numpy(), rows.column("key").to_numpy()
-        at = np.flatnonzero(_marked(firsts.value, _spots(h, d[x.doc], key[x.doc], x.number)))
-    return at
+    if firsts is None:
+        return np.unique(x.ids, axis=0, return_index=True)[1]
+    d, key = rows.column("doc_id").fill_null(NO_ID).to_numpy(), rows.column("key").to_numpy()
+    return np.flatnonzero(_marked(firsts.value, _spots(d[x.doc], key[x.doc], x.number)))
 
 
 def _few(bitmap: tuple[np.ndarray, int], values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,7 +351,8 @@ def _keys(docs: DataFrame, firsts=None, shared=None) -> DataFrame:
                         row, key, _, sig = keys(values, start, stop, words)
                     else:
                         row, key, sig = _few(shared.value, values, start, stop, words)
-                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(x.ids[at[row], 0])})
+                    some, of = np.unique(row, return_inverse=True)
+                    yield pa.record_batch({"key": pa.array(key), "sig": pa.array(sig), "h1": pa.array(x.ids_of(at[some])[of, 0])})
 
     return docs.mapInArrow(run, "key long, sig int, h1 long")
 
@@ -578,11 +577,13 @@ def _texts(docs: DataFrame, ids: DataFrame, firsts) -> DataFrame:
         for b in batches:
             for x, rows in _blocks(b):
                 at = _distinct(x, rows, firsts)
-                at = at[_marked(shared.value, x.ids[at, 0])]
+                ids_at = x.ids_of(at)
+                ok = np.flatnonzero(_marked(shared.value, ids_at[:, 0]))
+                at, ids_at = at[ok], ids_at[ok]
                 lines = [x.line(i).decode() for i in at.tolist()]
                 of = pa.array(x.doc[at])
                 d, key = rows.column("doc_id").fill_null(NO_ID).take(of), rows.column("key").take(of)
-                yield pa.record_batch({"h1": pa.array(x.ids[at, 0]), "h2": pa.array(x.ids[at, 1]), "text": pa.array(lines, pa.string()), "d": d, "key": key, "line": pa.array(x.number[at].astype(np.int32))})
+                yield pa.record_batch({"h1": pa.array(ids_at[:, 0]), "h2": pa.array(ids_at[:, 1]), "text": pa.array(lines, pa.string()), "d": d, "key": key, "line": pa.array(x.number[at].astype(np.int32))})
 
     some = docs.mapInArrow(run, "h1 long, h2 long, text string, d long, key long, line int").join(ids.hint("merge"), "h1", "left_semi")
     return some.groupBy("h1", "h2").agg(F.min("text").alias("text"), F.min(F.struct("d", "key", "line")).alias("first"))
@@ -723,7 +724,7 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "key", "line")
     own = C.written(every.groupBy("h1", "h2").agg(F.min(place).alias("own")))
     n = own.count()
-    at_first = docs.sparkSession.sparkContext.broadcast(_bits(own.select("h1", "own.*").mapInArrow(_first_spots, "h1 long"), n))
+    at_first = docs.sparkSession.sparkContext.broadcast(_bits(own.select("own.*").mapInArrow(_first_spots, "h1 long"), n))
     members = _members(docs, at_first, n)
     ids = C.written(members.select("h1").distinct())
     texts = C.written(_texts(docs, ids, at_first).select("h1", "h2", "text", F.length("text").alias("n"), "first"))

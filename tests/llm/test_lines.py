@@ -252,7 +252,7 @@ def test_only_keys_of_two_lines_are_dealt_with_their_lines(spark):
     typo = [s[:30] + "#" + s[31:] for s in lines[:20]]
     df = L._prepared(spark.createDataFrame([(i, s) for i, s in enumerate(lines + typo + lines[:300])], "doc_id long, text string").repartition(4))
     own = L._all_lines(df).groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("d"), "key", "line")).alias("own"))
-    firsts = spark.sparkContext.broadcast(L._bits(own.select("h1", "own.*").mapInArrow(L._first_spots, "h1 long"), 2020))
+    firsts = spark.sparkContext.broadcast(L._bits(own.select("own.*").mapInArrow(L._first_spots, "h1 long"), 2020))
     shared = spark.sparkContext.broadcast(L._bits(L._shared(df, firsts, 2020), 2000))
     every, dealt = L._keys(df).count(), L._keys(df, firsts, shared)
     assert dealt.count() < every / 10
