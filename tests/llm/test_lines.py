@@ -271,3 +271,12 @@ def test_keys_of_two_lines_are_found_whatever_part_they_came_in():
     assert {(r, k) for r, p in parts.items() for k in L.shared_keys(p).tolist()} == want and 0 < len(want) < 1200
     most = L.packed_keys([np.array([6] * 50 + [7] * 50, np.uint64)], 1)
     assert [np.frombuffer(c, "<u4").tolist() for _, c in most] == [[6, 6, 7]]
+
+
+def test_one_long_pair_does_not_widen_the_others():
+    short, long = symbols("abcde"), symbols("ab" * 5_000)
+    tracemalloc.start()
+    got = L.distances([short] * 3000 + [long], [short] * 3000 + [long[1:]], 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [0] * 3000 + [1] and peak < 20e6
