@@ -20,7 +20,7 @@ Lines are told apart by 128 bits of BLAKE2b of their bytes; 64-bit hashes only f
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, count
 
 import numpy as np
@@ -137,7 +137,8 @@ def pieces(values: np.ndarray, start: np.ndarray, stop: np.ndarray, words: bool,
     own = allowed(length, words)
     up, down = C._WORD_POWERS[1].to(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
+    np.multiply(values, up[:-1], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
 
     def tags(of_length, edits):
         """A value for each segment of lines of these lengths."""
@@ -534,14 +535,18 @@ def _members(docs: DataFrame, firsts, n: int) -> DataFrame:
     return members
 
 
-def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A packed bitmap of the leading bits of hashes (h1), 16 bits for each of ``n``, merged on the executors by block; and its power of two, at most MOST_BITS."""
+def _bits(ids: DataFrame, n: int, hashes: Callable | None = None) -> tuple[np.ndarray, int]:
+    """A packed bitmap of the leading bits of hashes (h1), 16 bits for each of ``n``, merged on the executors by block; and its power of two, at most MOST_BITS.
+
+    ``hashes`` makes batches of them from those of ``ids`` where they are marked: two ``mapInArrow`` in a row would run two Python
+    workers a task, and Spark keeps, and uses in turn, as many as ever ran at once.
+    """
     power = min(MOST_BITS, max(16, int(16 * n - 1).bit_length()))
     blocks = 1 << max(0, power - 20)
 
     def mark(batches):
         span, waiting, size = (1 << power) // blocks, [], 0
-        for b in chain(batches, [None]):
+        for b in chain(hashes(batches) if hashes else batches, [None]):
             if b is not None:
                 waiting.append(b.column("h1").to_numpy().view(np.uint64) >> np.uint64(64 - power))
                 size += b.num_rows
@@ -564,7 +569,7 @@ def _bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     kind = "block int, bits binary"
     out = np.zeros((1 << power) // 8, np.uint8)
     span = len(out) // blocks
-    for r in ids.select("h1").mapInArrow(mark, kind).groupBy("block").applyInArrow(merge, kind).toLocalIterator():
+    for r in (ids if hashes else ids.select("h1")).mapInArrow(mark, kind).groupBy("block").applyInArrow(merge, kind).toLocalIterator():
         out[r.block * span : (r.block + 1) * span] = np.frombuffer(r.bits, np.uint8)
     return out, power
 
@@ -724,7 +729,7 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "key", "line")
     own = C.written(every.groupBy("h1", "h2").agg(F.min(place).alias("own")))
     n = own.count()
-    at_first = docs.sparkSession.sparkContext.broadcast(_bits(own.select("own.*").mapInArrow(_first_spots, "h1 long"), n))
+    at_first = docs.sparkSession.sparkContext.broadcast(_bits(own.select("own.*"), n, _first_spots))
     members = _members(docs, at_first, n)
     ids = C.written(members.select("h1").distinct())
     texts = C.written(_texts(docs, ids, at_first).select("h1", "h2", "text", F.length("text").alias("n"), "first"))

@@ -280,3 +280,14 @@ def test_one_long_pair_does_not_widen_the_others():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got.tolist() == [0] * 3000 + [1] and peak < 20e6
+
+
+def test_no_task_runs_two_python_workers(spark, monkeypatch):
+    plans, frame = [], type(spark.range(0))
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, f=frame.mapInArrow, **b: seen(f(self, *a, **b)))
+    near = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, near), (2, near.replace("w5", "x")), (3, near), (4, "other")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in L.line_counts(df).collect()) == [(1, 0), (2, 1), (3, 1), (4, 0)]
+    in_stage = [p.partition("Exchange")[0].count("InArrow ") for p in plans]
+    assert len(plans) > 5 and set(in_stage) == {1}
