@@ -155,4 +155,5 @@ def gap_summary(reports: DataFrame) -> DataFrame:
     long = F.size(F.filter("gaps", lambda g: g["minutes"] >= HOLIDAY_MINUTES))
     rest = F.coalesce(F.array_max(F.transform(F.filter("gaps", lambda g: g["minutes"] < HOLIDAY_MINUTES), lambda g: g["minutes"])), F.lit(0.0))
     share = F.coalesce(F.try_divide(100.0 * F.col("actual_bars"), "expected_bars"), F.lit(0.0))
-    return reports.select("symbol", F.format_string("coverage %.2f%%, %d gaps (%d of a day or more, longest other %d min)", share, F.size("gaps"), long, rest.cast("long")).alias("summary"))
+    share = F.format_number(share, 2)  # rounds the double itself, half to even, as printf does; format_string rounds its shortest decimal, half up
+    return reports.select("symbol", F.format_string("coverage %s%%, %d gaps (%d of a day or more, longest other %d min)", share, F.size("gaps"), long, rest.cast("long")).alias("summary"))

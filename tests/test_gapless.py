@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 from barloom import catalog
-from tests.helpers import rows
+from barloom.operators import quality as Q
+from barloom.schema import Timeframe
+from tests.helpers import minute_bars, rows
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 MONDAY, SATURDAY = datetime(2024, 1, 8), datetime(2024, 1, 6)
@@ -38,3 +40,21 @@ def by_sql(folder, name):
 
 def test_quality_report_equals_sql(spark, events):
     assert rows(QUERIES["quality_report"](spark, events).toPandas()) == by_sql(events, "quality_report")
+
+
+def test_gap_summary_equals_sql(spark, events):
+    assert rows(QUERIES["gap_summary"](spark, events).toPandas()) == by_sql(events, "gap_summary")
+
+
+def test_operators_report_on_symbols_without_gaps(spark):
+    r = Q.check(minute_bars(spark, "2026-01-05 00:00", 30), Timeframe.M1)
+    assert [(x.actual_bars, x.gaps) for x in r.collect()] == [(30, [])]
+    assert Q.gap_summary(r).first().summary == "coverage 100.00%, 0 gaps (0 of a day or more, longest other 0 min)"
+
+
+def test_coverage_is_rounded_as_printf_does(spark):
+    shares = [(36, 28800), (108, 28800), (201, 20000), (203, 20000), (1, 3), (7, 7), (0, 5)]
+    reports = spark.createDataFrame([(f"{a}/{e}", a, e, []) for a, e in shares], "symbol string, actual_bars long, expected_bars long, gaps array<struct<from:string,to:string,missing_bars:bigint,minutes:double>>")
+    got = {r.symbol: r.summary.split("%")[0] for r in Q.gap_summary(reports).collect()}
+    printf = lambda a, e: duckdb.connect().execute(f"SELECT printf('coverage %.2f', 100.0::DOUBLE * {a} / {e}) AS s").fetchdf().s[0]
+    assert got == {f"{a}/{e}": printf(a, e) for a, e in shares}
